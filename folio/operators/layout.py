@@ -84,6 +84,7 @@ def read_words(lines: DataFrame) -> DataFrame:
                 lambda t: F.struct(t.tok.alias("tok"), T.nonspace_len(t.tok).alias("len"), t.height.alias("height")),
             ),
         )
+        .withColumn("chars", F.aggregate("_kept", F.lit(0), lambda a, t: a + T.nonspace_len(t.tok)))
         .withColumn("eff_left", F.coalesce(F.get(edge, F.lit(0))["hpos"], F.col("hpos")))
         .withColumn("bold", F.forall("_r", lambda t: t.bold))
         .drop("_r", "_kept")
@@ -311,7 +312,7 @@ def segment_lines(lines: DataFrame, page_w: Column) -> DataFrame:
 
 def gather_blocks(merged: DataFrame) -> DataFrame:
     """One row per output block; a block number counts blocks of the page in document order."""
-    line = F.struct("line_seq", "text", "words", "font_size", "bold", "hpos", "vpos", "width", "bottom")
+    line = F.struct("line_seq", "text", "words", "font_size", "chars", "bold", "hpos", "vpos", "width", "bottom")
     per_block = (
         merged.groupBy(*OUT_BLOCK)
         .agg(
@@ -342,6 +343,7 @@ def gather_blocks(merged: DataFrame) -> DataFrame:
         first["width"].alias("width"),
         F.array_max(F.transform("ls", lambda x: x.font_size)).alias("max_font"),
         F.transform("ls", lambda x: x.font_size).alias("fonts"),
+        F.transform("ls", lambda x: F.struct(x.font_size.alias("font"), x.chars.alias("chars"))).alias("font_chars"),
         F.flatten(F.transform("ls", lambda x: x.words)).alias("words"),
     )
 

@@ -25,3 +25,59 @@ oracle("hyphen_merge", "SELECT page_id, block_seq, line_seq, coalesce(text1,'')
 oracle("page_blocks", """
 SELECT page_id, book_id, block_no, text, centered, all_bold, line_count, split_reason, top, left_pos AS "left", max_font,
   CAST(len(words) AS BIGINT) AS n_words FROM pb""")
+oracle("sample_pages", "SELECT * FROM sample")
+oracle("wave_sample", """
+SELECT book_id, page_id, wave, min(pos) AS pos FROM (
+  SELECT t.book_id, t.page_id, CAST(w.wave AS INTEGER) AS wave, g.d AS pos
+  FROM txt_pages t, (SELECT unnest([0,1,2]) AS wave, unnest([0e0, 5e-1, 25e-2]) AS off) w,
+    LATERAL (SELECT idx, row_number() OVER (ORDER BY min(i)) AS d FROM (
+       SELECT i, round_even(least((i+1+w.off)/(least(10, t.n)+1), 999e-3) * (t.n-1), 0) AS idx
+       FROM (SELECT unnest(generate_series(0, least(10, t.n)-1)) AS i)) GROUP BY idx) g
+  WHERE g.idx = t.rnk) GROUP BY 1, 2, 3""")
+oracle("text_pages", "SELECT book_id, page_id, page_type, title FROM txt_pages")
+oracle("page_mode_height", "SELECT * FROM mode_rows")
+oracle("book_style", "SELECT * FROM bstyle")
+oracle("font_hist", "SELECT * FROM fonth")
+oracle("heading_fonts", """
+SELECT DISTINCT s.page_id, s.font_size FROM fx_styles s JOIN hcut USING (page_id) JOIN t_head h USING (page_id)
+WHERE h.total > 0 AND coalesce(h.head, 0)/h.total <= 4e-1 AND s.font_size >= cut""")
+oracle("line_font", """
+SELECT page_id, block_seq, line_seq, 'FONT_' || CAST(CAST(font_size AS BIGINT) AS VARCHAR) AS style_id, font_size FROM fx_lines""")
+oracle("token_style", """
+SELECT page_id, token_seq, font_size AS size, style = 'bold' OR font_size = 24 AS bold, font_size = 14 AS italic,
+  CASE WHEN font_size > 11 THEN 'Fraktur' ELSE 'Times' END AS font_family,
+  'FONT_' || CAST(CAST(font_size AS BIGINT) AS VARCHAR) AS style_id FROM fx_tokens""")
+FONT_STATS = """
+SELECT page_id, size, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(bold_chars) AS BIGINT) AS bold_chars, count(*) AS blocks FROM (
+  SELECT page_id, %(k)s, sum(chars) AS chars, sum(bold_chars) AS bold_chars, max(size) FILTER (WHERE r = 1) AS size FROM (
+    SELECT *, row_number() OVER (PARTITION BY page_id, %(k)s ORDER BY chars DESC, first_seq) AS r FROM (
+      SELECT page_id, %(k)s, round_even(height, 1) AS size, sum(len) AS chars, sum(CASE WHEN style = 'bold' THEN len ELSE 0 END) AS bold_chars,
+        min(token_seq) AS first_seq
+      FROM (SELECT %(src)s.*, length(regexp_replace(tok, '\\s', '', 'g')) AS len FROM %(src)s) WHERE len > 0
+      GROUP BY page_id, %(k)s, round_even(height, 1)))
+  GROUP BY page_id, %(k)s HAVING sum(chars) >= 40) GROUP BY page_id, size"""
+oracle("block_font_stats", FONT_STATS % {"k": "block_seq", "src": "tok_read"})
+oracle("paragraph_font_stats", FONT_STATS % {"k": "block_seq, seg", "src": "para"})
+oracle("counter_confidence", """
+SELECT page_id, CAST(round_even(max(cnt) / sum(cnt) * 100, 0) AS BIGINT) AS confidence
+FROM (SELECT page_id, height, count(*) AS cnt FROM fx_tokens GROUP BY 1, 2) GROUP BY 1""")
+oracle("page_number_notes", "SELECT page_id, note_seq, vpos, text FROM pn_notes")
+oracle("heading_class", "SELECT page_id, block_no, tag FROM t_hc")
+oracle("single_line_center", "SELECT page_id, block_no, centered FROM t_slc")
+oracle("h3_class", "SELECT page_id, block_no, tag FROM t_h3")
+oracle("small_class", "SELECT page_id, block_no, tag FROM t_small")
+from folio.sqlparts import FRAGMENT  # noqa: E402
+
+oracle("block_fragment", f"SELECT page_id, block_no, {FRAGMENT} AS html FROM t_slc")
+oracle("heading_merge", """
+SELECT page_id, min(block_no) AS block_no, any_value(tag) AS tag,
+  CASE WHEN count(*) > 1 THEN regexp_replace(trim(replace(string_agg(text, chr(1) ORDER BY block_no), '-' || chr(1), '')), '[\\s\\x01]+', ' ', 'g')
+       ELSE any_value(text) END AS text,
+  bool_or(centered) AS centered, bool_and(all_bold) AS all_bold, CAST(sum(line_count) AS BIGINT) AS line_count
+FROM (SELECT *, sum(CASE WHEN coalesce(j, FALSE) THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY block_no) AS run
+  FROM (SELECT *, tag IN ('h1','h2') AND lag(tag) OVER w = tag AND lag(floor(block_no/6)) OVER w = floor(block_no/6)
+     AND lag(all_bold) OVER w = all_bold AND least(lag(max_font) OVER w, max_font) > 0
+     AND (greatest(lag(max_font) OVER w, max_font) - least(lag(max_font) OVER w, max_font))/least(lag(max_font) OVER w, max_font) <= 1e-1 AS j
+   FROM t_hc WINDOW w AS (PARTITION BY page_id ORDER BY block_no))) GROUP BY page_id, run""".replace("\\\\", "\\"))
+oracle("illustration_dedupe", "SELECT * FROM ill_kept")
+oracle("page_html", "SELECT * FROM page_htmls")

@@ -301,3 +301,235 @@ GROUP BY h.page_id, h.block_seq, h.seg, h.sub
 part("pb", """
 SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY block_seq, seg, sub) - 1 AS block_no FROM pb_raw WHERE text <> ''
 """)
+
+# --- book style ----------------------------------------------------------------------------------
+TERMS = (
+    "titul|title|cover|obal|obsah|content|contents|ilustr|illustr|obraz|image|map|fotograf|photo|reklam|advert|"
+    "příloh|priloh|appendix|příloha|napis|blank|prázd|prazd|index"
+)
+part("txt_pages", f"""
+SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY page_index) - 1 AS rnk, count(*) OVER (PARTITION BY book_id) AS n
+FROM fx_pages WHERE NOT regexp_matches(lower(page_type || chr(10) || title), '{TERMS}')
+""")
+part("sample", """
+SELECT book_id, page_id, page_index FROM txt_pages t WHERE EXISTS (
+  SELECT 1 FROM (SELECT unnest(generate_series(0, 4)) AS i) WHERE i < least(5, t.n) AND
+    t.rnk = CASE WHEN least(5, t.n) > 1 THEN floor(i * (t.n - 1) / (least(5, t.n) - 1)) ELSE 0 END)
+""")
+part("height_counts", """
+SELECT page_id, round_even(height, 1) AS h, count(*) AS cnt, min(block_seq * 1000000000 + token_seq) AS first_at FROM fx_tokens GROUP BY 1, 2
+""")
+part("mode_rows", """
+SELECT page_id, h AS mode_height, CAST(words AS BIGINT) AS words FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY cnt DESC, first_at) AS r, sum(cnt) OVER (PARTITION BY page_id) AS words
+  FROM height_counts) WHERE r = 1 AND words >= 20
+""")
+part("style_rows", """
+SELECT s.book_id, s.page_id, s.page_index, m.mode_height, m.words, l.lines
+FROM sample s JOIN mode_rows m USING (page_id) JOIN (SELECT page_id, count(*) AS lines FROM fx_lines GROUP BY page_id) l USING (page_id)
+""")
+part("bstyle", """
+SELECT b.book_id, s.average_height, coalesce(s.confidence, 0) AS confidence, coalesce(s.pages_used, 0) AS pages_used,
+  coalesce(s.lines_sampled, 0) AS lines_sampled, coalesce(s.words_sampled, 0) AS words_sampled,
+  coalesce(s.distinct_styles, 0) AS distinct_styles, coalesce(s.sampled_pages, '') AS sampled_pages
+FROM (SELECT DISTINCT book_id FROM fx_pages) b LEFT JOIN (
+  SELECT book_id, round_even(avg(mode_height), 2) AS average_height,
+    CAST(round_even(least(1e0, greatest(0e0, 1 - stddev_pop(mode_height)/avg(mode_height))) * 100, 0) AS BIGINT) AS confidence,
+    count(*) AS pages_used, CAST(sum(lines) AS BIGINT) AS lines_sampled, CAST(sum(words) AS BIGINT) AS words_sampled,
+    count(DISTINCT mode_height) AS distinct_styles, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_index) AS sampled_pages
+  FROM style_rows GROUP BY book_id) s USING (book_id)
+""")
+part("fonth", f"""
+SELECT l.page_id, l.font_size, CAST(sum(length(regexp_replace({resolve('t.')}, '\\s', '', 'g'))) AS BIGINT) AS chars
+FROM fx_tokens t JOIN fx_lines l USING (page_id, block_seq, line_seq) WHERE l.width > 0 GROUP BY 1, 2
+""")
+part("fx_styles", """
+SELECT doc_id AS page_id, 'FONT_' || s AS style_id, CAST(s AS DOUBLE) AS font_size,
+  CASE WHEN s > 11 THEN 'Fraktur' ELSE 'Times' END AS font_family, CASE WHEN s = 14 THEN 'italics' END AS font_style,
+  CASE WHEN s = 24 THEN 'bold' END AS font_weight
+FROM documents, (SELECT unnest([24, 14, 11, 8]) AS s)
+""")
+part("hcut", """
+SELECT page_id, coalesce(max(font_size) FILTER (WHERE font_size > nxt * 1.2e0), max(font_size)) AS cut
+FROM (SELECT page_id, font_size, lead(font_size) OVER (PARTITION BY page_id ORDER BY font_size DESC) AS nxt
+      FROM (SELECT DISTINCT page_id, font_size FROM fx_styles)) GROUP BY page_id
+""")
+
+# --- printed page numbers ------------------------------------------------------------------------
+part("nl_num", """
+SELECT page_id, book_id, page_number,
+  CASE WHEN regexp_matches(trim(page_number), '^([0-9]+|[IVXLCDMivxlcdm]+)$') THEN upper(trim(page_number))
+       WHEN regexp_matches(trim(page_number), '^\\[\\s*([0-9]+|[IVXLCDMivxlcdm]+)\\s*\\]$')
+       THEN upper(regexp_extract(trim(page_number), '^\\[\\s*([0-9]+|[IVXLCDMivxlcdm]+)\\s*\\]$', 1)) END AS value,
+  coalesce(regexp_matches(trim(page_number), '^([0-9]+|[IVXLCDMivxlcdm]+)$'), FALSE) AS searchable
+FROM fx_pages
+""".replace("\\\\", "\\"))
+part("nl_text", f"""
+SELECT page_id, block_seq, line_seq,
+  trim(coalesce(string_agg(tok, ' ' ORDER BY token_seq) FILTER (WHERE tok <> ''), '')) AS txt,
+  min(hpos) FILTER (WHERE tok <> '' AND regexp_matches(tok, '[\\p{{L}}\\p{{N}}]')) AS lft,
+  max(hpos + greatest(width, 0)) FILTER (WHERE tok <> '' AND regexp_matches(tok, '[\\p{{L}}\\p{{N}}]')) AS rgt
+FROM (SELECT *, {resolve()} AS tok FROM all_tokens) GROUP BY 1, 2, 3
+""")
+part("nl_cons", r"""
+SELECT l.page_id, l.block_seq, l.line_seq, l.vpos, t.txt, n.value, regexp_matches(n.value, '\p{L}') AS roman
+FROM all_lines l JOIN nl_text t USING (page_id, block_seq, line_seq) JOIN nl_num n USING (page_id)
+WHERE n.value IS NOT NULL AND n.searchable
+  AND CASE WHEN lft IS NULL THEN l.width ELSE greatest(rgt - lft, 0) END BETWEEN 1 AND 280 AND t.txt <> ''
+  AND (regexp_matches(n.value, '\p{L}') OR length(regexp_replace(t.txt, '\s', '', 'g')) < 5
+       OR length(regexp_replace(t.txt, '[^\p{L}]', '', 'g')) < 5e-1 * length(regexp_replace(t.txt, '\s', '', 'g')))
+""")
+part("nl_role", r"""
+SELECT *, CASE
+  WHEN regexp_matches(txt, CASE WHEN roman THEN '(^|[^0-9A-Za-z])' || value || '($|[^0-9A-Za-z])' ELSE '(^|[^0-9])' || value || '($|[^0-9])' END) THEN 'match'
+  WHEN regexp_matches(txt, '(^|[^0-9])[0-9]+[^\p{L}\p{N}_]*\*') THEN
+    CASE WHEN regexp_matches(regexp_extract(txt, '(?s)^((?:.*?[^0-9])??)[0-9]+[^\p{L}\p{N}_]*\*(.*)$', 1)
+                || regexp_extract(txt, '(?s)^((?:.*?[^0-9])??)[0-9]+[^\p{L}\p{N}_]*\*(.*)$', 2), '[0-9A-Za-z]') THEN 'starred_mixed' ELSE 'starred' END
+  WHEN regexp_matches(txt, '^[0-9]{1,4}$') THEN 'bare' ELSE 'suspect' END AS role0
+FROM nl_cons
+""")
+part("nl_count", """
+SELECT *, count(*) FILTER (WHERE role0 = 'match') OVER p AS n_match, count(*) FILTER (WHERE role0 = 'suspect') OVER p AS n_susp,
+  count(*) FILTER (WHERE role0 IN ('starred','starred_mixed','bare')) OVER p AS n_sec
+FROM nl_role WINDOW p AS (PARTITION BY page_id)
+""")
+part("nl_final", """
+SELECT * FROM (SELECT *, CASE WHEN role0 = 'bare' AND n_match = 0 AND n_susp = 0 AND n_sec = 1 THEN 'promoted'
+    WHEN role0 = 'suspect' AND n_match > 0 THEN NULL ELSE role0 END AS role FROM nl_count) WHERE role IS NOT NULL
+""")
+part("nl_first", """
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY vpos, block_seq, line_seq) - 1 AS note_seq, vpos,
+  'Page number: ' || value || ' ; OCR text: ' || txt || CASE WHEN role = 'match' THEN '' ELSE ' ; !FOUND ONLY KANDIDATE!' END AS text
+FROM nl_final WHERE role IN ('match','suspect','promoted')
+UNION ALL
+SELECT page_id, 0, 4001, 'Page number: ' || value || ' ; OCR text: None ; !NOT FOUND!' FROM nl_num
+WHERE value IS NOT NULL AND searchable AND page_id NOT IN (SELECT page_id FROM nl_final WHERE role IN ('match','suspect','promoted'))
+UNION ALL
+SELECT page_id, 0, 4001, 'Page number: ' || trim(page_number) || ' ; SHOULDN''T BE ON PAGE' FROM nl_num
+WHERE NOT (value IS NOT NULL AND searchable) AND trim(page_number) <> ''
+""")
+part("nl_second", """
+SELECT s.page_id, f.n + row_number() OVER o - 1 AS note_seq, greatest(f.top, 4000) + row_number() OVER o AS vpos,
+  'Secondary page number OCR: ' || s.txt || CASE WHEN s.role = 'starred_mixed' THEN ' ; !FOUND OLNY KANDIDATE!' ELSE '' END AS text
+FROM nl_final s JOIN (SELECT page_id, count(*) AS n, max(vpos) AS top FROM nl_first GROUP BY 1) f USING (page_id)
+WHERE s.role IN ('starred','starred_mixed','bare') WINDOW o AS (PARTITION BY s.page_id ORDER BY s.vpos, s.block_seq, s.line_seq)
+""")
+part("pn_notes", "SELECT * FROM nl_first UNION ALL SELECT * FROM nl_second")
+part("html_lines", """
+SELECT l.* FROM all_lines l ANTI JOIN (SELECT * FROM nl_final WHERE role IN ('match','starred','promoted')) r USING (page_id, block_seq, line_seq)
+""")
+
+
+part("para", """
+SELECT t.*, f.seg FROM tok_read t JOIN ln_final f USING (page_id, block_seq, line_seq)
+""")
+
+
+def _chain(prefix: str, renamed: dict[str, str]) -> None:
+    """The segmentation and book style pieces again over other lines and words."""
+    names = [n for n in PARTS if n.startswith(
+        ("tok_read", "line_read", "ln_", "hy_", "pb", "height_counts", "mode_rows", "style_rows", "bstyle"))]
+    swap = {n: prefix + n for n in names} | renamed
+    pattern = re.compile(r"\b(" + "|".join(sorted(swap, key=len, reverse=True)) + r")\b")
+    for n in names:
+        part(prefix + n, pattern.sub(lambda m: swap[m.group(1)], PARTS[n]))
+
+
+_chain("x_", {"fx_lines": "html_lines", "fx_tokens": "all_tokens"})
+
+
+def _tags(prefix: str, blocks: str, fonts: str, book: str) -> None:
+    """Tag rules over a set of blocks."""
+    part(prefix + "head", f"""
+SELECT page_id, sum(chars) FILTER (WHERE font_size >= cut) AS head, sum(chars) AS total FROM {fonts} JOIN hcut USING (page_id) GROUP BY 1
+""")
+    part(prefix + "el", f"""
+SELECT b.*, s.average_height, c.cut,
+  coalesce(h.total > 0 AND coalesce(h.head, 0) / h.total <= 4e-1, FALSE) AND b.max_font >= c.cut AS in_head,
+  list_filter(b.words, lambda w: regexp_matches(w.tok, '[\\p{{L}}\\p{{N}}]')) AS aw
+FROM {blocks} b JOIN {book} s USING (book_id) JOIN hcut c USING (page_id) LEFT JOIN {prefix}head h USING (page_id)
+""")
+    part(prefix + "el2", f"""
+SELECT *, CASE WHEN len(list_filter(aw, lambda w: length(regexp_replace(w.tok, '\\s', '', 'g')) > 1)) > 5
+  THEN list_filter(aw, lambda w: length(regexp_replace(w.tok, '\\s', '', 'g')) > 1) ELSE aw END AS el FROM {prefix}el
+""")
+    part(prefix + "hc", f"""
+SELECT *, CASE WHEN average_height IS NULL OR len(el) = 0 OR len(el) > 25 OR coalesce(split_reason = 'horizontal_indent', FALSE) THEN 'p'
+  WHEN len(list_filter(el, lambda w: w.height >= average_height * 2))/len(el) >= need THEN 'h1'
+  WHEN len(list_filter(el, lambda w: w.height >= average_height * 1.08e0))/len(el) >= need THEN 'h2' ELSE 'p' END AS tag
+FROM (SELECT *, CASE WHEN in_head THEN 82e-2 * 56e-2 ELSE 82e-2 END AS need FROM {prefix}el2)
+""")
+
+
+_tags("t_", "pb", "fonth", "bstyle")
+part("x_fonth", f"""
+SELECT l.page_id, l.font_size, sum(length(regexp_replace({resolve('t.')}, '\\s', '', 'g'))) AS chars
+FROM all_tokens t JOIN html_lines l USING (page_id, block_seq, line_seq) WHERE l.width > 0 GROUP BY 1, 2
+""")
+_tags("xt_", "x_pb", "x_fonth", "x_bstyle")
+
+
+def _finish(prefix: str, tagged: str) -> None:
+    part(prefix + "run0", f"""
+SELECT *, CASE WHEN line_count = 1 AND lag(line_count) OVER w = 1 AND (top - lag(bottom) OVER w <= 0
+   OR top - lag(bottom) OVER w <= greatest(lag(greatest(bottom - top, 1)) OVER w, greatest(bottom - top, 1)) * 3) THEN 0 ELSE 1 END AS brk
+FROM {tagged} WINDOW w AS (PARTITION BY page_id ORDER BY block_no)
+""")
+    part(prefix + "run", f"""
+SELECT *, sum(brk) OVER (PARTITION BY page_id ORDER BY block_no) AS run FROM {prefix}run0
+""")
+    part(prefix + "slc", f"""
+SELECT * REPLACE (centered OR (line_count = 1 AND count(*) OVER r >= 2
+  AND max(left_pos) OVER r - median(left_pos) OVER r <= median(width) OVER r * 2e-2
+  AND median(left_pos) OVER r - min(left_pos) OVER r <= median(width) OVER r * 2e-2
+  AND max(width) OVER r - min(width) OVER r > median(width) OVER r * 1e-1) AS centered)
+FROM {prefix}run WINDOW r AS (PARTITION BY page_id, run)
+""")
+    part(prefix + "h3", f"""
+SELECT * REPLACE (CASE WHEN tag = 'p' AND all_bold AND NOT (pt IS NULL AND nt IS NULL)
+   AND (pt IS NULL OR pt IN ('h1','h2') OR (pt = 'p' AND NOT pbold)) AND (nt IS NULL OR nt IN ('h1','h2') OR (nt = 'p' AND NOT nbold))
+   THEN 'h3' ELSE tag END AS tag)
+FROM (SELECT *, lag(tag) OVER w AS pt, lead(tag) OVER w AS nt, lag(all_bold) OVER w AS pbold, lead(all_bold) OVER w AS nbold
+      FROM {prefix}slc WINDOW w AS (PARTITION BY page_id ORDER BY block_no))
+""")
+    part(prefix + "small", f"""
+SELECT * REPLACE (CASE WHEN tag IN ('p','h3') AND average_height IS NOT NULL AND len(el) > 0
+   AND len(list_filter(el, lambda w: w.height < average_height * 92e-2))/len(el)
+       >= CASE WHEN tag = 'h3' OR starts_with(ltrim(text), '*') THEN 61e-2 * 7e-1 ELSE 61e-2 END THEN 'small' ELSE tag END AS tag)
+FROM {prefix}h3
+""")
+
+
+_finish("t_", "t_hc")
+_finish("xt_", "xt_hc")
+FRAGMENT = """CASE WHEN trim(text) <> '' THEN CASE WHEN tag = 'small' THEN '<p' || CASE WHEN centered THEN ' style="text-align: center;"' ELSE '' END
+  || '><small>' || trim(text) || '</small></p>' ELSE '<' || tag || CASE WHEN centered THEN ' style="text-align: center;"' ELSE '' END
+  || '>' || trim(text) || '</' || tag || '>' END END"""
+part("ill_pairs", """
+SELECT a.page_id, a.seq AS sa, b.seq AS sb, CASE WHEN greatest(1, a.w*a.h) <= greatest(1, b.w*b.h) THEN a.seq ELSE b.seq END AS loser
+FROM fx_illustrations a JOIN fx_illustrations b ON a.page_id = b.page_id AND a.seq < b.seq
+WHERE greatest(0, least(a.x+a.w, b.x+b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y+a.h, b.y+b.h) - greatest(a.y, b.y)) > 0
+  AND greatest(0, least(a.x+a.w, b.x+b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y+a.h, b.y+b.h) - greatest(a.y, b.y))
+      / least(greatest(1, a.w*a.h), greatest(1, b.w*b.h)) >= 95e-2
+""")
+part("ill_kept", """
+SELECT i.* FROM fx_illustrations i ANTI JOIN (SELECT DISTINCT page_id, loser AS seq FROM ill_pairs) d USING (page_id, seq)
+""")
+part("ill_html", """
+SELECT page_id, seq, x, y, '<note class="illustration" style="display:block;font-size:0.82em;color:#1c9b4a;font-weight:bold;" data-uuid="'
+  || page_id || '" data-bbox="' || box || '" data-page-width="1400" data-page-height="4000">Ilustrace: bbox=' || box || ' page=1400x4000</note>' AS html
+FROM (SELECT *, CAST(x AS BIGINT) || ',' || CAST(y AS BIGINT) || ',' || CAST(w AS BIGINT) || ',' || CAST(h AS BIGINT) AS box FROM ill_kept)
+""")
+part("ph_items", f"""
+SELECT page_id, top, left_pos, 0 AS kind, block_no AS seq, {FRAGMENT} AS html FROM xt_small
+UNION ALL SELECT page_id, y, x, 1, seq, html FROM ill_html
+""")
+part("ph_body", "SELECT page_id, string_agg(html, '' ORDER BY top, left_pos, kind, seq) AS body FROM ph_items WHERE html IS NOT NULL GROUP BY 1")
+part("ph_tail", """
+SELECT page_id, string_agg('<note style="display:block;font-size:0.82em;color:#1e5aa8;font-weight:bold;">'
+  || replace(replace(replace(text,'&','&amp;'),'<','&lt;'),'>','&gt;') || '</note>', '<br>' ORDER BY vpos, note_seq) AS tail FROM pn_notes GROUP BY 1
+""")
+part("page_htmls", """
+SELECT page_id, coalesce(body,'') || CASE WHEN body IS NOT NULL AND tail IS NOT NULL THEN '<br>' ELSE '' END || coalesce(tail,'') AS html
+FROM ph_body FULL JOIN ph_tail USING (page_id)
+""")
