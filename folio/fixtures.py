@@ -121,13 +121,13 @@ def text_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def number_lines(spark: SparkSession, sf: str) -> DataFrame:
+def number_lines(page_list: DataFrame) -> DataFrame:
     """Short page-number lines, in the shape of ``text_lines``."""
     k0 = """CASE (page_index + 1) % 10 WHEN 4 THEN NULL WHEN 6 THEN cast(page_index + 900 as string)
             WHEN 7 THEN 'x~y' ELSE page_number END"""
     k1 = "CASE WHEN (page_index + 1) % 10 = 8 THEN '12 *' WHEN (page_index + 1) % 10 = 9 THEN '3 * ab' END"
     return (
-        pages(spark, sf)
+        page_list
         .selectExpr("page_id", "book_id", f"posexplode(array({k0}, {k1})) AS (k, txt)")
         .filter("txt IS NOT NULL")
         .selectExpr("page_id", "book_id", "cast(k as bigint) AS k", "txt")
@@ -153,9 +153,10 @@ def number_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def lines(spark: SparkSession, sf: str) -> DataFrame:
+def lines(spark: SparkSession, sf: str, page_list: DataFrame | None = None) -> DataFrame:
     """All lines of all pages: text lines and page-number lines."""
-    return text_lines(spark, sf).unionByName(number_lines(spark, sf))
+    page_list = pages(spark, sf) if page_list is None else page_list
+    return text_lines(spark, sf).unionByName(spread(number_lines(page_list)))
 
 
 def tokens(lines_df: DataFrame) -> DataFrame:
@@ -263,3 +264,66 @@ def job_events(spark: SparkSession, sf: str) -> DataFrame:
     return ranked.join(totals, "job_id").selectExpr(
         "job_id", "ts", "rank + 1 AS processed", "n + job_id % 3 AS total", "message"
     )
+
+
+def page_xml(spark: SparkSession, sf: str) -> DataFrame:
+    """The text lines again as layout XML, one document per page; every third block is nested."""
+    from folio.functions.text import escape
+
+    esc = escape
+    attr = lambda name, c: F.concat(F.lit(f' {name}="'), F.coalesce(c.cast("string"), F.lit("")), F.lit('"'))
+    optional = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f' {name}="'), esc(c), F.lit('"'))).otherwise(F.lit(""))
+    word = lambda t: F.concat(
+        F.lit("<String"), optional("CONTENT", t["content"]), optional("SUBS_CONTENT", t["subs_content"]),
+        optional("SUBS_TYPE", t["subs_type"]), optional("STYLE", t["style"]), attr("HPOS", t["hpos"]), attr("VPOS", t["vpos"]),
+        attr("WIDTH", t["width"]), attr("HEIGHT", t["height"]), F.lit("/>"),
+    )
+    line = F.concat(
+        F.lit("<TextLine"), attr("HPOS", F.col("hpos")), attr("VPOS", F.col("vpos")), attr("WIDTH", F.col("width")),
+        attr("HEIGHT", F.col("height")), F.lit(">"), F.array_join(F.transform("tokens", word), "<SP/>"), F.lit("</TextLine>"),
+    )
+    blocks = (
+        text_lines(spark, sf).withColumn("line", line)
+        .groupBy("page_id", "block_seq")
+        .agg(F.array_sort(F.collect_list(F.struct("line_seq", "line"))).alias("ls"), F.first("block_style_refs").alias("refs"))
+    )
+    one = F.concat(
+        F.lit('<TextBlock ID="blk_'), F.col("block_seq").cast("string"), F.lit('" STYLEREFS="'), F.col("refs"), F.lit('">'),
+        F.array_join(F.transform("ls", lambda x: x.line), ""), F.lit("</TextBlock>"),
+    )
+    nested = F.when(F.col("block_seq") % 3 == 2, F.concat(F.lit("<ComposedBlock>"), one, F.lit("</ComposedBlock>"))).otherwise(one)
+    pages_ = blocks.withColumn("b", nested).groupBy("page_id").agg(
+        F.array_sort(F.collect_list(F.struct("block_seq", "b"))).alias("bs"))
+    fonts = "".join(
+        f'<TextStyle ID="FONT_{s}" FONTSIZE="{s}" FONTFAMILY="{"Fraktur" if s > 11 else "Times"}"'
+        + (' FONTSTYLE="italics"' if s == 14 else "") + (' FONTWEIGHT="bold"' if s == 24 else "") + "/>"
+        for s in (24, 14, 11, 8)
+    )
+    pics = illustrations(spark, sf).groupBy("page_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("seq", "x", "y", "w", "h"))),
+        lambda i: F.concat(F.lit("<Illustration"), attr("HPOS", i["x"]), attr("VPOS", i["y"]), attr("WIDTH", i["w"]), attr("HEIGHT", i["h"]), F.lit("/>")),
+    ), "").alias("pics"))
+    version = F.when(F.col("page_id") % 2 == 0, "2").otherwise("3")
+    return pages_.join(pics, "page_id", "left").select(
+        "page_id",
+        F.concat(
+            F.lit('<alto xmlns="http://www.loc.gov/standards/alto/ns-v'), version, F.lit(f'#"><Styles>{fonts}</Styles><Layout>'),
+            F.lit(f'<Page WIDTH="{PAGE_W}" HEIGHT="{PAGE_H}"><PrintSpace WIDTH="{PAGE_W - 200}" HEIGHT="{PAGE_H - 200}">'),
+            F.array_join(F.transform("bs", lambda x: x.b), ""), F.coalesce("pics", F.lit("")),
+            F.lit("</PrintSpace></Page></Layout></alto>"),
+        ).alias("xml"),
+    )
+
+
+def articles(spark: SparkSession, sf: str) -> DataFrame:
+    """Main part of the given web pages."""
+    return spread(
+        table(spark, sf, "pages").select("page_id", F.regexp_extract("html", r"(?s)<article>(.*)</article>", 1).alias("html"))
+    ).filter("html <> ''")
+
+
+def snippets(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks of the pages as export snippets, placed in their books."""
+    return blocks(spark, sf).select("page_id", "ord", F.col("type").alias("tag"), "text").join(
+        pages(spark, sf).select("page_id", "book_id", "page_index"), "page_id"
+    )

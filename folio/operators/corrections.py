@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import markup as M
 from folio.functions import text as T
+from folio.session import materialise
 
 # Defaults and limits of agent settings.
 DEFAULT_TEMPERATURE, DEFAULT_TOP_P, DEFAULT_EFFORT = 0.2, 1.0, "medium"
@@ -20,35 +21,28 @@ def apply_changes(blocks: DataFrame, changes: DataFrame) -> DataFrame:
     are; unknown ids are added as paragraphs at the end; a page with an unusable id keeps its input
     and gets ``error``.
     """
+    page = Window.partitionBy("page_id")
     usable = F.coalesce(F.trim("block_id") != "", F.lit(False))
-    per_page = changes.groupBy("page_id").agg(F.max(~usable).alias("bad"))
-    good = changes.join(per_page.filter("bad"), "page_id", "left_anti").filter(usable)
     blank = F.trim("text") == ""
-    per_id = good.groupBy("page_id", "block_id").agg(
-        F.max_by(F.when(~blank, F.col("text")), F.when(~blank, F.col("ord"))).alias("new_text"),
-        F.max(blank).alias("removed"),
-        F.min("ord").alias("first_ord"),
+    per_id = changes.withColumn("_bad", F.max(~usable).over(page)).groupBy("page_id", "block_id").agg(
+        F.max("_bad").alias("_bad"),
+        F.max_by(F.when(~blank, F.col("text")), F.when(~blank, F.col("ord"))).alias("_new"),
+        F.max(blank).alias("_blank"),
+        F.min("ord").alias("_first"),
     )
-    known = blocks.join(per_id, ["page_id", "block_id"], "full_outer")
+    known = blocks.join(per_id, ["page_id", "block_id"], "full_outer").withColumn(
+        "_bad", F.coalesce(F.max("_bad").over(page), F.lit(False)))
     fresh = F.col("ord").isNull()
-    fixed = F.col("type") == "note"
-    tail = Window.partitionBy("page_id")
-    merged = (
-        known.withColumn("_last", F.max("ord").over(tail))
-        .withColumn("type", F.when(fresh, "p").otherwise(F.col("type")))
-        .withColumn("_gone", F.coalesce(F.col("removed"), F.lit(False)) & ~F.coalesce(fixed, F.lit(False)))
-        .filter(~F.col("_gone"))
-        .withColumn("text", F.when(~F.coalesce(fixed, F.lit(False)) & F.col("new_text").isNotNull(), F.col("new_text"))
-                    .otherwise(F.coalesce("text", F.lit(""))))
-        .withColumn("_key", F.when(fresh, F.struct(F.lit(1).alias("a"), F.col("first_ord").alias("b")))
-                    .otherwise(F.struct(F.lit(0).alias("a"), F.col("ord").alias("b"))))
-    )
-    order = Window.partitionBy("page_id").orderBy("_key")
-    return merged.join(per_page, "page_id", "left").select(
+    open_ = ~F.col("_bad") & (fresh | (F.col("type") != "note"))
+    kept = known.filter(~(fresh & F.col("_bad"))).filter(~(open_ & F.coalesce(F.col("_blank"), F.lit(False))))
+    order = Window.partitionBy("page_id").orderBy(fresh, F.coalesce("ord", "_first"))
+    return kept.select(
         "page_id",
         (F.row_number().over(order) - 1).cast("bigint").alias("ord"),
-        "block_id", "type", "text",
-        F.when(F.coalesce("bad", F.lit(False)), F.lit("invalid id")).alias("error"),
+        "block_id",
+        F.coalesce("type", F.lit("p")).alias("type"),
+        F.when(open_ & F.col("_new").isNotNull(), F.col("_new")).otherwise(F.coalesce("text", F.lit(""))).alias("text"),
+        F.when(F.col("_bad"), F.lit("invalid id")).alias("error"),
     )
 
 
@@ -115,7 +109,7 @@ def results(responses: DataFrame, blocks: DataFrame) -> DataFrame:
     text becomes one paragraph, and a missing answer keeps the input.
     """
     body = M.strip_fences(M.response_extract(F.col("response"))["text"])
-    read = responses.select("page_id", body.alias("body")).select(
+    read = materialise(responses.select("page_id", body.alias("body")).select(
         "page_id", "body",
         F.from_json(F.get_json_object("body", "$.changes"), "array<struct<id:string,text:string>>").alias("c"),
         F.from_json(F.get_json_object("body", "$.blocks"), "array<struct<id:string,type:string,text:string>>").alias("b"),
@@ -123,7 +117,7 @@ def results(responses: DataFrame, blocks: DataFrame) -> DataFrame:
     ).withColumn(
         "route", F.when(F.col("body") == "", "keep").when(F.col("ok"), "changes").when(F.col("b").isNotNull(), "blocks")
         .when(F.col("c").isNotNull(), "keep").otherwise("text"),
-    )
+    ))
     change_rows = read.filter("route = 'changes'").select("page_id", F.posexplode("c").alias("ord", "x")).select(
         "page_id", F.col("ord").cast("bigint").alias("ord"), F.col("x.id").alias("block_id"), "x.text")
     replaced = read.filter("route IN ('blocks', 'text')").select("page_id")

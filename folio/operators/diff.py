@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import markup as M
 from folio.functions import text as T
+from folio.session import materialise
 
 # Class names of marked blocks.
 BLOCK_CLASS = {
@@ -110,7 +111,7 @@ def annotate(html: Column, change: Column) -> Column:
     head = F.regexp_extract(html, r"(?is)^(\s*(?:<br[^>]*>)*)", 1)
     rest = F.substring(html, F.length(head) + 1, F.length(html))
     tag = F.regexp_extract(rest, r"^<[a-zA-Z0-9:-]+[^>]*>", 0)
-    inner = F.expr("left(_tag, length(_tag) - 1)") if False else F.left(tag, F.length(tag) - 1)
+    inner = F.left(tag, F.length(tag) - 1)
     with_class = F.concat(
         F.regexp_extract(tag, '(?s)^(.*?class=")', 1), F.regexp_extract(tag, '(?s)class="([^"]*)"', 1), F.lit(" "), name, F.lit('"'),
         F.regexp_extract(tag, '(?s)class="[^"]*"(.*)$', 1),
@@ -166,7 +167,7 @@ def align_blocks(left: DataFrame, right: DataFrame, strict: float = 0.6, loose:
                     T.is_noise("html").alias(f"{name}_noise"))
         )
 
-    both = side(left, "left").join(side(right, "right"), ["page_id", "key", "occ"], "full_outer")
+    both = materialise(side(left, "left").join(side(right, "right"), ["page_id", "key", "occ"], "full_outer").drop("key", "occ"))
     equal = both.filter("left_ord IS NOT NULL AND right_ord IS NOT NULL").select(
         "page_id", F.col("left_ord"), F.col("right_ord"), F.lit(1).alias("left_n"), F.lit(1).alias("right_n"),
         F.lit(1.0).alias("similarity"), F.lit("equal").alias("change"),
@@ -204,7 +205,7 @@ def align_blocks(left: DataFrame, right: DataFrame, strict: float = 0.6, loose:
     rank = [F.desc("similarity"), F.col("left_n") + F.col("right_n"), F.abs(F.col("left_ord") - F.col("right_ord"))]
     by_left = Window.partitionBy("page_id", "left_ord").orderBy(*rank, "right_ord")
     by_right = Window.partitionBy("page_id", "right_ord").orderBy(*rank, "left_ord")
-    best = (
+    best = materialise(
         scored.withColumn("_a", F.row_number().over(by_left)).withColumn("_b", F.row_number().over(by_right))
         .filter("_a = 1 AND _b = 1")
         .select("page_id", "left_ord", "right_ord", "left_n", "right_n", "similarity", F.lit("changed").alias("change"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from folio.functions import markup as M
 from folio.functions import text as T
 from folio.operators.ordering import with_running
+from folio.session import materialise
 
 TEXT_TAGS = ["h1", "h2", "h3", "p", "blockquote", "small", "div", "note"]
 HEADINGS = ["h1", "h2", "h3"]
@@ -66,32 +67,46 @@ def to_html(snippets: DataFrame, pages: DataFrame, titles: DataFrame) -> DataFra
 
 
 def chapter_ids(snippets: DataFrame) -> DataFrame:
-    """Add the chapter number of every snippet: headings start one, text before the first is its own."""
+    """Add number and title of the chapter to every snippet.
+
+    Headings start a chapter; text before the first heading of a book is a chapter of its own.  What
+    a page carries on from earlier pages comes from one narrow row per page.
+    """
+    keys = ["book_id", "page_index"]
     heading = F.col("tag").isin(*HEADINGS)
-    per_page = snippets.groupBy("book_id", "page_index").agg(F.count(F.when(heading, 1)).alias("h"))
-    carry = with_running(per_page, "book_id", "page_index", F.col("h"), "sum", "before", inclusive=False)
-    inside = Window.partitionBy("book_id", "page_index").orderBy("ord")
-    counted = (
-        snippets.withColumn("_in", F.count(F.when(heading, 1)).over(inside))
-        .join(carry.select("book_id", "page_index", "before"), ["book_id", "page_index"])
-        .withColumn("_run", F.col("before") + F.col("_in"))
+    per_page = materialise(snippets.groupBy(*keys).agg(
+        F.count(F.when(heading, 1)).alias("heads"),
+        F.min_by(heading, "ord").alias("opens"),
+        F.max_by(F.when(heading, F.col("text")), F.when(heading, F.col("ord"))).alias("last_head"),
+    ))
+    mark = F.when(F.col("heads") > 0, F.struct("page_index", "last_head"))
+    carried = with_running(per_page, "book_id", "page_index", F.col("heads"), "sum", "before", inclusive=False)
+    titled = with_running(per_page, "book_id", "page_index", mark, "max", "open_head", inclusive=False)
+    preface = per_page.groupBy("book_id").agg(F.when(F.min_by("opens", "page_index"), 0).otherwise(1).alias("preface"))
+    carry = (
+        carried.select(*keys, "before").join(titled.select(*keys, F.col("open_head.last_head").alias("open_title")), keys)
+        .join(preface, "book_id")
     )
-    preface = counted.groupBy("book_id").agg(F.when(F.min("_run") == 0, 1).otherwise(0).alias("_preface"))
-    return counted.join(preface, "book_id").withColumn("chapter_no", F.col("_run") + F.col("_preface")).drop(
-        "_in", "_run", "before", "_preface"
+    inside = Window.partitionBy(*keys).orderBy("ord")
+    return (
+        snippets.withColumn("_in", F.count(F.when(heading, 1)).over(inside))
+        .withColumn("_head", F.last(F.when(heading, F.col("text")), ignorenulls=True).over(inside))
+        .join(carry, keys)
+        .withColumn("chapter_no", F.col("before") + F.col("_in") + F.col("preface"))
+        .withColumn("title", F.coalesce("_head", "open_title"))
+        .drop("_in", "_head", "before", "open_title", "preface")
     )
 
 
 def chapters(snippets: DataFrame) -> DataFrame:
     """Chapters in pieces, one row per chapter and page, each with the chapter's title and file."""
     numbered = chapter_ids(snippets.filter(F.col("text") != ""))
-    titles = numbered.filter(F.col("tag").isin(*HEADINGS)).groupBy("book_id", "chapter_no").agg(F.first("text").alias("title"))
     pieces = (
         numbered.withColumn("html", snippet_html(F.col("tag"), F.col("text")))
         .groupBy("book_id", "chapter_no", "page_index")
-        .agg(F.array_sort(F.collect_list(F.struct("ord", "html"))).alias("ps"))
+        .agg(F.array_sort(F.collect_list(F.struct("ord", "html"))).alias("ps"), F.first("title").alias("title"))
     )
-    return pieces.join(titles, ["book_id", "chapter_no"], "left").select(
+    return pieces.select(
         "book_id", "chapter_no", "page_index",
         F.coalesce(F.when(F.col("title") != "", F.col("title")), F.format_string(CHAPTER_LABEL, F.col("chapter_no"))).alias("title"),
         F.format_string(CHAPTER_FILE, F.col("chapter_no")).alias("file_name"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folio.functions import markup as M
 from folio.functions import text as T
 from folio.operators.ordering import first_by, with_running
+from folio.session import materialise
 
 # Fixed values.
 BOOK_MODELS = ["monographunit", "monograph", "periodicalitem"]
@@ -48,9 +49,10 @@ def collect_pages(objects: DataFrame, roots: DataFrame, max_depth: int = MAX_DEP
             F.concat("path", F.array("kid_ord")).alias("path"), "seen",
         )
         found.append(below.filter("is_page").select("root_pid", "kid", "parent_path", "ord", "path"))
-        level = below.filter(~F.col("is_page") & ~F.array_contains("seen", F.col("kid"))).select(
+        # inner nodes are few next to pages; kept as a table so that deeper levels do not walk them again
+        level = materialise(below.filter(~F.col("is_page") & ~F.array_contains("seen", F.col("kid"))).select(
             "root_pid", F.col("kid").alias("node"), "path", F.concat("seen", F.array("kid")).alias("seen")
-        )
+        ))
         inner.append(level.select("root_pid", "node", "path"))
     pages = reduce(DataFrame.unionByName, found)
     visits = reduce(DataFrame.unionByName, inner)
@@ -63,7 +65,7 @@ def collect_pages(objects: DataFrame, roots: DataFrame, max_depth: int = MAX_DEP
     above = pages.select("root_pid", "kid", "path", F.explode(F.transform(
         F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", 1, n))).alias("again"))
     repeated = above.join(again, ["root_pid", "again"], "left_semi").select("root_pid", "path").distinct()
-    pages = pages.join(repeated, ["root_pid", "path"], "left_anti")
+    pages = materialise(pages.join(repeated, ["root_pid", "path"], "left_anti").select("root_pid", "kid", "path"))
 
     # pages under every node of the tree, counted once per ancestor path
     spots = pages.select("root_pid", F.explode(F.transform(
@@ -177,17 +179,15 @@ def joined_pairs(pairs: DataFrame) -> DataFrame:
     """Pairs that are really merged.
 
     A page whose only snippet was taken by the page before cannot take from the next.  Along a run
-    of such pages the merges alternate, so the distance to the start of the run decides.
+    of such pages the merges alternate, so the distance to the start of the run decides.  Only the
+    flags take part; the texts join back by page.
     """
-    wants = pairs.withColumn("e", F.col("decision").isin("join", "merge"))
-    prev = wants.select("book_id", (F.col("page_index") + 1).alias("page_index"), F.col("e").alias("prev_e"))
-    chained = wants.join(prev, ["book_id", "page_index"], "left").withColumn(
-        "starts", ~((F.col("left_bodies") == 1) & F.col("e") & F.coalesce("prev_e", F.lit(False)))
-    )
-    run = with_running(
-        chained, "book_id", "page_index", F.when(F.col("starts"), F.col("page_index")), "max", "run_start"
-    )
-    return run.filter(F.col("e") & ((F.col("page_index") - F.col("run_start")) % 2 == 0)).drop("prev_e", "starts", "run_start", "e")
+    keys = ["book_id", "page_index"]
+    wants = pairs.filter(F.col("decision").isin("join", "merge")).select(*keys, (F.col("left_bodies") == 1).alias("single"))
+    prev = wants.select("book_id", (F.col("page_index") + 1).alias("page_index"), F.lit(True).alias("prev"))
+    flagged = wants.join(prev, keys, "left").withColumn("starts", ~(F.col("single") & F.col("prev").isNotNull()))
+    run = with_running(flagged, "book_id", "page_index", F.when(F.col("starts"), F.col("page_index")), "max", "run_start")
+    return pairs.join(run.filter((F.col("page_index") - F.col("run_start")) % 2 == 0).select(*keys), keys)
 
 
 def join_apply(snippets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def join_apply(snippets: DataFrame, pairs: DataFrame) -> DataFrame:
     The merged text replaces the last snippet of the left page (even a note) and the right page
     loses the one it gave; a page left with nothing keeps one empty paragraph.
     """
-    merged = joined_pairs(pairs)
+    merged = joined_pairs(materialise(pairs))
     give = merged.select(
         "book_id", "page_index", F.col("last_ord").alias("ord"),
         F.struct(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folio import fixtures as fx
 from folio.operators import headings, illustrations, layout, page_numbers, style
 from folio.plans import formatter
+from folio.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -187,14 +188,14 @@ def counter_confidence(spark, sf):
 
 
 def _context(spark, sf):
-    pages = fx.pages(spark, sf)
+    pages = materialise(fx.pages(spark, sf))
     return formatter.page_context(pages, style.book_style(fx.text_lines(spark, sf), pages), fx.styles(spark, sf))
 
 
 @register
 def page_number_notes(spark, sf):
-    pages = fx.pages(spark, sf)
-    lines = fx.lines(spark, sf).join(pages.select("page_id", "page_number"), "page_id", "left")
+    pages = materialise(fx.pages(spark, sf))
+    lines = fx.lines(spark, sf, pages).join(pages.select("page_id", "page_number"), "page_id", "left")
     return page_numbers.page_number_notes(page_numbers.flag_lines(lines, page_w()), pages, page_h())
 
 
@@ -249,6 +250,7 @@ def illustration_dedupe(spark, sf):
 
 @register
 def page_html(spark, sf):
+    pages = materialise(fx.pages(spark, sf))
     return formatter.page_html(
-        fx.lines(spark, sf), fx.pages(spark, sf), fx.styles(spark, sf), fx.illustrations(spark, sf), page_w(), page_h()
+        fx.lines(spark, sf, pages), pages, fx.styles(spark, sf), fx.illustrations(spark, sf), page_w(), page_h()
     )

@@ -7,8 +7,9 @@ caller has set except the time zone, which the results depend on.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", partitions: int = 8, app: str = "folio") -> SparkSession:
@@ -30,11 +31,22 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "folio") ->
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names; fall back to a scratch one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and spark.sparkContext.getCheckpointDir() is None:
+def shared_dir(spark: SparkSession) -> str:
+    """Shared folder for intermediate tables: the one the cluster names, a scratch one only where none is set."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
         named = tempfile.mkdtemp(prefix="folio-ckpt-")
-    if named is not None and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
-    return spark.sparkContext.getCheckpointDir()
+    return named
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a step's result as a table in the shared folder and read it back.
+
+    Used where a step is read several times, so that its inputs are not computed once per reader. The
+    table outlives lost executors, and its real size steers the joins that follow.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/folio/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

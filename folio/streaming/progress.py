@@ -23,7 +23,7 @@ def job_progress(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
         F.max_by(state, F.struct("ts", "processed")).alias("s"),
     )
     done, total = F.col("s.processed"), F.col("s.total")
-    elapsed = F.greatest((F.unix_micros("updated") - F.unix_micros("started")) / 1_000_000, F.lit(0.001))
+    elapsed = F.greatest((F.unix_micros(F.col("updated").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))) / 1_000_000, F.lit(0.001))
     percent = F.when(total > 0, F.least(F.greatest(done * 100.0 / F.nullif(total, F.lit(0)), F.lit(0.0)), F.lit(100.0))).otherwise(F.lit(0.0))
     eta = F.when((done > 0) & (done < total), (total - done) * (elapsed / F.nullif(done, F.lit(0))))
     return last.select(
