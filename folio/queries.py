@@ -20,6 +20,15 @@ def register(fn):
     return fn
 
 
+def register_as(name: str):
+    """Register under a name other than the function's."""
+    def add(fn):
+        QUERIES[name] = fn
+        return fn
+
+    return add
+
+
 def page_w():
     return F.lit(fx.PAGE_W)
 

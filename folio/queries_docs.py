@@ -9,7 +9,7 @@ from folio.functions import library
 from folio.functions import markup as M
 from folio.functions import text as T
 from folio.operators import corrections, diff, export, html, illustrations, pages, search
-from folio.queries import page_h, page_w, register
+from folio.queries import page_h, page_w, register, register_as
 from folio.sources import page_xml, records
 from folio.streaming import progress
 
@@ -302,7 +302,7 @@ def locate_page(spark, sf):
 def pick_version(spark, sf):
     p = _docs(spark, sf).selectExpr("doc_id AS page_id", "CASE WHEN doc_id % 13 <> 0 THEN lower(text) END AS computed")
     v = _docs(spark, sf).filter("doc_id % 3 <> 0").selectExpr(
-        "doc_id AS page_id", "CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE upper(text) END AS llm", "text AS python", "text AS ocr")
+        "doc_id AS page_id", "CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE 'Fixed: ' || text END AS llm", "text AS python", "text AS ocr")
     return pages.pick_version(p, v, "llm", "html")
 
 
@@ -605,7 +605,7 @@ def styles(spark, sf):
     return page_xml.styles(_parsed(spark, sf))
 
 
-@register
+@register_as("illustrations")
 def illustrations_scan(spark, sf):
     return page_xml.illustrations(_parsed(spark, sf))
 

@@ -15,11 +15,12 @@ def part(name: str, body: str) -> None:
     PARTS[name] = body.strip()
 
 
-def _needed(sql: str) -> set[str]:
-    found = {n for n in PARTS if re.search(rf"\b{n}\b", sql)}
-    out: set[str] = set()
-    for n in found:
-        out |= {n} | _needed(PARTS[n])
+def _needed(sql: str, out: set[str] | None = None) -> set[str]:
+    out = set() if out is None else out
+    for n in PARTS:
+        if n not in out and re.search(rf"\b{n}\b", sql):
+            out.add(n)
+            _needed(PARTS[n], out)
     return out
 
 
@@ -28,7 +29,7 @@ def query(select: str) -> str:
     if not used:
         return select.strip()
     ctes = ",\n".join(f"{n} AS ({PARTS[n]})" for n in PARTS if n in used)
-    return f"WITH {ctes}\n{select.strip()}"
+    return f"WITH RECURSIVE {ctes}\n{select.strip()}"
 
 
 def resolve(p: str = "") -> str:
