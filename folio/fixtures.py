@@ -53,14 +53,19 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _word_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per line with its 9 words; pages are spread by id before they are unfolded."""
+def _word_lines(spark: SparkSession, sf: str, only: DataFrame | None = None) -> DataFrame:
+    """One row per line with its 9 words; pages are spread by id before they are unfolded.
+
+    ``only`` limits the pages (column page_id) before anything is done to their text.
+    """
     squeezed = F.trim(F.regexp_replace("text", r"[ \t\n\r]+", " "))
     docs = (
         table(spark, sf, "documents")
         .select(F.col("doc_id").alias("page_id"), F.col("source").alias("book_id"), squeezed.alias("text"))
         .filter("text <> ''")
     )
+    if only is not None:
+        docs = docs.join(only.select("page_id"), "page_id", "left_semi")
     docs = spread(docs).select("page_id", "book_id", F.split("text", " ").alias("words"))
     line = (
         "transform(sequence(0, cast(floor((size(words) - 1) / 9) as int)), "
@@ -76,9 +81,9 @@ def _word_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def text_lines(spark: SparkSession, sf: str) -> DataFrame:
+def text_lines(spark: SparkSession, sf: str, only: DataFrame | None = None) -> DataFrame:
     """Lines with nested words: the shape of one parsed layout line."""
-    base = _word_lines(spark, sf).selectExpr(
+    base = _word_lines(spark, sf, only).selectExpr(
         "*",
         "line_no % 7 AS lib",
         "CASE (page_id * 31 + block_no * 17) % 12 WHEN 0 THEN 66 WHEN 1 THEN 34 WHEN 2 THEN 22 ELSE 30 END AS base_h",
@@ -153,10 +158,14 @@ def number_lines(page_list: DataFrame) -> DataFrame:
     )
 
 
-def lines(spark: SparkSession, sf: str, page_list: DataFrame | None = None) -> DataFrame:
-    """All lines of all pages: text lines and page-number lines."""
+def lines(
+    spark: SparkSession, sf: str, page_list: DataFrame | None = None, only: DataFrame | None = None
+) -> DataFrame:
+    """All lines of all pages (or of those in ``only``): text lines and page-number lines."""
     page_list = pages(spark, sf) if page_list is None else page_list
-    return text_lines(spark, sf).unionByName(spread(number_lines(page_list)))
+    if only is not None:
+        page_list = page_list.join(only.select("page_id"), "page_id", "left_semi")
+    return text_lines(spark, sf, only).unionByName(spread(number_lines(page_list)))
 
 
 def tokens(lines_df: DataFrame) -> DataFrame:

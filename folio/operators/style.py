@@ -71,10 +71,12 @@ def page_mode_height(lines: DataFrame, min_words: int = MIN_PAGE_WORDS) -> DataF
     )
 
 
-def book_style(lines: DataFrame, pages: DataFrame) -> DataFrame:
-    """Typical word height of every book from its sampled pages, with a confidence."""
-    sample = sample_pages(pages).select("book_id", "page_id", "page_index")
-    sampled_lines = lines.join(sample.select("page_id"), "page_id", "left_semi")
+def book_style(sampled_lines: DataFrame, sample: DataFrame, pages: DataFrame) -> DataFrame:
+    """Typical word height of every book from its sampled pages, with a confidence.
+
+    ``sampled_lines`` are the lines of the pages in ``sample`` (see :func:`sample_pages`) only: the
+    choice is made on the page list, before any page is unfolded.
+    """
     modes = page_mode_height(sampled_lines)
     counts = sampled_lines.groupBy("page_id").agg(F.count("*").alias("lines"))
     used = sample.join(modes, "page_id").join(counts, "page_id")

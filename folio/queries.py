@@ -146,9 +146,14 @@ def page_mode_height(spark, sf):
     return style.page_mode_height(fx.text_lines(spark, sf))
 
 
+def _style(spark, sf, pages):
+    sample = style.sample_pages(pages).select("book_id", "page_id", "page_index")
+    return style.book_style(fx.text_lines(spark, sf, sample), sample, pages)
+
+
 @register
 def book_style(spark, sf):
-    return style.book_style(fx.text_lines(spark, sf), fx.pages(spark, sf))
+    return _style(spark, sf, materialise(fx.pages(spark, sf)))
 
 
 @register
@@ -198,7 +203,7 @@ def counter_confidence(spark, sf):
 
 def _context(spark, sf):
     pages = materialise(fx.pages(spark, sf))
-    return formatter.page_context(pages, style.book_style(fx.text_lines(spark, sf), pages), fx.styles(spark, sf))
+    return formatter.page_context(pages, _style(spark, sf, pages), fx.styles(spark, sf))
 
 
 @register
@@ -261,5 +266,5 @@ def illustration_dedupe(spark, sf):
 def page_html(spark, sf):
     pages = materialise(fx.pages(spark, sf))
     return formatter.page_html(
-        fx.lines(spark, sf, pages), pages, fx.styles(spark, sf), fx.illustrations(spark, sf), page_w(), page_h()
+        lambda only: fx.lines(spark, sf, pages, only), pages, fx.styles(spark, sf), fx.illustrations(spark, sf), page_w(), page_h()
     )
