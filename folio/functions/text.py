@@ -82,7 +82,7 @@ def is_text_page(page_type: Column | str, title: Column | str) -> Column:
 
 
 def nonspace_len(c: Column | str) -> Column:
-    return F.length(F.regexp_replace(_c(c), r"\s", ""))
+    return F.length(F.translate(_c(c), " \t\n\r\f\u000b", ""))
 
 
 def has_alnum(c: Column | str) -> Column:

@@ -51,43 +51,38 @@ def line_font(lines: DataFrame, styles: DataFrame) -> DataFrame:
 
 
 def read_words(lines: DataFrame) -> DataFrame:
-    """Add what the rules read off a line's words: text, measured words, left edge, boldness."""
-    value = lambda t: T.hyp_resolve(t.content, t.subs_content, t.subs_type)
-    seen = lambda t: F.when(  # noqa: E731 - the text whose place counts, also for a second half
-        t.subs_type == "HypPart2",
-        F.coalesce(F.when(t.subs_content != "", t.subs_content), t.content, F.lit("")),
-    ).otherwise(value(t))
-    resolved = F.transform(
-        "tokens",
-        lambda t: F.struct(
-            value(t).alias("tok"),
-            F.trim(seen(t)).alias("seen"),
-            t["hpos"].alias("hpos"),
-            t["height"].alias("height"),
-            F.coalesce(t["style"].contains("bold"), F.lit(False)).alias("bold"),
-        ),
-    )
-    with_values = lines.withColumn("_r", resolved)
-    kept = F.filter("_r", lambda t: t.tok != "")
+    """Add what the rules read off a line's words: text, measured words, left edge, boldness.
+
+    Each word is resolved and measured once here; later rules only look at the results.
+    """
+    value = lambda t: T.hyp_resolve(t["content"], t["subs_content"], t["subs_type"])
+    # the text whose place counts for the left edge: a second half still stands on its line
+    seen = lambda t: F.trim(F.when(
+        t["subs_type"] == "HypPart2",
+        F.coalesce(F.when(t["subs_content"] != "", t["subs_content"]), t["content"], F.lit("")),
+    ).otherwise(value(t)))
+    first = F.transform(F.slice("tokens", 1, SCAN_TOKENS), lambda t: F.struct(seen(t).alias("seen"), t["hpos"].alias("hpos")))
     edge = F.filter(
-        F.slice("_r", 1, SCAN_TOKENS),
-        lambda t: (t.seen != "")
-        & (T.has_alnum(t.seen) | ~((F.length(t.seen) == 1) & F.lit(T.NOISE_LEADING).contains(t.seen))),
+        first,
+        lambda t: (t["seen"] != "")
+        & (T.has_alnum(t["seen"]) | ~((F.length(t["seen"]) == 1) & F.lit(T.NOISE_LEADING).contains(t["seen"]))),
+    )
+    resolved = F.transform("tokens", lambda t: F.struct(value(t).alias("tok"), t["height"].alias("height")))
+    measured = F.transform(
+        F.filter(resolved, lambda w: w["tok"] != ""),
+        lambda w: F.struct(
+            w["tok"].alias("tok"), T.nonspace_len(w["tok"]).alias("len"), w["height"].alias("height"),
+            T.has_alnum(w["tok"]).alias("alnum"),
+        ),
     )
     return (
-        with_values.withColumn("_kept", kept)
-        .withColumn("text", F.trim(F.array_join(F.transform("_kept", lambda t: t.tok), " ")))
-        .withColumn(
-            "words",
-            F.transform(
-                F.filter("_kept", lambda t: t.height.isNotNull()),
-                lambda t: F.struct(t.tok.alias("tok"), T.nonspace_len(t.tok).alias("len"), t.height.alias("height")),
-            ),
-        )
-        .withColumn("chars", F.aggregate("_kept", F.lit(0), lambda a, t: a + T.nonspace_len(t.tok)))
+        lines.withColumn("_kept", measured)
+        .withColumn("text", F.trim(F.array_join("_kept.tok", " ")))
+        .withColumn("chars", F.aggregate("_kept.len", F.lit(0), lambda a, n: a + n))
+        .withColumn("words", F.filter("_kept", lambda w: w["height"].isNotNull()))
         .withColumn("eff_left", F.coalesce(F.get(edge, F.lit(0))["hpos"], F.col("hpos")))
-        .withColumn("bold", F.forall("_r", lambda t: t.bold))
-        .drop("_r", "_kept")
+        .withColumn("bold", F.forall("tokens.style", lambda x: F.coalesce(x.contains("bold"), F.lit(False))))
+        .drop("_kept")
     )
 
 
@@ -284,6 +279,7 @@ def hyphen_merge(numbered: DataFrame) -> DataFrame:
         F.concat(F.expr("left(_last, length(_last) - 1)"), F.col("_next.tok")).alias("tok"),
         T.nonspace_len(F.concat(F.expr("left(_last, length(_last) - 1)"), F.col("_next.tok"))).alias("len"),
         F.greatest(last["height"], F.col("_next.height")).alias("height"),
+        F.lit(True).alias("alnum"),  # the part before the hyphen holds a letter
     )
     kept = F.when(F.col("_taken"), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0)))).otherwise(F.col("words"))
     joined = F.when(
@@ -297,7 +293,7 @@ def hyphen_merge(numbered: DataFrame) -> DataFrame:
         .withColumn("words", joined)
         .withColumn(
             "text",
-            F.when(F.col("_m") | F.col("_taken"), F.trim(F.array_join(F.transform("words", lambda w: w.tok), " ")))
+            F.when(F.col("_m") | F.col("_taken"), F.trim(F.array_join("words.tok", " ")))
             .otherwise(F.col("text")),
         )
         .drop("_last", "_next", "_e", "_one", "_k", "_start", "_m", "_taken", "_w")
@@ -321,8 +317,11 @@ def gather_blocks(merged: DataFrame) -> DataFrame:
             F.first("block_id").alias("source_block_id"),
             F.first("centered").alias("centered"),
             F.first("split_reason").alias("split_reason"),
+            F.min("bold").alias("all_bold"),
+            F.max("font_size").alias("max_font"),
+            F.count("*").alias("line_count"),
         )
-        .withColumn("text", F.trim(F.array_join(F.transform(F.filter("ls", lambda x: x.text != ""), lambda x: x.text), " ")))
+        .withColumn("text", F.trim(F.array_join(F.array_remove("ls.text", ""), " ")))
         .filter("text <> ''")
     )
     order = Window.partitionBy("page_id").orderBy("block_seq", "seg", "sub")
@@ -334,17 +333,17 @@ def gather_blocks(merged: DataFrame) -> DataFrame:
         "source_block_id",
         "text",
         "centered",
-        F.forall("ls", lambda x: x.bold).alias("all_bold"),
-        F.size("ls").cast("bigint").alias("line_count"),
+        "all_bold",
+        "line_count",
         "split_reason",
         first["vpos"].cast("double").alias("top"),
         (first["hpos"] + first["width"] / 2).alias("left"),
         first["bottom"].cast("double").alias("bottom"),
         first["width"].alias("width"),
-        F.array_max(F.transform("ls", lambda x: x.font_size)).alias("max_font"),
-        F.transform("ls", lambda x: x.font_size).alias("fonts"),
-        F.transform("ls", lambda x: F.struct(x.font_size.alias("font"), x.chars.alias("chars"))).alias("font_chars"),
-        F.flatten(F.transform("ls", lambda x: x.words)).alias("words"),
+        "max_font",
+        F.col("ls.font_size").alias("fonts"),
+        F.transform("ls", lambda x: F.struct(x["font_size"].alias("font"), x["chars"].alias("chars"))).alias("font_chars"),
+        F.flatten("ls.words").alias("words"),
     )
 
 

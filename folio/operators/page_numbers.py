@@ -29,23 +29,29 @@ def flag_lines(lines: DataFrame, page_w: Column) -> DataFrame:
     """
     num = T.page_number("page_number")
     value = lambda t: T.hyp_resolve(t.content, t.subs_content, t.subs_type)
-    kept = F.filter("tokens", lambda t: value(t) != "")
-    signs = F.filter("_kept", lambda t: T.has_alnum(value(t)) & t["hpos"].isNotNull())
-    left = F.array_min(F.transform(signs, lambda t: t["hpos"]))
-    right = F.array_max(F.transform(signs, lambda t: t["hpos"] + F.greatest(F.coalesce(t["width"], F.lit(0)), F.lit(0))))
+    limit = F.greatest(page_w * SHORT_SHARE, F.lit(1.0))
+    end = lambda t: t["hpos"] + F.greatest(F.coalesce(t["width"], F.lit(0)), F.lit(0))
+    # most lines are plainly too long: their first and last words alone reach beyond the limit
+    one, last = F.get("tokens", F.lit(0)), F.get("tokens", F.size("tokens") - 1)
+    long_ = T.has_alnum(value(one)) & T.has_alnum(value(last)) & (end(last) - one["hpos"] > limit)
+    short = F.coalesce(F.col("_search") & ~F.coalesce(long_, F.lit(False)), F.lit(False))
+    kept = F.when(short, F.filter(
+        F.transform("tokens", lambda t: F.struct(value(t).alias("tok"), t["hpos"].alias("lo"), end(t).alias("hi"))),
+        lambda t: t["tok"] != ""))
+    signs = F.filter("_kept", lambda t: T.has_alnum(t["tok"]) & t["lo"].isNotNull())
     txt = F.col("_text")
     chars = F.length(F.regexp_replace(txt, r"\s", ""))
     letters = F.length(F.regexp_replace(txt, r"[^\p{L}]", ""))
     wordy = (~F.col("_roman")) & (chars >= LETTER_MIN_CHARS) & (letters >= chars * LETTER_SHARE)
     considered = (
-        F.col("_value").isNotNull() & F.col("_search") & (F.col("_width") > 0)
-        & (F.col("_width") <= F.greatest(page_w * SHORT_SHARE, F.lit(1.0))) & (txt != "") & ~wordy
+        F.col("_kept").isNotNull() & F.col("_value").isNotNull() & (F.col("_width") > 0) & (F.col("_width") <= limit)
+        & (txt != "") & ~wordy
     )
     edge = F.when(F.col("_roman"), F.lit("[^0-9A-Za-z]")).otherwise(F.lit("[^0-9]"))
     matches = F.regexp_like(txt, F.concat(F.lit("(^|"), edge, F.lit(")"), F.col("_value"), F.lit("($|"), edge, F.lit(")")))
     rest = F.concat(F.regexp_extract(txt, AROUND_STARRED, 1), F.regexp_extract(txt, AROUND_STARRED, 2))
     role = (
-        F.when(~considered, F.lit(None).cast("string"))
+        F.when(~F.coalesce(considered, F.lit(False)), F.lit(None).cast("string"))
         .when(matches, "match")
         .when(txt.rlike(STARRED), F.when(rest.rlike("[0-9A-Za-z]"), "starred_mixed").otherwise("starred"))
         .when(txt.rlike(r"^[0-9]{1,4}$"), "bare")
@@ -58,8 +64,10 @@ def flag_lines(lines: DataFrame, page_w: Column) -> DataFrame:
         .withColumn("_search", num["searchable"])
         .withColumn("_roman", F.coalesce(T.has_alpha(num["value"]), F.lit(False)))
         .withColumn("_kept", kept)
-        .withColumn("_text", F.trim(F.array_join(F.transform("_kept", value), " ")))
-        .withColumn("_width", F.when(left.isNull(), F.col("width")).otherwise(F.greatest(right - left, F.lit(0))))
+        .withColumn("_text", F.trim(F.array_join("_kept.tok", " ")))
+        .withColumn("_signs", signs)
+        .withColumn("_width", F.when(F.size("_signs") > 0, F.greatest(F.array_max("_signs.hi") - F.array_min("_signs.lo"), F.lit(0)))
+                    .otherwise(F.col("width")))
         .withColumn("role", role)
         .withColumn("_matches", count("match"))
         .withColumn("_suspects", count("suspect"))
@@ -73,7 +81,7 @@ def flag_lines(lines: DataFrame, page_w: Column) -> DataFrame:
         )
         .withColumn("is_number_line", F.coalesce(F.col("role").isin("match", "starred", "promoted"), F.lit(False)))
         .withColumn("number_text", F.when(F.col("role").isNotNull(), F.col("_text")))
-        .drop("_value", "_search", "_roman", "_kept", "_text", "_width", "_matches", "_suspects", "_secondary")
+        .drop("_value", "_search", "_roman", "_kept", "_signs", "_text", "_width", "_matches", "_suspects", "_secondary")
     )
 
 

@@ -23,6 +23,7 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "folio") ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
