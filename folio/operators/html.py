@@ -27,7 +27,7 @@ def _with_depth(df: DataFrame, html_col: str, counted: Column | None) -> DataFra
     The depth never falls below zero: it is the running sum less its lowest value so far.
     ``counted`` limits the tags that nest.
     """
-    rows = df.select("page_id", F.inline(_units(F.col(html_col))))
+    rows = df.select("page_id", F.inline_outer(_units(F.col(html_col)))).filter("at IS NOT NULL")
     name = M.tag_name(F.col("piece"))
     void = F.col("piece").endswith("/>") | name.isin(*M.VOID_TAGS)
     step = F.when(~F.col("is_tag") | void, 0).when(F.startswith("piece", F.lit("</")), -1).otherwise(1)

@@ -107,7 +107,7 @@ def mods_entries(records: DataFrame) -> DataFrame:
         lambda e: F.coalesce(e["value"] != "", F.lit(False)),
     )
     parsed = F.from_xml("xml", MODS_DDL, {"ignoreNamespace": "true", "attributePrefix": "_"})
-    return records.select("pid", parsed.alias("m")).select("pid", F.posexplode(clean).alias("ord", "e")).select(
+    return records.select("pid", parsed.alias("m")).select("pid", F.posexplode_outer(clean).alias("ord", "e")).filter("ord IS NOT NULL").select(
         "pid", F.col("ord").cast("bigint").alias("ord"), "e.label", "e.value"
     )
 
@@ -157,7 +157,8 @@ def manifest_pages(manifests: DataFrame) -> DataFrame:
     )
     label = F.trim(F.substring_index(label_text(c["label"]), "(", 1))
     return (
-        manifests.select("book_id", F.posexplode(F.from_json("json", MANIFEST_DDL)["items"]).alias("page_index", "c"))
+        manifests.select("book_id", F.posexplode_outer(F.from_json("json", MANIFEST_DDL)["items"]).alias("page_index", "c"))
+        .filter("page_index IS NOT NULL")
         .withColumn("page_uuid", F.lower(page))
         .filter(F.col("page_uuid").isNotNull() & (F.col("page_uuid") != F.lower(T.strip_uuid("book_id"))))
         .select("book_id", "page_uuid", F.col("page_index").cast("bigint").alias("page_index"), label.alias("title"), label.alias("page_number"))
@@ -217,8 +218,8 @@ def block_docs(docs: DataFrame) -> DataFrame:
     first = F.from_json("bare", shape)["blocks"]
     again = F.from_json(M.json_repair(F.col("bare")), shape)["blocks"]
     return docs.select("page_id", bare.alias("bare")).select(
-        "page_id", F.posexplode(F.coalesce(first, again)).alias("ord", "b")
-    ).select("page_id", F.col("b.id").alias("block_id"), F.col("ord").cast("bigint").alias("ord"), "b.type", "b.text")
+        "page_id", F.posexplode_outer(F.coalesce(first, again)).alias("ord", "b")
+    ).filter("ord IS NOT NULL").select("page_id", F.col("b.id").alias("block_id"), F.col("ord").cast("bigint").alias("ord"), "b.type", "b.text")
 
 
 _VALUES = "struct<temperature:double,top_p:double,reasoning_effort:string,max_output_tokens:bigint>"
