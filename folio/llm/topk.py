@@ -6,7 +6,8 @@ scores; the k-th best of a query is a safe cutoff.  The cutoff goes back to the
 list reaches the cutoff's equal share cannot reach the cutoff; the others are the sufficient entries.  Their scores are then
 resolved exactly, and the best k of each query are kept.
 
-Queries and vectors meet block by block in one join on block numbers; no task holds more than one block of each.
+Queries and vectors meet block by block: each block of one side is sent to every block of the other in an equality join
+on the two numbers, so a task holds a few blocks, whatever the tables' sizes.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from folio.session import materialise
 LISTS = 4
 SCALE = 64.0
 VECTOR_BLOCK = 4096
-QUERY_BLOCK = 512
+QUERY_BLOCK = 256
 
 
 def scaled(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
@@ -37,13 +38,12 @@ def scaled(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
         F.col("vec_id").cast("bigint").alias("vec_id"), F.size("embedding").alias("dim"), x.alias("v"))
 
 
-def blocked(rows: DataFrame, size: int, name: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of one dimension in blocks of about ``size``: (dim, name, ids, data, extra lists)."""
-    n = materialise(rows)
-    count = max(1, -(-n.count() // size))
-    at = F.pmod(F.xxhash64("vec_id"), F.lit(count))
+def blocked(rows: DataFrame, size: int, name: str, extra: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """``rows`` (a written table) in blocks of about ``size``: (dim, ``name``, rows), and the number of blocks."""
+    count = max(1, -(-rows.count() // size))
+    at = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(count)).cast("int")
     keep = F.struct("vec_id", "v", *extra)
-    return n.groupBy("dim", at.alias(name)).agg(F.sort_array(F.collect_list(keep)).alias("rows"))  # ``size`` rows or so, as the hash is even
+    return rows.groupBy("dim", at.alias(name)).agg(F.sort_array(F.collect_list(keep)).alias("rows")), count  # ``size`` rows or so, as the hash is even
 
 
 def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -129,18 +129,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, vector_block:
     """
     hit = "query_id bigint, vec_id bigint, score bigint"
     asked = materialise(queries.dropDuplicates(["vec_id", "dim"]))
-    right = materialise(blocked(vectors, vector_block, "vector_block").withColumnRenamed("rows", "vectors"))
-    pairs = lambda q: q.join(right, "dim").select("dim", "queries", "vectors")  # noqa: E731 - blocks, not rows
+    right, n_right = blocked(materialise(vectors), vector_block, "vector_block")
+    right = materialise(right.withColumnRenamed("rows", "vectors"))
 
-    first = blocked(asked, query_block, "query_block").withColumnRenamed("rows", "queries")
-    gathered = pairs(first).repartition(F.rand(3)).mapInArrow(lambda b: _pairs(b, k, False), hit)
+    def hits(questions: DataFrame, second: bool, *extra: str) -> DataFrame:
+        left, n_left = blocked(questions, query_block, "query_block", extra)
+        numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = left.withColumnRenamed("rows", "queries").withColumn("vector_block", numbers(n_right))
+        pairs = left.join(right.withColumn("query_block", numbers(n_left)), ["dim", "query_block", "vector_block"])
+        return pairs.select("dim", "queries", "vectors").mapInArrow(lambda b: _pairs(b, k, second), hit)
+
+    gathered = hits(asked, False)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = gathered.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k)
     cutoffs = best.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("cutoff"))
     lowest = F.lit(-(1 << 62)).cast("bigint")
     again = asked.join(cutoffs.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("cutoff", F.coalesce("cutoff", lowest))
-    second = blocked(again, query_block, "query_block", ("cutoff",)).withColumnRenamed("rows", "queries")
-    found = pairs(second).repartition(F.rand(3)).mapInArrow(lambda b: _pairs(b, k, True), hit)
+    found = hits(materialise(again), True, "cutoff")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
