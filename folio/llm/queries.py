@@ -1,4 +1,4 @@
 """Registered queries of this subpackage and their SQL."""
 
-from folio.llm import bpe, exact_dedup, packing, quality, simhash, suffix_tree, token_counts, topk  # noqa: F401 - each registers its query
+from folio.llm import bpe, exact_dedup, packing, quality, simhash, substring, suffix_tree, token_counts, topk  # noqa: F401 - each registers its query
 from folio.llm.common import ORACLES, QUERIES  # noqa: F401
