@@ -52,3 +52,21 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
             used += n
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+BUCKETS = 1 << 20
+
+
+def _bucket(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("_bucket")
+
+
+def parted(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose ``key`` may be among ``keys``, and rows for which that is ruled out.
+
+    Only the hash buckets that ``keys`` fall into are broadcast, ``BUCKETS`` numbers at most, so long rows that have no
+    partner need no shuffle; when the keys fill all buckets, every row is in the first part.  Null keys have no partner.
+    """
+    hit = F.broadcast(keys.where(F.col(key).isNotNull()).select(_bucket(key)).distinct())
+    rows = df.withColumn("_bucket", F.when(F.col(key).isNotNull(), _bucket(key)))
+    return rows.join(hit, "_bucket", "left_semi").drop("_bucket"), rows.join(hit, "_bucket", "left_anti").drop("_bucket")

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import ORACLES, register, table
+from folio.llm.common import ORACLES, parted, register, table
 from folio.session import materialise, shared_dir
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -80,10 +80,10 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
 
     body = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
     repeated = found.where("group_size > 1").select("digest", F.col("keep.locator").alias("locator"))
-    kept_text = rows.join(repeated, ["digest", "locator"], "left_semi").select("digest", body.alias("kept_body"))
+    hits, _ = parted(rows.select("digest", "doc_id", "locator", body.alias("body")), "digest", repeated)
+    kept_text = hits.join(repeated, ["digest", "locator"], "left_semi").select("digest", F.col("body").alias("kept_body"))
     unequal = (
-        rows.join(repeated.select("digest"), "digest", "left_semi").select("digest", "doc_id", "locator", body.alias("body"))
-        .join(kept_text, "digest").where("body <> kept_body").select("digest", "doc_id", "locator", "body"))
+        hits.join(kept_text, "digest").where("body <> kept_body").select("digest", "doc_id", "locator", "body"))
     split = materialise(unequal)
     out = rows.join(found, "digest").select(
         "row", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("locator") == F.col("keep.locator")).alias("kept"),
@@ -103,6 +103,12 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     return first.select(names).unionByName(other.select(names))
 
 
+def unique_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, unchanged, with all their columns."""
+    decided = deduplicate(docs, text)
+    return decided.where("kept").select("row.*")
+
+
 @register
 def op10_exact_dedup(spark, sf):
     return deduplicate(table(spark, sf, "documents")).drop("row")

@@ -163,6 +163,18 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, score double")
 
 
+def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """Rows of ``docs`` with a score of at least ``threshold``, unchanged, with all their columns."""
+    model = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        for b in blocks(batches, text, BLOCK_BYTES):
+            got = scores(b.column(text).cast(pa.binary()).fill_null(b"").to_pylist(), model.value)
+            yield b.filter(pa.array(got >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 @register
 def op1_quality(spark, sf):
     docs = table(spark, sf, "documents")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import blocks, register, row_key, table, texts
+from folio.llm.common import blocks, parted, register, row_key, table, texts
 from folio.llm.components import components
 from folio.session import materialise
 
@@ -200,6 +200,52 @@ def groups(docs: DataFrame, *, k: int = SHINGLE, radius: int = RADIUS, parts: in
     return prints.join(named, "f0").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def similar(edges: DataFrame, bodies: DataFrame, k: int, least: float) -> DataFrame:
+    """Those of ``edges`` (a, b) whose texts ``bodies`` (node, body) share at least ``least`` of their distinct shingles."""
+
+    def run(batches):
+        for b in batches:
+            same = [_jaccard(x, y, k) >= least for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    both = edges.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a").join(
+        bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def _jaccard(x: bytes, y: bytes, k: int) -> float:
+    a, b = set(shingles(x, k)), set(shingles(y, k))
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def without_near_copies(
+    docs: DataFrame, *, k: int = 5, least: float = 0.8, seeds: tuple[int, ...] = (42, 43), radius: int = 5, most: int = 24
+) -> DataFrame:
+    """``docs`` with one row of each group of near copies, the one with the smallest ``doc_id`` (nulls last).
+
+    Near copies share at least ``least`` of their distinct ``k``-word shingles; groups are what such links connect.
+    Candidates are found by fingerprints of the distinct words, as changed words move these less than shingles of
+    several words: a half of one of ``len(seeds)`` numbers differs in at most ``radius // 2`` bits, all in ``most``.  Each candidate
+    link is verified on the whole texts.  Texts that are equal are one node; rows with equal text and ``doc_id`` stay or go
+    together.  Other columns are kept as they are.  An empty table gives no rows.
+    """
+    names = [f"f{i}" for i in range(len(seeds))]
+    prints = materialise(fingerprints(docs, 1, seeds, distinct=True))
+    nodes = prints.groupBy(F.col("k2").alias("node")).agg(*[F.first(n).alias(n) for n in names])
+    edges = materialise(link(nodes, names, "node", radius=radius, most=most))
+    ends = materialise(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    bodies, _ = parted(row_key(texts(docs)).select(F.col("k2").alias("node"), "body"), "node", ends)
+    bodies = materialise(bodies.join(ends, "node", "left_semi").dropDuplicates(["node"]))
+    roots = components(similar(edges, bodies, k, least))
+    ranked = prints.select("doc_id", "k1", F.col("k2").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("k1").alias("k1"), F.col("node").alias("k2"))
+    chosen = ranked.groupBy("root").agg(F.min(best).alias("best"))
+    lost = materialise(ranked.join(chosen, "root").where(F.struct("k1", F.col("node").alias("k2")) != F.struct("best.k1", "best.k2")).select("k1", F.col("node").alias("k2")).distinct())
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("bigint").alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2"))
+    near, rest = parted(whole, "k2", lost)
+    return near.join(lost, ["k1", "k2"], "left_anti").unionByName(rest).select("row.*")
+
+
 @register
 def op7_simhash(spark, sf):
     return groups(table(spark, sf, "documents"))

@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.llm.common import blocks, register, row_key, table, texts
 
@@ -214,43 +215,54 @@ def repeated_spans(rows: DataFrame, phrases: DataFrame, window: int = WINDOW, ph
     return dealt.mapInArrow(compare, "k1 bigint, k2 bigint, start int, stop int")
 
 
-def remove_repeats(docs: DataFrame, *, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """doc_id, k1, k2 (see ``row_key``), n_words, n_removed and ``kept``, the words left joined by one space, for every row.
+def remove_repeats(docs: DataFrame, text: str = "text", *, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+    """row (its columns), n_words, n_removed and ``kept``, the words left joined by one space, for every row of ``docs``.
 
     A word goes if a window over it starts at any other place too, in the same document or another; a repeated row is
     another place.  Documents shorter than a window and null or empty texts lose nothing.  Windows are judged on the
-    input.  An empty table gives no rows; further columns play no part.
+    input.  An empty table gives no rows; further columns are carried
+    in ``row`` and play no part.
     """
     if not 0 < phrase <= window:
         raise ValueError("a phrase must fit a window")
-    rows = row_key(texts(docs)).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    rows = row_key(texts(docs, text=text))
     spans = repeated_spans(rows, recurring_phrases(rows, window, phrase), window, phrase)
     covered = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     def cut(batches):
-        for b in blocks(batches, "body", BLOCK_BYTES):
+        for b in batches:
             n, gone, kept = [], [], []
-            for body, spans in zip(b.column("body").to_pylist(), b.column("spans").to_pylist(), strict=True):
+            for body, spans in zip(b.column("row").field(text).cast(pa.binary()).fill_null(b"").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 words = body.split()
+                out = words
                 if spans:
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, [s["start"] for s in spans], 1)
                     np.add.at(edge, [s["stop"] for s in spans], -1)
-                    left = np.nonzero(np.cumsum(edge[:-1]) == 0)[0].tolist()
-                    out = [words[i] for i in left]
-                else:
-                    out = words
+                    out = [words[i] for i in np.nonzero(np.cumsum(edge[:-1]) == 0)[0].tolist()]
                 n.append(len(words))
                 gone.append(len(words) - len(out))
-                kept.append(b" ".join(out).decode())
+                kept.append(b" ".join(out))
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in ("doc_id", "k1", "k2")), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
-                names=["doc_id", "k1", "k2", "n_words", "n_removed", "kept"])
+                [b.column("row"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                names=["row", "n_words", "n_removed", "kept"])
+
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.encode(F.coalesce(text, F.lit("")), "UTF-8").alias("body"), "doc_id")
+    keyed = row_key(whole).select("row", "k1", "k2")
+    out = keyed.join(covered, ["k1", "k2"], "left").select("row", "spans")
+    return out.mapInArrow(cut, T.StructType([T.StructField("row", keyed.schema["row"].dataType)]).add("n_words", "long").add("n_removed", "long").add("kept", "string"))
+
 
-    return rows.join(covered, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "body", "spans").mapInArrow(
-        cut, "doc_id bigint, k1 bigint, k2 bigint, n_words bigint, n_removed bigint, kept string")
+def without_repeats(docs: DataFrame, *, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+    """``docs`` with repeated passages cut from ``text``; a text that loses nothing stays as it is, a length column follows."""
+    got = remove_repeats(docs, window=window, phrase=phrase)
+    new = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
+    length = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
+    fields = {"text": new, "n_chars": length}
+    return got.select(*[(fields[c].cast(docs.schema[c].dataType) if c in fields else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 @register
 def op3_substring(spark, sf):
-    return remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return remove_repeats(docs).select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
