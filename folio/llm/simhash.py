@@ -86,17 +86,19 @@ def flips(bits: int, most: int) -> list[int]:
     return sorted(set(masks))
 
 
-def variants(prints: DataFrame, names: list[str], radius: int, parts: int) -> DataFrame:
-    """(place, variant) and the columns of ``prints``: a row for each point of the ball round each part of each number."""
+def variants(prints: DataFrame, names: list[str], node: str, radius: int, parts: int) -> tuple[DataFrame, list]:
+    """(place, mask, node, f): a row for each point of the ball round each part of each number ``f``, and the point as columns.
+
+    The point itself is worked out from the row wherever it is needed, so that only ``node`` and ``f`` move.
+    """
     width = 64 // parts
     signed = [m - (1 << 64) if m >> 63 else m for m in flips(width, radius // parts // 2)]
-    low = F.lit(-1 if width == 64 else (1 << width) - 1).cast("bigint")
-    cut = [(p * width, n) for n in names for p in range(parts)]
-    values = F.array(*[F.shiftrightunsigned(n, shift).bitwiseAND(low) for shift, n in cut])
-    own = [F.col(c) for c in prints.columns]
-    placed = prints.select(*own, F.posexplode(values).alias("place", "value"))
-    return placed.select(*own, "place", "value", F.explode(F.array(*[F.lit(m).cast("bigint") for m in signed])).alias("mask")).select(
-        "place", F.col("value").bitwiseXOR(F.col("mask")).alias("variant"), *own)
+    lanes = F.explode(F.array(*[F.struct(F.lit(p).alias("place"), F.col(n).alias("f")) for i, n in enumerate(names) for p in range(i * parts, (i + 1) * parts)]))
+    placed = prints.select(F.col(node).alias("node"), lanes.alias("lane")).select("node", "lane.*")
+    rows = placed.select("place", F.explode(F.array(*[F.lit(m).cast("bigint") for m in signed])).alias("mask"), "node", "f")
+    low = -1 if width == 64 else (1 << width) - 1
+    point = F.expr(f"(shiftrightunsigned(f, (place % {parts}) * {width}) & {low}L) ^ mask") if parts > 1 else F.expr("f ^ mask")
+    return rows, ["place", point]
 
 
 def forest(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -118,72 +120,61 @@ def forest(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
     return edges
 
 
-def meet(placed: DataFrame, names: list[str], node: str, most: int) -> DataFrame:
-    """Edges (a, b) between nodes that share a variant and differ in ``most`` bits or fewer in all.
+def meet(rows: DataFrame, point: list, parts: int, most: int) -> DataFrame:
+    """Edges (a, b) between nodes that share a point and differ in ``most`` bits or fewer of that number.
 
-    A task reads its places in order and holds one place at a time.
+    A task reads its points in order and holds one point at a time.
     """
-
-    def links(key: np.ndarray, rest: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        got = []
-        two = starts[ends - starts == 2]
-        if len(two):
-            differ = np.bitwise_count(rest[two, 1:] ^ rest[two + 1, 1:]).sum(axis=1)
-            at = two[differ <= most]
-            got.append(np.stack([rest[at, 0], rest[at + 1, 0]], axis=1))
-        for a, b in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
-            edges = np.array(forest(rest[a:b, 1:], most), np.int64).reshape(-1, 2)
-            got.append(rest[a + edges, 0])
-        return np.concatenate(got) if got else np.empty((0, 2), np.uint64)
+    width, schema = 64 // parts, pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    low = np.uint64(2**width - 1)
+
+    def stacked(batches) -> np.ndarray:
+        """place, point, node and number of all rows."""
+        col = lambda c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in batches])
+        place, f = col("place").astype(np.uint64), col("f").view(np.uint64)
+        at = (f >> (place % np.uint64(parts) * np.uint64(width)) & low) ^ col("mask").view(np.uint64)
+        return np.stack([place, at, col("node").view(np.uint64), f], axis=1)
+
+    def links(rows: np.ndarray) -> pa.RecordBatch:
+        new = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
+        starts = np.nonzero(new)[0]
+        sizes = np.diff(np.concatenate([starts, [len(rows)]]))
+        two = starts[sizes == 2]
+        two = two[np.bitwise_count(rows[two, 3] ^ rows[two + 1, 3]) <= most]
+        got = [np.stack([rows[two, 2], rows[two + 1, 2]], axis=1)]
+        crowd = sizes > 2
+        for a, n in zip(starts[crowd].tolist(), sizes[crowd].tolist(), strict=True):
+            edges = np.array(forest(rows[a : a + n, 3:], most), np.int64).reshape(-1, 2)
+            got.append(rows[a + edges, 2])
+        e = np.concatenate(got).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], schema=schema)
 
     def run(batches):
-        key, rest = np.empty((0, 2), np.int64), np.empty((0, 1 + len(names)), np.uint64)
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-        def flush(upto: int):
-            k = key[:upto]
-            new = np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1)])
-            starts = np.nonzero(new)[0]
-            ends = np.concatenate([starts[1:], [len(k)]])
-            many = ends - starts > 1
-            e = links(k, rest, starts[many], ends[many]).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], schema=schema)
-
-        held, count = [], 0
+        rows, held, count = np.empty((0, 4), np.uint64), [], 0
         for b in batches:
             held.append(b)
             count += b.num_rows
             if count < FEED_ROWS:
                 continue
-            key, rest = _stacked(key, rest, held, names, node)
+            rows = np.concatenate([rows, stacked(held)])
             held, count = [], 0
-            same = (key == key[-1]).all(axis=1)
-            upto = len(key) - int(same[::-1].cumprod().sum())
+            upto = len(rows) - int((rows[::-1, :2] == rows[-1, :2]).all(axis=1).cumprod().sum())  # the last point may go on
             if upto:
-                yield flush(upto)
-                key, rest = key[upto:], rest[upto:]
-        key, rest = _stacked(key, rest, held, names, node)
-        if len(key):
-            yield flush(len(key))
-
-    dealt = placed.repartition("place", "variant").sortWithinPartitions("place", "variant")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
-
+                yield links(rows[:upto])
+                rows = rows[upto:]
+        if held:
+            rows = np.concatenate([rows, stacked(held)])
+        if len(rows):
+            yield links(rows)
 
-def _stacked(key, rest, batches, names, node):
-    keys, rests = [key], [rest]
-    for b in batches:
-        col = lambda c: b.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-        keys.append(np.stack([col("place").astype(np.int64), col("variant")], axis=1))
-        rests.append(np.stack([col(c).view(np.uint64) for c in (node, *names)], axis=1))
-    return np.concatenate(keys), np.concatenate(rests)
+    return rows.repartition(*point).sortWithinPartitions(*point).mapInArrow(run, "a bigint, b bigint")
 
 
 def link(prints: DataFrame, names: list[str], node: str, *, radius: int = RADIUS, parts: int = 2, most: int | None = None) -> DataFrame:
-    """Edges (a, b) that join whatever is linked: fingerprints of which a part differs in ``radius // parts`` bits or fewer
-    and all of which differ in ``most`` (the radius, if not given).  Edges within a crowd are a spanning forest."""
-    own = [F.col(c) for c in dict.fromkeys([node, *names])]
-    return meet(variants(prints.select(own), names, radius, parts), names, node, radius if most is None else most).distinct()
+    """Edges (a, b) that connect whatever is linked in one of the numbers ``names``: two that differ there in ``most`` bits or
+    fewer (the radius, if not given) and, in some part, ``radius // parts`` or fewer.  Edges within a crowd are a spanning forest."""
+    rows, point = variants(prints, names, node, radius, parts)
+    return meet(rows, point, parts, radius if most is None else most).distinct()
 
 
 def groups(docs: DataFrame, *, k: int = SHINGLE, radius: int = RADIUS, parts: int = 2) -> DataFrame:
@@ -219,20 +210,25 @@ def _jaccard(x: bytes, y: bytes, k: int) -> float:
 
 
 def without_near_copies(
-    docs: DataFrame, *, k: int = 5, least: float = 0.8, seeds: tuple[int, ...] = (42, 43), radius: int = 5, most: int = 24
+    docs: DataFrame, *, k: int = 5, least: float = 0.8, seeds: tuple[int, ...] = (42, 43, 44), radius: int = 5, most: int = 16
 ) -> DataFrame:
     """``docs`` with one row of each group of near copies, the one with the smallest ``doc_id`` (nulls last).
 
     Near copies share at least ``least`` of their distinct ``k``-word shingles; groups are what such links connect.
     Candidates are found by fingerprints of the distinct words, as changed words move these less than shingles of
-    several words: a half of one of ``len(seeds)`` numbers differs in at most ``radius // 2`` bits, all in ``most``.  Each candidate
-    link is verified on the whole texts.  Texts that are equal are one node; rows with equal text and ``doc_id`` stay or go
+    several words: a half of one of ``len(seeds)`` numbers differs in at most ``radius // 2`` bits, that number in ``most``, all in ``most`` a
+    number on the average.  Each candidate link is verified on the whole texts.  Texts that are equal are one node; rows with equal text and ``doc_id`` stay or go
     together.  Other columns are kept as they are.  An empty table gives no rows.
     """
     names = [f"f{i}" for i in range(len(seeds))]
     prints = materialise(fingerprints(docs, 1, seeds, distinct=True))
     nodes = prints.groupBy(F.col("k2").alias("node")).agg(*[F.first(n).alias(n) for n in names])
-    edges = materialise(link(nodes, names, "node", radius=radius, most=most))
+    nodes = materialise(nodes)
+    met = link(nodes, names, "node", radius=radius, most=most)
+    for end in ("a", "b"):
+        met = met.join(nodes.select(F.col("node").alias(end), *[F.col(n).alias(f"{n}_{end}") for n in names]), end)
+    apart = sum((F.bit_count(F.col(f"{n}_a").bitwiseXOR(F.col(f"{n}_b"))) for n in names), F.lit(0))
+    edges = materialise(met.where(apart <= most * len(names)).select("a", "b"))
     ends = materialise(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     bodies, _ = parted(row_key(texts(docs)).select(F.col("k2").alias("node"), "body"), "node", ends)
     bodies = materialise(bodies.join(ends, "node", "left_semi").dropDuplicates(["node"]))
