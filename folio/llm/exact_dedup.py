@@ -21,6 +21,8 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": PROVIDER,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "192",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 
@@ -31,7 +33,7 @@ def tagged(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256).alias("digest"),
+        F.unhex(F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)).alias("digest"),
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.monotonically_increasing_id().alias("locator"),
     )
@@ -62,13 +64,19 @@ def state(spark: SparkSession, home: str) -> DataFrame:
     return read.select("key.digest", F.col("value.count").alias("group_size"), F.col("value.max").alias("keep"))
 
 
-def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Decision for every row: row (its columns), doc_id, keep_id, group_size, kept, text_sha256.
+def narrow_hits(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Locators of the rows whose digest had been met, less those that stay."""
+    return rows.join(repeated, "digest").where("locator <> keep.locator").select("locator")
 
-    Texts are equal when their bytes are; null counts as empty, and all empty texts are one group.  Of equal texts the
-    row with the largest ``doc_id`` stays, a null ``doc_id`` only where the group has no other; of repeated rows with
-    one ``doc_id`` exactly one stays.  Should two texts share a digest, they are regrouped by their bytes.  An empty
-    table gives no rows.  Other columns are carried in ``row`` and cannot clash.
+
+def deduplicate(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows (row, digest, doc_id, locator) as a written table, and a decision for every one of them.
+
+    Decisions: locator, doc_id, keep_id, group_size, kept, text_sha256.  Texts are equal when their bytes are; null counts
+    as empty, and all empty texts are one group.  Of equal texts the row with the largest ``doc_id`` stays, a null ``doc_id``
+    only where the group has no other; of repeated rows with one ``doc_id`` exactly one stays.  Should two texts share a
+    digest, they are regrouped by their bytes.  An empty table gives no rows.  Other columns are carried in ``row`` and cannot
+    clash.
     """
     spark = docs.sparkSession
     place = f"{shared_dir(spark)}/folio/{uuid.uuid4().hex}"
@@ -78,40 +86,41 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     run_stream(spark, f"{place}/rows", narrow.schema, f"{place}/state")
     found = materialise(state(spark, f"{place}/state"))
 
-    body = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
-    repeated = found.where("group_size > 1").select("digest", F.col("keep.locator").alias("locator"))
-    hits, _ = parted(rows.select("digest", "doc_id", "locator", body.alias("body")), "digest", repeated)
-    kept_text = hits.join(repeated, ["digest", "locator"], "left_semi").select("digest", F.col("body").alias("kept_body"))
-    unequal = (
-        hits.join(kept_text, "digest").where("body <> kept_body").select("digest", "doc_id", "locator", "body"))
+    body = F.coalesce(F.col(f"row.`{text}`"), F.lit("")).alias("body")
+    repeated = found.where("group_size > 1")
+    hits = materialise(narrow_hits(narrow, repeated))
+    hit_text, _ = parted(rows.select("digest", "doc_id", "locator", body), "locator", hits)
+    kept_text, _ = parted(rows.select("locator", body.alias("kept_body")), "locator", repeated.select("keep.locator"))
+    kept_text = kept_text.join(repeated.select("digest", "keep.locator"), "locator").select("digest", "kept_body")
+    unequal = hit_text.join(kept_text, "digest").where("body <> kept_body").select("digest", "doc_id", "locator", "body")
     split = materialise(unequal)
-    out = rows.join(found, "digest").select(
-        "row", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("locator") == F.col("keep.locator")).alias("kept"),
-        F.col("digest").alias("text_sha256"), "locator")
+    names = ["locator", "doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    out = narrow.join(found, "digest").select(
+        "locator", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("locator") == F.col("keep.locator")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"))
     if split.isEmpty():
-        return out.drop("locator")
-    own = split.withColumnRenamed("digest", "text_sha256")
-    groups = keyed_state(own.withColumn("digest", F.struct("text_sha256", "body")))
-    sizes = groups.groupBy("digest.text_sha256").agg(F.sum("group_size").alias("parted"))
-    first = out.join(own.select("text_sha256", "locator"), ["text_sha256", "locator"], "left_anti").join(sizes, "text_sha256", "left").withColumn(
-        "group_size", F.col("group_size") - F.coalesce("parted", F.lit(0)))
-    other = (
-        out.drop("keep_id", "group_size", "kept").join(own.select("text_sha256", "locator", "body"), ["text_sha256", "locator"])
-        .join(groups.select("digest.text_sha256", "digest.body", "group_size", "keep"), ["text_sha256", "body"])
-        .withColumns({"keep_id": F.col("keep.doc_id"), "kept": F.col("locator") == F.col("keep.locator")}))
-    names = ["row", "doc_id", "keep_id", "group_size", "kept", "text_sha256"]
-    return first.select(names).unionByName(other.select(names))
+        return rows, out
+    groups = keyed_state(split.withColumn("digest", F.struct("digest", "body"))).select("digest.*", "group_size", "keep")
+    parted_off = split.groupBy(F.lower(F.hex("digest")).alias("text_sha256")).agg(F.count(F.lit(1)).alias("gone"))
+    first = out.join(split.select("locator"), "locator", "left_anti").join(parted_off, "text_sha256", "left").withColumn(
+        "group_size", F.col("group_size") - F.coalesce("gone", F.lit(0)))
+    other = split.join(groups, ["digest", "body"]).select(
+        "locator", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("locator") == F.col("keep.locator")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"))
+    return rows, first.select(names).unionByName(other)
 
 
 def unique_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, unchanged, with all their columns."""
-    decided = deduplicate(docs, text)
-    return decided.where("kept").select("row.*")
+    rows, decided = deduplicate(docs, text)
+    gone = materialise(decided.where(~F.col("kept")).select("locator"))
+    near, rest = parted(rows.select("row", "locator"), "locator", gone)
+    return near.join(gone, "locator", "left_anti").unionByName(rest).select("row.*")
 
 
 @register
 def op10_exact_dedup(spark, sf):
-    return deduplicate(table(spark, sf, "documents")).drop("row")
+    return deduplicate(table(spark, sf, "documents"))[1].drop("locator")
 
 
 ORACLES["op10_exact_dedup"] = """
