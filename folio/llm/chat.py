@@ -45,7 +45,7 @@ def ordered(nodes: DataFrame, depends: DataFrame) -> DataFrame:
 
     ``depends`` has conv_id, node, needs.  A node keeps its turn unless something it needs comes no earlier; then it
     follows that at once.  Rounds run only while something is out of order.  ``cyclic`` marks nodes that wait for
-    themselves; they keep their turn.
+    themselves or for such nodes; they keep their turn.
     """
     place = materialise(nodes.select("conv_id", "node", "turn", F.col("turn").alias("at"), F.lit(0).alias("depth")))
     needs = depends.join(nodes.select("conv_id", F.col("node").alias("needs")), ["conv_id", "needs"], "left_semi").distinct()
@@ -64,8 +64,13 @@ def ordered(nodes: DataFrame, depends: DataFrame) -> DataFrame:
         moved = place.join(late, ["conv_id", "node"], "left")
         place = materialise(moved.select("conv_id", "node", "turn", F.coalesce("after.at", "at").alias("at"), F.coalesce("after.depth", "depth").alias("depth")))
     before = place.select("conv_id", F.col("node").alias("needs"), F.struct("at", "depth").alias("then"))
-    stuck = needs.join(before, ["conv_id", "needs"]).join(place.select("conv_id", "node", F.struct("at", "depth").alias("now")), ["conv_id", "node"]).where("now <= then").select("conv_id", "node")
-    stuck = stuck.unionByName(own).distinct().withColumn("cyclic", F.lit(True))
+    late = needs.join(before, ["conv_id", "needs"]).join(place.select("conv_id", "node", F.struct("at", "depth").alias("now")), ["conv_id", "node"]).where("now <= then")
+    waiting = materialise(needs.join(late.select("conv_id").distinct(), "conv_id", "left_semi"))
+    n, left = -1, waiting.count()
+    while left != n:  # what needs nothing that waits is free; what is left waits for itself
+        waiting = materialise(waiting.join(waiting.select("conv_id", F.col("node").alias("needs")).distinct(), ["conv_id", "needs"], "left_semi"))
+        n, left = left, waiting.count()
+    stuck = waiting.select("conv_id", "node").unionByName(own).distinct().withColumn("cyclic", F.lit(True))
     out = place.join(stuck, ["conv_id", "node"], "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
     return out.select("conv_id", "node", "turn", F.when(F.col("cyclic"), F.col("turn")).otherwise(F.col("at")).alias("at"), F.when(F.col("cyclic"), 0).otherwise(F.col("depth")).alias("depth"), "cyclic")
 
