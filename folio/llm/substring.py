@@ -4,8 +4,8 @@ Method: repeated-phrase automata.  Of every window of ``window`` words its least
 stands for it, so equal windows share a phrase, and few phrases stand for all windows.  Phrases that recur are
 confirmed by a count over the corpus and sent to the documents that have them.  There they are compiled to
 Aho-Corasick automata, sharded by number of phrases, and every such document streams through the automata of its block to
-locate each occurrence.  The windows round the occurrences are then compared exactly by 64-bit hashes of their words, within
-one phrase, and those seen elsewhere are removed.
+locate each occurrence.  The windows round the occurrences are then compared by 64-bit hashes of their words, within one
+key of another 64 bits, and those seen elsewhere are removed.
 
 What recurs within a block is settled there, and one witness goes to the others, so a passage that many documents
 share sends one row a block, not one a document.
@@ -74,6 +74,9 @@ class Block:
         self.windows = rolled(window)
         least = _extreme(self.phrases, window - phrase + 1, np.minimum) if len(self.windows) else np.empty(0, np.uint64)
         self.least = np.where(self.reach[: len(least)] >= window, least, np.uint64(0))
+        # equal windows have equal keys; those that only share a frequent phrase mostly have different ones
+        most = _extreme(self.phrases, window - phrase + 1, np.maximum) if len(self.windows) else np.empty(0, np.uint64)
+        self.keys = _mixed(self.least ^ (most * np.uint64(_BASE)))
 
     def standing(self, span: int) -> np.ndarray:
         """Places of phrases that are the least of some window; ``span`` phrases begin in a window."""
@@ -148,7 +151,7 @@ def recurring_phrases(rows: DataFrame, window: int = WINDOW, phrase: int = PHRAS
 def repeated_spans(rows: DataFrame, phrases: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """(k1, k2, start, stop): stretches of words covered by windows that occur elsewhere; they may overlap or repeat."""
     span = window - phrase + 1
-    schema = "phrase bigint, k1 bigint, k2 bigint, start int, stop int, windows array<bigint>"
+    schema = "key bigint, k1 bigint, k2 bigint, start int, stop int, windows array<bigint>"
 
     def locate(batches):
         for b in blocks(batches, "body", BLOCK_BYTES):
@@ -165,16 +168,16 @@ def repeated_spans(rows: DataFrame, phrases: DataFrame, window: int = WINDOW, ph
             base = block.at[block.doc[s]]
             settled = (k2[block.doc[s]] ^ s, k1[block.doc[s]], k2[block.doc[s]], s - base, e - base)
             alone = np.sort(places[first])  # one witness of each window
-            least = block.least[alone].view(np.int64)
-            ws, _, at = _spans(alone, least ^ block.doc[alone], window)
+            keys = block.keys[alone].view(np.int64)
+            ws, _, at = _spans(alone, keys ^ block.doc[alone], window)
             wbase = block.at[block.doc[ws]]
             docs = block.doc[ws]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0] * (len(s) + 1), np.append(at[1:], len(alone)) if len(at) else []]).astype(np.int32)), pa.array(block.windows[alone].view(np.int64)))
-            witness = (least[at] if len(at) else least, k1[docs], k2[docs], ws - wbase, np.full(len(ws), -1))
+            witness = (keys[at] if len(at) else keys, k1[docs], k2[docs], ws - wbase, np.full(len(ws), -1))
             cols = [np.concatenate([x, y]) for x, y in zip(settled, witness, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)] + [lists],
-                names=["phrase", "k1", "k2", "start", "stop", "windows"])
+                names=["key", "k1", "k2", "start", "stop", "windows"])
 
     def settle(table: pa.Table):
         stop = table.column("stop").to_numpy()
@@ -201,8 +204,8 @@ def repeated_spans(rows: DataFrame, phrases: DataFrame, window: int = WINDOW, ph
             if rows < GROUP_ROWS:
                 continue
             whole = pa.Table.from_batches(held)
-            key = whole.column("phrase").to_numpy()
-            cut = int(np.searchsorted(key, key[-1], "left"))  # the last phrase may go on in the next batch
+            key = whole.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1], "left"))  # the last key may go on in the next batch
             if cut:
                 yield settle(whole.slice(0, cut))
                 held, rows = whole.slice(cut).combine_chunks().to_batches(), len(key) - cut
@@ -211,7 +214,7 @@ def repeated_spans(rows: DataFrame, phrases: DataFrame, window: int = WINDOW, ph
 
     joined = rows.select("k1", "k2", "body").join(phrases, ["k1", "k2"])
     located = joined.mapInArrow(locate, schema)
-    dealt = located.repartition("phrase").sortWithinPartitions("phrase")
+    dealt = located.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(compare, "k1 bigint, k2 bigint, start int, stop int")
 
 
