@@ -276,33 +276,44 @@ def job_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_xml(spark: SparkSession, sf: str) -> DataFrame:
-    """The text lines again as layout XML, one document per page; every third block is nested."""
+    """The text lines again as layout XML, one document per page, in all the shapes such files take.
+
+    Blocks stand in the print space, in margins, up to six groups deep or on a second page; ids are missing or shared; a
+    comment holds a block; coordinates have decimals; pictures stand anywhere.
+    """
     from folio.functions.text import escape
 
     esc = escape
     attr = lambda name, c: F.concat(F.lit(f' {name}="'), F.coalesce(c.cast("string"), F.lit("")), F.lit('"'))
+    place = lambda name, c: F.when(F.col("page_id") % 4 == 1, attr(name, F.concat(c.cast("string"), F.lit(".75")))).otherwise(attr(name, c))
     optional = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f' {name}="'), esc(c), F.lit('"'))).otherwise(F.lit(""))
     word = lambda t: F.concat(
         F.lit("<String"), optional("CONTENT", t["content"]), optional("SUBS_CONTENT", t["subs_content"]),
-        optional("SUBS_TYPE", t["subs_type"]), optional("STYLE", t["style"]), attr("HPOS", t["hpos"]), attr("VPOS", t["vpos"]),
-        attr("WIDTH", t["width"]), attr("HEIGHT", t["height"]), F.lit("/>"),
+        optional("SUBS_TYPE", t["subs_type"]), optional("STYLE", t["style"]), place("HPOS", t["hpos"]), place("VPOS", t["vpos"]),
+        place("WIDTH", t["width"]), attr("HEIGHT", t["height"]), F.lit("/>"),
     )
     line = F.concat(
-        F.lit("<TextLine"), attr("HPOS", F.col("hpos")), attr("VPOS", F.col("vpos")), attr("WIDTH", F.col("width")),
-        attr("HEIGHT", F.col("height")), F.lit(">"), F.array_join(F.transform("tokens", word), "<SP/>"), F.lit("</TextLine>"),
+        F.lit("<TextLine"), place("HPOS", F.col("hpos")), place("VPOS", F.col("vpos")), place("WIDTH", F.col("width")),
+        place("HEIGHT", F.col("height")), F.lit(">"), F.array_join(F.transform("tokens", word), "<SP/>"), F.lit("</TextLine>"),
     )
     blocks = (
         text_lines(spark, sf).withColumn("line", line)
         .groupBy("page_id", "block_seq")
         .agg(F.array_sort(F.collect_list(F.struct("line_seq", "line"))).alias("ls"), F.first("block_style_refs").alias("refs"))
     )
+    seq, page = F.col("block_seq"), F.col("page_id")
+    ident = F.when((page % 3 == 1) & (seq % 2 == 1), "").when(page % 11 == 0, ' ID="same"').otherwise(F.concat(F.lit(' ID="blk_'), seq.cast("string"), F.lit('"')))
     one = F.concat(
-        F.lit('<TextBlock ID="blk_'), F.col("block_seq").cast("string"), F.lit('" STYLEREFS="'), F.col("refs"), F.lit('">'),
-        F.array_join(F.transform("ls", lambda x: x.line), ""), F.lit("</TextBlock>"),
-    )
-    nested = F.when(F.col("block_seq") % 3 == 2, F.concat(F.lit("<ComposedBlock>"), one, F.lit("</ComposedBlock>"))).otherwise(one)
-    pages_ = blocks.withColumn("b", nested).groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.struct("block_seq", "b"))).alias("bs"))
+        F.lit("<TextBlock"), ident, F.lit(' STYLEREFS="'), F.col("refs"), F.lit('">'), F.array_join(F.transform("ls", lambda x: x.line), ""), F.lit("</TextBlock>"))
+    deep = F.when(seq % 3 == 2, F.when(page % 2 == 0, 6).otherwise(1)).otherwise(0)
+    nested = F.concat(F.repeat(F.lit("<ComposedBlock>"), deep), one, F.repeat(F.lit("</ComposedBlock>"), deep))
+    commented = F.when(seq % 5 == 3, F.concat(F.lit("<!-- <TextBlock ID=\'blk_0\'><TextLine/></TextBlock> -->"), nested)).otherwise(nested)
+    space = f'<PrintSpace WIDTH="{PAGE_W - 200}" HEIGHT="{PAGE_H - 200}">'
+    margin = F.when(page % 7 == 0, F.concat(F.lit("<TopMargin>"), F.array_join(F.transform(F.filter("bs", lambda x: x.block_seq < 1), lambda x: x.b), ""), F.lit("</TopMargin>"))).otherwise("")
+    kept = F.filter("bs", lambda x: (page % 7 != 0) | (x.block_seq > 0))
+    second = lambda x: (page % 6 == 0) & (x.block_seq > 1)
+    inside = lambda later: F.array_join(F.transform(F.filter(kept, lambda x: second(x) if later else ~second(x)), lambda x: x.b), "")
+    pages_ = blocks.withColumn("b", commented).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("block_seq", "b"))).alias("bs"))
     fonts = "".join(
         f'<TextStyle ID="FONT_{s}" FONTSIZE="{s}" FONTFAMILY="{"Fraktur" if s > 11 else "Times"}"'
         + (' FONTSTYLE="italics"' if s == 14 else "") + (' FONTWEIGHT="bold"' if s == 24 else "") + "/>"
@@ -312,14 +323,16 @@ def page_xml(spark: SparkSession, sf: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("seq", "x", "y", "w", "h"))),
         lambda i: F.concat(F.lit("<Illustration"), attr("HPOS", i["x"]), attr("VPOS", i["y"]), attr("WIDTH", i["w"]), attr("HEIGHT", i["h"]), F.lit("/>")),
     ), "").alias("pics"))
-    version = F.when(F.col("page_id") % 2 == 0, "2").otherwise("3")
+    pics_at = lambda where: F.when(page % 3 == where, F.coalesce("pics", F.lit(""))).otherwise("")
+    version = F.when(page % 2 == 0, "2").otherwise("3")
     return pages_.join(pics, "page_id", "left").select(
         "page_id",
         F.concat(
-            F.lit('<alto xmlns="http://www.loc.gov/standards/alto/ns-v'), version, F.lit(f'#"><Styles>{fonts}</Styles><Layout>'),
-            F.lit(f'<Page WIDTH="{PAGE_W}" HEIGHT="{PAGE_H}"><PrintSpace WIDTH="{PAGE_W - 200}" HEIGHT="{PAGE_H - 200}">'),
-            F.array_join(F.transform("bs", lambda x: x.b), ""), F.coalesce("pics", F.lit("")),
-            F.lit("</PrintSpace></Page></Layout></alto>"),
+            F.lit('<?xml version="1.0"?><alto xmlns="http://www.loc.gov/standards/alto/ns-v'), version, F.lit(f'#"><Styles>{fonts}</Styles><Layout>'),
+            F.lit(f'<Page WIDTH="{PAGE_W}" HEIGHT="{PAGE_H}">'), margin, F.lit(space), inside(False), pics_at(0), F.lit("</PrintSpace>"),
+            F.lit("<BottomMargin>"), pics_at(1), F.lit("</BottomMargin></Page>"),
+            F.when(page % 6 == 0, F.concat(F.lit('<Page WIDTH="1" HEIGHT="1"><PrintSpace>'), inside(True), F.lit("</PrintSpace></Page>"))).otherwise(""),
+            F.lit("<Page><PrintSpace><ComposedBlock>"), pics_at(2), F.lit("</ComposedBlock></PrintSpace></Page></Layout></alto>"),
         ).alias("xml"),
     )
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +34,15 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# What counts as white space at the ends of a text.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c: Column | str) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.btrim(_c(c), F.lit(WHITE))
+
+
 def clean_text(c: Column | str) -> Column:
     """No-break space to space, whitespace runs to one space, trimmed."""
     return F.trim(F.regexp_replace(_c(c), r"[\s ]+", " "))
@@ -37,7 +50,7 @@ def clean_text(c: Column | str) -> Column:
 
 def strip_uuid(c: Column | str) -> Column:
     c = _c(c)
-    return F.when(c.startswith("uuid:"), F.substring(c, 6, 1_000_000)).otherwise(c)
+    return F.when(c.startswith("uuid:"), F.substr(c, F.lit(6))).otherwise(c)
 
 
 def api_version(url: Column | str) -> Column:
@@ -46,13 +59,13 @@ def api_version(url: Column | str) -> Column:
 
 def pid_for(c: Column | str, version: Column) -> Column:
     """Identifier as the given interface version wants it: bare or with ``uuid:``."""
-    bare = strip_uuid(F.trim(_c(c)))
+    bare = strip_uuid(strip(c))
     return F.when((version == "k7") & (bare != ""), F.concat(F.lit("uuid:"), bare)).otherwise(bare)
 
 
 def page_number(c: Column | str) -> Column:
     """STRUCT(value, searchable) of a printed page number: digits or roman, bare or in brackets."""
-    t = F.trim(_c(c))
+    t = strip(c)
     bare = t.rlike(rf"^([0-9]+|{ROMAN})$")
     bracketed = t.rlike(rf"^\[\s*([0-9]+|{ROMAN})\s*\]$")
     inner = F.regexp_extract(t, rf"^\[\s*([0-9]+|{ROMAN})\s*\]$", 1)
@@ -64,7 +77,7 @@ def page_number(c: Column | str) -> Column:
 
 def page_label(c: Column | str) -> Column:
     """Label used to look a page up: no outer brackets, no spaces, lower case."""
-    return F.lower(F.replace(F.trim(F.btrim(F.trim(_c(c)), F.lit("[](){}"))), F.lit(" "), F.lit("")))
+    return F.lower(F.replace(F.trim(F.btrim(strip(c), F.lit("[](){}"))), F.lit(" "), F.lit("")))
 
 
 def hyp_resolve(content: Column, subs_content: Column, subs_type: Column) -> Column:
@@ -104,16 +117,35 @@ def escape(c: Column | str, quote: bool = True) -> Column:
     return out
 
 
+# longest names first: a name without its semicolon ends where a longer one does not go on
+_ENTITY = (
+    r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&(?:" + "|".join(sorted((re.escape(n) for n in html5), key=len, reverse=True)) + r")|[^&]+|&"
+)
+
+
+_NAMED = json.dumps({f"&{name}": value for name, value in html5.items()})
+_WESTERN = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
+
+
+def _code_point(ref: Column) -> Column:
+    """Character of a numeric reference; what is no character gives nothing or the replacement mark."""
+    digits = F.regexp_extract(ref, r"^&#[xX]?([0-9a-fA-F]+)", 1)
+    n = F.when(F.length(F.ltrim(digits, F.lit("0"))) > 7, F.lit(0x110000)).otherwise(F.when(F.lower(ref).startswith("&#x"), F.conv(digits, 16, 10)).otherwise(digits).cast("int"))
+    western = F.substr(F.lit(_WESTERN), n - 0x7F, F.lit(1))
+    gone = n.isin(1, 0xB, 0x7F, 0xFFFE, 0xFFFF) | n.between(2, 8) | n.between(0xE, 0x1F) | n.between(0xFDD0, 0xFDEF) | ((n > 0xFFFF) & (n % 65536 >= 0xFFFE))
+    return (
+        F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd")
+        .when(n.between(0x80, 0x9F), western).when(gone, "")
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+
+
 def unescape(c: Column | str) -> Column:
-    """Decode the named entities a layout file carries; the ampersand last, so nothing is decoded twice."""
-    out = _c(c)
-    pairs = [
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-        ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
-    ]
-    for entity, raw in pairs:
-        out = F.replace(out, F.lit(entity), F.lit(raw))
-    return out
+    """Decode named and numeric character references, once."""
+    text = _c(c)
+    named = F.from_json(F.lit(_NAMED), "map<string,string>")
+    one = lambda t: (
+        F.when(~t.startswith("&") | (t == "&"), t).when(t == "&amp;", "&").when(t.startswith("&#"), _code_point(t)).otherwise(F.try_element_at(named, t)))
+    return F.when(text.contains("&"), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0)), one), "")).otherwise(text)
 
 
 def query_word(c: Column | str) -> Column:

@@ -531,7 +531,7 @@ FROM fx_illustrations n LEFT JOIN (SELECT * FROM fx_illustrations WHERE seq < 2)
 
 # --- sources ---------------------------------------------------------------------------------------
 oracle("scan_pages", """
-SELECT DISTINCT page_id, CAST(1400 AS BIGINT) AS page_w, CAST(4000 AS BIGINT) AS page_h, CAST(1200 AS BIGINT) AS ps_w, CAST(3800 AS BIGINT) AS ps_h, TRUE AS parsed FROM fx_tokens""")
+SELECT DISTINCT page_id, CAST(1400 AS BIGINT) AS page_w, CAST(4000 AS BIGINT) AS page_h, CAST(1200 AS BIGINT) AS ps_w, CAST(3800 AS BIGINT) AS ps_h, TRUE AS parsed, FALSE AS parse_error FROM fx_tokens""")
 oracle("layout_tokens", """
 SELECT page_id, block_seq, line_seq % 7 AS line_seq, token_seq - line_seq * 9 AS token_seq, content, subs_content, subs_type, style, hpos, vpos, width, height FROM fx_tokens""")
 oracle("styles", "SELECT page_id, style_id, font_size, font_family, font_style, font_weight FROM fx_styles WHERE page_id IN (SELECT page_id FROM fx_tokens)")

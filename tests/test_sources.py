@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import library
@@ -48,9 +49,67 @@ def test_geometry_flags_bad_pages(spark):
 
 
 def test_read_pages_from_files(spark, tmp_path):
-    (tmp_path / "p1.xml").write_text(f'<?xml version="1.0"?>\n<alto xmlns="{NS % 3}">' + BODY.format(p="") + "</alto>", encoding="utf-8")
-    parsed = page_xml.parse(page_xml.read_pages(spark, str(tmp_path)))
-    assert [(r.page_id, r.parsed) for r in page_xml.geometry(parsed).collect()] == [("p1", True)]
+    for book in ("a", "b"):
+        (tmp_path / book).mkdir()
+        (tmp_path / book / "p1.xml").write_bytes(f'<?xml version="1.0"?>\n<alto xmlns="{NS % 3}">'.encode() + BODY.format(p="").replace("last", "l\0st").encode().replace(b"\0", b"\xff") + b"</alto>")
+    read = page_xml.read_pages(spark, str(tmp_path))
+    parsed = page_xml.parse(read)
+    assert sorted((r.page_id, r.parsed) for r in page_xml.geometry(parsed).collect()) == [("a/p1", True), ("b/p1", True)]
+    lines = page_xml.layout_lines(parsed)
+    assert {r.book_id for r in lines.collect()} == {"a", "b"} and "l\ufffdst" in {t.content for r in lines.collect() for t in r.tokens}
+    (tmp_path / "a" / "p1.txt").write_text("<alto/>")
+    with pytest.raises(ValueError, match="a/p1"):
+        page_xml.read_pages(spark, str(tmp_path))
+
+
+def _one(spark, body, head='<alto><Layout>', tail="</Layout></alto>"):
+    return page_xml.parse(spark.createDataFrame([(1, head + body + tail)], "page_id bigint, xml string"))
+
+
+def _block(word, attrs=""):
+    return f'<TextBlock {attrs}><TextLine WIDTH="1"><String CONTENT="{word}"/></TextLine></TextBlock>'
+
+
+def test_blocks_wherever_they_stand(spark):
+    deep = "<ComposedBlock>" * 9 + _block("deep", 'ID="d"') + '<Illustration HPOS="2.5"/>' + "</ComposedBlock>" * 9
+    body = (
+        f'<Page WIDTH="10.9" HEIGHT="x"><TopMargin>{_block("top")}</TopMargin><PrintSpace WIDTH="5"><!-- {_block("gone", "ID=\'d\'")} -->{deep}'
+        f'{_block("same", "ID=\'d\'")}<TextBlock/>{_block("no id")}</PrintSpace></Page><Page WIDTH="77"><PrintSpace>{_block("second page &gt; &#269;")}</PrintSpace></Page>')
+    parsed = _one(spark, body)
+    lines = page_xml.layout_lines(parsed).orderBy("block_seq").collect()
+    assert [(r.block_seq, r.tokens[0].content) for r in lines] == [(0, "top"), (1, "deep"), (2, "same"), (4, "no id"), (5, "second page > č")]
+    geo = page_xml.geometry(parsed).first()
+    assert (geo.page_w, geo.page_h, geo.ps_w, geo.parse_error) == (10, 0, 5, True)
+    assert [tuple(r) for r in page_xml.illustrations(parsed).collect()] == [(1, 0, 2.5, 0.0, 0.0, 0.0)]
+    assert tuple(page_xml.page_size(page_xml.geometry(parsed)).first()) == (1, 5, 0, 10, 0)
+
+
+def test_coordinates_with_decimals(spark):
+    line = '<Page><PrintSpace><TextBlock><TextLine HPOS="500.5" VPOS="7" WIDTH="9.0" HEIGHT="tall"><String CONTENT="a" HPOS="3.9" WIDTH=""/></TextLine></TextBlock></PrintSpace></Page>'
+    r = page_xml.layout_lines(_one(spark, line)).first()
+    assert (r.hpos, r.vpos, r.width, r.height, r.bottom, r.parse_error) == (500, 7, 9, 0, 7, True)
+    assert (r.tokens[0].hpos, r.tokens[0].width) == (3, None)
+
+
+def test_scale_falls_back(spark):
+    geo = spark.createDataFrame([(1, 100, 200, 50, 50), (2, 0, 200, 50, 40), (3, 0, 0, 0, 0)], "page_id int, page_w bigint, page_h bigint, ps_w bigint, ps_h bigint")
+    got = [tuple(r) for r in page_xml.scale(geo, F.lit(200), F.lit(400)).orderBy("page_id").collect()]
+    assert got == [(1, 2.0, 2.0), (2, 4.0, 10.0), (3, 1.0, 1.0)]
+
+
+def test_unescape_is_complete(spark):
+    import html
+
+    texts = [
+        "a &amp;lt; b", "&#269;&eacute;&mdash;&notit;&not;&foo; & &", "&#x80;&#128;&#0;&#xD800;&#x110000;&#99999999999;&#1;&#x1F600;", "&ampx &AMP &copy", "plain", "",
+        "&NotEqualTilde;&nGt;", "&#x0041;&#65"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.unescape("t")).collect()]
+    assert got == [html.unescape(t) for t in texts]
+
+
+def test_page_number_without_line_end(spark):
+    row = spark.createDataFrame([("12\n", "uuid:" + "x" * 1_500_000)], "n string, u string").select(T.page_number("n"), F.length(T.strip_uuid("u"))).first()
+    assert (row[0].value, row[0].searchable, row[1]) == ("12", True, 1_500_000)
 
 
 def test_settings_files(spark, tmp_path):
