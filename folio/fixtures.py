@@ -230,7 +230,7 @@ def changes(blocks_df: DataFrame) -> DataFrame:
 
 
 def illustrations(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").selectExpr("doc_id AS page_id").filter("page_id % 4 = 0")
+    docs = table(spark, sf, "documents").selectExpr("doc_id AS page_id")
     return (
         docs.selectExpr("page_id", "explode(sequence(0, CASE WHEN page_id % 8 = 0 THEN 3 ELSE 2 END)) AS k")
         .selectExpr(

@@ -26,11 +26,8 @@ def illustration_dedupe(illustrations: DataFrame, ratio: float = NESTED_RATIO) -
         return (iw * ih > 0) & (iw * ih / F.least(area(a), area(b)) >= ratio)
 
     rects = F.array_sort(F.collect_list(F.struct("seq", "x", "y", "w", "h")))
-    pairs = F.filter(
-        F.flatten(F.transform("_r", lambda a: F.transform(
-            F.filter("_r", lambda b: b.seq > a.seq), lambda b: F.struct(a.alias("a"), b.alias("b"))))),
-        lambda p: overlap(p.a, p.b),
-    )
+    pairs = F.flatten(F.transform("_r", lambda a: F.transform(
+        F.filter("_r", lambda b: (b.seq > a.seq) & overlap(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     loser = lambda p: F.when(area(p.a) <= area(p.b), p.a.seq).otherwise(p.b.seq)
     start = F.expr("named_struct('out', cast(array() as array<bigint>), 'cur', cast(-1 as bigint), 'skip', false)")
 

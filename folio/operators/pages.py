@@ -227,12 +227,12 @@ def select_pages(pages: DataFrame, requests: DataFrame) -> DataFrame:
     A selector is a printed label, else a 1-based position.  The right end of a range prefers a
     label at or after its start.
     """
-    index = pages.select("book_id", "page_id", "page_index", T.page_label("page_number").alias("label"))
-    # per label the first and the last page, and all of them for range ends (found by a join)
+    index = materialise(pages.select("book_id", "page_id", "page_index", T.page_label("page_number").alias("label")))
+    # per label the first and the last page; the next one after a range's start is a running value
     labels = index.filter("label <> ''").groupBy("book_id", "label").agg(
         F.min("page_index").alias("first_at"), F.max("page_index").alias("last_at")
     )
-    sizes = pages.groupBy("book_id").agg(F.count("*").alias("total"))
+    sizes = index.groupBy("book_id").agg(F.count("*").alias("total"))
     custom = requests.filter("mode = 'custom'").join(sizes, "book_id").select(
         "request_id", "book_id", "total", F.posexplode(F.split("expr", ",")).alias("part", "token")
     ).withColumn("token", F.trim("token")).filter("token <> ''").withColumn(
@@ -252,12 +252,16 @@ def select_pages(pages: DataFrame, requests: DataFrame) -> DataFrame:
         .join(left_labels, ["book_id", "l_label"], "left")
         .withColumn("start_at", F.when(F.col("lt") == "", F.lit(0).cast("bigint")).otherwise(F.coalesce("l_first", position("lt"))))
     )
-    later = (
-        lefts.filter("ranged").select("request_id", "part", "book_id", "r_label", "start_at")
-        .join(index.select("book_id", F.col("label").alias("r_label"), "page_index"), ["book_id", "r_label"])
-        .filter("page_index >= start_at")
-        .groupBy("request_id", "part").agg(F.min("page_index").alias("r_after"))
-    )
+    lefts = materialise(lefts)
+    nothing = F.lit(None).cast("bigint")
+    asked = lefts.filter("ranged AND start_at IS NOT NULL AND r_label <> ''").select(
+        "book_id", F.col("r_label").alias("label"), (F.col("start_at") * 2).alias("at"), nothing.alias("page_index"), "request_id", "part")
+    there = index.filter("label <> ''").select(
+        "book_id", "label", (F.col("page_index") * 2 + 1).alias("at"), "page_index",
+        F.lit(None).cast(asked.schema["request_id"].dataType).alias("request_id"), F.lit(None).cast("int").alias("part"))
+    later = with_running(
+        asked.unionByName(there), ["book_id", "label"], "at", F.col("page_index"), "min", "r_after", following=True
+    ).filter("part IS NOT NULL AND r_after IS NOT NULL").select("request_id", "part", "r_after")
     ends = (
         lefts.join(right_labels, ["book_id", "r_label"], "left").join(later, ["request_id", "part"], "left")
         .withColumn(
@@ -290,7 +294,7 @@ def select_pages(pages: DataFrame, requests: DataFrame) -> DataFrame:
     )
     failed = errors.select(
         "request_id", F.lit(-1).cast("bigint").alias("part"), F.lit(-1).cast("bigint").alias("page_index"),
-        F.lit(None).cast("bigint").alias("page_id"),
+        F.lit(None).cast(index.schema["page_id"].dataType).alias("page_id"),
     )
     return hits.unionByName(every).unionByName(current).unionByName(failed)
 

@@ -11,12 +11,13 @@ from folio.functions import text as T
 def word_boxes(tokens: DataFrame, queries: DataFrame, sx: Column, sy: Column) -> DataFrame:
     """Closed five-point polygon, y negated, of every word that matches a query word.
 
-    ``queries``: query_id, query.  A word matches by its text or by its whole hyphenated form; a
+    ``queries``: query_id, query and, to look on one page only, page_id.  A word matches by its text or by its whole hyphenated form; a
     query word given twice counts twice, and one that is only punctuation matches nothing.
     """
     cut = F.trim(F.replace(F.element_at(F.split("query", "~"), 1), F.lit('"'), F.lit("")))
-    words = queries.select("query_id", F.posexplode(F.split(cut, r"\s+")).alias("word_no", "raw")).select(
-        "query_id", "word_no", T.query_word("raw").alias("word")
+    place = [c for c in ("page_id",) if c in queries.columns]
+    words = queries.select("query_id", *place, F.posexplode(F.split(cut, r"\s+")).alias("word_no", "raw")).select(
+        "query_id", *place, "word_no", T.query_word("raw").alias("word")
     ).filter("word <> ''")
     forms = F.array_distinct(F.array_compact(F.array(T.query_word("content"), T.query_word("subs_content"))))
     spelled = tokens.select(
@@ -25,7 +26,7 @@ def word_boxes(tokens: DataFrame, queries: DataFrame, sx: Column, sy: Column) ->
     x0, y0 = F.col("hpos") * sx, -(F.col("vpos") * sy)
     x1, y1 = x0 + F.col("width") * sx, y0 - F.col("height") * sy
     ring = F.array(*[F.array(x, y) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])
-    return spelled.join(words, "word").select(
+    return spelled.join(words, [*place, "word"]).select(
         "query_id", F.col("word_no").cast("bigint").alias("word_no"), "page_id", "block_seq", "line_seq", "token_seq", ring.alias("polygon")
     )
 

@@ -199,7 +199,7 @@ SELECT page_id,
 FROM fx_pages""")
 oracle("page_pairs", """
 SELECT book_id, page_index, page_id AS left_page, nxt AS right_page FROM (
-  SELECT *, lead(page_id) OVER w AS nxt, lead(page_index) OVER w AS ni FROM fx_pages WHERE page_index % 7 <> 3 WINDOW w AS (PARTITION BY book_id ORDER BY page_index))
+  SELECT *, lead(page_id) OVER w AS nxt, lead(page_index) OVER w AS ni FROM (SELECT * REPLACE (page_index + page_index // 7 AS page_index) FROM fx_pages) WINDOW w AS (PARTITION BY book_id ORDER BY page_index))
 WHERE ni = page_index + 1""")
 part("sn", "SELECT b.page_id, b.ord, b.type AS tag, b.text, p.book_id, p.page_index FROM fx_blocks b JOIN fx_pages p USING (page_id)")
 part("sn_edge", """
@@ -280,7 +280,7 @@ UNION ALL SELECT request_id, -1, -1, NULL FROM rq_bad""")
 oracle("cover_page", """
 SELECT book_id, page_id AS cover_page FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY
   CASE WHEN lower(page_type) IN ('frontcover','titlepage','frontjacket','cover','frontendsheet') THEN 0 ELSE 1 END, page_index) AS r
-  FROM fx_pages WHERE page_index > 0 OR book_id > 'src3') WHERE r = 1""")
+  FROM fx_pages) WHERE r = 1""")
 oracle("locate_page", """
 SELECT 'p' || (a.page_id * 2) AS item_key, a.book_id, b.page_index, b.page_id FROM fx_pages a LEFT JOIN fx_pages b ON b.book_id = a.book_id AND b.page_id = a.page_id * 2
 UNION ALL SELECT book_id, book_id, min(page_index), min_by(page_id, page_index) FROM fx_pages GROUP BY book_id""")
@@ -290,7 +290,7 @@ SELECT doc_id AS page_id, CASE WHEN doc_id % 3 <> 0 AND doc_id % 4 <> 0 THEN 'Fi
 oracle("navigation", """
 SELECT book_id, page_id, lag(page_id) OVER w AS prev_page, lead(page_id) OVER w AS next_page, lag(page_id) OVER w IS NOT NULL AS has_prev,
   lead(page_id) OVER w IS NOT NULL AS has_next, count(*) OVER (PARTITION BY book_id) AS total
-FROM fx_pages WHERE page_index % 5 <> 2 WINDOW w AS (PARTITION BY book_id ORDER BY page_index)""")
+FROM (SELECT * REPLACE (page_index + page_index // 5 AS page_index) FROM fx_pages) WINDOW w AS (PARTITION BY book_id ORDER BY page_index)""")
 oracle("ordered_distinct", """
 SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1""")
 oracle("label_lists", """
@@ -334,13 +334,15 @@ SELECT page_id, block_seq, min(line_seq) AS line_at, CASE WHEN h3 THEN 'h3' WHEN
 oracle("page_html_v1", "SELECT page_id, string_agg('<' || tag || '>' || text || '</' || tag || '>', '' ORDER BY block_seq, line_at) AS html FROM v1_block WHERE text <> '' GROUP BY page_id")
 part("qw", """
 SELECT item_id AS query_id, i - 1 AS word_no, translate(lower(a[i]), '-?!»«;)(.„",', '') AS word
-FROM (SELECT item_id, regexp_split_to_array(trim(replace(split_part(regexp_extract(text, '^\\s*(\\S+\\s+\\S+\\s+\\S+)', 1), '~', 1), '"', '')), '\\s+') AS a FROM benchmark),
+FROM (SELECT item_id, regexp_split_to_array(trim(replace(split_part(text, '~', 1), '"', '')), '\\s+') AS a FROM benchmark),
   LATERAL unnest(generate_series(1, len(a))) AS u(i)
 """)
 oracle("word_boxes", """
-SELECT q.query_id, q.word_no, t.page_id, t.block_seq, t.line_seq, t.token_seq, t.hpos * 5e-1 AS x0, -(t.vpos * 25e-2) AS y0,
+SELECT query_id, q.word_no, t.page_id, t.block_seq, t.line_seq, t.token_seq, t.hpos * 5e-1 AS x0, -(t.vpos * 25e-2) AS y0,
   t.hpos * 5e-1 + t.width * 5e-1 AS x1, -(t.vpos * 25e-2) - t.height * 25e-2 AS y1
-FROM fx_tokens t JOIN qw q ON q.word <> '' AND (translate(lower(t.content), '-?!»«;)(.„",', '') = q.word OR translate(lower(t.subs_content), '-?!»«;)(.„",', '') = q.word)""")
+FROM (SELECT *, unnest(list_distinct([translate(lower(content), '-?!»«;)(.„",', ''), translate(lower(subs_content), '-?!»«;)(.„",', '')])) AS word,
+    page_id % (SELECT count(*) FROM benchmark) AS query_id FROM fx_tokens) t
+JOIN qw q USING (query_id, word) WHERE word <> ''""")
 oracle("text_in_box", f"""
 SELECT l.page_id, b.box_id, coalesce(string_agg({resolve('t.')}, ' ' ORDER BY t.token_seq) FILTER (WHERE {resolve('t.')} <> '' AND t.hpos >= x0 AND t.hpos + t.width <= x1
    AND t.vpos >= y0 AND t.vpos + t.height <= y1), '') AS text

@@ -246,9 +246,14 @@ def page_enrich(spark, sf):
     return pages.enrich_pages(listed, items, mods)
 
 
+def _gaps(p, every):
+    """The pages with a hole in their numbering after each run of ``every``."""
+    return p.withColumn("page_index", F.col("page_index") + F.floor(F.col("page_index") / every))
+
+
 @register
 def page_pairs(spark, sf):
-    return pages.page_pairs(fx.pages(spark, sf).filter("page_index % 7 <> 3")).select("book_id", "page_index", "left_page", "right_page")
+    return pages.page_pairs(_gaps(fx.pages(spark, sf), 7)).select("book_id", "page_index", "left_page", "right_page")
 
 
 @register
@@ -287,7 +292,7 @@ def select_pages(spark, sf):
 
 @register
 def cover_page(spark, sf):
-    return pages.cover_page(fx.pages(spark, sf).filter("page_index > 0 OR book_id > 'src3'"))
+    return pages.cover_page(fx.pages(spark, sf))
 
 
 @register
@@ -308,7 +313,7 @@ def pick_version(spark, sf):
 
 @register
 def navigation(spark, sf):
-    return pages.navigation(fx.pages(spark, sf).filter("page_index % 5 <> 2"))
+    return pages.navigation(_gaps(fx.pages(spark, sf), 5))
 
 
 @register
@@ -319,7 +324,7 @@ def ordered_distinct(spark, sf):
 
 @register
 def label_lists(spark, sf):
-    words = F.slice(F.split(F.regexp_replace("text", r"[ \t\n\r]+", " "), " "), 1, 1000000)
+    words = F.split(F.regexp_replace("text", r"[ \t\n\r]+", " "), " ")
     return _docs(spark, sf).select("doc_id", records.ordered_distinct_list(words, "; ").alias("labels"))
 
 
@@ -352,8 +357,11 @@ def page_html_v1(spark, sf):
 
 @register
 def word_boxes(spark, sf):
-    q = fx.table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.regexp_extract("text", r"^\s*(\S+\s+\S+\s+\S+)", 1).alias("query"))
+    """On each page the words of one benchmark text."""
+    items = fx.table(spark, sf, "benchmark")
+    n = items.count()
+    q = _docs(spark, sf).select(F.col("doc_id").alias("page_id"), (F.col("doc_id") % n).alias("item_id")).join(items, "item_id").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query"), "page_id")
     hits = search.word_boxes(fx.tokens(fx.text_lines(spark, sf)), q, F.lit(0.5), F.lit(0.25))
     p = F.col("polygon")
     return hits.select(

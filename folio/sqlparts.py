@@ -129,7 +129,6 @@ SELECT doc_id AS page_id, k AS seq,
   CAST(CASE WHEN k < 3 THEN 200 + k*150 ELSE 100 END AS DOUBLE) AS w,
   CAST(CASE WHEN k < 3 THEN 200 + k*130 ELSE 100 END AS DOUBLE) AS h
 FROM documents, LATERAL unnest(generate_series(0, CASE WHEN doc_id % 8 = 0 THEN 3 ELSE 2 END)) AS u(k)
-WHERE doc_id % 4 = 0
 """)
 part("fx_objects", """
 SELECT 'r' || r_regionkey AS pid, CAST(NULL AS VARCHAR) AS parent_pid, CAST(r_regionkey AS BIGINT) AS ord,

@@ -131,55 +131,54 @@ def test_page_numbers(spark, number, texts, expected, removed):
     assert notes(spark, number, texts) == (expected, removed)
 
 
-def test_nested_illustrations_against_sequence(spark):
-    rnd = random.Random(2)
-    rows, want = [], set()
-    for page in range(80):
-        rects = [(float(rnd.randrange(3) * 10), float(rnd.randrange(3) * 10), float(rnd.choice([20, 40, 40])), float(rnd.choice([20, 40, 40]))) for _ in range(rnd.randrange(1, 6))]
-        gone = set()
-        for i, a in enumerate(rects):
-            if i in gone:
-                continue
-            for j in range(i + 1, len(rects)):
-                if j in gone:
-                    continue
-                b = rects[j]
-                w = max(0.0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]))
-                h = max(0.0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
-                if w * h > 0 and w * h / min(a[2] * a[3], b[2] * b[3]) >= 0.95:
-                    gone.add(i if a[2] * a[3] <= b[2] * b[3] else j)
-        rows += [(page, i, *r) for i, r in enumerate(rects)]
-        want |= {(page, i) for i in range(len(rects)) if i not in gone}
+def kept_pictures(spark, rects):
+    rows = [(p, i, *map(float, r)) for p, page in enumerate(rects) for i, r in enumerate(page)]
     df = spark.createDataFrame(rows, "page_id bigint, seq bigint, x double, y double, w double, h double")
-    assert {(r.page_id, r.seq) for r in illustrations.illustration_dedupe(df).collect()} == want
+    got = {p: [] for p in range(len(rects))}
+    for r in illustrations.illustration_dedupe(df).orderBy("page_id", "seq").collect():
+        got[r.page_id].append(r.seq)
+    return list(got.values())
+
+
+def test_nested_illustrations_by_example(spark):
+    big, small, far, half = (0, 0, 40, 40), (10, 10, 20, 20), (100, 100, 20, 20), (30, 0, 20, 20)
+    assert kept_pictures(spark, [
+        [big, small], [small, big], [big, big], [big, far], [big, half], [small, far, big, small], [(0, 0, 0, 0), big], [big],
+        [(0, 0, 100, 100), (0, 0, 100, 96), (0, 0, 100, 91)],
+    ]) == [[0], [1], [1], [0, 1], [0, 1], [1, 2], [0, 1], [0], [0]]
+
+
+def test_dropped_illustrations_are_covered(spark):
+    rnd = random.Random(2)
+    pages = [[(rnd.randrange(3) * 10, rnd.randrange(3) * 10, rnd.choice([20, 40]), rnd.choice([20, 40])) for _ in range(rnd.randrange(1, 6))] for _ in range(80)]
+    for page, kept in zip(pages, kept_pictures(spark, pages), strict=True):
+        assert kept
+        for i in set(range(len(page))) - set(kept):
+            x, y, w, h = page[i]
+            inner = [(max(0, min(x + w, a + c) - max(x, a)) * max(0, min(y + h, b + d) - max(y, b))) for n, (a, b, c, d) in enumerate(page) if n != i]
+            assert max(inner) >= 0.95 * w * h
 
 
-def test_reading_blocks_v1_against_sequence(spark):
+def v1_texts(spark, rows):
+    return [r.text for r in search.reading_blocks_v1(spark.createDataFrame(rows, LINE)).orderBy("block_no").collect()]
+
+
+def test_reading_blocks_v1_by_example(spark):
+    long = "word " * 25 + "end."
+    assert v1_texts(spark, [line(1, 0, 0, "a b", vpos=40), line(1, 0, 1, "c.", vpos=80)]) == ["a b c. "]
+    assert v1_texts(spark, [line(1, 0, 0, long, vpos=40), line(1, 0, 1, "x.", vpos=80), line(1, 0, 2, "y. z", vpos=120), line(1, 1, 0, "w;", vpos=160)]) == [f"{long} x. y.", "z w; "]
+    assert v1_texts(spark, [line(1, 0, 0, "a", vpos=40), line(1, 0, 1, "b", vpos=400)]) == ["a . -- -- b "]
+    assert v1_texts(spark, [line(1, 0, 0, "a", vpos=40), line(1, 0, 1, "narrow", vpos=80, width=30), line(1, 0, 2, "b", vpos=120)])[0].split(" ")[-2:] == ["b", ""]
+
+
+def test_reading_blocks_v1_close_only_at_sentence_ends(spark):
     rnd = random.Random(9)
-    rows, want = [], {}
-    for page in range(10):
-        made, vpos = [], 0
-        for i in range(40):
-            vpos += rnd.choice([40, 40, 40, 120])
-            text = " ".join("word" + rnd.choice(["", "", ".", ";", ","]) for _ in range(rnd.randrange(1, 9)))
-            made.append(line(page, i // 10, i, text, vpos=vpos, width=rnd.choice([800, 800, 30])))
-        rows += made
-        out, text, n, last = [], "", 0, 0
-        for ln in made:
-            if ln[7] < 50:
-                continue
-            if last > 0 and ln[6] - last > 50 and text:
-                text += ". -- -- "
-            last, n = ln[9], n + 1
-            for t in ln[-1]:
-                text += t[1]
-                if n >= 3 and len(text) > 120 and t[1][-1] in ".;":
-                    out.append(text)
-                    text, n = "", 0
-                else:
-                    text += " "
-        want[page] = out + ([text] if text else [])
-    got = {}
-    for r in search.reading_blocks_v1(spark.createDataFrame(rows, LINE)).orderBy("page_id", "block_no").collect():
-        got.setdefault(r.page_id, []).append(r.text)
-    assert got == want
+    rows, words, vpos = [], [], 0
+    for i in range(60):
+        vpos += 40
+        ws = ["word" + rnd.choice(["", "", ".", ";", ","]) for _ in range(rnd.randrange(1, 9))]
+        words += ws
+        rows.append(line(1, i // 10, i, " ".join(ws), vpos=vpos, width=800))
+    got = v1_texts(spark, rows)
+    assert [w for t in got for w in t.split()] == words
+    assert all(t[-1] in ".;" and len(t) > 120 for t in got[:-1])

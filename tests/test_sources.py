@@ -120,47 +120,49 @@ def test_settings_files(spark, tmp_path):
     assert rows["good"].per_model["m"].top_p == 0.4
 
 
-def test_html_blocks_against_sequence(spark):
+def _fragments(spark, docs):
+    df = spark.createDataFrame(list(enumerate(docs)), "page_id bigint, html string")
+    got = {i: [] for i in range(len(docs))}
+    for r in html.html_blocks(df, "html").orderBy("page_id", "block_no").collect():
+        got[r.page_id].append(r.fragment)
+    return got
+
+
+def test_html_blocks_by_example(spark):
+    cases = {
+        "<p>a</p><p>b</p>": ["<p>a</p>", "<p>b</p>"],
+        "before<p>a<b>c</b></p> after": ["before", "<p>a<b>c</b></p>", " after"],
+        "<hr/><br><div><p>x</p><br></div>": ["<hr/>", "<br>", "<div><p>x</p><br></div>"],
+        "<p>open <b>still": ["<p>open <b>still"],
+        "</p>x</div><p>y</p>": ["x", "<p>y</p>"],
+        "only text": ["only text"],
+        "</p></b>": ["</p></b>"],
+    }
+    assert list(_fragments(spark, list(cases)).values()) == list(cases.values())
+
+
+def test_html_blocks_lose_nothing_but_stray_closings(spark):
     import random
     import re
 
     rnd = random.Random(4)
-    pieces = ["<p>", "</p>", "<b>", "</b>", "<br>", "<hr/>", "text", " ", "</div>", "<small>x</small>", "<!-- c -->"]
-    docs = ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(1, 14))) for _ in range(300)] + ["</p></b>"]
-
-    def sequential(h):
-        out, depth, start, last = [], 0, None, 0
-        for m in re.finditer(r"<[^>]+?>", h):
-            s, e = m.span()
-            if depth == 0 and s > last:
-                out.append(h[last:s])
-            t = m.group(0)
-            name = re.match(r"^<\s*/?\s*([a-zA-Z0-9:-]+)", t)
-            void = t.endswith("/>") or (name and name.group(1).lower() in M.VOID_TAGS)
-            if void:
-                if depth == 0:
-                    out.append(t)
-            elif t.startswith("</"):
-                depth = max(depth - 1, 0)
-                if depth == 0 and start is not None:
-                    out.append(h[start:e])
-                    start = None
-            else:
-                if depth == 0:
-                    start = s
-                depth += 1
-            last = e
-        if start is not None:
-            out.append(h[start:])
-        elif last < len(h):
-            out.append(h[last:])
-        return out or [h]
-
-    df = spark.createDataFrame(list(enumerate(docs)), "page_id bigint, html string")
-    got = {}
-    for r in html.html_blocks(df, "html").orderBy("page_id", "block_no").collect():
-        got.setdefault(r.page_id, []).append(r.fragment)
-    assert got == {i: sequential(h) for i, h in enumerate(docs)}
+    docs = []
+    for _ in range(200):  # well nested: what is opened is closed
+        open_, out = [], []
+        for _ in range(rnd.randrange(1, 14)):
+            out.append(rnd.choice(["text", " ", "<br>", "<hr/>", "<small>x</small>"]))
+            if rnd.random() < 0.5:
+                open_.append(rnd.choice(["p", "b", "div"]))
+                out.append(f"<{open_[-1]}>")
+            elif open_:
+                out.append(f"</{open_.pop()}>")
+        docs.append("".join(out) + "".join(f"</{t}>" for t in reversed(open_)))
+    for i, fragments in _fragments(spark, docs).items():
+        assert "".join(fragments) == docs[i]
+        for f in fragments:
+            assert len(re.findall(r"<(?:p|b|div|small)>", f)) == len(re.findall(r"</(?:p|b|div|small)>", f))
+    strays = _fragments(spark, ["</div>" + d for d in docs[:40]])
+    assert all("".join(strays[i]) == docs[i] for i in range(40) if "<" in docs[i])
 
 
 def test_document_blocks(spark):
