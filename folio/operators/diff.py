@@ -154,9 +154,10 @@ def _shingles(c: Column) -> Column:
 def align_blocks(left: DataFrame, right: DataFrame, strict: float = 0.6, loose: float = 0.5) -> DataFrame:
     """Pair the blocks of two versions without ids.
 
-    Equal blocks pair by key and occurrence.  The rest pair by shared word shingles inside the page,
-    one or two neighbouring blocks a side, within two positions; the best mutual match wins.
-    Noise and unmatched blocks come out alone.  ``left`` / ``right``: page_id, ord, html.
+    Equal blocks pair by key and occurrence.  Those in the same order among all of them on both sides are
+    anchors; the rest pair by shared word shingles between the same two anchors, one or two neighbouring
+    blocks a side, wherever they stand there; the best mutual match wins.  Noise and unmatched blocks
+    come out alone.  ``left`` / ``right``: page_id, ord, html.
     """
     def side(df: DataFrame, name: str) -> DataFrame:
         occ = Window.partitionBy("page_id", "key").orderBy("ord")
@@ -173,36 +174,40 @@ def align_blocks(left: DataFrame, right: DataFrame, strict: float = 0.6, loose:
         F.lit(1.0).alias("similarity"), F.lit("equal").alias("change"),
     )
 
+    before = Window.partitionBy("page_id").orderBy("left_ord").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("page_id").orderBy("left_ord").rowsBetween(1, Window.unboundedFollowing)
+    anchors = equal.select(
+        "page_id", "left_ord", "right_ord", F.max("right_ord").over(before).alias("_b"), F.min("right_ord").over(behind).alias("_a")
+    ).filter("(_b IS NULL OR _b < right_ord) AND (_a IS NULL OR _a > right_ord)")
+
     def candidates(name: str) -> DataFrame:
         free = both.filter(f"{'right' if name == 'left' else 'left'}_ord IS NULL AND NOT {name}_noise").select(
-            "page_id", F.col(f"{name}_ord").alias("ord"), F.col(f"{name}_txt").alias("txt"))
+            "page_id", F.col(f"{name}_ord").alias("ord"), F.col(f"{name}_txt").alias("txt"), F.lit(0).alias("anchor"))
+        marks = anchors.select("page_id", F.col(f"{name}_ord").alias("ord"), F.lit(None).cast("string").alias("txt"), F.lit(1).alias("anchor"))
         order = Window.partitionBy("page_id").orderBy("ord")
         nxt_ord, nxt = F.lead("ord").over(order), F.lead("txt").over(order)
-        wide = free.withColumn("_two", F.when(nxt_ord == F.col("ord") + 1, F.concat_ws(" ", "txt", nxt)))
-        return wide.select(
-            "page_id", "ord",
-            F.inline(F.array(F.struct(F.lit(1).alias("n"), F.col("txt").alias("t")), F.struct(F.lit(2).alias("n"), F.col("_two").alias("t")))),
-        ).filter("t IS NOT NULL").select(
-            "page_id", F.col("ord").alias(f"{name}_ord"), F.col("n").alias(f"{name}_n"), _shingles(F.col("t")).alias(f"{name}_sh"))
-
-    lc, rc = candidates("left"), candidates("right")
-    # one row per shingle; the position band keeps a repeated shingle from pairing far-apart blocks
-    band = F.floor(F.col("left_ord") / 5)
-    ls = lc.select("page_id", "left_ord", "left_n", F.size("left_sh").alias("left_size"), band.alias("band"), F.explode("left_sh").alias("sh"))
-    rs = rc.select(
-        "page_id", "right_ord", "right_n", F.size("right_sh").alias("right_size"),
-        F.explode(F.array_distinct(F.array(F.floor((F.col("right_ord") - 2) / 5), F.floor((F.col("right_ord") + 2) / 5)))).alias("band"),
-        "right_sh",
-    ).select("page_id", "right_ord", "right_n", "right_size", "band", F.explode("right_sh").alias("sh"))
+        wide = free.unionByName(marks).select(
+            "page_id", "ord", "txt", F.sum("anchor").over(order).alias("gap"),
+            (F.col("ord") - F.coalesce(F.max(F.when(F.col("anchor") == 1, F.col("ord"))).over(order), F.lit(-1))).alias("rel"),
+            F.when(nxt_ord == F.col("ord") + 1, F.concat(F.col("txt"), F.lit(" "), nxt)).alias("_two")).filter("txt IS NOT NULL")
+        one = F.struct(F.lit(1).alias("n"), F.col("txt").alias("t"))
+        two = F.struct(F.lit(2).alias("n"), F.col("_two").alias("t"))
+        return wide.select("page_id", "gap", "ord", "rel", F.inline(F.array(one, two))).filter("t IS NOT NULL").select(
+            "page_id", "gap", F.col("ord").alias(f"{name}_ord"), F.col("rel").alias(f"{name}_rel"), F.col("n").alias(f"{name}_n"), _shingles(F.col("t")).alias("sh")
+        ).select(
+            "page_id", "gap", f"{name}_ord", f"{name}_rel", f"{name}_n", F.size("sh").alias(f"{name}_size"),
+            F.explode(F.transform("sh", lambda x: F.xxhash64(x))).alias("sh"))
+
+    # one row per shingle; blocks on different sides of an anchor never meet
+    sides = ["left", "right"]
     scored = (
-        ls.join(rs, ["page_id", "band", "sh"])
-        .filter(F.abs(F.col("left_ord") - F.col("right_ord")) <= 2)
-        .groupBy("page_id", "left_ord", "left_n", "left_size", "right_ord", "right_n", "right_size")
+        candidates("left").join(candidates("right"), ["page_id", "gap", "sh"])
+        .groupBy("page_id", *[f"{s}_{c}" for s in sides for c in ("ord", "rel", "n", "size")])
         .agg(F.count("*").alias("common"))
         .withColumn("similarity", F.col("common") / (F.col("left_size") + F.col("right_size") - F.col("common")))
         .filter(F.col("similarity") >= F.when((F.col("left_n") == 1) & (F.col("right_n") == 1), F.lit(loose)).otherwise(F.lit(strict)))
     )
-    rank = [F.desc("similarity"), F.col("left_n") + F.col("right_n"), F.abs(F.col("left_ord") - F.col("right_ord"))]
+    rank = [F.desc("similarity"), F.col("left_n") + F.col("right_n"), F.abs(F.col("left_rel") - F.col("right_rel"))]
     by_left = Window.partitionBy("page_id", "left_ord").orderBy(*rank, "right_ord")
     by_right = Window.partitionBy("page_id", "right_ord").orderBy(*rank, "left_ord")
     best = materialise(

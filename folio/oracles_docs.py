@@ -425,11 +425,13 @@ oracle("diff_markup", f"""
 SELECT page_id, block_id, CASE WHEN c THEN regexp_replace(l, '^((?:<br>)?<[a-z0-9]+[^>]*)>', '\\1 class="{CLS}">') ELSE l END AS left_markup,
   CASE WHEN c THEN regexp_replace(r, '^((?:<br>)?<[a-z0-9]+[^>]*)>', '\\1 class="{CLS}">') ELSE r END AS right_markup FROM dm""")
 # alignment without ids
-for _s, _t in (("l", "fx_blocks"), ("r", "ap_ok")):
+for _s, _t, _rest in (("l", "fx_blocks", 1), ("r", "ap_ok", 0)):
     part(f"al_{_s}", f"""
 SELECT *, row_number() OVER (PARTITION BY page_id, key ORDER BY ord) AS occ FROM (
   SELECT page_id, ord, lower(regexp_extract(trim(html), '^<\\s*([a-zA-Z0-9]+)', 1)) || '|' || {block_text('html')} AS key, {block_text('html')} AS txt
-  FROM (SELECT page_id, ord, {block_html('client')} AS html FROM {_t}))
+  FROM (SELECT page_id, ord + CASE WHEN page_id % 3 = {_rest} THEN 3 + page_id % 8 ELSE 0 END AS ord, {block_html('client')} AS html FROM {_t}
+    UNION ALL SELECT doc_id, k, '<p>Inserted paragraph ' || k || ' of page ' || doc_id || ' with words number ' || (k * 7) || '</p>'
+    FROM documents, LATERAL unnest(generate_series(0, 2 + doc_id % 8)) AS u(k) WHERE doc_id % 3 = {_rest}))
 """)
 part("al_both", """
 SELECT coalesce(l.page_id, r.page_id) AS page_id, l.ord AS lo, r.ord AS ro, l.txt AS lt, r.txt AS rt
@@ -442,21 +444,29 @@ def noise(t: str) -> str:
             f"(length({t}) - length(translate({t}, '•.,/ -', ''))) / greatest(length({t}), 1) > 7e-1)")
 
 
+part("al_anchor", """
+SELECT page_id, lo, ro FROM (SELECT page_id, lo, ro, max(ro) OVER (PARTITION BY page_id ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b,
+  min(ro) OVER (PARTITION BY page_id ORDER BY lo ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM al_both WHERE lo IS NOT NULL AND ro IS NOT NULL)
+WHERE (b IS NULL OR b < ro) AND (a IS NULL OR a > ro)
+""")
 for _s, _o in (("l", "r"), ("r", "l")):
     part(f"al_c{_s}", f"""
-SELECT page_id, o, n, CASE WHEN len(w) < 3 THEN [t] ELSE list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i+2], ' '))) END AS sh
-FROM (SELECT page_id, o, n, t, string_split(t, ' ') AS w FROM (
-   SELECT page_id, o, unnest([1, 2]) AS n, unnest([t, CASE WHEN no = o + 1 THEN t || ' ' || nt END]) AS t FROM (
-     SELECT page_id, {_s}o AS o, {_s}t AS t, lead({_s}o) OVER w AS no, lead({_s}t) OVER w AS nt FROM al_both WHERE {_o}o IS NULL AND NOT {noise(_s + 't')}
-     WINDOW w AS (PARTITION BY page_id ORDER BY {_s}o))) WHERE t IS NOT NULL)
+SELECT page_id, gap, o, o - base AS rel, n, CASE WHEN len(w) < 3 THEN [t] ELSE list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i+2], ' '))) END AS sh
+FROM (SELECT page_id, o, gap, base, n, t, string_split(t, ' ') AS w FROM (
+   SELECT page_id, o, gap, base, unnest([1, 2]) AS n, unnest([t, CASE WHEN no = o + 1 THEN t || ' ' || nt END]) AS t FROM (
+     SELECT f.*, lead(o) OVER w AS no, lead(t) OVER w AS nt,
+       (SELECT count(*) FROM al_anchor a WHERE a.page_id = f.page_id AND a.{_s}o <= f.o) AS gap,
+       (SELECT coalesce(max(a.{_s}o), -1) FROM al_anchor a WHERE a.page_id = f.page_id AND a.{_s}o <= f.o) AS base
+     FROM (SELECT page_id, {_s}o AS o, {_s}t AS t FROM al_both WHERE {_o}o IS NULL AND NOT {noise(_s + 't')}) f
+     WINDOW w AS (PARTITION BY page_id ORDER BY o))) WHERE t IS NOT NULL)
 """)
 part("al_score", """
-SELECT l.page_id, l.o AS lo, l.n AS ln, r.o AS ro, r.n AS rn, len(list_intersect(l.sh, r.sh)) AS common,
+SELECT l.page_id, l.o AS lo, l.n AS ln, r.o AS ro, r.n AS rn, abs(l.rel - r.rel) AS apart, len(list_intersect(l.sh, r.sh)) AS common,
   len(list_intersect(l.sh, r.sh)) / (len(l.sh) + len(r.sh) - len(list_intersect(l.sh, r.sh))) AS sim
-FROM al_cl l JOIN al_cr r ON l.page_id = r.page_id AND abs(l.o - r.o) <= 2
+FROM al_cl l JOIN al_cr r USING (page_id, gap)
 """)
 part("al_rank", """
-SELECT *, row_number() OVER (PARTITION BY page_id, lo ORDER BY sim DESC, ln + rn, abs(lo - ro), ro) AS a, row_number() OVER (PARTITION BY page_id, ro ORDER BY sim DESC, ln + rn, abs(lo - ro), lo) AS b
+SELECT *, row_number() OVER (PARTITION BY page_id, lo ORDER BY sim DESC, ln + rn, apart, ro) AS a, row_number() OVER (PARTITION BY page_id, ro ORDER BY sim DESC, ln + rn, apart, lo) AS b
 FROM al_score WHERE common > 0 AND sim >= CASE WHEN ln = 1 AND rn = 1 THEN 5e-1 ELSE 6e-1 END
 """)
 part("al_best", "SELECT * FROM al_rank WHERE a = 1 AND b = 1")

@@ -451,9 +451,17 @@ def diff_markup(spark, sf):
 
 @register
 def align_blocks(spark, sf):
+    """A group of 3 to 10 paragraphs stands before the others, on a third of the pages left, on a third right."""
     l, r = _versions(spark, sf)  # noqa: E741
-    markup = lambda df: df.select("page_id", "ord", M.block_html(F.col("type"), F.col("text"), F.col("block_id"), "client").alias("html"))
-    a = diff.align_blocks(markup(l), markup(r))
+
+    def markup(df, rest):
+        html = M.block_html(F.col("type"), F.col("text"), F.col("block_id"), "client")
+        shift = F.when(F.col("page_id") % 3 == rest, 3 + F.col("page_id") % 8).otherwise(0)
+        more = _docs(spark, sf).filter(f"doc_id % 3 = {rest}").selectExpr("doc_id AS page_id", "explode(sequence(0, 2 + doc_id % 8)) AS ord").select(
+            "page_id", "ord", F.format_string("<p>Inserted paragraph %d of page %d with words number %d</p>", "ord", "page_id", F.col("ord") * 7).alias("html"))
+        return df.select("page_id", (F.col("ord") + shift).alias("ord"), html.alias("html")).unionByName(more)
+
+    a = diff.align_blocks(markup(l, 1), markup(r, 0))
     return a.select("page_id", "left_ord", "right_ord", F.col("left_n").cast("bigint").alias("left_n"),
                     F.col("right_n").cast("bigint").alias("right_n"), F.bround("similarity", 6).alias("similarity"), "change")
 
