@@ -93,13 +93,17 @@ def effective_settings(agents: DataFrame, models: DataFrame, overrides: DataFram
 
 
 def requests(payloads: DataFrame, settings: DataFrame, prompts: DataFrame) -> DataFrame:
-    """One request row per page and agent, as JSON; pages without payload give none."""
-    agents = prompts.join(settings, "name")
+    """One request row per page and agent, as JSON; pages without payload give none.
+
+    A page whose agent is unknown or unreadable gives a row with ``error`` instead.
+    """
+    agents = prompts.join(settings, "name").withColumn("_known", F.lit(True))
     body = F.to_json(F.struct(
         "model", F.col("prompt").alias("instructions"), F.col("payload").alias("input"),
         "temperature", "top_p", "reasoning_effort", "max_output_tokens",
     ))
-    return payloads.filter("payload IS NOT NULL").join(agents, "agent").select("page_id", "agent", body.alias("request"))
+    return payloads.filter("payload IS NOT NULL").join(agents, "agent", "left").select(
+        "page_id", "agent", F.when(F.col("_known"), body).alias("request"), F.when(F.col("_known").isNull(), "no_agent").alias("error"))
 
 
 def results(responses: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -111,7 +115,7 @@ def results(responses: DataFrame, blocks: DataFrame) -> DataFrame:
     body = M.strip_fences(M.response_extract(F.col("response"))["text"])
     read = materialise(responses.select("page_id", body.alias("body")).select(
         "page_id", "body",
-        F.from_json(F.get_json_object("body", "$.changes"), "array<struct<id:string,text:string>>").alias("c"),
+        F.from_json(F.get_json_object("body", "$.changes"), "array<map<string,string>>").alias("c"),
         F.from_json(F.get_json_object("body", "$.blocks"), "array<struct<id:string,type:string,text:string>>").alias("b"),
         M.validate_changes(F.col("body"))["ok"].alias("ok"),
     ).withColumn(
@@ -119,7 +123,8 @@ def results(responses: DataFrame, blocks: DataFrame) -> DataFrame:
         .when(F.col("c").isNotNull(), "keep").otherwise("text"),
     ))
     change_rows = read.filter("route = 'changes'").select("page_id", F.posexplode("c").alias("ord", "x")).select(
-        "page_id", F.col("ord").cast("bigint").alias("ord"), F.col("x.id").alias("block_id"), "x.text")
+        "page_id", F.col("ord").cast("bigint").alias("ord"), F.col("x")["id"].alias("block_id"),
+        F.when(F.map_contains_key("x", F.lit("text")), F.coalesce(F.col("x")["text"], F.lit(""))).alias("text"))  # a null text removes the block
     replaced = read.filter("route IN ('blocks', 'text')").select("page_id")
     kept = blocks.select("page_id", "block_id", "ord", "type", "text").join(replaced, "page_id", "left_anti")
     corrected = apply_changes(kept, change_rows).select("page_id", "ord", "block_id", "type", "text")

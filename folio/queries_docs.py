@@ -524,8 +524,8 @@ def effective_settings(spark, sf):
 def llm_requests(spark, sf):
     """Each page goes to the agent its id selects."""
     agents = _agents(spark, sf).filter("model IS NOT NULL")
-    n = 50
-    picked = agents.withColumn("agent", F.regexp_extract("name", "([0-9]+)$", 1).cast("bigint")).filter(F.col("agent") < n)
+    n = fx.table(spark, sf, "part").count()
+    picked = agents.withColumn("agent", F.regexp_extract("name", "([0-9]+)$", 1).cast("bigint"))
     payloads = corrections.doc_payload(fx.blocks(spark, sf), F.lit("cs")).withColumn("agent", F.col("page_id") % n)
     return corrections.requests(payloads, _settings(spark, sf), picked.select("agent", "name", "prompt"))
 

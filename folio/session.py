@@ -6,6 +6,7 @@ caller has set except the time zone, which the results depend on.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,22 +33,41 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "folio") ->
     return spark
 
 
+RUN = uuid.uuid4().hex
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the one the cluster names, a scratch one only where none is set."""
+    """Shared folder for intermediate tables: the one the session names in ``spark.checkpoint.dir``.
+
+    On a local master without one a temporary folder is taken; on a cluster that would be a folder of one machine, so
+    there it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[[^,]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="folio-ckpt-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new place below the folder of this run."""
+    return f"{shared_dir(spark)}/folio/{RUN}/{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write a step's result as a table in the shared folder and read it back.
+    """Write a step's result as a table in the shared folder and read it back; this runs the step at once.
 
     Used where a step is read several times, so that its inputs are not computed once per reader. The
-    table outlives lost executors, and its real size steers the joins that follow.
+    table outlives lost executors, and its real size steers the joins that follow.  :func:`clean` removes it.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folio/{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all tables this run has written; call it when nothing reads them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/folio/{RUN}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
