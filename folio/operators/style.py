@@ -157,50 +157,57 @@ def style_map(styles: DataFrame) -> DataFrame:
     return styles.groupBy("page_id").agg(F.map_from_entries(F.collect_list(entry)).alias("_styles"))
 
 
-def token_style(tokens: DataFrame, styles: DataFrame) -> DataFrame:
-    """Style of a word: the first id in its style list that the page declares; size from there, else its height."""
-    attr = F.coalesce("style", F.lit(""))
+def _signature(style: Column, height: Column) -> Column:
+    """Size, weight, slant, family and style id of a word, by the page's ``_styles``."""
+    attr = F.coalesce(style, F.lit(""))
     ids = F.transform(F.split(F.trim(attr), r"\s+"), lambda x: F.btrim(x, F.lit(" ,;")))
-    known = F.filter(ids, lambda x: F.map_contains_key("_styles", x))
-    meta = lambda c: F.lower(F.coalesce(F.col(f"_s.{c}"), F.lit("")))
-    return (
-        tokens.join(style_map(styles), "page_id", "left")
-        .withColumn("style_id", F.get(known, F.lit(0)))
-        .withColumn("_s", F.try_element_at("_styles", "style_id"))
-        .select(
-            "page_id",
-            "token_seq",
-            F.bround(F.coalesce("_s.font_size", "height"), 2).alias("size"),
-            (F.lower(attr).contains("bold") | meta("font_weight").contains("bold")).alias("bold"),
-            (F.lower(attr).contains("italic") | meta("font_style").contains("italic")).alias("italic"),
-            T.clean_text(F.coalesce("_s.font_family", F.lit(""))).alias("font_family"),
-            F.coalesce("style_id", F.lit("")).alias("style_id"),
-        )
+    known = F.get(F.filter(ids, lambda x: F.map_contains_key("_styles", x)), F.lit(0))
+    own = F.try_element_at("_styles", known)
+    meta = lambda c: F.lower(F.coalesce(own[c], F.lit("")))
+    return F.struct(
+        F.bround(F.coalesce(own["font_size"], height), 2).alias("size"),
+        (F.lower(attr).contains("bold") | meta("font_weight").contains("bold")).alias("bold"),
+        (F.lower(attr).contains("italic") | meta("font_style").contains("italic")).alias("italic"),
+        T.clean_text(F.coalesce(own["font_family"], F.lit(""))).alias("font_family"),
+        F.coalesce(known, F.lit("")).alias("style_id"),
     )
 
 
-def block_font_stats(lines: DataFrame, keys: list[str], min_chars: int = 40) -> DataFrame:
-    """Dominant size of each text unit of at least ``min_chars``, then per page totals by size."""
+def token_style(tokens: DataFrame, styles: DataFrame) -> DataFrame:
+    """Style of a word: the first id in its style list that the page declares; size from there, else its height."""
+    return tokens.join(style_map(styles), "page_id", "left").select("page_id", "token_seq", _signature(F.col("style"), F.col("height")).alias("_s")).select(
+        "page_id", "token_seq", "_s.*")
+
+
+def block_font_stats(lines: DataFrame, styles: DataFrame, keys: list[str], min_chars: int = 40) -> DataFrame:
+    """Per page and size, what the text units hold whose dominant size it is.
+
+    A unit (``keys``) counts if it has ``min_chars`` characters in all; of these only those of its dominant size (most
+    characters, ties to the first seen) are added up: all, bold and italic ones, the family most of them are
+    set in, the units and their lines with text.
+    """
     resolved = lambda t: T.hyp_resolve(t.content, t.subs_content, t.subs_type)
-    words = lines.select(
-        *keys, F.explode(F.transform("tokens", lambda t: F.struct(
-            t["seq"].alias("seq"), T.nonspace_len(resolved(t)).alias("len"),
-            F.bround(t["height"], 1).alias("size"),
-            F.coalesce(t["style"].contains("bold"), F.lit(False)).alias("bold")))).alias("t"),
-    ).filter("t.len > 0")
-    by_size = words.groupBy(*keys, F.col("t.size").alias("size")).agg(
-        F.sum("t.len").alias("chars"),
-        F.sum(F.when(F.col("t.bold"), F.col("t.len")).otherwise(0)).alias("bold_chars"),
-        F.min("t.seq").alias("first_seq"),
-    )
+    words = lines.join(style_map(styles), "page_id", "left").select(
+        *keys, "line_seq", F.explode(F.transform("tokens", lambda t: F.struct(
+            t["seq"].alias("seq"), T.nonspace_len(resolved(t)).alias("len"), _signature(t["style"], t["height"]).alias("s")))).alias("t"),
+    ).filter("t.len > 0 AND t.s.size IS NOT NULL").select(*keys, "line_seq", "t.seq", "t.len", "t.s.*")
+    some = lambda c: F.sum(F.when(F.col(c), F.col("len")).otherwise(0)).alias(f"{c}_chars")
+    by_family = words.groupBy(*keys, "size", "font_family").agg(
+        F.sum("len").alias("chars"), some("bold"), some("italic"), F.min("seq").alias("first_seq"), F.collect_set("line_seq").alias("in_lines"))
+    by_size = by_family.groupBy(*keys, "size").agg(
+        *[F.sum(c).alias(c) for c in ("chars", "bold_chars", "italic_chars")], F.min("first_seq").alias("first_seq"),
+        F.flatten(F.collect_list("in_lines")).alias("in_lines"),
+        F.collect_list(F.struct(F.col("font_family").alias("family"), F.col("chars").alias("n"))).alias("families"))
+    unit = F.struct("size", "chars", "bold_chars", "italic_chars", "families")
     dominant = by_size.groupBy(*keys).agg(
-        F.min_by("size", F.struct(-F.col("chars"), F.col("first_seq"))).alias("size"),
-        F.sum("chars").alias("chars"),
-        F.sum("bold_chars").alias("bold_chars"),
-    ).filter(F.col("chars") >= min_chars)
-    return dominant.groupBy("page_id", "size").agg(
-        F.sum("chars").alias("chars"), F.sum("bold_chars").alias("bold_chars"), F.count("*").alias("blocks")
-    )
+        F.min_by(unit, F.struct(-F.col("chars"), F.col("first_seq"))).alias("u"), F.sum("chars").alias("all_chars"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("in_lines")))).cast("bigint").alias("lines"),
+    ).filter(F.col("all_chars") >= min_chars).select("page_id", "u.*", "lines")
+    totals = dominant.groupBy("page_id", "size").agg(
+        *[F.sum(c).alias(c) for c in ("chars", "bold_chars", "italic_chars")], F.count("*").alias("blocks"), F.sum("lines").alias("lines"))
+    family = dominant.select("page_id", "size", F.explode("families").alias("f")).filter("f.family <> ''").groupBy("page_id", "size", "f.family").agg(
+        F.sum("f.n").alias("n")).groupBy("page_id", "size").agg(F.min_by("family", F.struct(-F.col("n"), F.col("family"))).alias("font_family"))
+    return totals.join(family, ["page_id", "size"], "left")
 
 
 def counter_confidence(df: DataFrame, key: str, cnt: str) -> DataFrame:

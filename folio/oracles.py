@@ -48,14 +48,23 @@ SELECT page_id, token_seq, font_size AS size, style = 'bold' OR font_size = 24 A
   CASE WHEN font_size > 11 THEN 'Fraktur' ELSE 'Times' END AS font_family,
   'FONT_' || CAST(CAST(font_size AS BIGINT) AS VARCHAR) AS style_id FROM fx_tokens""")
 FONT_STATS = """
-SELECT page_id, size, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(bold_chars) AS BIGINT) AS bold_chars, count(*) AS blocks FROM (
-  SELECT page_id, %(k)s, sum(chars) AS chars, sum(bold_chars) AS bold_chars, max(size) FILTER (WHERE r = 1) AS size FROM (
-    SELECT *, row_number() OVER (PARTITION BY page_id, %(k)s ORDER BY chars DESC, first_seq) AS r FROM (
-      SELECT page_id, %(k)s, round_even(height, 1) AS size, sum(len) AS chars, sum(CASE WHEN style = 'bold' THEN len ELSE 0 END) AS bold_chars,
-        min(token_seq) AS first_seq
-      FROM (SELECT %(src)s.*, length(regexp_replace(tok, '\\s', '', 'g')) AS len FROM %(src)s) WHERE len > 0
-      GROUP BY page_id, %(k)s, round_even(height, 1)))
-  GROUP BY page_id, %(k)s HAVING sum(chars) >= 40) GROUP BY page_id, size"""
+SELECT * FROM (WITH words AS (
+  SELECT *, length(regexp_replace(tok, '\\s', '', 'g')) AS len, CASE WHEN token_seq %% 2 = 0 THEN l_size ELSE round_even(height, 2) END AS size,
+    style = 'bold' OR (token_seq %% 2 = 0 AND l_size = 24) AS bold, token_seq %% 2 = 0 AND l_size = 14 AS italic,
+    CASE WHEN token_seq %% 2 = 1 THEN '' WHEN l_size > 11 THEN 'Fraktur' ELSE 'Times' END AS family
+  FROM (SELECT s.*, l.font_size AS l_size FROM %(src)s s JOIN (SELECT page_id, block_seq, line_seq, max(font_size) OVER (PARTITION BY page_id, block_seq) AS font_size FROM fx_lines) l USING (page_id, block_seq, line_seq))),
+sizes AS (
+  SELECT page_id, %(k)s, size, sum(len) AS chars, sum(len) FILTER (WHERE bold) AS bold_chars, sum(len) FILTER (WHERE italic) AS italic_chars, min(token_seq) AS first_seq
+  FROM words WHERE len > 0 GROUP BY page_id, %(k)s, size),
+units AS (
+  SELECT * FROM (SELECT *, sum(chars) OVER (PARTITION BY page_id, %(k)s) AS all_chars, row_number() OVER (PARTITION BY page_id, %(k)s ORDER BY chars DESC, first_seq) AS r FROM sizes)
+  JOIN (SELECT page_id, %(k)s, count(DISTINCT line_seq) AS lines FROM words WHERE len > 0 GROUP BY page_id, %(k)s) USING (page_id, %(k)s) WHERE r = 1 AND all_chars >= 40),
+fam AS (
+  SELECT page_id, size, arg_min(family, (-n, family)) AS font_family FROM (
+    SELECT page_id, size, family, sum(len) AS n FROM words JOIN units USING (page_id, %(k)s, size) WHERE len > 0 AND family <> '' GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT u.page_id, u.size, CAST(sum(chars) AS BIGINT) AS chars, CAST(coalesce(sum(bold_chars), 0) AS BIGINT) AS bold_chars, CAST(coalesce(sum(italic_chars), 0) AS BIGINT) AS italic_chars,
+  count(*) AS blocks, CAST(sum(lines) AS BIGINT) AS lines, any_value(font_family) AS font_family
+FROM units u LEFT JOIN fam f ON f.page_id = u.page_id AND f.size = u.size GROUP BY u.page_id, u.size)"""
 oracle("block_font_stats", FONT_STATS % {"k": "block_seq", "src": "tok_read"})
 oracle("paragraph_font_stats", FONT_STATS % {"k": "block_seq, seg", "src": "para"})
 oracle("counter_confidence", """

@@ -183,15 +183,22 @@ def token_style(spark, sf):
     return style.token_style(fx.tokens(lines), fx.styles(spark, sf))
 
 
+def _styled(spark, sf):
+    """Every other word names its style, the rest only has a height."""
+    named = lambda t: F.when(t["seq"] % 2 == 0, F.concat(F.lit("X, "), F.element_at(F.split("block_style_refs", " "), 2), F.lit("; "))).otherwise("")
+    return fx.text_lines(spark, sf).withColumn("tokens", F.transform("tokens", lambda t: t.withField("style", F.concat(named(t), t["style"]))))
+
+
 @register
 def block_font_stats(spark, sf):
-    return style.block_font_stats(fx.text_lines(spark, sf), ["page_id", "block_seq"])
+    return style.block_font_stats(_styled(spark, sf), fx.styles(spark, sf), ["page_id", "block_seq"])
 
 
 @register
 def paragraph_font_stats(spark, sf):
-    cut = layout.segment_lines(fx.text_lines(spark, sf), page_w())
-    return style.block_font_stats(cut, ["page_id", "block_seq", "seg"])
+    cut = layout.segment_lines(fx.text_lines(spark, sf), page_w()).select("page_id", "block_seq", "line_seq", "seg")
+    lines = _styled(spark, sf).join(cut, ["page_id", "block_seq", "line_seq"])
+    return style.block_font_stats(lines, fx.styles(spark, sf), ["page_id", "block_seq", "seg"])
 
 
 @register
