@@ -8,19 +8,17 @@ the text at the locator before they count as copies.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.common import ORACLES, parted, register, table
-from folio.session import materialise, shared_dir
+from folio.session import materialise, scratch_path
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": PROVIDER,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "192",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
@@ -79,7 +77,7 @@ def deduplicate(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFra
     clash.
     """
     spark = docs.sparkSession
-    place = f"{shared_dir(spark)}/folio/{uuid.uuid4().hex}"
+    place = scratch_path(spark)
     rows = materialise(tagged(docs, text))
     narrow = rows.select("digest", "doc_id", "locator")
     narrow.write.parquet(f"{place}/rows")

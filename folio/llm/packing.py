@@ -26,7 +26,7 @@ from folio.session import materialise
 LENGTH = 2048
 END_ID = 1
 GROUP_DOCS = 4096
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 BLOCK_BYTES = 2_000_000
 
@@ -137,6 +137,7 @@ def cut(docs: DataFrame, path: str, *, length: int = LENGTH, end_id: int = END_I
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(cols, list(ENCODED)[1:], strict=True))],
                 schema=ENCODED)
+        enc.words.clear()  # a worker keeps the heads for its next task, as later steps need its memory
 
     return texts(docs).mapInArrow(run, "doc_id bigint, doc_tokens bigint, whole array<bigint>, rest bigint, rest_crc32 bigint, ids binary")
 

@@ -195,7 +195,7 @@ def similar(edges: DataFrame, bodies: DataFrame, k: int, least: float) -> DataFr
     """Those of ``edges`` (a, b) whose texts ``bodies`` (node, body) share at least ``least`` of their distinct shingles."""
 
     def run(batches):
-        for b in batches:
+        for b in blocks(batches, "x", BLOCK_BYTES):
             same = [_jaccard(x, y, k) >= least for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
