@@ -23,7 +23,7 @@ def strip(c: str) -> str:
 
 def unescape(c: str) -> str:
     for ent, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&#39;", "''"), ("&#x27;", "''"),
-                     ("&nbsp;", " "), ("&amp;", "&")):
+                     ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         c = f"replace({c},'{ent}','{raw}')"
     return c
 
