@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import blocks, register, table, texts
+from folio.llm.common import blocks, register, released, table, texts
 from folio.session import materialise
 
 LENGTH = 2048
 END_ID = 1
 GROUP_DOCS = 4096
 CACHE_WORDS = 300_000
+CACHE_HEADS = 150_000
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 BLOCK_BYTES = 2_000_000
 
@@ -47,19 +48,23 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.most, self.words, self.heads = most, {}, {}
+        self.most, self.words = most, {}
+        self.heads, self.rare = {}, {}  # the first, hence the frequent heads stay for later tasks
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _learn_heads(self, heads: set[bytes]) -> None:
         plain = []
-        for h in heads.difference(self.heads):
+        def keep(h: bytes, ids: bytes) -> None:
+            (self.heads if len(self.heads) < CACHE_HEADS else self.rare)[h] = ids
+
+        for h in heads.difference(self.heads, self.rare):
             text = h.decode()
             if text.isalpha() and text.lower().isalpha() and unicodedata.is_normalized("NFC", text):
                 plain.append((h, text))
             else:
-                self.heads[h] = self._ids(text).tobytes()
+                keep(h, self._ids(text).tobytes())
         for i in range(0, len(plain), 2000):
             part = plain[i : i + 2000]
             ids = self._ids(" ".join([t for _, t in part]))
@@ -67,17 +72,19 @@ class WordEncoder:
             if len(cuts) == len(part):
                 data, a = ids.tobytes(), 0
                 for (h, _), b in zip(part, cuts, strict=True):
-                    self.heads[h], a = data[a:b], b
+                    keep(h, data[a:b])
+                    a = b
             else:
-                self.heads |= {h: self._ids(t).tobytes() for h, t in part}
+                for h, t in part:
+                    keep(h, self._ids(t).tobytes())
 
     def learn(self, words: set[bytes]) -> None:
         new = words.difference(self.words)
         if len(self.words) + len(new) > self.most:
             self.words.clear()
             new = words
-        if len(self.heads) > self.most:
-            self.heads.clear()
+        if len(self.rare) > self.most:
+            self.rare.clear()
         parts, heads = [], set()
         for w in new:
             head = w.rstrip(MARKS)
@@ -88,8 +95,14 @@ class WordEncoder:
             heads.add(w[len(head) :])
         heads.discard(b"")
         self._learn_heads(heads)
-        got = self.heads.get
-        self.words |= {w: got(h, b"") + got(t, b"") for w, h, t in parts}
+        frequent, rare = self.heads.get, self.rare.get
+        got = lambda h: frequent(h) or rare(h, b"")
+        self.words |= {w: (got(h) if h else b"") + (got(t) if t else b"") for w, h, t in parts}
+
+    def forget(self) -> None:
+        """Drop what only the running task needs."""
+        self.words.clear()
+        self.rare.clear()
 
     def encode(self, bodies: list[bytes]) -> Iterator[bytes]:
         split = [(b if b"<|" in b else b.lower()).split() for b in bodies]
@@ -137,9 +150,9 @@ def cut(docs: DataFrame, path: str, *, length: int = LENGTH, end_id: int = END_I
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(cols, list(ENCODED)[1:], strict=True))],
                 schema=ENCODED)
-        enc.words.clear()  # a worker keeps the heads for its next task, as later steps need its memory
+        enc.forget()
 
-    return texts(docs).mapInArrow(run, "doc_id bigint, doc_tokens bigint, whole array<bigint>, rest bigint, rest_crc32 bigint, ids binary")
+    return texts(docs).mapInArrow(lambda b: released(run(b)), "doc_id bigint, doc_tokens bigint, whole array<bigint>, rest bigint, rest_crc32 bigint, ids binary")
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import blocks, register, row_key, table, texts
+from folio.llm.common import blocks, register, released, row_key, table, texts
 from folio.session import materialise
 
 SLOTS = 1 << 18
@@ -160,7 +160,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "k1", "k2")), pa.array(got)], names=["doc_id", "k1", "k2", "score"])
 
     rows = row_key(texts(docs)).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return rows.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, score double")
+    return rows.mapInArrow(lambda b: released(run(b)), "doc_id bigint, k1 bigint, k2 bigint, score double")
 
 
 def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
@@ -172,7 +172,7 @@ def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD,
             got = scores(b.column(text).cast(pa.binary()).fill_null(b"").to_pylist(), model.value)
             yield b.filter(pa.array(got >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda b: released(run(b)), docs.schema)
 
 
 @register

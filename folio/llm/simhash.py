@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import blocks, parted, register, row_key, table, texts
+from folio.llm.common import blocks, parted, register, released, row_key, table, texts
 from folio.llm.components import components
 from folio.session import materialise
 
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, seeds: tuple[int, ...] = (SE
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "k1", "k2")), *prints], names=["doc_id", "k1", "k2", *names])
 
     rows = row_key(texts(docs)).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in ("doc_id", "k1", "k2", *names)))
+    return rows.mapInArrow(lambda b: released(run(b)), ", ".join(f"{c} bigint" for c in ("doc_id", "k1", "k2", *names)))
 
 
 def flips(bits: int, most: int) -> list[int]:
@@ -167,7 +167,7 @@ def meet(rows: DataFrame, point: list, parts: int, most: int) -> DataFrame:
         if len(rows):
             yield links(rows)
 
-    return rows.repartition(*point).sortWithinPartitions(*point).mapInArrow(run, "a bigint, b bigint")
+    return rows.repartition(*point).sortWithinPartitions(*point).mapInArrow(lambda b: released(run(b)), "a bigint, b bigint")
 
 
 def link(prints: DataFrame, names: list[str], node: str, *, radius: int = RADIUS, parts: int = 2, most: int | None = None) -> DataFrame:
@@ -201,7 +201,7 @@ def similar(edges: DataFrame, bodies: DataFrame, k: int, least: float) -> DataFr
 
     both = edges.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a").join(
         bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "x", "y").mapInArrow(lambda b: released(run(b)), "a bigint, b bigint")
 
 
 def _jaccard(x: bytes, y: bytes, k: int) -> float:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import blocks, register, row_key, table, texts
+from folio.llm.common import blocks, register, released, row_key, table, texts
 
 WINDOW = 35
 PHRASE = 12
@@ -143,7 +143,7 @@ def recurring_phrases(rows: DataFrame, window: int = WINDOW, phrase: int = PHRAS
                 [pa.array(hashes.view(np.int64)), pa.array(k1[docs]), pa.array(k2[docs]), pa.array(np.where(first, 0, k2[docs] | 1)), pa.array(settled)],
                 names=["phrase", "k1", "k2", "salt", "settled"])
 
-    found = rows.select("k1", "k2", "body").mapInArrow(run, "phrase bigint, k1 bigint, k2 bigint, salt bigint, settled boolean")
+    found = rows.select("k1", "k2", "body").mapInArrow(lambda b: released(run(b)), "phrase bigint, k1 bigint, k2 bigint, salt bigint, settled boolean")
     n = F.count(F.lit(1)).over(Window.partitionBy("phrase", "salt"))
     return found.withColumn("n", n).where("settled or (salt = 0 and n > 1)").groupBy("k1", "k2").agg(F.collect_list("phrase").alias("phrases"))
 
@@ -213,9 +213,9 @@ def repeated_spans(rows: DataFrame, phrases: DataFrame, window: int = WINDOW, ph
             yield settle(pa.Table.from_batches(held))
 
     joined = rows.select("k1", "k2", "body").join(phrases, ["k1", "k2"])
-    located = joined.mapInArrow(locate, schema)
+    located = joined.mapInArrow(lambda b: released(locate(b)), schema)
     dealt = located.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(compare, "k1 bigint, k2 bigint, start int, stop int")
+    return dealt.mapInArrow(lambda b: released(compare(b)), "k1 bigint, k2 bigint, start int, stop int")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", *, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -253,7 +253,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", *, window: int = WINDOW,
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.encode(F.coalesce(text, F.lit("")), "UTF-8").alias("body"), "doc_id")
     keyed = row_key(whole).select("row", "k1", "k2")
     out = keyed.join(covered, ["k1", "k2"], "left").select("row", "spans")
-    return out.mapInArrow(cut, T.StructType([T.StructField("row", keyed.schema["row"].dataType)]).add("n_words", "long").add("n_removed", "long").add("kept", "string"))
+    return out.mapInArrow(lambda b: released(cut(b)), T.StructType([T.StructField("row", keyed.schema["row"].dataType)]).add("n_words", "long").add("n_removed", "long").add("kept", "string"))
 
 
 def without_repeats(docs: DataFrame, *, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
