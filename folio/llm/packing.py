@@ -27,7 +27,7 @@ LENGTH = 2048
 END_ID = 1
 GROUP_DOCS = 4096
 CACHE_WORDS = 300_000
-CACHE_HEADS = 150_000
+CACHE_HEADS = 250_000
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 BLOCK_BYTES = 2_000_000
 

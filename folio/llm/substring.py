@@ -28,6 +28,7 @@ PHRASE = 12
 BLOCK_BYTES = 2_000_000
 SHARD_PHRASES = 50_000
 GROUP_ROWS = 100_000
+CUT_ROWS = 256
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -233,7 +234,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", *, window: int = WINDOW,
     covered = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     def cut(batches):
-        for b in batches:
+        for b in (whole.slice(i, CUT_ROWS) for whole in batches for i in range(0, whole.num_rows, CUT_ROWS)):
             n, gone, kept = [], [], []
             for body, spans in zip(b.column("row").field(text).cast(pa.binary()).fill_null(b"").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 words = body.split()
