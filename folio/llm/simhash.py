@@ -7,15 +7,18 @@ one half of a linked pair differs in no more than half the bits, so the balls ar
 that, 2 * 33 points, and the verification looks at all bits.  ``parts=1`` takes the whole ball; the links are the same.
 
 A fingerprint is handled once however many documents have it.  Where many meet in one place, their links are not
-listed: a shortest spanning forest keeps the same components with fewer edges than members.
+listed: a shortest spanning forest keeps the same components with fewer edges than members.  That holds for this
+relation only, so near copies by shared shingles, at the end of this module, are found by a join of their own.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.common import blocks, parted, register, released, row_key, table, texts
@@ -27,6 +30,9 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 FEED_ROWS = 200_000
+SAMPLE_TEXTS, COMMON = 10_000, 1 << 18
+STAR_TURNS, PAIRS_A_ROW = 6, 4
+SLACK = 1e-6  # for rounding in bounds; what they let through is verified
 
 
 def shingles(body: bytes, k: int) -> list[bytes]:
@@ -209,31 +215,140 @@ def _jaccard(x: bytes, y: bytes, k: int) -> float:
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
-def without_near_copies(
-    docs: DataFrame, *, k: int = 5, least: float = 0.8, seeds: tuple[int, ...] = (42, 43, 44), radius: int = 5, most: int = 16
-) -> DataFrame:
+def shingle_hashes(body: bytes, k: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    got, digest = set(shingles(body, k)), xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(s, SEED) for s in got), np.uint64, len(got)))
+
+
+def common_shingles(nodes: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that many texts of ``nodes`` (node, body) share, and how many of the drawn texts do.
+
+    They are counted in about ``SAMPLE_TEXTS`` texts and are ``COMMON`` at most.  They only set the order in which
+    shingles are taken (see ``prefixes``), which never changes what is found.
+    """
+    share = min(1.0, SAMPLE_TEXTS / max(1, nodes.count()))
+
+    def run(batches):
+        for b in blocks(batches, "body", BLOCK_BYTES):
+            for body in b.column("body").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(body, k).view(np.int64))], names=["h"])
+
+    drawn = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < share * 1_000_000).select("body")
+    counts = drawn.mapInArrow(lambda b: released(run(b)), "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    rows = counts.where("c > 2").orderBy(F.desc("c"), "h").limit(COMMON).toPandas()
+    h, c = rows["h"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def prefixes(nodes: DataFrame, k: int, least: float) -> DataFrame:
+    """(h, node, n, pos): the first shingles of each text of ``nodes`` (node, body), common shingles last.
+
+    Of ``n`` distinct shingles the first ``n - ceil(least * n) + 1`` in an order that is the same for all texts are
+    enough: two texts that share ``least`` of their shingles have one of these in common.  A text without words has
+    one row of size 0.
+    """
+    common = nodes.sparkSession.sparkContext.broadcast(common_shingles(nodes, k))
+
+    def run(batches):
+        known, times = common.value
+        for b in blocks(batches, "body", BLOCK_BYTES):
+            heads, sizes = [], []
+            for body in b.column("body").to_pylist():
+                h = shingle_hashes(body, k)
+                if len(known) and len(h):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.argsort(np.where(known[at] == h, times[at], 0), kind="stable")]
+                sizes.append(len(h))
+                heads.append(h[: len(h) - math.ceil(least * len(h) - SLACK) + 1] if len(h) else np.zeros(1, np.uint64))
+            counts = np.array([len(h) for h in heads])
+            pos = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(b.column("node").to_numpy(zero_copy_only=False), counts)),
+                 pa.array(np.repeat(sizes, counts), pa.int32()), pa.array(pos, pa.int32())], names=["h", "node", "n", "pos"])
+
+    return nodes.select("node", "body").mapInArrow(lambda b: released(run(b)), "h bigint, node bigint, n int, pos int")
+
+
+def _may_share(least: float):
+    """Whether ``x`` and ``y``, which meet in their first common shingle, may share ``least``: by their sizes and what follows."""
+    size = F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - SLACK
+    after = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    return size & (after >= least / (1 + least) * (F.col("x.n") + F.col("y.n")) - SLACK)
+
+
+def _edges(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def star(live: DataFrame, least: float, turn: int) -> DataFrame:
+    """Candidates (a, b): at each shingle one text of the largest group there with one text of each other group.
+
+    ``live`` is (h, node, n, pos, root); the texts are drawn anew in each ``turn``, alike at all shingles.
+    """
+    one = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n", "pos"))
+    reps = materialise(live.groupBy("h", "root").agg(one.alias("r"), F.count(F.lit(1)).alias("m")).select("h", "root", "m", "r.*"))
+    first = reps.groupBy("h").agg(F.min(F.struct((-F.col("m")).alias("m"), "draw", "node", "n", "pos", "root")).alias("c")).select("h", "c.*")
+    met = reps.alias("x").join(first.alias("y"), "h")
+    return _edges(met.where((F.col("x.root") != F.col("y.root")) & _may_share(least)))
+
+
+def similar_pairs(nodes: DataFrame, k: int, least: float) -> DataFrame:
+    """(node, root) for the texts of ``nodes`` (node, body) that are linked to another: the smallest node reachable.
+
+    Two texts are linked if they share at least ``least`` of their distinct ``k``-word shingles; none is missed.
+    Candidates share a shingle of their prefixes and are verified on the whole texts before anything is left out.
+    Where many meet, one of them is first verified with all others, and groups found so are one from then on; in the
+    end every candidate pair between different groups that was not yet looked at is listed and verified.
+    """
+    shared = prefixes(nodes, k, least).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("h")))
+    live = materialise(shared.where("m > 1").select("h", "node", "n", "pos", F.col("node").alias("root")))
+    rows, tested, roots, before = live.count(), None, None, math.inf
+
+    def verified(edges: DataFrame) -> DataFrame:
+        ends = materialise(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        bodies, _ = parted(nodes, "node", ends)
+        return materialise(similar(edges, materialise(bodies.join(ends, "node", "left_semi")), k, least))
+
+    def grouped(links: DataFrame) -> DataFrame:
+        known = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        return components(known)
+
+    for turn in range(STAR_TURNS):
+        sizes = live.groupBy("h", "root").agg(F.count(F.lit(1)).cast("double").alias("m"))
+        open_ = sizes.groupBy("h").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("p")).agg(F.sum("p")).first()[0]
+        if (open_ or 0) / 2 <= PAIRS_A_ROW * rows or open_ > before / 2:  # few are open, or stars settle few
+            break
+        before = open_
+        edges = star(live, least, turn)
+        edges = materialise(edges if tested is None else edges.join(tested, ["a", "b"], "left_anti"))
+        tested = edges if tested is None else tested.unionByName(edges)
+        links = verified(edges)
+        if links.isEmpty():
+            break
+        roots = grouped(links)
+        placed = live.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("h", "node", "n", "pos", "root")
+        split = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+        live = materialise(placed.join(split, "h", "left_semi"))
+    met = live.alias("x").join(live.alias("y"), "h")
+    edges = _edges(met.where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _may_share(least)))
+    return grouped(verified(materialise(edges if tested is None else edges.join(tested, ["a", "b"], "left_anti"))))
+
+
+def without_near_copies(docs: DataFrame, *, k: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near copies, the one with the smallest ``doc_id`` (nulls last).
 
-    Near copies share at least ``least`` of their distinct ``k``-word shingles; groups are what such links connect.
-    Candidates are found by fingerprints of the distinct words, as changed words move these less than shingles of
-    several words: a half of one of ``len(seeds)`` numbers differs in at most ``radius // 2`` bits, that number in ``most``, all in ``most`` a
-    number on the average.  Each candidate link is verified on the whole texts.  Texts that are equal are one node; rows with equal text and ``doc_id`` stay or go
+    Near copies share at least ``least`` of their distinct ``k``-word shingles; groups are what such links connect
+    (see ``similar_pairs``).  Texts that are equal are one node; rows with equal text and ``doc_id`` stay or go
     together.  Other columns are kept as they are.  An empty table gives no rows.
     """
-    names = [f"f{i}" for i in range(len(seeds))]
-    prints = materialise(fingerprints(docs, 1, seeds, distinct=True))
-    nodes = prints.groupBy(F.col("k2").alias("node")).agg(*[F.first(n).alias(n) for n in names])
-    nodes = materialise(nodes)
-    met = link(nodes, names, "node", radius=radius, most=most)
-    for end in ("a", "b"):
-        met = met.join(nodes.select(F.col("node").alias(end), *[F.col(n).alias(f"{n}_{end}") for n in names]), end)
-    apart = sum((F.bit_count(F.col(f"{n}_a").bitwiseXOR(F.col(f"{n}_b"))) for n in names), F.lit(0))
-    edges = materialise(met.where(apart <= most * len(names)).select("a", "b"))
-    ends = materialise(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    bodies, _ = parted(row_key(texts(docs)).select(F.col("k2").alias("node"), "body"), "node", ends)
-    bodies = materialise(bodies.join(ends, "node", "left_semi").dropDuplicates(["node"]))
-    roots = components(similar(edges, bodies, k, least))
-    ranked = prints.select("doc_id", "k1", F.col("k2").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = row_key(texts(docs)).select(F.col("doc_id").cast("bigint").alias("doc_id"), "k1", F.col("k2").alias("node"), "body")
+    keys = materialise(rows.select("doc_id", "k1", "node"))
+    copied = materialise(keys.groupBy("node").count().where("count > 1").select("node"))
+    often, once = parted(rows.select("node", "body"), "node", copied)
+    roots = similar_pairs(often.dropDuplicates(["node"]).unionByName(once), k, least)
+    ranked = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("k1").alias("k1"), F.col("node").alias("k2"))
     chosen = ranked.groupBy("root").agg(F.min(best).alias("best"))
     lost = materialise(ranked.join(chosen, "root").where(F.struct("k1", F.col("node").alias("k2")) != F.struct("best.k1", "best.k2")).select("k1", F.col("node").alias("k2")).distinct())
