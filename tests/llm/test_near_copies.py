@@ -48,6 +48,31 @@ def test_near_copies_go_beside_the_same_words_in_other_order(spark):
     assert kept(spark, rows) == want
 
 
+@pytest.mark.parametrize("kind", ["inserted", "appended", "replaced", "scattered"])
+def test_recall_at_the_bound(spark, kind):
+    rng = random.Random(kind)
+    rows = []
+    for g in range(40):
+        base = [word(rng) for _ in range(400)]
+        share = rng.uniform(0.80, 0.85)
+        extra = [word(rng) for _ in range(int(396 / share - 396))]
+        lost = int(396 * (1 - share) / (1 + share))
+        at = rng.randrange(50, 300)
+        if kind == "inserted":
+            other = base[:at] + [word(rng) for _ in range(int(392 / share - 400))] + base[at:]
+        elif kind == "appended":
+            other = base + extra
+        elif kind == "replaced":
+            other = base[:at] + [word(rng) for _ in range(lost - 4)] + base[at + lost - 4 :]
+        else:
+            other = list(base)
+            for i in range(3, 5 * (lost // 5), 5):
+                other[i] = word(rng)
+        rows += [(10 * g, " ".join(base)), (10 * g + 1, " ".join(other))]
+    assert kept_by_brute_force(rows) == [10 * g for g in range(40)]
+    assert kept(spark, rows) == [10 * g for g in range(40)]
+
+
 @pytest.mark.parametrize("a_row", [0, 4, 1e9])
 def test_crowds_keep_every_link(spark, monkeypatch, a_row):
     """Chains of drifting texts, a template with long and short fillings, word-free texts: with and without stars."""
