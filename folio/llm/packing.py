@@ -32,11 +32,16 @@ MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 BLOCK_BYTES = 2_000_000
 
 
+def plain(text: str) -> bool:
+    """Whether ``text`` is letters that stay letters when normalised and lowered, so that what follows is parted from them."""
+    return text.isalpha() and text.lower().isalpha() and unicodedata.is_normalized("NFC", text)
+
+
 class WordEncoder:
     """Ids of a text by a lower-casing vocabulary whose pieces never reach across white space, word by word.
 
-    Two bounded caches: of words as they stand, and of their heads, which are letters before a run of ASCII marks;
-    the vocabulary always parts letters from marks.  New heads are encoded together, as words of one line, and told
+    Two bounded caches: of words as they stand, and of their heads, which are plain letters before a run of ASCII marks;
+    the vocabulary always parts these from marks.  New heads are encoded together, as words of one line, and told
     apart by the ids that end a word.  Everything else (digits, apostrophes, special tokens) is encoded alone.
     """
 
@@ -55,18 +60,18 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _learn_heads(self, heads: set[bytes]) -> None:
-        plain = []
+        lines = []
         def keep(h: bytes, ids: bytes) -> None:
             (self.heads if len(self.heads) < CACHE_HEADS else self.rare)[h] = ids
 
         for h in heads.difference(self.heads, self.rare):
             text = h.decode()
-            if text.isalpha() and text.lower().isalpha() and unicodedata.is_normalized("NFC", text):
-                plain.append((h, text))
+            if plain(text):
+                lines.append((h, text))
             else:
                 keep(h, self._ids(text).tobytes())
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
+        for i in range(0, len(lines), 2000):
+            part = lines[i : i + 2000]
             ids = self._ids(" ".join([t for _, t in part]))
             cuts = (4 * (np.nonzero(self.ends[ids])[0] + 1)).tolist()
             if len(cuts) == len(part):
@@ -88,7 +93,7 @@ class WordEncoder:
         parts, heads = [], set()
         for w in new:
             head = w.rstrip(MARKS)
-            if head and not head.decode().isalpha():
+            if head and not plain(head.decode()):
                 head = w
             parts.append((w, head, w[len(head) :]))
             heads.add(head)

@@ -131,3 +131,13 @@ def test_words_encode_as_whole_texts(text):
     enc = packing.WordEncoder(path, most=3)
     for _ in range(2):
         assert np.frombuffer(next(enc.encode([text.encode()])), "<u4").tolist() == want
+
+
+@pytest.mark.parametrize("text", ["TAR\u0130H\u0130: \u0130.", "\u091c\u0921\u093c, \u091c\u095c,", "\ufb2a. \u05e9\ufb2a!", "x\u0130...y a\u0344; e\u0301, \u0958\u095f-"])
+def test_letters_that_fall_into_letter_and_mark_keep_their_tail(text):
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path()
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    enc = packing.WordEncoder(path)
+    assert np.frombuffer(next(enc.encode([text.encode()])), "<u4").tolist() == want
