@@ -216,7 +216,8 @@ def trie(rows: DataFrame, convs: DataFrame, *, width: int = WIDTH) -> DataFrame:
     for k in range(len(levels) - 1, -1, -1):
         nodes = levels[k]
         if below is None:
-            hang = nodes.select("*", zero.alias("b_children"), zero.alias("b_leaves"), zero.alias("b_saved"))
+            none = F.lit(None).cast("bigint")
+            hang = nodes.select("*", none.alias("b_children"), none.alias("b_leaves"), none.alias("b_saved"))
         else:
             hung = below.select(F.col("node").alias("conv_id"), F.lit(width).alias("level"), "b_children", "b_leaves", "b_saved")
             hang = nodes.join(hung, ["conv_id", "level"], "left")

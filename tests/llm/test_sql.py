@@ -26,7 +26,7 @@ def test_query_matches_sql(spark, name):
 def test_all_are_registered():
     names = set(entry.queries())
     assert set(QUERIES) | {"pipeline"} <= names and set(ORACLES) <= set(entry.oracle_sql())
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_pipeline_over_odd_documents(spark):
