@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions import markup as M
 from folio.functions import text as T
-from folio.session import materialise
+from folio.operators.sequence import gaps, let, matching_runs, ordered_changes
 
 # Class names of marked blocks.
 BLOCK_CLASS = {
@@ -75,33 +75,45 @@ def diff_normalise(c: Column | str) -> Column:
     return F.regexp_replace(F.col(c) if isinstance(c, str) else c, r">\s+<", "><")
 
 
+def tokens_of(html: Column | str, mode: str = "word") -> Column:
+    """Tokens of a block as an array: tags whole, text by word or by character."""
+    return F.regexp_extract_all(diff_normalise(html), F.lit(CHAR_TOKENS if mode == "char" else WORD_TOKENS), F.lit(0))
+
+
+def _kind(value: Column) -> Column:
+    return F.when(value.rlike(r"^<[^>]+>$"), "tag").otherwise("text")
+
+
 def diff_tokens(blocks: DataFrame, html: str, keys: list[str], mode: str = "word") -> DataFrame:
-    """Tokens of a block: tags whole, text by word or by character."""
-    pattern = CHAR_TOKENS if mode == "char" else WORD_TOKENS
-    found = F.regexp_extract_all(diff_normalise(html), F.lit(pattern), F.lit(0))
-    return blocks.select(*keys, F.posexplode(found).alias("tok_seq", "value")).select(
+    """Tokens of a block, one row each."""
+    return blocks.select(*keys, F.posexplode(tokens_of(html, mode)).alias("tok_seq", "value")).select(
         *keys,
         F.col("tok_seq").cast("bigint").alias("tok_seq"),
-        F.when(F.col("value").rlike(r"^<[^>]+>$"), "tag").otherwise("text").alias("kind"),
+        _kind(F.col("value")).alias("kind"),
         "value",
         F.col("value").rlike(r"^\s+$").alias("is_ws"),
     )
 
 
-def token_diff(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Tokens of two sides matched by value and occurrence: equal, removed, added."""
-    def numbered(df: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy(*keys, "value").orderBy("tok_seq")
-        return df.select(*keys, "value", "kind", "is_ws", F.row_number().over(w).alias("occ"), F.col("tok_seq").alias(f"{name}_seq"))
+def _compared(pairs: DataFrame, left: str, right: str, keys: list[str], mode: str) -> DataFrame:
+    """``keys`` and ``_ops``, the tokens of both sides in order (left, right, change, value); a side that is null has no tokens."""
+    both = pairs.select(*keys, *[F.coalesce(tokens_of(c, mode), F.array().cast("array<string>")).alias(n) for c, n in ((left, "_l"), (right, "_r"))])
+    value = lambda op: F.coalesce(F.get("_l", op["left"]), F.get("_r", op["right"]))
+    told = F.transform(ordered_changes(F.col("_l"), F.col("_r")), lambda op: F.struct(op["left"].alias("left"), op["right"].alias("right"), op["change"].alias("change"), value(op).alias("value")))
+    return both.select(*keys, told.alias("_ops"))
 
-    l = numbered(left, "left")  # noqa: E741
-    r = numbered(right, "right").withColumnsRenamed({"kind": "r_kind", "is_ws": "r_ws"})
-    return l.join(r, [*keys, "value", "occ"], "full_outer").select(
-        *keys, "value", "occ",
-        F.coalesce("kind", "r_kind").alias("kind"), F.coalesce("is_ws", "r_ws").alias("is_ws"),
-        "left_seq", "right_seq",
-        F.when(F.col("right_seq").isNull(), "removed").when(F.col("left_seq").isNull(), "added").otherwise("equal").alias("change"),
-    )
+
+def token_diff(pairs: DataFrame, left: str, right: str, keys: list[str], mode: str = "word") -> DataFrame:
+    """Tokens of both sides of a block in order: equal, removed, added.
+
+    The longest run of equal tokens is matched first and then what lies on either side of it, so a moved word is removed at
+    one place and added at the other.  Blocks are compared within their row.
+    """
+    rows = _compared(pairs, left, right, keys, mode).select(*keys, F.posexplode_outer("_ops").alias("ord", "_op")).where("_op IS NOT NULL")  # an outer one is not computed twice
+    value = F.col("_op.value")
+    return rows.select(
+        *keys, F.col("ord").cast("bigint").alias("ord"), value.alias("value"), _kind(value).alias("kind"), value.rlike(r"^\s+$").alias("is_ws"),
+        F.col("_op.left").cast("bigint").alias("left_seq"), F.col("_op.right").cast("bigint").alias("right_seq"), F.col("_op.change").alias("change"))
 
 
 def annotate(html: Column, change: Column) -> Column:
@@ -123,22 +135,17 @@ def annotate(html: Column, change: Column) -> Column:
     return F.when(name.isNull() | (tag == ""), html).otherwise(marked)
 
 
-def diff_markup(tokens: DataFrame, keys: list[str]) -> DataFrame:
+def diff_markup(pairs: DataFrame, left: str, right: str, keys: list[str], mode: str = "word") -> DataFrame:
     """Both sides of a block with removed / added tokens wrapped; tags and whitespace never are."""
-    def side(seq: str, label: str) -> Column:
-        plain = (F.col("kind") == "tag") | F.col("is_ws") | (F.col("change") == "equal")
-        piece = F.when(plain, F.col("value")).otherwise(F.concat(F.lit(f'<span class="diff-{label}">'), F.col("value"), F.lit("</span>")))
-        pairs = F.array_sort(F.collect_list(F.when(F.col(seq).isNotNull(), F.struct(F.col(seq).alias("at"), piece.alias("p")))))
-        return F.array_join(F.transform(pairs, lambda x: x.p), "")
-
-    changed = F.max(F.col("change") != "equal")
-    return tokens.groupBy(*keys).agg(
-        side("left_seq", "removed").alias("_l"), side("right_seq", "added").alias("_r"), changed.alias("_c")
-    ).select(
-        *keys,
-        annotate(F.col("_l"), F.when(F.col("_c"), "changed")).alias("left_markup"),
-        annotate(F.col("_r"), F.when(F.col("_c"), "changed")).alias("right_markup"),
-    )
+    def side(place: str, label: str) -> Column:
+        plain = lambda op: (op["change"] == "equal") | op["value"].rlike(r"^<[^>]+>$|^\s+$")
+        piece = lambda op: F.when(plain(op), op["value"]).otherwise(F.concat(F.lit(f'<span class="diff-{label}">'), op["value"], F.lit("</span>")))
+        return F.array_join(F.transform(F.filter("_ops", lambda op: op[place].isNotNull()), piece), "")
+
+    changed = F.when(F.exists("_ops", lambda op: op["change"] != "equal"), "changed")
+    told = _compared(pairs, left, right, keys, mode).select(
+        *keys, side("left", "removed").alias("_lm"), side("right", "added").alias("_rm"), changed.alias("_c"))
+    return told.select(*keys, annotate(F.col("_lm"), F.col("_c")).alias("left_markup"), annotate(F.col("_rm"), F.col("_c")).alias("right_markup"))
 
 
 def _shingles(c: Column) -> Column:
@@ -151,81 +158,80 @@ def _shingles(c: Column) -> Column:
     )
 
 
-def align_blocks(left: DataFrame, right: DataFrame, strict: float = 0.6, loose: float = 0.5) -> DataFrame:
-    """Pair the blocks of two versions without ids.
+def _likeness(x: Column, y: Column) -> Column:
+    """Share of common shingles; zero where a side is missing."""
+    return let(F.size(F.array_intersect(x, y)), lambda c: F.coalesce(F.when(x.isNotNull() & y.isNotNull(), c / (F.size(x) + F.size(y) - c)), F.lit(0.0)))
 
-    Equal blocks pair by key and occurrence.  Those in the same order among all of them on both sides are
-    anchors; the rest pair by shared word shingles between the same two anchors, one or two neighbouring
-    blocks a side, wherever they stand there; the best mutual match wins.  Noise and unmatched blocks
-    come out alone.  ``left`` / ``right``: page_id, ord, html.
-    """
-    def side(df: DataFrame, name: str) -> DataFrame:
-        occ = Window.partitionBy("page_id", "key").orderBy("ord")
-        return (
-            df.withColumn("key", T.block_key("html")).withColumn("txt", T.block_text("html"))
-            .withColumn("occ", F.row_number().over(occ))
-            .select("page_id", "key", "occ", F.col("ord").alias(f"{name}_ord"), F.col("txt").alias(f"{name}_txt"),
-                    T.is_noise("html").alias(f"{name}_noise"))
-        )
-
-    both = materialise(side(left, "left").join(side(right, "right"), ["page_id", "key", "occ"], "full_outer").drop("key", "occ"))
-    equal = both.filter("left_ord IS NOT NULL AND right_ord IS NOT NULL").select(
-        "page_id", F.col("left_ord"), F.col("right_ord"), F.lit(1).alias("left_n"), F.lit(1).alias("right_n"),
-        F.lit(1.0).alias("similarity"), F.lit("equal").alias("change"),
-    )
 
-    before = Window.partitionBy("page_id").orderBy("left_ord").rowsBetween(Window.unboundedPreceding, -1)
-    behind = Window.partitionBy("page_id").orderBy("left_ord").rowsBetween(1, Window.unboundedFollowing)
-    anchors = equal.select(
-        "page_id", "left_ord", "right_ord", F.max("right_ord").over(before).alias("_b"), F.min("right_ord").over(behind).alias("_a")
-    ).filter("(_b IS NULL OR _b < right_ord) AND (_a IS NULL OR _a > right_ord)")
-
-    def candidates(name: str) -> DataFrame:
-        free = both.filter(f"{'right' if name == 'left' else 'left'}_ord IS NULL AND NOT {name}_noise").select(
-            "page_id", F.col(f"{name}_ord").alias("ord"), F.col(f"{name}_txt").alias("txt"), F.lit(0).alias("anchor"))
-        marks = anchors.select("page_id", F.col(f"{name}_ord").alias("ord"), F.lit(None).cast("string").alias("txt"), F.lit(1).alias("anchor"))
-        order = Window.partitionBy("page_id").orderBy("ord")
-        nxt_ord, nxt = F.lead("ord").over(order), F.lead("txt").over(order)
-        wide = free.unionByName(marks).select(
-            "page_id", "ord", "txt", F.sum("anchor").over(order).alias("gap"),
-            (F.col("ord") - F.coalesce(F.max(F.when(F.col("anchor") == 1, F.col("ord"))).over(order), F.lit(-1))).alias("rel"),
-            F.when(nxt_ord == F.col("ord") + 1, F.concat(F.col("txt"), F.lit(" "), nxt)).alias("_two")).filter("txt IS NOT NULL")
-        one = F.struct(F.lit(1).alias("n"), F.col("txt").alias("t"))
-        two = F.struct(F.lit(2).alias("n"), F.col("_two").alias("t"))
-        return wide.select("page_id", "gap", "ord", "rel", F.inline(F.array(one, two))).filter("t IS NOT NULL").select(
-            "page_id", "gap", F.col("ord").alias(f"{name}_ord"), F.col("rel").alias(f"{name}_rel"), F.col("n").alias(f"{name}_n"), _shingles(F.col("t")).alias("sh")
-        ).select(
-            "page_id", "gap", f"{name}_ord", f"{name}_rel", f"{name}_n", F.size("sh").alias(f"{name}_size"),
-            F.explode(F.transform("sh", lambda x: F.xxhash64(x))).alias("sh"))
-
-    # one row per shingle; blocks on different sides of an anchor never meet
-    sides = ["left", "right"]
-    scored = (
-        candidates("left").join(candidates("right"), ["page_id", "gap", "sh"])
-        .groupBy("page_id", *[f"{s}_{c}" for s in sides for c in ("ord", "rel", "n", "size")])
-        .agg(F.count("*").alias("common"))
-        .withColumn("similarity", F.col("common") / (F.col("left_size") + F.col("right_size") - F.col("common")))
-        .filter(F.col("similarity") >= F.when((F.col("left_n") == 1) & (F.col("right_n") == 1), F.lit(loose)).otherwise(F.lit(strict)))
-    )
-    rank = [F.desc("similarity"), F.col("left_n") + F.col("right_n"), F.abs(F.col("left_rel") - F.col("right_rel"))]
-    by_left = Window.partitionBy("page_id", "left_ord").orderBy(*rank, "right_ord")
-    by_right = Window.partitionBy("page_id", "right_ord").orderBy(*rank, "left_ord")
-    best = materialise(
-        scored.withColumn("_a", F.row_number().over(by_left)).withColumn("_b", F.row_number().over(by_right))
-        .filter("_a = 1 AND _b = 1")
-        .select("page_id", "left_ord", "right_ord", "left_n", "right_n", "similarity", F.lit("changed").alias("change"))
-    )
-    used = lambda name: best.select(
-        "page_id", F.explode(F.sequence(F.col(f"{name}_ord"), F.col(f"{name}_ord") + F.col(f"{name}_n") - 1)).alias(f"{name}_ord")).distinct()
-
-    def alone(name: str, other: str, label: str) -> DataFrame:
-        rest = both.filter(f"{other}_ord IS NULL").select("page_id", f"{name}_ord", f"{name}_noise")
-        return rest.join(used(name), ["page_id", f"{name}_ord"], "left_anti").select(
-            "page_id",
-            *[F.col(f"{name}_ord") if s == name else F.lit(None).cast("bigint").alias(f"{s}_ord") for s in ("left", "right")],
-            *[F.lit(1 if s == name else 0).alias(f"{s}_n") for s in ("left", "right")],
-            F.lit(0.0).alias("similarity"),
-            F.when(F.col(f"{name}_noise"), "noise").otherwise(label).alias("change"),
-        )
+def align_blocks(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
+    """Pair the blocks of two versions of a page without ids, in order.
 
-    return equal.unionByName(best).unionByName(alone("left", "right", "removed")).unionByName(alone("right", "left", "added"))
+    The longest run of equal blocks is matched first, then what lies on either side of it; nothing is paired across such a
+    match, so a moved block is removed at one place and added at the other.  Between matches both sides are walked
+    together: noise comes out alone; of one or two blocks a side (two and two only where one and one will not do) the most alike
+    are paired, if they share ``least`` of their word shingles; otherwise the block goes alone whose chances with the next two of the other side are
+    worse, in a draw the shorter one, or the left.  ``left`` / ``right``: page_id, ord, html.
+    """
+    def side(df: DataFrame, name: str) -> DataFrame:
+        blocks = df.where("html IS NOT NULL").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "html"))).alias("_b"))
+        return blocks.select("page_id", F.col("_b.ord").alias(f"{name}_ord"), F.col("_b.html").alias(f"{name}_html"))
+
+    def described(pages: DataFrame, name: str, place: str) -> DataFrame:
+        """Text, noise and shingles of the blocks that match none; shingles also of each with the next one."""
+        free = lambda i: ~F.exists("_runs", lambda r: (i >= r[place]) & (i < r[place] + r["n"]))
+        html, txt = F.col(f"{name}_html"), F.col("_txt")
+        hashes = lambda t: F.transform(_shingles(t), lambda s: F.xxhash64(s))
+        following = lambda i: F.get(txt, i + 1)
+        two = lambda t, i: F.when(t.isNotNull() & following(i).isNotNull(), hashes(F.trim(F.concat(t, F.lit(" "), following(i)))))
+        return pages.withColumn("_txt", F.transform(html, lambda h, i: F.when(free(i), T.block_text(h)))).withColumns({
+            f"{name}_noise": F.transform(txt, lambda t: F.when(t.isNotNull(), T.is_noise(t))), f"{name}_len": F.transform(txt, F.length),
+            f"{name}_one": F.transform(txt, lambda t: F.when(t.isNotNull(), hashes(t))), f"{name}_two": F.transform(txt, two)}).drop("_txt")
+
+    pages = side(left, "left").join(side(right, "right"), "page_id", "full_outer")
+    kinds = {"ord": "bigint", "html": "string"}
+    pages = pages.select("page_id", *[F.coalesce(f"{n}_{c}", F.array().cast(f"array<{t}>")).alias(f"{n}_{c}") for n in ("left", "right") for c, t in kinds.items()])
+    pages = described(described(pages.withColumn("_runs", matching_runs(F.col("left_html"), F.col("right_html"))), "left", "i"), "right", "j")
+    at = lambda name, i: F.get(F.col(name), i)
+    none = F.lit(None).cast("int")
+    row = lambda i, ln, j, rn, s, change: F.struct(*[c.cast(t).alias(n) for c, n, t in (
+        (i, "i", "int"), (ln, "ln", "int"), (j, "j", "int"), (rn, "rn", "int"), (s, "s", "double"), (change, "change", "string"))])
+    one, zero = F.lit(1), F.lit(0)
+
+    def walked(gap: Column) -> Column:
+        """Rows of what lies between two matches."""
+        lone_left = lambda i: row(i, one, none, zero, F.lit(0.0), F.when(at("left_noise", i), "noise").otherwise("removed"))
+        lone_right = lambda j: row(none, zero, j, one, F.lit(0.0), F.when(at("right_noise", j), "noise").otherwise("added"))
+
+        def step(s: Column, _: Column) -> Column:
+            i, j = s["i"], s["j"]
+            put = lambda r, di, dj: F.struct((i + di).cast("int").alias("i"), (j + dj).cast("int").alias("j"), F.concat(s["out"], F.array(r)).alias("out"))
+            drop_left, drop_right = put(lone_left(i), one, zero), put(lone_right(j), zero, one)
+            alike = lambda a, b: _likeness(at(f"left_{a}", i), at(f"right_{b}", j))
+            left_two, right_two = i + 1 < gap["ahi"], j + 1 < gap["bhi"]
+            ways = F.struct(
+                alike("one", "one").alias("s11"), F.when(right_two, alike("one", "two")).otherwise(0.0).alias("s12"),
+                F.when(left_two, alike("two", "one")).otherwise(0.0).alias("s21"), F.when(left_two & right_two, alike("two", "two")).otherwise(0.0).alias("s22"))
+
+            def chosen(w: Column) -> Column:
+                single = F.greatest(w["s11"], w["s12"], w["s21"])
+                best = F.when(w["s11"] >= least, single).otherwise(F.greatest(single, w["s22"]))
+                pick = lambda ln, rn, s: put(row(i, F.lit(ln), j, F.lit(rn), s, F.lit("changed")), F.lit(ln), F.lit(rn))
+                paired = F.when(w["s11"] == best, pick(1, 1, best)).when(w["s12"] == best, pick(1, 2, best)).when(w["s21"] == best, pick(2, 1, best)).otherwise(pick(2, 2, best))
+                chance_left, chance_right = F.greatest(w["s11"], w["s12"]), F.greatest(w["s11"], w["s21"])
+                shorter = at("left_len", i) <= at("right_len", j)
+                return F.when(best >= least, paired).when((chance_left < chance_right) | ((chance_left == chance_right) & shorter), drop_left).otherwise(drop_right)
+
+            return (F.when((i >= gap["ahi"]) & (j >= gap["bhi"]), s).when(i >= gap["ahi"], drop_right).when(j >= gap["bhi"], drop_left)
+                    .when(at("left_noise", i), drop_left).when(at("right_noise", j), drop_right).otherwise(let(ways, chosen)))
+
+        steps = gap["ahi"] - gap["alo"] + gap["bhi"] - gap["blo"]
+        start = F.struct(gap["alo"].alias("i"), gap["blo"].alias("j"), F.array().cast("array<struct<i:int,ln:int,j:int,rn:int,s:double,change:string>>").alias("out"))
+        through = F.aggregate(F.when(steps > 0, F.sequence(one, steps)).otherwise(F.array().cast("array<int>")), start, step)["out"]
+        equal = F.transform(F.when(gap["n"] > 0, F.sequence(zero, gap["n"] - 1)).otherwise(F.array().cast("array<int>")),
+                            lambda k: row(gap["ahi"] + k, one, gap["bhi"] + k, one, F.lit(1.0), F.lit("equal")))
+        return F.concat(through, equal)
+
+    told = pages.select("page_id", "left_ord", "right_ord", F.explode_outer(F.flatten(F.transform(gaps(F.col("_runs"), F.size("left_html"), F.size("right_html")), walked))).alias("_r")).where("_r IS NOT NULL")
+    return told.select(
+        "page_id", F.get("left_ord", F.col("_r.i")).alias("left_ord"), F.get("right_ord", F.col("_r.j")).alias("right_ord"),
+        F.col("_r.ln").alias("left_n"), F.col("_r.rn").alias("right_n"), F.col("_r.s").alias("similarity"), F.col("_r.change").alias("change"))

@@ -396,21 +396,61 @@ SELECT page_id, block_id, html, 'unchanged' AS change FROM (SELECT page_id, bloc
 UNION ALL SELECT *, 'removed' FROM (SELECT page_id, block_id, html FROM dd_l EXCEPT SELECT page_id, block_id, html FROM dd_r)
 UNION ALL SELECT *, 'added' FROM (SELECT page_id, block_id, html FROM dd_r EXCEPT SELECT page_id, block_id, html FROM dd_l)""")
 WORD = "<[^>]+?>|\\s+|[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_<]+|<"
+part("rw", """
+SELECT * REPLACE (CASE WHEN page_id % 3 = 0 THEN regexp_replace(right_html, '^(<[^>]+>)([^\\s<]+) ([^<]+)', '\\1\\3 \\2') ELSE right_html END AS right_html) FROM dd WHERE change = 'changed'
+""")
 for _s in ("left", "right"):
     part(f"tk_{_s}", f"""
 SELECT page_id, block_id, i - 1 AS tok_seq, a[i] AS value, CASE WHEN regexp_matches(a[i], '^<[^>]+>$') THEN 'tag' ELSE 'text' END AS kind,
   regexp_full_match(a[i], '\\s+') AS is_ws, n_chars FROM (SELECT page_id, block_id,
    regexp_extract_all(regexp_replace({_s}_html, '>\\s+<', '><', 'g'), '{WORD}') AS a,
-   len(regexp_extract_all(regexp_replace({_s}_html, '>\\s+<', '><', 'g'), '(?s)<[^>]+?>|.')) AS n_chars FROM dd WHERE change = 'changed'),
+   len(regexp_extract_all(regexp_replace({_s}_html, '>\\s+<', '><', 'g'), '(?s)<[^>]+?>|.')) AS n_chars FROM rw),
    LATERAL unnest(generate_series(1, len(a))) AS u(i)
 """)
-    part(f"to_{_s}", f"SELECT *, row_number() OVER (PARTITION BY page_id, block_id, value ORDER BY tok_seq) AS occ FROM tk_{_s}")
+    part(f"ts_{_s}", f"SELECT page_id, block_id, tok_seq AS i, value AS v FROM tk_{_s}")
 oracle("diff_tokens", "SELECT page_id, block_id, tok_seq, value, kind, is_ws, n_chars FROM tk_left")
+
+
+def matching(p: str, left: str, right: str, keys: str) -> None:
+    """Parts ``p``_size (keys, n, m) and ``p``_hit (keys, i, j, n): the longest run of equal elements first, then both sides of it.
+
+    ``left`` and ``right`` have the keys, i (from 0) and v.
+    """
+    part(f"{p}_pair", f"SELECT {keys}, l.i AS i, r.i AS j FROM {left} l JOIN (SELECT * FROM {right}) r USING ({keys}, v)")
+    part(f"{p}_run", f"""
+SELECT {keys}, min(i) AS i, min(j) AS j, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY {keys}, i - j ORDER BY i) AS g FROM {p}_pair) GROUP BY {keys}, i - j, g
+""")
+    part(f"{p}_size", f"""
+SELECT {keys}, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM (SELECT {keys}, count(*) AS n FROM {left} GROUP BY ALL) FULL JOIN (SELECT {keys}, count(*) AS m FROM {right} GROUP BY ALL) USING ({keys})
+""")
+    part(f"{p}_rec", f"""
+SELECT {keys}, CAST(0 AS BIGINT) AS alo, n AS ahi, CAST(0 AS BIGINT) AS blo, m AS bhi, false AS hit FROM {p}_size WHERE n > 0 AND m > 0
+UNION ALL
+SELECT {keys}, u.alo, u.ahi, u.blo, u.bhi, u.hit FROM (
+  SELECT {keys}, alo, ahi, blo, bhi, -b[2] AS i, -b[3] AS j, b[1] AS n FROM (
+    SELECT {keys}, alo, ahi, blo, bhi, max([least(n - s, ahi - i - s, bhi - j - s), -i - s, -j - s]) AS b
+    FROM (SELECT g.*, r.i, r.j, r.n, greatest(0, g.alo - r.i, g.blo - r.j) AS s FROM {p}_rec g JOIN {p}_run r USING ({keys}) WHERE NOT g.hit)
+    WHERE least(n - s, ahi - i - s, bhi - j - s) > 0 GROUP BY ALL)),
+  LATERAL unnest([{{'alo': alo, 'ahi': i, 'blo': blo, 'bhi': j, 'hit': false}}, {{'alo': i, 'ahi': i + n, 'blo': j, 'bhi': j + n, 'hit': true}},
+                  {{'alo': i + n, 'ahi': ahi, 'blo': j + n, 'bhi': bhi, 'hit': false}}]) AS t(u)
+WHERE u.hit OR (u.alo < u.ahi AND u.blo < u.bhi)
+""")
+    part(f"{p}_hit", f"SELECT {keys}, alo AS i, blo AS j, ahi - alo AS n FROM {p}_rec WHERE hit")
+
+
+matching("tm", "ts_left", "ts_right", "page_id, block_id")
+part("tm_each", "SELECT page_id, block_id, i + k AS i, j + k AS j FROM tm_hit, LATERAL unnest(generate_series(0, n - 1)) AS u(k)")
+part("td_all", """
+SELECT l.page_id, l.block_id, value, kind, is_ws, tok_seq AS left_seq, j AS right_seq, CASE WHEN j IS NULL THEN 'removed' ELSE 'equal' END AS change, CASE WHEN j IS NULL THEN 0 ELSE 2 END AS kind_no,
+  coalesce(count(j) OVER (PARTITION BY l.page_id, l.block_id ORDER BY tok_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS after
+FROM tk_left l LEFT JOIN tm_each e ON e.page_id = l.page_id AND e.block_id = l.block_id AND e.i = l.tok_seq
+UNION ALL SELECT * FROM (
+  SELECT r.page_id, r.block_id, value, kind, is_ws, CASE WHEN i IS NOT NULL THEN -1 END AS left_seq, tok_seq, 'added', 1,
+    coalesce(count(i) OVER (PARTITION BY r.page_id, r.block_id ORDER BY tok_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  FROM tk_right r LEFT JOIN tm_each e ON e.page_id = r.page_id AND e.block_id = r.block_id AND e.j = r.tok_seq) WHERE left_seq IS NULL
+""")
 part("td", """
-SELECT coalesce(l.page_id, r.page_id) AS page_id, coalesce(l.block_id, r.block_id) AS block_id, coalesce(l.value, r.value) AS value, coalesce(l.occ, r.occ) AS occ,
-  coalesce(l.kind, r.kind) AS kind, coalesce(l.is_ws, r.is_ws) AS is_ws, l.tok_seq AS left_seq, r.tok_seq AS right_seq,
-  CASE WHEN r.tok_seq IS NULL THEN 'removed' WHEN l.tok_seq IS NULL THEN 'added' ELSE 'equal' END AS change
-FROM to_left l FULL JOIN to_right r ON l.page_id = r.page_id AND l.block_id = r.block_id AND l.value = r.value AND l.occ = r.occ
+SELECT page_id, block_id, row_number() OVER (PARTITION BY page_id, block_id ORDER BY after, kind_no, coalesce(left_seq, right_seq)) - 1 AS ord, value, kind, is_ws, left_seq, right_seq, change FROM td_all
 """)
 oracle("token_diff", "SELECT * FROM td")
 CLS = "diff-block diff-block--changed"
@@ -427,56 +467,60 @@ SELECT page_id, block_id, CASE WHEN c THEN regexp_replace(l, '^((?:<br>)?<[a-z0-
 # alignment without ids
 for _s, _t, _rest in (("l", "fx_blocks", 1), ("r", "ap_ok", 0)):
     part(f"al_{_s}", f"""
-SELECT *, row_number() OVER (PARTITION BY page_id, key ORDER BY ord) AS occ FROM (
-  SELECT page_id, ord, lower(regexp_extract(trim(html), '^<\\s*([a-zA-Z0-9]+)', 1)) || '|' || {block_text('html')} AS key, {block_text('html')} AS txt
-  FROM (SELECT page_id, ord + CASE WHEN page_id % 3 = {_rest} THEN 3 + page_id % 8 ELSE 0 END AS ord, {block_html('client')} AS html FROM {_t}
+SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ord, html) - 1 AS i, html AS v, {block_text('html')} AS txt
+FROM (SELECT page_id, ord + CASE WHEN page_id % 3 = {_rest} THEN 3 + page_id % 8 ELSE 0 END AS ord, {block_html('client')} AS html FROM {_t}
     UNION ALL SELECT doc_id, k, '<p>Inserted paragraph ' || k || ' of page ' || doc_id || ' with words number ' || (k * 7) || '</p>'
-    FROM documents, LATERAL unnest(generate_series(0, 2 + doc_id % 8)) AS u(k) WHERE doc_id % 3 = {_rest}))
-""")
-part("al_both", """
-SELECT coalesce(l.page_id, r.page_id) AS page_id, l.ord AS lo, r.ord AS ro, l.txt AS lt, r.txt AS rt
-FROM al_l l FULL JOIN al_r r ON l.page_id = r.page_id AND l.key = r.key AND l.occ = r.occ
+    FROM documents, LATERAL unnest(generate_series(0, 2 + doc_id % 8)) AS u(k) WHERE doc_id % 3 = {_rest}) WHERE html IS NOT NULL
 """)
-
-
 def noise(t: str) -> str:
     return (f"(length({t}) <= 6 OR regexp_full_match({t}, '[•\\sIVXLCDM/0-9.,\\-]+') OR "
             f"(length({t}) - length(translate({t}, '•.,/ -', ''))) / greatest(length({t}), 1) > 7e-1)")
 
 
-part("al_anchor", """
-SELECT page_id, lo, ro FROM (SELECT page_id, lo, ro, max(ro) OVER (PARTITION BY page_id ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b,
-  min(ro) OVER (PARTITION BY page_id ORDER BY lo ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM al_both WHERE lo IS NOT NULL AND ro IS NOT NULL)
-WHERE (b IS NULL OR b < ro) AND (a IS NULL OR a > ro)
+def shingle_list(t: str) -> str:
+    w = f"string_split({t}, ' ')"
+    return f"CASE WHEN len({w}) < 3 THEN [{t}] ELSE list_distinct(list_transform(generate_series(1, len({w}) - 2), lambda q: array_to_string({w}[q:q+2], ' '))) END"
+
+
+matching("am", "al_l", "al_r", "page_id")
+part("al_gap", """
+SELECT * FROM (
+  SELECT page_id, lag(i + n, 1, 0) OVER w AS alo, i AS ahi, lag(j + n, 1, 0) OVER w AS blo, j AS bhi
+  FROM (SELECT page_id, i, j, n FROM am_hit UNION ALL SELECT page_id, n, m, 0 FROM am_size) WINDOW w AS (PARTITION BY page_id ORDER BY i, j, n DESC))
+WHERE alo < ahi OR blo < bhi
 """)
-for _s, _o in (("l", "r"), ("r", "l")):
-    part(f"al_c{_s}", f"""
-SELECT page_id, gap, o, o - base AS rel, n, CASE WHEN len(w) < 3 THEN [t] ELSE list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i+2], ' '))) END AS sh
-FROM (SELECT page_id, o, gap, base, n, t, string_split(t, ' ') AS w FROM (
-   SELECT page_id, o, gap, base, unnest([1, 2]) AS n, unnest([t, CASE WHEN no = o + 1 THEN t || ' ' || nt END]) AS t FROM (
-     SELECT f.*, lead(o) OVER w AS no, lead(t) OVER w AS nt,
-       (SELECT count(*) FROM al_anchor a WHERE a.page_id = f.page_id AND a.{_s}o <= f.o) AS gap,
-       (SELECT coalesce(max(a.{_s}o), -1) FROM al_anchor a WHERE a.page_id = f.page_id AND a.{_s}o <= f.o) AS base
-     FROM (SELECT page_id, {_s}o AS o, {_s}t AS t FROM al_both WHERE {_o}o IS NULL AND NOT {noise(_s + 't')}) f
-     WINDOW w AS (PARTITION BY page_id ORDER BY o))) WHERE t IS NOT NULL)
+for _s in ("l", "r"):
+    part(f"al_sh{_s}", f"""
+SELECT page_id, i, noise, length(txt) AS len, {shingle_list('txt')} AS one, {shingle_list('two')} AS two
+FROM (SELECT page_id, i, txt, {noise('txt')} AS noise, trim(txt || ' ' || lead(txt) OVER (PARTITION BY page_id ORDER BY i)) AS two FROM al_{_s})
 """)
 part("al_score", """
-SELECT l.page_id, l.o AS lo, l.n AS ln, r.o AS ro, r.n AS rn, abs(l.rel - r.rel) AS apart, len(list_intersect(l.sh, r.sh)) AS common,
-  len(list_intersect(l.sh, r.sh)) / (len(l.sh) + len(r.sh) - len(list_intersect(l.sh, r.sh))) AS sim
-FROM al_cl l JOIN al_cr r USING (page_id, gap)
-""")
-part("al_rank", """
-SELECT *, row_number() OVER (PARTITION BY page_id, lo ORDER BY sim DESC, ln + rn, apart, ro) AS a, row_number() OVER (PARTITION BY page_id, ro ORDER BY sim DESC, ln + rn, apart, lo) AS b
-FROM al_score WHERE common > 0 AND sim >= CASE WHEN ln = 1 AND rn = 1 THEN 5e-1 ELSE 6e-1 END
-""")
-part("al_best", "SELECT * FROM al_rank WHERE a = 1 AND b = 1")
-oracle("align_blocks", f"""
-SELECT page_id, lo AS left_ord, ro AS right_ord, CAST(1 AS BIGINT) AS left_n, CAST(1 AS BIGINT) AS right_n, 1e0 AS similarity, 'equal' AS change FROM al_both WHERE lo IS NOT NULL AND ro IS NOT NULL
-UNION ALL SELECT page_id, lo, ro, ln, rn, round_even(sim, 6), 'changed' FROM al_best
-UNION ALL SELECT page_id, lo, NULL, 1, 0, 0, CASE WHEN {noise('lt')} THEN 'noise' ELSE 'removed' END FROM al_both b WHERE ro IS NULL
-  AND NOT EXISTS (SELECT 1 FROM al_best x WHERE x.page_id = b.page_id AND b.lo BETWEEN x.lo AND x.lo + x.ln - 1)
-UNION ALL SELECT page_id, NULL, ro, 0, 1, 0, CASE WHEN {noise('rt')} THEN 'noise' ELSE 'added' END FROM al_both b WHERE lo IS NULL
-  AND NOT EXISTS (SELECT 1 FROM al_best x WHERE x.page_id = b.page_id AND b.ro BETWEEN x.ro AND x.ro + x.rn - 1)""")
+SELECT g.page_id, l.i, r.i AS j, l.len <= r.len AS shorter, l.noise AS ln, r.noise AS rn, """ + ", ".join(
+    f"CASE WHEN {c} THEN coalesce(len(list_intersect(l.{a}, r.{b})) / (len(l.{a}) + len(r.{b}) - len(list_intersect(l.{a}, r.{b}))), 0) ELSE 0 END AS {n}"
+    for n, a, b, c in (("s11", "one", "one", "true"), ("s12", "one", "two", "r.i + 1 < bhi"), ("s21", "two", "one", "l.i + 1 < ahi"), ("s22", "two", "two", "l.i + 1 < ahi AND r.i + 1 < bhi"))) + """
+FROM al_gap g JOIN al_shl l ON l.page_id = g.page_id AND l.i >= alo AND l.i < ahi JOIN al_shr r ON r.page_id = g.page_id AND r.i >= blo AND r.i < bhi
+""")
+part("al_way", """
+SELECT page_id, i, j, best AS s, CASE WHEN ln THEN [1, 0] WHEN rn THEN [0, 1]
+  WHEN best >= 5e-1 THEN CASE best WHEN s11 THEN [1, 1] WHEN s12 THEN [1, 2] WHEN s21 THEN [2, 1] ELSE [2, 2] END
+  WHEN greatest(s11, s12) < greatest(s11, s21) OR (greatest(s11, s12) = greatest(s11, s21) AND shorter) THEN [1, 0] ELSE [0, 1] END AS go
+FROM (SELECT *, CASE WHEN s11 >= 5e-1 THEN greatest(s11, s12, s21) ELSE greatest(s11, s12, s21, s22) END AS best FROM al_score)
+""")
+part("al_walk", """
+SELECT page_id, ahi, bhi, alo AS i, blo AS j, CAST(0 AS BIGINT) AS di, CAST(0 AS BIGINT) AS dj, CAST(0 AS DOUBLE) AS s FROM al_gap
+UNION ALL
+SELECT w.page_id, w.ahi, w.bhi, w.i + go[1], w.j + go[2], go[1], go[2], CASE WHEN go[1] * go[2] > 0 THEN x ELSE 0 END FROM (
+  SELECT w.*, a.s AS x, CASE WHEN w.i >= w.ahi THEN [0, 1] WHEN w.j >= w.bhi THEN [1, 0] ELSE a.go END AS go
+  FROM al_walk w LEFT JOIN al_way a ON a.page_id = w.page_id AND a.i = w.i AND a.j = w.j WHERE w.i < w.ahi OR w.j < w.bhi) w
+""")
+oracle("align_blocks", """
+SELECT h.page_id, l.ord AS left_ord, r.ord AS right_ord, CAST(1 AS BIGINT) AS left_n, CAST(1 AS BIGINT) AS right_n, 1e0 AS similarity, 'equal' AS change
+FROM (SELECT page_id, i + k AS i, j + k AS j FROM am_hit, LATERAL unnest(generate_series(0, n - 1)) AS u(k)) h
+  JOIN al_l l ON l.page_id = h.page_id AND l.i = h.i JOIN al_r r ON r.page_id = h.page_id AND r.i = h.j
+UNION ALL SELECT w.page_id, l.ord, r.ord, di, dj, round_even(s, 6),
+  CASE WHEN di > 0 AND dj > 0 THEN 'changed' WHEN di > 0 THEN CASE WHEN x.noise THEN 'noise' ELSE 'removed' END WHEN y.noise THEN 'noise' ELSE 'added' END
+FROM al_walk w LEFT JOIN al_l l ON di > 0 AND l.page_id = w.page_id AND l.i = w.i - di LEFT JOIN al_r r ON dj > 0 AND r.page_id = w.page_id AND r.i = w.j - dj
+  LEFT JOIN al_shl x ON x.page_id = l.page_id AND x.i = l.i LEFT JOIN al_shr y ON y.page_id = r.page_id AND y.i = r.i WHERE di + dj > 0""")
 oracle("response_extract", """
 SELECT conv_id * 1000 + turn AS page_id, CASE WHEN turn % 2 = 0 THEN trim(text || chr(10) || 'end') ELSE trim(text) END AS text,
   CASE WHEN turn % 2 = 0 THEN 'stop' ELSE 'length' END AS stop_reason, CASE WHEN turn % 2 = 0 THEN length(text) END AS input_tokens,

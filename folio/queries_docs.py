@@ -433,20 +433,20 @@ def diff_tokens(spark, sf):
     return words.join(chars, ["page_id", "block_id"])
 
 
-def _token_diff(spark, sf):
-    c = _changed(spark, sf)
-    keys = ["page_id", "block_id"]
-    return diff.token_diff(diff.diff_tokens(c, "left_html", keys), diff.diff_tokens(c, "right_html", keys), keys)
+def _reworded(spark, sf):
+    """Changed blocks; on every third page the first word has moved to the end."""
+    moved = F.regexp_replace("right_html", r"^(<[^>]+>)([^\s<]+) ([^<]+)", "$1$3 $2")
+    return _changed(spark, sf).withColumn("right_html", F.when(F.col("page_id") % 3 == 0, moved).otherwise(F.col("right_html")))
 
 
 @register
 def token_diff(spark, sf):
-    return _token_diff(spark, sf).select("page_id", "block_id", "value", F.col("occ").cast("bigint").alias("occ"), "kind", "is_ws", "left_seq", "right_seq", "change")
+    return diff.token_diff(_reworded(spark, sf), "left_html", "right_html", ["page_id", "block_id"])
 
 
 @register
 def diff_markup(spark, sf):
-    return diff.diff_markup(_token_diff(spark, sf), ["page_id", "block_id"])
+    return diff.diff_markup(_reworded(spark, sf), "left_html", "right_html", ["page_id", "block_id"])
 
 
 @register
