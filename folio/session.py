@@ -6,9 +6,12 @@ caller has set except the time zone, which the results depend on.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,9 +54,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_SCOPES: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables written within go to a folder of their own, whose path is given; :func:`drop_scratch` removes it."""
+    name = uuid.uuid4().hex
+    _SCOPES.append(name)
+    try:
+        yield f"{shared_dir(spark)}/folio/{RUN}/{name}"
+    finally:
+        _SCOPES.remove(name)
+
+
 def scratch_path(spark: SparkSession) -> str:
-    """A new place below the folder of this run."""
-    return f"{shared_dir(spark)}/folio/{RUN}/{uuid.uuid4().hex}"
+    """A new place below the folder of this run, or of the innermost :func:`scratch`."""
+    return "/".join([shared_dir(spark), "folio", RUN, *_SCOPES[-1:], uuid.uuid4().hex])
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -67,7 +84,21 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_scratch(spark: SparkSession, place: str) -> None:
+    """Remove the tables of a :func:`scratch` that nothing reads any more, and with them what its frames have shuffled.
+
+    Spark gives up shuffle files once the driver has forgotten the frames they belong to, so both collectors run here.
+    """
+    _delete(spark, place)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def clean(spark: SparkSession) -> None:
     """Remove all tables this run has written; call it when nothing reads them any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/folio/{RUN}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/folio/{RUN}")
