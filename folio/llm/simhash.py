@@ -30,8 +30,8 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 FEED_ROWS = 200_000
-SAMPLE_TEXTS, COMMON = 10_000, 1 << 18
-STAR_TURNS, PAIRS_A_ROW = 6, 4
+BAND_ROWS, BANDS = 5, 24
+STAR_TURNS, PAIRS_A_ROW = 6, 1
 SLACK = 1e-6  # for rounding in bounds; what they let through is verified
 
 
@@ -221,103 +221,85 @@ def shingle_hashes(body: bytes, k: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(s, SEED) for s in got), np.uint64, len(got)))
 
 
-def common_shingles(nodes: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that many texts of ``nodes`` (node, body) share, and how many of the drawn texts do.
+def minima(hashes: np.ndarray, starts: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """For each seed (rows) the least mixed hash of each text (columns); a text is what follows one of ``starts``."""
+    out = np.empty((len(seeds), len(starts)), np.uint64)
+    for i, seed in enumerate(seeds):
+        x = hashes * seed
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        out[i] = np.minimum.reduceat(x, starts)
+    return out
 
-    They are counted in about ``SAMPLE_TEXTS`` texts and are ``COMMON`` at most.  They only set the order in which
-    shingles are taken (see ``prefixes``), which never changes what is found.
-    """
-    share = min(1.0, SAMPLE_TEXTS / max(1, nodes.count()))
-
-    def run(batches):
-        for b in blocks(batches, "body", BLOCK_BYTES):
-            for body in b.column("body").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(body, k).view(np.int64))], names=["h"])
-
-    drawn = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < share * 1_000_000).select("body")
-    counts = drawn.mapInArrow(lambda b: released(run(b)), "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("c"))
-    rows = counts.where("c > 2").orderBy(F.desc("c"), "h").limit(COMMON).toPandas()
-    h, c = rows["h"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64)
-    order = np.argsort(h)
-    return h[order], c[order]
 
+def bands(nodes: DataFrame, k: int, rows: int = BAND_ROWS, count: int = BANDS) -> DataFrame:
+    """(key, node, n): ``count`` band keys of each text of ``nodes`` (node, body) and its number of distinct shingles.
 
-def prefixes(nodes: DataFrame, k: int, least: float) -> DataFrame:
-    """(h, node, n, pos): the first shingles of each text of ``nodes`` (node, body), common shingles last.
-
-    Of ``n`` distinct shingles the first ``n - ceil(least * n) + 1`` in an order that is the same for all texts are
-    enough: two texts that share ``least`` of their shingles have one of these in common.  A text without words has
-    one row of size 0.
+    A key stands for ``rows`` least hashes.  Texts that share J of their shingles have a given key in common with probability
+    J ** rows, hence none of them with (1 - J ** rows) ** count: 7e-5 at 0.8, 7e-7 at 0.85.  Texts without words share all.
     """
-    common = nodes.sparkSession.sparkContext.broadcast(common_shingles(nodes, k))
+    seeds = np.random.default_rng(SEED).integers(1 << 62, size=rows * count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches):
-        known, times = common.value
         for b in blocks(batches, "body", BLOCK_BYTES):
-            heads, sizes = [], []
-            for body in b.column("body").to_pylist():
-                h = shingle_hashes(body, k)
-                if len(known) and len(h):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    h = h[np.argsort(np.where(known[at] == h, times[at], 0), kind="stable")]
-                sizes.append(len(h))
-                heads.append(h[: len(h) - math.ceil(least * len(h) - SLACK) + 1] if len(h) else np.zeros(1, np.uint64))
-            counts = np.array([len(h) for h in heads])
-            pos = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(b.column("node").to_numpy(zero_copy_only=False), counts)),
-                 pa.array(np.repeat(sizes, counts), pa.int32()), pa.array(pos, pa.int32())], names=["h", "node", "n", "pos"])
-
-    return nodes.select("node", "body").mapInArrow(lambda b: released(run(b)), "h bigint, node bigint, n int, pos int")
-
+            sets = [shingle_hashes(t, k) for t in b.column("body").to_pylist()]
+            sizes = np.array([len(s) for s in sets])
+            whole = np.concatenate([s if len(s) else np.zeros(1, np.uint64) for s in sets])
+            starts = np.cumsum(np.maximum(sizes, 1)) - np.maximum(sizes, 1)
+            least = minima(whole, starts, seeds).reshape(count, rows, len(sets))
+            keys = np.repeat(np.arange(count, dtype=np.uint64)[:, None], len(sets), axis=1)
+            for r in range(rows):
+                keys = (keys ^ least[:, r]) * np.uint64(0xBF58476D1CE4E5B9)
+                keys ^= keys >> np.uint64(31)
+            node = b.column("node").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(node, count)), pa.array(np.tile(sizes, count), pa.int32())], names=["key", "node", "n"])
 
-def _may_share(least: float):
-    """Whether ``x`` and ``y``, which meet in their first common shingle, may share ``least``: by their sizes and what follows."""
-    size = F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - SLACK
-    after = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    return size & (after >= least / (1 + least) * (F.col("x.n") + F.col("y.n")) - SLACK)
+    return nodes.select("node", "body").mapInArrow(lambda b: released(run(b)), "key bigint, node bigint, n int")
 
 
-def _edges(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+def _may_share(least: float):
+    """Whether ``x`` and ``y`` may share ``least`` of their shingles, by their numbers."""
+    return F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - SLACK
 
 
 def star(live: DataFrame, least: float, turn: int) -> DataFrame:
-    """Candidates (a, b): at each shingle one text of the largest group there with one text of each other group.
+    """One candidate (a, b) at most for each text of ``live`` (key, node, n, root): it and a text of another group in one of its keys.
 
-    ``live`` is (h, node, n, pos, root); the texts are drawn anew in each ``turn``, alike at all shingles.
+    Of the texts with a key one is drawn anew in each ``turn``, and of those drawn in its keys a text takes the first; draws are
+    alike at all keys, so texts of a crowd mostly take the same one.
     """
-    one = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n", "pos"))
-    reps = materialise(live.groupBy("h", "root").agg(one.alias("r"), F.count(F.lit(1)).alias("m")).select("h", "root", "m", "r.*"))
-    first = reps.groupBy("h").agg(F.min(F.struct((-F.col("m")).alias("m"), "draw", "node", "n", "pos", "root")).alias("c")).select("h", "c.*")
-    met = reps.alias("x").join(first.alias("y"), "h")
-    return _edges(met.where((F.col("x.root") != F.col("y.root")) & _may_share(least)))
+    drawn = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n", "root")).alias("y"))
+    met = live.alias("x").join(drawn, "key").where((F.col("x.root") != F.col("y.root")) & _may_share(least))
+    hubs = met.groupBy(F.col("x.node").alias("node")).agg(F.min(F.struct("y.draw", F.col("y.node").alias("hub"))).alias("c"))
+    return hubs.select(F.least("node", "c.hub").alias("a"), F.greatest("node", "c.hub").alias("b")).distinct()
 
 
 def similar_pairs(nodes: DataFrame, k: int, least: float) -> DataFrame:
     """(node, root) for the texts of ``nodes`` (node, body) that are linked to another: the smallest node reachable.
 
-    Two texts are linked if they share at least ``least`` of their distinct ``k``-word shingles; none is missed.
-    Candidates share a shingle of their prefixes and are verified on the whole texts before anything is left out.
-    Where many meet, one of them is first verified with all others, and groups found so are one from then on; in the
-    end every candidate pair between different groups that was not yet looked at is listed and verified.
+    Two texts are linked if they share at least ``least`` of their distinct ``k``-word shingles.  Candidates share one of
+    ``BANDS`` keys (see :func:`bands` for what that may miss) and are verified on the whole texts before anything is left
+    out.  Where many meet, each is first verified with one of them, one candidate a text and turn, and groups found so
+    are one from then on; in the end every candidate pair between different groups that was not yet looked at is
+    listed and verified.
     """
-    shared = prefixes(nodes, k, least).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("h")))
-    live = materialise(shared.where("m > 1").select("h", "node", "n", "pos", F.col("node").alias("root")))
+    shared = materialise(bands(nodes, k))
+    often = shared.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    live = materialise(shared.join(often, "key", "left_semi").withColumn("root", F.col("node")))
     rows, tested, roots, before = live.count(), None, None, math.inf
 
     def verified(edges: DataFrame) -> DataFrame:
         ends = materialise(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         bodies, _ = parted(nodes, "node", ends)
-        return materialise(similar(edges, materialise(bodies.join(ends, "node", "left_semi")), k, least))
+        return materialise(similar(edges, bodies.join(ends, "node", "left_semi"), k, least))
 
     def grouped(links: DataFrame) -> DataFrame:
         known = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         return components(known)
 
     for turn in range(STAR_TURNS):
-        sizes = live.groupBy("h", "root").agg(F.count(F.lit(1)).cast("double").alias("m"))
-        open_ = sizes.groupBy("h").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("p")).agg(F.sum("p")).first()[0]
+        sizes = live.groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("m"))
+        open_ = sizes.groupBy("key").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("p")).agg(F.sum("p")).first()[0]
         if (open_ or 0) / 2 <= PAIRS_A_ROW * rows or open_ > before / 2:  # few are open, or stars settle few
             break
         before = open_
@@ -328,11 +310,11 @@ def similar_pairs(nodes: DataFrame, k: int, least: float) -> DataFrame:
         if links.isEmpty():
             break
         roots = grouped(links)
-        placed = live.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("h", "node", "n", "pos", "root")
-        split = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-        live = materialise(placed.join(split, "h", "left_semi"))
-    met = live.alias("x").join(live.alias("y"), "h")
-    edges = _edges(met.where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _may_share(least)))
+        placed = live.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("key", "node", "n", "root")
+        split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        live = materialise(placed.join(split, "key", "left_semi"))
+    met = live.alias("x").join(live.alias("y"), "key").where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _may_share(least))
+    edges = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     return grouped(verified(materialise(edges if tested is None else edges.join(tested, ["a", "b"], "left_anti"))))
 
 
