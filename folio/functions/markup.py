@@ -159,31 +159,133 @@ def join_decision(c: Column) -> Column:
     )
 
 
-RESPONSE_DDL = (
-    "output array<struct<content:array<struct<type:string,text:string>>,stop_reason:string>>,"
-    "choices array<struct<message:struct<content:string>,finish_reason:string>>,"
-    "usage struct<input_tokens:bigint,output_tokens:bigint,total_tokens:bigint>"
-)
+def _kind(v: Column) -> Column:
+    """OBJECT, ARRAY, STRING, BOOLEAN, VOID or the name of a number's type."""
+    return F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
+
+
+def _field(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, "variant")
+
+
+def _items(v: Column) -> Column:
+    """Elements of an array, none of anything else."""
+    return T.let(v, lambda v: F.coalesce(F.when(_kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>")), F.expr("cast(array() as array<variant>)")))
+
+
+def _string(v: Column) -> Column:
+    """A string that is not empty, null for anything else."""
+    return T.let(v, lambda v: F.when((_kind(v) == "STRING") & (F.to_json(v) != '""'), F.try_variant_get(v, "$", "string")))
+
+
+def _truthy(v: Column) -> Column:
+    """The value, or null if it is empty, zero, false or null."""
+    return T.let(v, lambda v: F.when(~F.coalesce(F.to_json(v).isin('""', "0", "0.0", "false", "null", "[]", "{}"), F.lit(True)), v))
 
 
 def response_extract(c: Column) -> Column:
-    """STRUCT(text, stop_reason, input_tokens, output_tokens, total_tokens) from either response shape."""
-    r = F.from_json(c, RESPONSE_DDL)
-    parts = F.flatten(F.transform(r["output"], lambda o: F.coalesce(o["content"], F.expr("cast(array() as array<struct<type:string,text:string>>)"))))
-    texts = F.transform(
-        F.filter(parts, lambda p: p["type"].isin("output_text", "text") & p["text"].isNotNull()), lambda p: p["text"]
-    )
-    usage = r["usage"]
-    return F.struct(
-        F.trim(F.coalesce(F.when(F.size(texts) > 0, F.array_join(texts, "\n")), F.get(r["choices"], F.lit(0))["message"]["content"], F.lit(""))).alias("text"),
-        F.coalesce(
-            F.get(F.filter(F.transform(r["output"], lambda o: o["stop_reason"]), lambda s: s.isNotNull()), F.lit(0)),
-            F.get(r["choices"], F.lit(0))["finish_reason"],
-        ).alias("stop_reason"),
-        usage["input_tokens"].alias("input_tokens"),
-        usage["output_tokens"].alias("output_tokens"),
-        usage["total_tokens"].alias("total_tokens"),
-    )
+    """STRUCT(text, stop_reason, input_tokens, output_tokens, total_tokens) of a model's response, whatever its shape.
+
+    The text is ``output_text`` if that is given; else that of the parts of ``output`` or ``outputs``, each a string or an object
+    with ``value`` or ``text``; else that of the first choice's message, a string or a list of parts.  Unreadable JSON gives
+    an empty text and nulls.
+    """
+    def said(text: Column) -> Column:
+        inner = F.coalesce(_truthy(_field(text, "$.value")), _truthy(_field(text, "$.text")))
+        told = T.let(inner, lambda i: F.when(_kind(i).isin("OBJECT", "ARRAY"), F.to_json(i)).otherwise(F.try_variant_get(i, "$", "string")))
+        return F.when(_kind(text) == "STRING", F.try_variant_get(text, "$", "string")).when(_kind(text) == "OBJECT", told)
+
+    def joined(texts: Column) -> Column:
+        return T.let(F.filter(texts, lambda t: t.isNotNull()), lambda ts: F.when(F.size(ts) > 0, F.array_join(ts, "\n")))
+
+    def spoken(output: Column) -> Column:
+        blocks = F.flatten(F.transform(_items(output), lambda o: _items(_field(o, "$.content"))))
+        voiced = F.filter(blocks, lambda p: F.coalesce(_string(_field(p, "$.type")).isin("output_text", "text"), F.lit(False)))
+        stops = F.transform(_items(output), lambda o: F.try_variant_get(_truthy(_field(o, "$.stop_reason")), "$", "string"))
+        return F.struct(joined(F.transform(voiced, lambda p: T.let(_field(p, "$.text"), said))).alias("text"),
+                        F.get(F.filter(stops, lambda s: s.isNotNull()), F.lit(0)).alias("stop"))
+
+    def chosen(content: Column) -> Column:
+        parts = F.transform(_items(content), lambda p: F.coalesce(_string(_field(p, "$.text")), _string(p)))
+        return F.coalesce(_string(content), joined(parts))
+
+    def read(r: Column) -> Column:
+        output = F.coalesce(_truthy(_field(r, "$.output")), _field(r, "$.outputs"))
+        choice = F.get(_items(_field(r, "$.choices")), F.lit(0))
+        usage = lambda name: F.try_variant_get(r, f"$.usage.{name}", "bigint").alias(name)
+        chat = F.struct(T.let(_field(choice, "$.message.content"), chosen).alias("text"), F.try_variant_get(choice, "$.finish_reason", "string").alias("stop"))
+        told = lambda s, h: F.struct(
+            F.regexp_replace(F.coalesce(_string(_field(r, "$.output_text")), s["text"], h["text"], F.lit("")), r"^\s+|\s+$", "").alias("text"),
+            F.coalesce(s["stop"], h["stop"]).alias("stop_reason"), usage("input_tokens"), usage("output_tokens"), usage("total_tokens"))
+        return T.let(T.let(output, spoken), lambda s: T.let(chat, lambda h: told(s, h)))
+
+    return T.let(F.try_parse_json(c), read)
+
+
+def _label(v: Column) -> Column:
+    """join, merge or split for a word or digit given as a string or number."""
+    word = T.let(v, lambda v: F.when(_kind(v).isin("STRING", "BIGINT", "DECIMAL", "DOUBLE"), F.try_variant_get(v, "$", "string")))
+    return T.let(word, _decision)
+
+
+SECTIONS = "array<struct<section:string,action:string,text:string,tag:string>>"
+
+
+def join_sections(c: Column) -> Column:
+    """Decisions of a page-join answer for both ends of a page: an array of (section, action, text, tag), start before end.
+
+    An answer is, the first that fits: a word or digit, which holds for both ends; JSON, fenced or with raw line breaks, with
+    ``pairs`` of actions and merged texts; a word or digit as JSON; a list, whose first readable item holds for both; an object,
+    or its ``sections``, with a ``decision`` for both or with merged text for either end.  An end with nothing merged is split.
+    What cannot be read gives no rows.
+    """
+    none = F.lit(None).cast("string")
+    row = lambda section, action, text=none, tag=none: F.struct(F.lit(section).alias("section"), action.alias("action"), text.alias("text"), tag.alias("tag"))
+    both = lambda action: T.let(action, lambda a: F.when(a.isNotNull(), F.array(row("start", a), row("end", a))))
+    strip = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
+    blank = lambda t: F.nullif(strip(t), F.lit(""))
+    given = lambda *rows: T.let(F.filter(F.array(*rows), lambda r: r["action"].isNotNull()), lambda rs: F.when(F.size(rs) > 0, rs))
+
+    def pair(section: str, p: Column) -> Column:
+        def told(action: Column) -> Column:
+            joins = action.isin("join", "merge")
+            text = F.when(_kind(_field(p, "$.merged.text")) == "STRING", _string(_field(p, "$.merged.text"))).otherwise(_string(_field(p, "$.text")))
+            return row(section, action, F.when(joins, blank(text)), F.when(joins, _string(_field(p, "$.merged.tag"))))
+
+        return T.let(F.when(_kind(p) == "OBJECT", _label(_field(p, "$.action"))), told)
+
+    def merged(section: str, end: Column) -> Column:
+        def told(s: Column) -> Column:
+            words = F.coalesce(*[_truthy(_field(s, f"$.{n}")) for n in ("merged_text", "mergedText", "merged", "joined", "result", "text")])
+            html = F.coalesce(*[_truthy(_field(s, f"$.{n}")) for n in ("merged_html", "mergedHtml", "html")])
+            lists = F.coalesce(*[T.let(_field(s, f"$.{n}"), lambda x: F.when(_kind(x) == "ARRAY", x)) for n in ("merged_blocks", "mergedBlocks", "blocks")])
+            parts = F.filter(F.transform(_items(lists), lambda b: blank(F.regexp_replace(_string(_field(b, "$.text")), r"\s+", " "))), lambda t: t.isNotNull())
+            filled = lambda t: T.let(_string(t), lambda t: F.when(blank(t).isNotNull(), t))
+            blocks = T.let(parts, lambda ts: F.when(F.size(ts) > 0, F.array_join(ts, "\n\n")))
+            text = F.coalesce(filled(words), blocks, F.when(filled(html).isNotNull(), F.lit("")))
+            whole = F.when(_kind(s) == "STRING", blank(_string(s))).when(_kind(s) == "OBJECT", text)
+            split = F.coalesce((_kind(s) == "OBJECT") & _truthy(_field(s, "$.split")).isNotNull(), F.lit(False))
+            tag = F.when(_kind(s) == "OBJECT", _string(_field(s, "$.tag")))
+            return T.let(whole, lambda w: row(section, F.when(w.isNull() | split, "split").otherwise("join"), w, tag))
+
+        read = T.let(F.coalesce(_truthy(_field(end, "$.merged")), end), told)
+        return F.when(end.isNotNull(), read).otherwise(row(section, none))
+
+    def sections(ends: Column) -> Column:
+        end = lambda name: T.let(_truthy(_field(ends, f"$.{name}")), lambda e: merged(name, e))
+        return F.coalesce(both(_label(_field(ends, "$.decision"))), given(end("start"), end("end")))
+
+    def read(v: Column) -> Column:
+        items = F.transform(_items(v), lambda i: F.coalesce(_label(i), _label(F.coalesce(_truthy(_field(i, "$.decision")), _field(i, "$.action")))))
+        listed = F.get(F.filter(items, lambda a: a.isNotNull()), F.lit(0))
+        one = lambda name: T.let(_field(v, f"$.pairs.{name}"), lambda p: pair(name, p))
+        pairs = given(one("start"), one("end"))
+        return F.when(_kind(v) == "ARRAY", both(listed)).when(
+            _kind(v) == "OBJECT", F.coalesce(pairs, T.let(F.coalesce(_truthy(_field(v, "$.sections")), v), sections))).otherwise(both(_label(v)))
+
+    fenced = F.regexp_extract(strip(c), r"(?s)^```[a-zA-Z0-9_-]*\s*(.*?)(?:```(?!.*```).*)?$", 1)
+    body = T.let(F.when(strip(c).startswith("```"), strip(fenced)).otherwise(strip(c)), lambda t: F.coalesce(F.try_parse_json(t), F.try_parse_json(json_repair(t))))
+    return F.coalesce(both(_decision(strip(c))), T.let(body, read), F.array().cast(SECTIONS))
 
 
 def validate_changes(c: Column) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from folio.functions import markup as M
 from folio.functions import text as T
-from folio.operators.sequence import gaps, let, matching_runs, ordered_changes
+from folio.functions.text import let
+from folio.operators.sequence import gaps, matching_runs, ordered_changes
 
 # Class names of marked blocks.
 BLOCK_CLASS = {

@@ -9,6 +9,24 @@ from folio.functions import markup as M
 from folio.functions import text as T
 
 
+# What a page consists of besides text, the first that fits: a comment, a script or style with its content, a declaration, a tag,
+# whose quoted values may hold any mark, and a tag with a quote that is not closed.
+ATTRIBUTES = """(?:[^'">]++|"[^"]*+"|'[^']*+')*+"""  # possessive, so that long tags need no stack
+HIDDEN = [r"<!--.*?(?:-->|\z)", rf"<script(?:[\s/]{ATTRIBUTES})?>.*?(?:</script\s*>|\z)", rf"<style(?:[\s/]{ATTRIBUTES})?>.*?(?:</style\s*>|\z)", r"<[!?][^>]*>"]
+LEXEMES = "(?is)" + "|".join([*HIDDEN, rf"</?[a-z]{ATTRIBUTES}>", r"</?[a-z][^>]*>"])
+
+
+def lexed(html: Column) -> Column:
+    """Html in which ``<`` and ``>`` stand for tags only: comments, declarations, scripts and styles are gone.
+
+    A comment parts the text before it from the text behind it.  Marks in texts are escaped, those in quoted values blank.
+    """
+    tags = F.regexp_extract_all(html, F.lit(LEXEMES), F.lit(0))
+    texts = F.transform(F.split(html, LEXEMES, -1), lambda t: F.replace(t, F.lit("<"), F.lit("&lt;")))
+    inside = lambda t: F.when(t.rlike(r"(?i)^<(?:[!?]|(?:script|style)[\s/>])"), "<wbr>").otherwise(F.concat(F.lit("<"), F.translate(F.substring(t, F.lit(2), F.length(t) - 2), "<>", "  "), F.lit(">")))
+    return F.array_join(F.flatten(F.zip_with(texts, tags, lambda t, g: F.array(t, F.coalesce(inside(g), F.lit(""))))), "")
+
+
 def _units(html: Column) -> Column:
     """Texts and tags of a page in order: STRUCT(at, piece, is_tag)."""
     texts = F.split(html, M.TAG, -1)
@@ -64,7 +82,11 @@ def html_blocks(df: DataFrame, html_col: str) -> DataFrame:
 
 
 def html_to_blocks(df: DataFrame, html_col: str) -> DataFrame:
-    """Numbered document blocks: outermost block elements with text; none at all gives one paragraph."""
+    """Numbered document blocks: outermost block elements with text; none at all gives one paragraph.
+
+    Comments, declarations, scripts and styles have no text and open no block; a mark in a quoted value ends no tag.
+    """
+    df = df.select("page_id", lexed(F.col(html_col)).alias(html_col))
     rows = _with_depth(df, html_col, F.col("name").isin(*M.BLOCK_TAGS))
     order = Window.partitionBy("page_id").orderBy("at")
     inside = (

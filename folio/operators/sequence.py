@@ -7,20 +7,15 @@ compared where they lie, without joins or shuffles.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folio.functions.text import let
+
 RUNS = "array<struct<i:int,j:int,n:int>>"
 GAPS = "array<struct<alo:int,ahi:int,blo:int,bhi:int>>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _gap(alo: Column, ahi: Column, blo: Column, bhi: Column) -> Column:
     return F.struct(alo.cast("int").alias("alo"), ahi.cast("int").alias("ahi"), blo.cast("int").alias("blo"), bhi.cast("int").alias("bhi"))
 

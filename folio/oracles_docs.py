@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from folio.oracles import oracle
-from folio.sqlparts import part, resolve
+from folio.sqlparts import PARTS, part, resolve
 
 NOTE = "display:block;font-size:0.82em;color:#1e5aa8;font-weight:bold;"
 PICTURE = "display:block;font-size:0.82em;color:#1c9b4a;font-weight:bold;"
@@ -99,9 +99,26 @@ SELECT * FROM (
   SELECT page_id, 2*(i-1)+1, tags[i], TRUE, lower(regexp_extract(tags[i], '^<\\s*/?\\s*([a-zA-Z0-9:-]+)', 1)) FROM hb_arr, LATERAL unnest(generate_series(1, len(tags))) AS u(i))
 WHERE piece <> ''
 """)
+ATTRS = """(?:[^''">]+|"[^"]*"|''[^'']*'')*"""
+HIDDEN = rf"<!--.*?(?:-->|\z)|<script(?:[\s/]{ATTRS})?>.*?(?:</script\s*>|\z)|<style(?:[\s/]{ATTRS})?>.*?(?:</style\s*>|\z)|<[!?][^>]*>"
+LEX = rf"(?is){HIDDEN}|</?[a-z]{ATTRS}>|</?[a-z][^>]*>"
+part("bb_raw", """
+SELECT page_id, CASE page_id % 4
+  WHEN 0 THEN '<!-- <p>hidden > </p> --><p title="a > b" class=''x>y''>shown <!-- not --> here</p>' || html
+  WHEN 1 THEN '<script type="a>b">if (a < b) write("<p>no</p>");</script><p>a < b &amp; c</p><STYLE>p > a {}</STYLE >' || html
+  WHEN 2 THEN html || '<!DOCTYPE html><div class="note" data-x="</div>">noted<script>var x = "</div>"</script></div><p>open <!-- to the end <p>lost</p>'
+  ELSE html END AS html FROM art
+""")
+part("bb_lex", f"SELECT page_id, string_split_regex(html, '{LEX}') AS texts, regexp_extract_all(html, '{LEX}') AS tags FROM bb_raw")
+part("bb_art", """
+SELECT page_id, array_to_string(list_transform(generate_series(1, len(texts)), lambda i: replace(texts[i], '<', '&lt;')
+  || coalesce(CASE WHEN regexp_matches(tags[i], '(?i)^<(?:[!?]|(?:script|style)[\\s/>])') THEN '<wbr>' ELSE '<' || translate(tags[i][2:-2], '<>', '  ') || '>' END, '')), '') AS html FROM bb_lex
+""")
+part("bb_arr", "SELECT page_id, string_split_regex(html, '<[^>]+?>') AS texts, regexp_extract_all(html, '<[^>]+?>') AS tags FROM bb_art")
+part("bb_units", PARTS["hb_units"].replace("hb_arr", "bb_arr"))
 for _name, _cond in (("hb", "TRUE"), ("bb", "name IN ('p','div','blockquote','li','h1','h2','h3','small','note')")):
     part(f"{_name}_step", f"""
-SELECT *, CASE WHEN NOT ({_cond}) OR NOT is_tag OR ends_with(piece, '/>') OR name IN {VOID} THEN 0 WHEN starts_with(piece, '</') THEN -1 ELSE 1 END AS step FROM hb_units
+SELECT *, CASE WHEN NOT ({_cond}) OR NOT is_tag OR ends_with(piece, '/>') OR name IN {VOID} THEN 0 WHEN starts_with(piece, '</') THEN -1 ELSE 1 END AS step FROM {_name}_units
 """)
     part(f"{_name}_sum", f"SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY unit_at) AS s FROM {_name}_step")
     part(f"{_name}_depth", f"SELECT *, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY unit_at)) AS depth_after FROM {_name}_sum")
@@ -136,7 +153,7 @@ part("bb_frag", "SELECT page_id, block_no, string_agg(piece, '' ORDER BY unit_at
 part("bb_text", f"SELECT page_id, block_no, {frag_type('fragment')} AS type, {frag_text('fragment')} AS text FROM bb_frag")
 part("bb_out", f"""
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY block_no) - 1 AS ord, type, text FROM bb_text WHERE text <> ''
-UNION ALL SELECT page_id, 0, 'p', {frag_text('html')} FROM art WHERE {frag_text('html')} <> '' AND page_id NOT IN (SELECT page_id FROM bb_text WHERE text <> '')
+UNION ALL SELECT page_id, 0, 'p', {frag_text('html')} FROM bb_art WHERE {frag_text('html')} <> '' AND page_id NOT IN (SELECT page_id FROM bb_text WHERE text <> '')
 """)
 oracle("html_to_blocks", "SELECT page_id, 'b' || (ord+1) AS block_id, ord, type, text FROM bb_out")
 TAG1 = "lower(regexp_extract(trim(fragment), '^<\\s*([a-zA-Z0-9]+)', 1))"
@@ -522,9 +539,19 @@ UNION ALL SELECT w.page_id, l.ord, r.ord, di, dj, round_even(s, 6),
 FROM al_walk w LEFT JOIN al_l l ON di > 0 AND l.page_id = w.page_id AND l.i = w.i - di LEFT JOIN al_r r ON dj > 0 AND r.page_id = w.page_id AND r.i = w.j - dj
   LEFT JOIN al_shl x ON x.page_id = l.page_id AND x.i = l.i LEFT JOIN al_shr y ON y.page_id = r.page_id AND y.i = r.i WHERE di + dj > 0""")
 oracle("response_extract", """
-SELECT conv_id * 1000 + turn AS page_id, CASE WHEN turn % 2 = 0 THEN trim(text || chr(10) || 'end') ELSE trim(text) END AS text,
-  CASE WHEN turn % 2 = 0 THEN 'stop' ELSE 'length' END AS stop_reason, CASE WHEN turn % 2 = 0 THEN length(text) END AS input_tokens,
-  CASE WHEN turn % 2 = 0 THEN turn END AS output_tokens, CASE WHEN turn % 2 = 0 THEN length(text) + turn END AS total_tokens FROM conversations""")
+SELECT conv_id * 1000 + turn AS page_id, CASE turn % 6 WHEN 0 THEN trim(text || chr(10) || 'end') WHEN 4 THEN trim(text || chr(10) || 'more') WHEN 5 THEN '' ELSE trim(text) END AS text,
+  CASE turn % 6 WHEN 0 THEN 'stop' WHEN 1 THEN 'length' WHEN 4 THEN 'length' END AS stop_reason, CASE WHEN turn % 6 NOT IN (3, 5) THEN length(text) END AS input_tokens,
+  CASE WHEN turn % 6 NOT IN (3, 5) THEN turn END AS output_tokens, CASE WHEN turn % 6 NOT IN (3, 5) THEN length(text) + turn END AS total_tokens FROM conversations""")
+oracle("join_sections", """
+SELECT page_id, unnest(CASE k
+  WHEN 0 THEN [{'section': 'start', 'action': 'join', 'text': NULL, 'tag': NULL}, {'section': 'end', 'action': 'join', 'text': NULL, 'tag': NULL}]
+  WHEN 1 THEN [{'section': 'start', 'action': 'merge', 'text': trim(text), 'tag': 'h2'}, {'section': 'end', 'action': 'split', 'text': NULL, 'tag': NULL}]
+  WHEN 2 THEN [{'section': 'start', 'action': 'join', 'text': NULL, 'tag': NULL}, {'section': 'end', 'action': 'join', 'text': NULL, 'tag': NULL}]
+  WHEN 3 THEN [{'section': 'start', 'action': 'join', 'text': text, 'tag': 'p'}, {'section': 'end', 'action': 'split', 'text': 'one two' || chr(10) || chr(10) || 'three', 'tag': NULL}]
+  WHEN 4 THEN [{'section': 'start', 'action': 'merge', 'text': NULL, 'tag': NULL}, {'section': 'end', 'action': 'merge', 'text': NULL, 'tag': NULL}]
+  WHEN 5 THEN [{'section': 'end', 'action': 'join', 'text': 'both' || chr(10) || 'lines', 'tag': NULL}]
+  WHEN 6 THEN [{'section': 'start', 'action': 'join', 'text': trim(text), 'tag': NULL}] END, recursive := true)
+FROM (SELECT conv_id * 1000 + turn AS page_id, (conv_id * 1000 + turn + turn) % 8 AS k, text FROM conversations)""")
 oracle("correction_validate", """
 SELECT page_id, ord, CASE WHEN ord % 13 = 0 THEN 'changes' ELSE CASE (page_id + ord) % 4 WHEN 0 THEN '' WHEN 1 THEN 'keys' WHEN 2 THEN 'id' ELSE 'keys' END END = '' AS ok,
   CASE WHEN ord % 13 = 0 THEN 'changes' ELSE CASE (page_id + ord) % 4 WHEN 0 THEN '' WHEN 1 THEN 'keys' WHEN 2 THEN 'id' ELSE 'keys' END END AS reason FROM fx_blocks""")

@@ -161,9 +161,19 @@ def html_blocks(spark, sf):
     return _fragments(spark, sf)
 
 
+def _scripted(spark, sf):
+    """Articles with what an html page has besides text: on three of four pages a comment, a script, marks in quoted values."""
+    extra = F.expr("""CASE page_id % 4
+      WHEN 0 THEN '<!-- <p>hidden > </p> --><p title="a > b" class=\\'x>y\\'>shown <!-- not --> here</p>'
+      WHEN 1 THEN '<script type="a>b">if (a < b) write("<p>no</p>");</script><p>a < b &amp; c</p><STYLE>p > a {}</STYLE >'
+      WHEN 2 THEN '<!DOCTYPE html><div class="note" data-x="</div>">noted<script>var x = "</div>"</script></div><p>open <!-- to the end <p>lost</p>'
+      ELSE '' END""")
+    return fx.articles(spark, sf).select("page_id", F.when(F.col("page_id") % 4 == 2, F.concat("html", extra)).otherwise(F.concat(extra, F.col("html"))).alias("html"))
+
+
 @register
 def html_to_blocks(spark, sf):
-    return html.html_to_blocks(fx.articles(spark, sf), "html")
+    return html.html_to_blocks(_scripted(spark, sf), "html")
 
 
 @register
@@ -468,18 +478,40 @@ def align_blocks(spark, sf):
 
 @register
 def response_extract(spark, sf):
-    body = F.when(
-        F.col("turn") % 2 == 0,
-        F.to_json(F.struct(
-            F.array(F.struct(F.array(
-                F.struct(F.lit("output_text").alias("type"), F.col("text").alias("text")),
-                F.struct(F.lit("reasoning").alias("type"), F.lit("hidden").alias("text")),
-                F.struct(F.lit("text").alias("type"), F.lit("end").alias("text"))).alias("content"), F.lit("stop").alias("stop_reason"))).alias("output"),
-            F.struct(F.length("text").alias("input_tokens"), F.col("turn").alias("output_tokens"), (F.length("text") + F.col("turn")).alias("total_tokens")).alias("usage"))),
-    ).otherwise(F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"), F.lit("length").alias("finish_reason"))).alias("choices"))))
+    """Six shapes of responses, by turn."""
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    usage = F.struct(F.length("text").alias("input_tokens"), F.col("turn").alias("output_tokens"), (F.length("text") + F.col("turn")).alias("total_tokens")).alias("usage")
+    message = lambda content: F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"), F.lit("length").alias("finish_reason"))).alias("choices"), usage))
+    spoken = F.array(part("output_text", F.col("text")), part("reasoning", F.lit("hidden")), part("text", F.lit("end"))).alias("content")
+    nested = F.array(part("text", F.struct(F.col("text").alias("value"))), part("reasoning", F.struct(F.lit("hidden").alias("value")))).alias("content")
+    body = (
+        F.when(F.col("turn") % 6 == 0, F.to_json(F.struct(F.array(F.struct(spoken, F.lit("stop").alias("stop_reason"))).alias("output"), usage)))
+        .when(F.col("turn") % 6 == 1, message(F.col("text")))
+        .when(F.col("turn") % 6 == 2, F.to_json(F.struct(F.array().alias("output"), F.array(F.struct(nested)).alias("outputs"), usage)))
+        .when(F.col("turn") % 6 == 3, F.to_json(F.struct(F.col("text").alias("output_text"), F.array(F.struct(spoken)).alias("output"))))
+        .when(F.col("turn") % 6 == 4, message(F.array(F.struct(F.col("text").alias("text")), F.struct(F.lit("more").alias("text")))))
+        .otherwise(F.concat(F.lit("{"), F.col("text"))))
     return _talk(spark, sf).select("page_id", M.response_extract(body).alias("r")).select("page_id", "r.*")
 
 
+@register
+def join_sections(spark, sf):
+    """Eight forms of join answers, by page and turn."""
+    js = lambda c: F.to_json(F.struct(c)).substr(F.lit(6), F.length(F.to_json(F.struct(c))) - 6)  # noqa: E731 - {"t":...} without its frame
+    text = js(F.col("text").alias("t"))
+    answer = (
+        F.when(F.col("k") == 0, F.lit(" 1 "))
+        .when(F.col("k") == 1, F.concat(F.lit('```json\n{"pairs":{"start":{"action":"Merge","merged":{"text":'), text, F.lit(',"tag":"h2"}},"end":{"action":"0"}}}\n```')))
+        .when(F.col("k") == 2, F.concat(F.lit('[{"note":1},{"decision":"","action":"join"},"split"]')))
+        .when(F.col("k") == 3, F.concat(F.lit('{"sections":{"start":{"merged_text":'), text, F.lit(',"tag":"p"},"end":{"blocks":[{"text":"one  two"},{"text":" "},{"text":"three"}],"split":true}}}')))
+        .when(F.col("k") == 4, F.lit('{"pairs":{"start":{"action":"maybe"}},"decision":2}'))
+        .when(F.col("k") == 5, F.concat(F.lit('{"end":"  both\nlines ","start":""}')))
+        .when(F.col("k") == 6, F.concat(F.lit('{"start":{"merged":'), text, F.lit("}}")))
+        .otherwise(F.concat(F.lit("?"), F.col("text"))))
+    rows = _talk(spark, sf).withColumn("k", (F.col("page_id") + F.col("turn")) % 8)
+    return rows.select("page_id", F.inline(M.join_sections(answer)))
+
+
 @register
 def correction_validate(spark, sf):
     item = F.expr(
