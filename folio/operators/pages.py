@@ -43,25 +43,21 @@ def collect_pages(objects: DataFrame, roots: DataFrame, max_depth: int = MAX_DEP
         F.expr("cast(array() as array<bigint>)").alias("path"), F.array("pid").alias("seen"),
     )
     found, inner = [], []
-    for _ in range(max_depth + 1):
+    for depth in range(max_depth + 1):
         below = level.join(kids, level["node"] == kids["parent_pid"]).select(
             "root_pid", "kid", "is_page", F.col("path").alias("parent_path"), F.col("kid_ord").alias("ord"),
             F.concat("path", F.array("kid_ord")).alias("path"), "seen",
         )
         found.append(below.filter("is_page").select("root_pid", "kid", "parent_path", "ord", "path"))
+        if depth == max_depth:  # what lies deeper is not walked, so it has not been seen either
+            break
         # inner nodes are few next to pages; kept as a table so that deeper levels do not walk them again
         level = materialise(below.filter(~F.col("is_page") & ~F.array_contains("seen", F.col("kid"))).select(
             "root_pid", F.col("kid").alias("node"), "path", F.concat("seen", F.array("kid")).alias("seen")
         ))
         inner.append(level.select("root_pid", "node", "path"))
     pages = reduce(DataFrame.unionByName, found)
-    visits = reduce(DataFrame.unionByName, inner)
-    # an inner node reached twice is walked only the first time
-    again = (
-        visits.join(visits.groupBy("root_pid", "node").agg(F.min("path").alias("first_path")), ["root_pid", "node"])
-        .filter("path > first_path")
-        .select("root_pid", F.col("path").alias("again"))
-    )
+    again = _walked_before(reduce(DataFrame.unionByName, inner)) if inner else roots.select(F.col("pid").alias("root_pid"), F.array().cast("array<bigint>").alias("again")).limit(0)
     above = pages.select("root_pid", "kid", "path", F.explode(F.transform(
         F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", 1, n))).alias("again"))
     repeated = above.join(again, ["root_pid", "again"], "left_semi").select("root_pid", "path").distinct()
@@ -87,6 +83,25 @@ def collect_pages(objects: DataFrame, roots: DataFrame, max_depth: int = MAX_DEP
     )
 
 
+def _walked_before(visits: DataFrame) -> DataFrame:
+    """(root_pid, again): the paths at which an inner node is met that reading order has walked before.
+
+    ``visits`` has root_pid, node, path.  What lies below such a path is not walked, so it counts for no later place; whether
+    a visit counts depends on earlier ones only, so repeating the rule settles them in reading order.
+    """
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", 1, n))
+    above = visits.where(F.size("path") > 1).select("root_pid", "path", F.explode(prefixes).alias("again"))
+    again = None
+    while True:
+        below = None if again is None else above.join(again, ["root_pid", "again"], "left_semi").select("root_pid", "path").distinct()
+        live = visits if below is None else visits.join(below, ["root_pid", "path"], "left_anti")
+        first = live.groupBy("root_pid", "node").agg(F.min("path").alias("first_path"))
+        found = materialise(live.join(first, ["root_pid", "node"]).where("path > first_path").select("root_pid", F.col("path").alias("again")))
+        if found.isEmpty() if again is None else found.exceptAll(again).isEmpty() and again.exceptAll(found).isEmpty():
+            return found
+        again = found
+
+
 def enrich_pages(pages: DataFrame, items: DataFrame, mods: DataFrame) -> DataFrame:
     """Number, title and side of a page: from the list, else its own record, else its metadata."""
     value = T.clean_text("value")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.sqlparts import query
+from folio.sqlparts import part, query
 
 ORACLES: dict[str, str] = {}
 
@@ -78,15 +78,25 @@ oracle("small_class", "SELECT page_id, block_no, tag FROM t_small")
 from folio.sqlparts import FRAGMENT  # noqa: E402
 
 oracle("block_fragment", f"SELECT page_id, block_no, {FRAGMENT} AS html FROM t_slc")
+part("hm_blocks", """
+SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY block_no) AS rn, [CAST(max_font AS DOUBLE) FOR k IN range(line_count)] AS sizes,
+  tag IN ('h1','h2') AND lag(tag) OVER w = tag AND lag(floor(block_no/6)) OVER w = floor(block_no/6) AND lag(all_bold) OVER w = all_bold AS alike
+FROM t_hc WINDOW w AS (PARTITION BY page_id ORDER BY block_no)
+""")
+part("hm_walk", """
+SELECT page_id, rn, block_no, sizes, 1 AS run FROM hm_blocks WHERE rn = 1
+UNION ALL
+SELECT page_id, rn, block_no, CASE WHEN j THEN list_sort(list_concat(old, sizes)) ELSE sizes END, CASE WHEN j THEN run ELSE run + 1 END FROM (
+  SELECT b.page_id, b.rn, b.block_no, w.sizes AS old, b.sizes, w.run,
+    coalesce(b.alike AND least(list_aggregate(w.sizes, 'median'), list_aggregate(b.sizes, 'median')) > 0
+      AND (greatest(list_aggregate(w.sizes, 'median'), list_aggregate(b.sizes, 'median')) - least(list_aggregate(w.sizes, 'median'), list_aggregate(b.sizes, 'median'))) / least(list_aggregate(w.sizes, 'median'), list_aggregate(b.sizes, 'median')) <= 1e-1, FALSE) AS j
+  FROM hm_walk w JOIN hm_blocks b ON b.page_id = w.page_id AND b.rn = w.rn + 1)
+""")
 oracle("heading_merge", """
 SELECT page_id, min(block_no) AS block_no, any_value(tag) AS tag,
   CASE WHEN count(*) > 1 THEN regexp_replace(trim(replace(string_agg(text, chr(1) ORDER BY block_no), '-' || chr(1), '')), '[\\s\\x01]+', ' ', 'g')
        ELSE any_value(text) END AS text,
   bool_or(centered) AS centered, bool_and(all_bold) AS all_bold, CAST(sum(line_count) AS BIGINT) AS line_count
-FROM (SELECT *, sum(CASE WHEN coalesce(j, FALSE) THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY block_no) AS run
-  FROM (SELECT *, tag IN ('h1','h2') AND lag(tag) OVER w = tag AND lag(floor(block_no/6)) OVER w = floor(block_no/6)
-     AND lag(all_bold) OVER w = all_bold AND least(lag(max_font) OVER w, max_font) > 0
-     AND (greatest(lag(max_font) OVER w, max_font) - least(lag(max_font) OVER w, max_font))/least(lag(max_font) OVER w, max_font) <= 1e-1 AS j
-   FROM t_hc WINDOW w AS (PARTITION BY page_id ORDER BY block_no))) GROUP BY page_id, run""".replace("\\\\", "\\"))
+FROM t_hc JOIN hm_walk USING (page_id, block_no) GROUP BY page_id, run""")
 oracle("illustration_dedupe", "SELECT * FROM ill_kept")
 oracle("page_html", "SELECT * FROM page_htmls")

@@ -640,6 +640,15 @@ WHERE o_orderkey % 4 IN (0, 1)""")
 oracle("objects_scan", """
 SELECT 'o' || o_orderkey AS pid, CASE WHEN o_orderkey % 2 = 0 THEN 'page' ELSE 'monograph' END AS model, CASE WHEN o_orderkey % 2 = 0 THEN 'T' || o_orderkey END AS title,
   'c' || o_custkey AS root_pid, 'hasPage' AS context_model, 'k1:page,k2:page,f' || o_custkey || ':unit' AS children FROM orders""")
+part("jr", """
+SELECT *, sum(CASE WHEN ts < last + INTERVAL 1 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY job_id ORDER BY ts, processed) AS run
+FROM (SELECT *, lag(ts) OVER (PARTITION BY job_id ORDER BY ts, processed) AS last FROM fx_job_events)
+""")
+oracle("job_runs", """
+SELECT job_id, done AS processed, total, message, round_even(least(greatest(done * 100e0 / total, 0), 100), 6) AS percent,
+  round_even(CASE WHEN done < total THEN (total - done) * (greatest((epoch_us(updated) - epoch_us(started)) / 1000000e0, 1e-3) / done) END, 3) AS eta_seconds
+FROM (SELECT job_id, arg_max(processed, [epoch_us(ts), processed]) AS done, arg_max(total, [epoch_us(ts), processed]) AS total, arg_max(message, [epoch_us(ts), processed]) AS message,
+  min(ts) AS started, max(ts) AS updated FROM jr GROUP BY job_id, run)""")
 oracle("job_progress", """
 SELECT job_id, done AS processed, total, message, round_even(least(greatest(done * 100e0 / total, 0), 100), 6) AS percent,
   round_even(CASE WHEN done < total THEN (total - done) * (greatest((epoch_us(updated) - epoch_us(started)) / 1000000e0, 1e-3) / done) END, 3) AS eta_seconds

@@ -717,6 +717,13 @@ def objects_scan(spark, sf):
 
 
 # --- progress ------------------------------------------------------------------------------------
+@register
+def job_runs(spark, sf):
+    """Runs of jobs, parted by pauses of an hour or more, with the progress each ended with."""
+    p = progress.job_progress(fx.job_events(spark, sf), idle="1 hour")
+    return p.withColumn("percent", F.bround("percent", 6)).withColumn("eta_seconds", F.bround("eta_seconds", 3))
+
+
 @register
 def job_progress(spark, sf):
     p = progress.job_progress(fx.job_events(spark, sf))

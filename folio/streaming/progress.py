@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def job_progress(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
+def job_progress(events: DataFrame, watermark: str = "1 hour", idle: str | None = None) -> DataFrame:
     """Last state of each job with percent and remaining seconds.
 
     Events: job_id, ts, processed, total, message.  The aggregation is the same for both kinds of
-    input; a stream runs in update mode and keeps one row of state per job.  Events later than the
-    watermark are dropped by a stream.
+    input.  A stream drops events later than the watermark.  Without ``idle`` it runs in update mode and keeps one row of state
+    per job for good.  With ``idle`` a job ends when nothing has come from it for that long, and comes out once, as a final row, in
+    append mode; its state goes when the watermark has passed that time.  Events of a job behind such a pause are another run of it.
     """
     if events.isStreaming:
         events = events.withWatermark("ts", watermark)
+    keys = ["job_id"] if idle is None else ["job_id", F.session_window("ts", idle).alias("run")]
     state = F.struct("processed", "total", "message")
-    last = events.groupBy("job_id").agg(
+    last = events.groupBy(*keys).agg(
         F.min("ts").alias("started"),
         F.max("ts").alias("updated"),
         F.max_by(state, F.struct("ts", "processed")).alias("s"),
@@ -32,6 +34,12 @@ def job_progress(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     )
 
 
+def start_final_progress(events: DataFrame, sink, checkpoint: str, idle: str, watermark: str = "1 hour", once: bool = True) -> StreamingQuery:
+    """Run :func:`job_progress` with ``idle`` on a stream: a row for each run of a job, when it has ended."""
+    writer = job_progress(events, watermark, idle).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def start_progress(events: DataFrame, sink, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Run :func:`job_progress` on a stream; ``sink(batch, batch_id)`` must be safe to repeat for a batch id."""
     writer = (

@@ -85,3 +85,27 @@ def test_progress_stream_equals_batch_and_resumes(spark, tmp_path):
     batch = {r.job_id: r for r in progress.job_progress(df).collect()}
     assert state == batch and batch[1].percent == 100.0 and batch[1].eta_seconds is None
     assert batch[0].percent == 60.0 and abs(batch[0].eta_seconds - 2 * 20 / 3) < 1e-6
+
+
+def test_state_of_ended_jobs_goes_and_a_restart_loses_nothing(spark, tmp_path):
+    rows = [(j, f"2024-01-01 {h:02d}:{m:02d}:00", m // 10 + 1, 3, f"m{m}") for j, h in ((1, 0), (2, 0), (1, 5), (3, 9)) for m in (0, 10, 20)] + [(9, "2024-01-02 12:00:00", 1, 1, "late clock")]
+    df = spark.createDataFrame(rows, "job_id bigint, t string, processed bigint, total bigint, message string").selectExpr(
+        "job_id", "to_timestamp(t) AS ts", "processed", "total", "message")
+    src, ckpt, final = str(tmp_path / "in"), str(tmp_path / "ckpt"), []
+
+    def sink(batch, _):
+        final.extend((r.job_id, r.processed, r.message) for r in batch.collect())
+
+    def run(part):
+        part.coalesce(1).write.mode("append").parquet(src)
+        query = progress.start_final_progress(spark.readStream.schema(df.schema).parquet(src), sink, ckpt, "30 minutes", "10 minutes")
+        query.awaitTermination()
+        return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    run(df.filter("job_id = 2 OR (job_id = 1 AND hour(ts) = 0 AND minute(ts) < 20)"))
+    assert run(df.filter("job_id = 1 AND hour(ts) = 0 AND minute(ts) = 20")) == 2 and final == []  # both still run
+    left = run(df.filter("job_id = 1 AND hour(ts) = 5 OR job_id = 3"))
+    assert sorted(final) == [(1, 3, "m20"), (1, 3, "m20"), (2, 3, "m20")] and left == 1  # only job 3 is left
+    assert run(df.filter("job_id = 9")) == 1 and sorted(final)[-1] == (3, 3, "m20")
+    batch = progress.job_progress(df, idle="30 minutes").collect()
+    assert sorted(final) == sorted((r.job_id, r.processed, r.message) for r in batch if r.job_id != 9)

@@ -182,3 +182,30 @@ def test_reading_blocks_v1_close_only_at_sentence_ends(spark):
     got = v1_texts(spark, rows)
     assert [w for t in got for w in t.split()] == words
     assert all(t[-1] in ".;" and len(t) > 120 for t in got[:-1])
+
+
+def test_merged_headings_follow_the_growing_median(spark):
+    from statistics import median
+
+    from folio.operators import headings
+
+    cases = {1: [[10.0], [10.9], [11.9], [12.0]], 2: [[10.0, 10.0], [10.9], [11.1]], 3: [[20.0], [21.0], [22.5], [20.0]], 4: [[0.0], [10.0]], 5: [[10.0], [30.0], [31.0], [33.0, 33.0], [36.0]]}
+    rows = [(p, i, "h1", f"t{i}", "s", False, None, f, False, len(f)) for p, fs in cases.items() for i, f in enumerate(fs)]
+    df = spark.createDataFrame(rows, "page_id int, block_no bigint, tag string, text string, source_block_id string, all_bold boolean, split_reason string, fonts array<double>, centered boolean, line_count int")
+
+    def loop(fonts):
+        out, sizes = [], None
+        for i, f in enumerate(fonts):
+            f = [x for x in f if x]
+            if sizes and f and (max(median(sizes), median(f)) - min(median(sizes), median(f))) / min(median(sizes), median(f)) <= headings.MERGE_TOLERANCE:
+                out[-1] += f" t{i}"
+                sizes = sizes + f
+            else:
+                out.append(f"t{i}")
+                sizes = f
+        return out
+
+    got = {}
+    for r in headings.heading_merge(df).orderBy("page_id", "block_no").collect():
+        got.setdefault(r.page_id, []).append(r.text)
+    assert got == {p: loop(fs) for p, fs in cases.items()}

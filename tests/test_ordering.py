@@ -74,3 +74,46 @@ def test_tree_with_shared_nodes(spark):
     objs = spark.createDataFrame(deep, "parent_pid string, pid string, ord bigint, model string")
     got = pages.collect_pages(objs, objs.filter("parent_pid IS NULL").select("pid")).orderBy("page_index").collect()
     assert [r.pid for r in got] == ["p4", "p3", "p2", "p1", "p0"]
+
+
+def walk(rows, root, max_depth=4):
+    """Pages in the order of a depth-first walk that enters each inner node once."""
+    kids, seen, out = {}, set(), []
+    for pid, parent, order, model in sorted((r for r in rows if r[1]), key=lambda r: r[2]):
+        kids.setdefault(parent, []).append((pid, model))
+
+    def enter(node, depth):
+        if depth > max_depth or node in seen:
+            return
+        seen.add(node)
+        for pid, model in kids.get(node, []):
+            if model == "page":
+                out.append(pid)
+            elif depth + 1 <= max_depth:
+                enter(pid, depth + 1)
+
+    enter(root, 0)
+    return out
+
+
+def test_a_node_met_too_deep_is_walked_where_it_is_in_reach(spark):
+    chain = [("r", None, 0, "book"), ("a", "r", 0, "unit"), ("b", "a", 0, "unit"), ("c", "b", 0, "unit"), ("d", "c", 0, "unit")]
+    deep = chain + [("x", "d", 0, "unit"), ("x", "r", 5, "unit"), ("px", "x", 0, "page"), ("pd", "d", 1, "page"), ("py", "y", 0, "page"), ("y", "r", 9, "unit"), ("y", "n", 3, "unit"), ("pn", "n", 0, "page"), ("n", "c", 4, "unit"), ("n", "r", 2, "unit"), ("a", "b", 9, "unit")]
+    objs = spark.createDataFrame(deep, "pid string, parent_pid string, ord bigint, model string")
+    got = [r.pid for r in pages.collect_pages(objs, spark.createDataFrame([("r",)], "pid string")).orderBy("page_index").collect()]
+    assert got == walk(deep, "r") == ["pd", "pn", "px", "py"]
+
+
+def test_random_trees_are_walked_like_a_loop(spark):
+    import random
+
+    rng = random.Random(11)
+    for _ in range(3):
+        rows = [("0", None, 0, "book")]
+        for i in range(1, 25):
+            for _ in range(rng.randint(1, 3)):
+                rows.append((str(i), str(rng.randrange(max(0, i - 9), i) if rng.random() < 0.8 else rng.randrange(25)), len(rows), "unit"))
+        rows += [(f"p{i}", str(rng.randrange(25)), len(rows) + i, "page") for i in range(40)]
+        objs = spark.createDataFrame(rows, "pid string, parent_pid string, ord bigint, model string")
+        got = [r.pid for r in pages.collect_pages(objs, spark.createDataFrame([("0",)], "pid string")).orderBy("page_index").collect()]
+        assert got == walk(rows, "0")
