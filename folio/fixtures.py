@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.functions import markup as M
 from folio.operators.ordering import spread, with_rank
 
 PAGE_W, PAGE_H = 1400, 4000
@@ -345,7 +346,9 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def snippets(spark: SparkSession, sf: str) -> DataFrame:
-    """Blocks of the pages as export snippets, placed in their books."""
-    return blocks(spark, sf).select("page_id", "ord", F.col("type").alias("tag"), "text").join(
+    """Blocks of the pages as export snippets, placed in their books; every fourth has its first word in an inline tag."""
+    html = M.block_html(F.col("type"), F.col("text"), F.col("block_id"), "server")
+    inline = F.regexp_replace(html, r"^(<[^>]+>)([^<\s]+) ", "$1<i class='w'>$2</i> ")
+    return blocks(spark, sf).select("page_id", "ord", F.col("type").alias("tag"), "text", F.when(F.col("ord") % 4 == 1, inline).otherwise(html).alias("html")).join(
         pages(spark, sf).select("page_id", "book_id", "page_index"), "page_id"
     )

@@ -87,6 +87,18 @@ def block_html(type_: Column, text: Column, block_id: Column, profile: str) -> C
     return F.when(t != "", html)
 
 
+def snippet_html(tag: Column, text: Column) -> Column:
+    """Plain html of a snippet."""
+    return F.concat(F.lit("<"), tag, F.lit(">"), T.escape(text, quote=True), F.lit("</"), tag, F.lit(">"))
+
+
+def opening_tag(html: Column) -> Column:
+    """First tag of a block with its attributes; null if it does not begin with one."""
+    found = lambda n: F.regexp_extract(html, r"^\s*<([a-zA-Z0-9:-]+)([^>]*)>", n)
+    attrs = T.let(F.regexp_replace(found(2), r"^\s+|\s+$", ""), lambda a: F.when(a == "", "").otherwise(F.concat(F.lit(" "), a)))
+    return F.when(found(1) != "", F.concat(F.lit("<"), found(1), attrs, F.lit(">")))
+
+
 def is_small(markup: Column, tag: Column) -> Column:
     return (tag == "small") | F.lower(markup).contains("<small")
 

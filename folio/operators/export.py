@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from folio.functions import markup as M
 from folio.functions import text as T
 from folio.operators.ordering import with_running
+from folio.operators.pages import with_html
 from folio.session import materialise
 
 TEXT_TAGS = ["h1", "h2", "h3", "p", "blockquote", "small", "div", "note"]
@@ -45,14 +46,9 @@ def to_markdown(snippets: DataFrame) -> DataFrame:
     return _per_page(kept, M.md_line(F.col("tag"), F.col("text")), "\n\n")
 
 
-def snippet_html(tag: Column, text: Column) -> Column:
-    return F.concat(F.lit("<"), tag, F.lit(">"), T.escape(text, quote=True), F.lit("</"), tag, F.lit(">"))
-
-
 def to_html(snippets: DataFrame, pages: DataFrame, titles: DataFrame) -> DataFrame:
     """Html document in pieces: the head (part 0), one section per page, the tail (last part)."""
-    html = F.when(F.col("text") == "", "").otherwise(snippet_html(F.col("tag"), F.col("text")))
-    body = _per_page(snippets, html, "\n")
+    body = _per_page(with_html(snippets), F.when(F.col("text") == "", "").otherwise(F.col("html")), "\n")
     label = F.coalesce(F.when(F.col("page_number") != "", F.col("page_number")), F.format_string(PAGE_LABEL, F.col("page_index") + 1))
     sections = body.join(pages.select("book_id", "page_index", "page_number"), ["book_id", "page_index"]).select(
         "book_id", (F.col("page_index") + 1).alias("part"),
@@ -100,10 +96,9 @@ def chapter_ids(snippets: DataFrame) -> DataFrame:
 
 def chapters(snippets: DataFrame) -> DataFrame:
     """Chapters in pieces, one row per chapter and page, each with the chapter's title and file."""
-    numbered = chapter_ids(snippets.filter(F.col("text") != ""))
+    numbered = chapter_ids(with_html(snippets).filter(F.col("text") != ""))
     pieces = (
-        numbered.withColumn("html", snippet_html(F.col("tag"), F.col("text")))
-        .groupBy("book_id", "chapter_no", "page_index")
+        numbered.groupBy("book_id", "chapter_no", "page_index")
         .agg(F.array_sort(F.collect_list(F.struct("ord", "html"))).alias("ps"), F.first("title").alias("title"))
     )
     return pieces.select(

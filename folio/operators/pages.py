@@ -138,10 +138,18 @@ def page_pairs(pages: DataFrame) -> DataFrame:
     return left.join(right, ["book_id", "page_index"])
 
 
+def with_html(snippets: DataFrame) -> DataFrame:
+    """Snippets with ``html``: their own, the escaped text where that is empty; plain markup if none have any."""
+    if "html" not in snippets.columns:
+        return snippets.withColumn("html", F.when(F.col("text") == "", "").otherwise(M.snippet_html(F.col("tag"), F.col("text"))))
+    return snippets.withColumn("html", F.when(F.trim("html") != "", F.col("html")).otherwise(T.escape(F.col("text"), quote=True)))
+
+
 def _edges(snippets: DataFrame) -> DataFrame:
-    """Per page: first and last snippet that is no note, the last of all, and how many there are."""
+    """Per page: first and last snippet that is no note, with its first tag, the last of all, and how many there are."""
     body = F.col("tag") != "note"
-    one = F.struct("ord", "tag", "text")
+    opens = M.opening_tag(F.col("html")) if "html" in snippets.columns else F.lit(None).cast("string")
+    one = F.struct("ord", "tag", "text", opens.alias("opens"))
     return snippets.groupBy("book_id", "page_index").agg(
         F.min_by(F.when(body, one), F.when(body, F.col("ord"))).alias("head"),
         F.max_by(F.when(body, one), F.when(body, F.col("ord"))).alias("tail"),
@@ -206,32 +214,31 @@ def joined_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def join_apply(snippets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Snippets after merging across page breaks.
+    """Snippets after merging across page breaks, with their html.
 
     The merged text replaces the last snippet of the left page (even a note) and the right page
-    loses the one it gave; a page left with nothing keeps one empty paragraph.
+    loses the one it gave; a page left with nothing keeps one empty paragraph.  A snippet that is not merged keeps its
+    html, with its classes and inline tags; a merged one has the first tag of its first half, or of its second.
     """
     merged = joined_pairs(materialise(pairs))
+    tag = F.coalesce(F.when(F.col("tail.tag") != "", F.col("tail.tag")), F.when(F.col("head.tag") != "", F.col("head.tag")), F.lit("p"))
+    opens = F.coalesce("tail.opens", "head.opens", F.concat(F.lit("<"), tag, F.lit(">")))
+    text = merge_text(F.col("tail.text"), F.col("head.text"))
+    html = F.concat(F.col("put.html"), T.escape(F.col("put.text"), quote=True), F.lit("</"), F.regexp_extract("put.html", r"^<([a-zA-Z0-9:-]+)", 1), F.lit(">"))
     give = merged.select(
         "book_id", "page_index", F.col("last_ord").alias("ord"),
-        F.struct(
-            F.coalesce(F.when(F.col("tail.tag") != "", F.col("tail.tag")), F.col("head.tag")).alias("tag"),
-            merge_text(F.col("tail.text"), F.col("head.text")).alias("text"),
-        ).alias("put"),
+        F.struct(F.coalesce(F.when(F.col("tail.tag") != "", F.col("tail.tag")), F.col("head.tag")).alias("tag"), text.alias("text"), opens.alias("html")).alias("put"),
     )
     take = merged.select(
         "book_id", (F.col("page_index") + 1).alias("page_index"), F.col("head.ord").alias("ord"),
         (F.col("right_n") == 1).alias("emptied"), F.lit(True).alias("gone"),
     )
     keys = ["book_id", "page_index", "ord"]
+    kept = lambda c, made, left: F.when(F.col("put").isNotNull(), made).when(F.col("gone").isNotNull(), left).otherwise(F.col(c)).alias(c)
     return (
-        snippets.join(give, keys, "left").join(take, keys, "left")
+        with_html(snippets).join(give, keys, "left").join(take, keys, "left")
         .filter(F.col("gone").isNull() | F.col("emptied"))
-        .select(
-            *keys,
-            F.when(F.col("put").isNotNull(), F.col("put.tag")).when(F.col("gone").isNotNull(), "p").otherwise(F.col("tag")).alias("tag"),
-            F.when(F.col("put").isNotNull(), F.col("put.text")).when(F.col("gone").isNotNull(), "").otherwise(F.col("text")).alias("text"),
-        )
+        .select(*keys, kept("tag", F.col("put.tag"), "p"), kept("text", F.col("put.text"), ""), kept("html", html, ""))
     )
 
 

@@ -218,10 +218,13 @@ oracle("page_pairs", """
 SELECT book_id, page_index, page_id AS left_page, nxt AS right_page FROM (
   SELECT *, lead(page_id) OVER w AS nxt, lead(page_index) OVER w AS ni FROM (SELECT * REPLACE (page_index + page_index // 7 AS page_index) FROM fx_pages) WINDOW w AS (PARTITION BY book_id ORDER BY page_index))
 WHERE ni = page_index + 1""")
-part("sn", "SELECT b.page_id, b.ord, b.type AS tag, b.text, p.book_id, p.page_index FROM fx_blocks b JOIN fx_pages p USING (page_id)")
+part("sn", f"""
+SELECT page_id, ord, tag, text, book_id, page_index, coalesce(CASE WHEN ord % 4 = 1 THEN regexp_replace(html, '^(<[^>]+>)([^<\\s]+) ', '\\1<i class=''w''>\\2</i> ') ELSE html END, {esc('text', '&#x27;')}) AS html
+FROM (SELECT b.page_id, b.ord, b.type AS tag, b.text, p.book_id, p.page_index, {block_html('server', 'b.')} AS html FROM fx_blocks b JOIN fx_pages p USING (page_id))
+""")
 part("sn_edge", """
-SELECT book_id, page_index, min_by(struct_pack(ord, tag, text), ord) FILTER (WHERE tag <> 'note') AS head,
-  max_by(struct_pack(ord, tag, text), ord) FILTER (WHERE tag <> 'note') AS tail, max(ord) AS last_ord,
+SELECT book_id, page_index, min_by(struct_pack(ord, tag, text, html), ord) FILTER (WHERE tag <> 'note') AS head,
+  max_by(struct_pack(ord, tag, text, html), ord) FILTER (WHERE tag <> 'note') AS tail, max(ord) AS last_ord,
   count(*) FILTER (WHERE tag <> 'note') AS bodies, count(*) AS n FROM sn GROUP BY 1, 2
 """)
 part("sn_pair", """
@@ -252,13 +255,14 @@ SELECT * FROM (SELECT *, max(st) OVER (PARTITION BY book_id ORDER BY page_index)
 part("jn_put", """
 SELECT book_id, page_index, last_ord AS ord, tail.tag AS tag, CASE WHEN a = '' THEN b WHEN b = '' THEN a
    WHEN regexp_matches(a, '[-–—‑‒−‐]$') THEN rtrim(regexp_replace(a, '[-–—‑‒−‐]+$', '')) || b
-   WHEN regexp_matches(b, '^[,.;:!?)]') THEN a || b ELSE a || ' ' || b END AS text
+   WHEN regexp_matches(b, '^[,.;:!?)]') THEN a || b ELSE a || ' ' || b END AS text, coalesce(nullif(regexp_extract(tail.html, '^<[^>]+>'), ''), nullif(regexp_extract(head.html, '^<[^>]+>'), ''), '<' || tail.tag || '>') AS opens
 FROM (SELECT *, trim(tail.text) AS a, trim(head.text) AS b FROM jn_m)
 """)
 part("jn_take", "SELECT book_id, page_index + 1 AS page_index, head.ord AS ord, right_n = 1 AS emptied FROM jn_m")
-part("jn_out", """
+part("jn_out", f"""
 SELECT s.book_id, s.page_index, s.ord, CASE WHEN p.tag IS NOT NULL THEN p.tag WHEN t.ord IS NOT NULL THEN 'p' ELSE s.tag END AS tag,
-  CASE WHEN p.tag IS NOT NULL THEN p.text WHEN t.ord IS NOT NULL THEN '' ELSE s.text END AS text
+  CASE WHEN p.tag IS NOT NULL THEN p.text WHEN t.ord IS NOT NULL THEN '' ELSE s.text END AS text,
+  CASE WHEN p.tag IS NOT NULL THEN opens || {esc('p.text', '&#x27;')} || '</' || regexp_extract(opens, '^<([a-zA-Z0-9:-]+)', 1) || '>' WHEN t.ord IS NOT NULL THEN '' ELSE s.html END AS html
 FROM sn s LEFT JOIN jn_put p USING (book_id, page_index, ord) LEFT JOIN jn_take t USING (book_id, page_index, ord) WHERE t.ord IS NULL OR t.emptied
 """)
 oracle("join_apply", "SELECT * FROM jn_out")
@@ -586,10 +590,9 @@ oracle("export_txt", f"SELECT book_id, page_index, string_agg(text, chr(10) || c
 oracle("export_md", f"""
 SELECT book_id, page_index, string_agg(CASE tag WHEN 'h1' THEN '# ' WHEN 'h2' THEN '## ' WHEN 'h3' THEN '### ' WHEN 'blockquote' THEN '> ' ELSE '' END || text,
   chr(10) || chr(10) ORDER BY ord) AS text FROM jn_out WHERE {ALLOWED} GROUP BY 1, 2""")
-SNIP = "'<' || tag || '>' || " + esc("text", "&#x27;") + " || '</' || tag || '>'"
 oracle("export_html", f"""
 SELECT s.book_id, s.page_index + 1 AS part, '<section data-page="' || {esc("coalesce(nullif(p.page_number, ''), 'Strana ' || (s.page_index + 1))", "&#x27;")} || '">' || chr(10) || trim(body) || chr(10) || '</section>' AS html
-FROM (SELECT book_id, page_index, string_agg(CASE WHEN text = '' THEN '' ELSE {SNIP} END, chr(10) ORDER BY ord) AS body FROM jn_out GROUP BY 1, 2) s JOIN fx_pages p USING (book_id, page_index)
+FROM (SELECT book_id, page_index, string_agg(CASE WHEN text = '' THEN '' ELSE html END, chr(10) ORDER BY ord) AS body FROM jn_out GROUP BY 1, 2) s JOIN fx_pages p USING (book_id, page_index)
 UNION ALL SELECT book_id, 0, '<!DOCTYPE html>' || chr(10) || '<html lang="cs">' || chr(10) || '  <head>' || chr(10) || '    <meta charset="utf-8" />' || chr(10) || '    <title>'
   || CASE WHEN book_id <> 'src1' THEN 'Kniha ' || book_id ELSE 'Download' END || '</title>' || chr(10) || '  </head>' || chr(10) || '  <body>' || chr(10) FROM fx_pages GROUP BY book_id
 UNION ALL SELECT book_id, max(page_index) + 2, chr(10) || '  </body>' || chr(10) || '</html>' || chr(10) FROM fx_pages GROUP BY book_id""")
@@ -600,7 +603,7 @@ part("cp_no", "SELECT *, CAST(run + CASE WHEN min(run) OVER (PARTITION BY book_i
 part("cp_title", "SELECT book_id, chapter_no, text AS title FROM cp_no WHERE tag IN ('h1','h2','h3')")
 oracle("chapters", f"""
 SELECT book_id, chapter_no, page_index, coalesce(any_value(title), 'Kapitola ' || chapter_no) AS title, 'chap_' || chapter_no || '.xhtml' AS file_name,
-  string_agg({SNIP}, chr(10) ORDER BY ord) AS html FROM cp_no LEFT JOIN cp_title USING (book_id, chapter_no) GROUP BY book_id, chapter_no, page_index""")
+  string_agg(html, chr(10) ORDER BY ord) AS html FROM cp_no LEFT JOIN cp_title USING (book_id, chapter_no) GROUP BY book_id, chapter_no, page_index""")
 oracle("export_name", """
 SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_brand || '.txt' ELSE CASE WHEN p_partkey % 7 <> 0 THEN regexp_replace(trim(p_name), '\\s+', '_', 'g') ELSE 'export' END
   || '-' || lower(p_type) || '.epub' END AS file_name FROM part""")

@@ -13,7 +13,7 @@ def book_snippets(page_html: DataFrame, page_list: DataFrame, fmt: str = "txt",
     page_html: page_id, html; page_list: book_id, page_id, page_index.
     """
     content = html.page_content(html.html_blocks(page_html, "html"), fmt, **options)
-    placed = content.select("page_id", "ord", "tag", "text").join(
+    placed = content.select("page_id", "ord", "tag", "text", "html").join(
         page_list.select("page_id", "book_id", "page_index"), "page_id"
     ).drop("page_id")
     return pages.join_apply(placed, pages.join_decide(placed)) if join else placed

@@ -109,3 +109,20 @@ def test_state_of_ended_jobs_goes_and_a_restart_loses_nothing(spark, tmp_path):
     assert run(df.filter("job_id = 9")) == 1 and sorted(final)[-1] == (3, 3, "m20")
     batch = progress.job_progress(df, idle="30 minutes").collect()
     assert sorted(final) == sorted((r.job_id, r.processed, r.message) for r in batch if r.job_id != 9)
+
+
+def test_blocks_keep_their_html_through_joins_and_exports(spark):
+    rows = [
+        ("b", 0, 0, "h1", "Head", '<h1 class="t">He<i>ad</i></h1>'), ("b", 0, 1, "p", "It goes on & exam-", '<p  class="x" >It <b>goes</b> on &amp; exam-</p>'),
+        ("b", 1, 0, "p", "ple here.", "<p>ple <i>here</i>.</p>"), ("b", 1, 1, "note", "n", '<note style="s">n</note>'), ("b", 2, 0, "p", "Loose", ""), ("b", 2, 1, "p", "to be", "to be"), ("b", 3, 0, "p", "or not", '<p id="q">or not</p>'),
+    ]
+    s = spark.createDataFrame(rows, "book_id string, page_index bigint, ord bigint, tag string, text string, html string")
+    joined = pages.join_apply(s, pages.join_decide(s)).orderBy("page_index", "ord")
+    assert [(r.page_index, r.ord, r.html) for r in joined.collect()] == [
+        (0, 0, '<h1 class="t">He<i>ad</i></h1>'), (0, 1, '<p class="x">It goes on &amp; example here.</p>'), (1, 1, '<note style="s">n</note>'),
+        (2, 0, "Loose"), (2, 1, '<p id="q">to be or not</p>'), (3, 0, "")]
+    [doc] = export.chapters(joined).filter("page_index = 0").collect()
+    assert doc.html == '<h1 class="t">He<i>ad</i></h1>\n<p class="x">It goes on &amp; example here.</p>'
+    plist = s.selectExpr("book_id", "page_index", "'' AS page_number").distinct()
+    body = {r.part: r.html for r in export.to_html(joined, plist, spark.createDataFrame([("b", "B")], "book_id string, title string")).collect()}
+    assert '<h1 class="t">He<i>ad</i></h1>\n<p class="x">' in body[1] and "Loose\n" in body[3]
