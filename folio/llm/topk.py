@@ -6,8 +6,12 @@ scores; the k-th best of a query is a safe cutoff.  The cutoff goes back to the
 list reaches the cutoff's equal share cannot reach the cutoff; the others are the sufficient entries.  Their scores are then
 resolved exactly, and the best k of each query are kept.
 
-Queries and vectors meet block by block: each block of one side is sent to every block of the other in an equality join
-on the two numbers, so a task holds a few blocks, whatever the tables' sizes.
+Lists are scored whole, entries only where a phase asks for them: in the first phase the heads, in the second what passes the
+share test.  Queries and vectors meet block by block: each block of one side is sent to every block of the other in an
+equality join on the two numbers, so a task holds a few blocks, whatever the tables' sizes.
+
+Components are whole numbers held as doubles, so any finite one is exact.  Rows with large ones are blocked apart and scored in
+unbounded integers; a score beyond the range of a long is ranked by its digits.
 """
 
 from __future__ import annotations
@@ -17,43 +21,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import register, table
+from folio.llm.common import register, table, tasks
 from folio.session import materialise
 
 LISTS = 4
 SCALE = 64.0
-VECTOR_BLOCK = 4096
-QUERY_BLOCK = 256
+VECTOR_BLOCK = 1 << 14
+QUERY_BLOCK = 1 << 13
+TILE = 1 << 21  # scores of a list held at once
+LARGE = 2.0**20
+LOWEST = -(1 << 61)
 
 
 def scaled(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
-    """(vec_id, dim, v): components as floor(scale * x), x as double.
+    """(vec_id, dim, v): components as floor(scale * x), x as double, as whole numbers in doubles.
 
-    Rows with a null id or vector, or with a null or non-finite component, take no part, nor do those whose product
-    leaves the whole numbers a double holds.
+    Rows with a null id or vector, or with a null or non-finite component, take no part.
     """
-    x = F.transform("embedding", lambda e: F.floor(F.lit(scale) * e.cast("double")))
-    bad = F.exists("embedding", lambda e: e.isNull() | F.isnan(e.cast("double")) | (F.abs(e.cast("double")) >= 2.0**53 / scale))
+    bad = F.exists("embedding", lambda e: e.isNull() | F.isnan(e.cast("double")) | (F.abs(e.cast("double")) == float("inf")))
+    # beyond 2**53 / scale a double times a power of two is whole already
+    whole = lambda y: F.when(F.abs(y) < 2.0**53, F.floor(F.when(F.abs(y) < 2.0**53, y).otherwise(0.0)).cast("double")).otherwise(y)
+    x = F.transform("embedding", lambda e: whole(F.lit(scale) * e.cast("double")))
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(True))).select(
         F.col("vec_id").cast("bigint").alias("vec_id"), F.size("embedding").alias("dim"), x.alias("v"))
 
 
-def blocked(rows: DataFrame, size: int, name: str, extra: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """``rows`` (a written table) in blocks of about ``size``: (dim, ``name``, rows), and the number of blocks."""
-    count = max(1, -(-rows.count() // size))
+def blocked(rows: DataFrame, size: int, name: str, extra: tuple[str, ...] = (), least: int = 1) -> tuple[DataFrame, int]:
+    """``rows`` (a written table) in ``least`` blocks or more of about ``size``: (dim, ``name``, rows), and their number.
+
+    Rows with large components are in blocks of their own under the same numbers.
+    """
+    count = max(least, -(-rows.count() // size))
     at = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(count)).cast("int")
     keep = F.struct("vec_id", "v", *extra)
-    return rows.groupBy("dim", at.alias(name)).agg(F.sort_array(F.collect_list(keep)).alias("rows")), count  # ``size`` rows or so, as the hash is even
+    large = F.coalesce(F.exists("v", lambda c: F.abs(c) >= LARGE), F.lit(False))
+    return rows.groupBy("dim", large.alias("_large"), at.alias(name)).agg(F.sort_array(F.collect_list(keep)).alias("rows")).drop("_large"), count  # the hash is even
 
 
 def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers, exact: in single or double precision where every sum fits, else in 64-bit integers."""
+    """Inner products of whole numbers, exact: in single or double precision where every sum fits, else in unbounded integers."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
     if most < 2**24:
         return (q.astype(np.float32) @ v.astype(np.float32).T).astype(np.int64)
     if most < 2**53:
-        return (q.astype(np.float64) @ v.astype(np.float64).T).astype(np.int64)
-    return q @ v.T
+        return (q @ v.T).astype(np.int64)
+    whole = lambda x: np.array([int(c) for c in x.ravel().tolist()], dtype=object).reshape(x.shape)
+    return whole(q) @ whole(v).T
 
 
 def unpacked(rows, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +80,8 @@ def heads(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     n = scores.shape[1]
     if n <= k:
         return np.tile(np.arange(n), (len(scores), 1))
+    if scores.dtype == object:
+        return np.array([sorted(range(n), key=lambda j, row=row: (-row[j], j))[:k] for row in scores])
     key = scores * n + (n - 1 - np.arange(n)) if np.abs(scores).max(initial=0) < 2**62 // max(1, n) else None
     if key is not None:
         return np.argpartition(-key, k - 1, axis=1)[:, :k]
@@ -78,58 +93,88 @@ def slices(dim: int) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-HIT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+HIT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("tier", pa.int32()), ("digits", pa.string()), ("text", pa.string())])
+HIT_DDL = "query_id bigint, vec_id bigint, score bigint, tier int, digits string, text string"
+BEST = ("tier", "score", "digits")  # falling, these sort scores of any size
+
+
+def told(qid: np.ndarray, vid: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    """Rows of hits.  A score beyond a long has no ``score`` but the tier of its length and, within that, sorting digits."""
+    if scores.dtype != object:
+        n = len(scores)
+        return pa.RecordBatch.from_arrays([pa.array(qid), pa.array(vid), pa.array(scores), pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], schema=HIT)
+    fits, tiers, digits = [], [], []
+    for s in map(int, scores.tolist()):
+        long = -(2**63) <= s < 2**63
+        size = s.bit_length()
+        fits.append(s if long else None)
+        tiers.append(0 if long else size if s > 0 else -size)
+        digits.append(None if long else str(s if s > 0 else (1 << size) + s).zfill(size // 3 + 1))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, f.type) for c, f in zip((qid, vid, fits, tiers, digits, [str(int(s)) for s in scores.tolist()]), HIT, strict=True)], schema=HIT)
+
+
+def _best(rows: np.ndarray, flat: np.ndarray, got: np.ndarray, k: int) -> np.ndarray:
+    """The k best entries of each row, ties to the smaller place."""
+    if got.dtype == object:
+        order = np.array(sorted(range(len(got)), key=lambda i: (rows[i], -got[i], flat[i])), np.int64)
+    else:
+        order = np.lexsort((flat, -got, rows))
+    place = np.arange(len(order)) - np.searchsorted(rows[order], rows[order], "left")
+    return order[place < k]
+
+
+def _tile(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, cutoffs: list | None, k: int) -> pa.RecordBatch:
+    lists = [products(q[:, lo:hi], v[:, lo:hi]) for lo, hi in slices(q.shape[1])]
+    if any(s.dtype == object for s in lists):
+        lists = [s.astype(object) for s in lists]
+    for r, (lo, hi) in enumerate(zip(np.searchsorted(vid, qid, "left"), np.searchsorted(vid, qid, "right"), strict=True)):
+        for s in lists:
+            s[r, lo:hi] = LOWEST
+    if cutoffs is None:
+        at = np.sort(np.concatenate([heads(s, vid, k) for s in lists], axis=1), axis=1)
+        rows, flat = np.repeat(np.arange(len(qid)), at.shape[1]), at.ravel()
+        new = np.concatenate([[True], (flat[1:] != flat[:-1]) | (rows[1:] != rows[:-1])]) if len(flat) else np.empty(0, bool)
+        rows, flat = rows[new], flat[new]
+    else:
+        enough = np.zeros(lists[0].shape, bool)
+        for r, cut in enumerate(cutoffs):  # a sum that reaches the cutoff has a part of at least its ceiling share
+            for s in lists:
+                enough[r] |= True if cut is None else (s[r] >= -(-cut // len(lists))).astype(bool)
+        rows, flat = np.nonzero(enough)
+    fine = vid[flat] != qid[rows]
+    rows, flat = rows[fine], flat[fine]
+    got = sum(s[rows, flat] for s in lists)
+    if cutoffs is not None and len(got):
+        reach = np.array([cutoffs[r] is None or g >= cutoffs[r] for r, g in zip(rows.tolist(), got.tolist(), strict=True)], bool)
+        rows, flat, got = rows[reach], flat[reach], got[reach]
+    order = _best(rows, flat, got, k)  # of a block's entries only the best k bear on the cutoff or the result
+    return told(qid[rows[order]], vid[flat[order]], got[order])
 
 
 def _pairs(batches, k: int, second: bool):
-    least = np.iinfo(np.int64).min
     for b in batches:
         for i in range(b.num_rows):
             dim = b.column("dim")[i].as_py()
             qid, q = unpacked(b.column("queries")[i].values, dim)
             vid, v = unpacked(b.column("vectors")[i].values, dim)
-            own = np.searchsorted(vid, qid, "left"), np.searchsorted(vid, qid, "right")
-            total = products(q, v)
-            for r, (lo, hi) in enumerate(zip(*own, strict=True)):
-                total[r, lo:hi] = least // 2
-            lists = [products(q[:, lo:hi], v[:, lo:hi]) for lo, hi in slices(dim)]
-            if not second:
-                at = np.concatenate([heads(s, vid, k) for s in lists], axis=1)
-            else:
-                cut = b.column("queries")[i].values.field("cutoff").to_numpy(zero_copy_only=False)[:, None]
-                share = -(-cut // len(lists))  # a sum that reaches the cutoff has a part of at least its ceiling share
-                enough = np.zeros(total.shape, bool)
-                for s in lists:
-                    enough |= s >= share
-                resolved = np.where(enough & (total >= cut), total, least // 2)
-                at = heads(resolved, vid, k)
-                total = resolved
-            at = np.sort(at, axis=1)
-            rows = np.repeat(np.arange(len(qid)), at.shape[1])
-            flat = at.ravel()
-            new = np.concatenate([[True], (flat[1:] != flat[:-1]) | (rows[1:] != rows[:-1])]) if len(flat) else np.empty(0, bool)
-            rows, flat = rows[new], flat[new]
-            got = total[rows, flat]
-            fine = got > least // 2
-            rows, flat, got = rows[fine], flat[fine], got[fine]
-            if not second and len(got):  # of all heads only the best k by whole score bear on the cutoff
-                order = np.lexsort((flat, -got, rows))
-                place = np.arange(len(order)) - np.searchsorted(rows[order], rows[order], "left")
-                order = order[place < k]
-                rows, flat, got = rows[order], flat[order], got[order]
-            yield pa.RecordBatch.from_arrays([pa.array(qid[rows]), pa.array(vid[flat]), pa.array(got)], schema=HIT)
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+            cut = [None if c is None else int(c) for c in b.column("queries")[i].values.field("cutoff").to_pylist()] if second else None
+            step = max(1, TILE // max(1, len(vid)))
+            for lo in range(0, len(qid), step):
+                yield _tile(qid[lo : lo + step], q[lo : lo + step], vid, v, cut and cut[lo : lo + step], k)
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK, text: bool = False) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the ``k`` best rows of ``vectors`` for each of ``queries``.
 
     Both come from :func:`scaled`.  Ties go to the smaller ``vec_id``; rows with the query's own ``vec_id`` are no
     candidates; vectors of another dimension are none either.  A repeated row counts as often as it occurs on the side
-    of the vectors and once on the side of the queries.  Fewer than ``k`` candidates give fewer rows, no vectors none.
+    of the vectors; on the side of the queries an id stands for one query, of several vectors the shortest, then the least.
+    Fewer than ``k`` candidates give fewer rows, no vectors none.  A score beyond the range of a long is null, but ranked
+    like any other; ``text`` adds ``score_text``, which has the digits of every score.
     """
-    hit = "query_id bigint, vec_id bigint, score bigint"
-    asked = materialise(queries.dropDuplicates(["vec_id", "dim"]))
-    right, n_right = blocked(materialise(vectors), vector_block, "vector_block")
+    asked = materialise(queries.groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q")).select("vec_id", "q.*"))
+    right, n_right = blocked(materialise(vectors), vector_block, "vector_block", least=tasks(vectors.sparkSession))
     right = materialise(right.withColumnRenamed("rows", "vectors"))
 
     def hits(questions: DataFrame, second: bool, *extra: str) -> DataFrame:
@@ -137,19 +182,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, vector_block:
         numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         left = left.withColumnRenamed("rows", "queries").withColumn("vector_block", numbers(n_right))
         pairs = left.join(right.withColumn("query_block", numbers(n_left)), ["dim", "query_block", "vector_block"])
-        return pairs.select("dim", "queries", "vectors").mapInArrow(lambda b: _pairs(b, k, second), hit)
+        return pairs.select("dim", "queries", "vectors").mapInArrow(lambda b: _pairs(b, k, second), HIT_DDL)
 
-    gathered = hits(asked, False)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = gathered.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k)
-    cutoffs = best.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("cutoff"))
-    lowest = F.lit(-(1 << 62)).cast("bigint")
-    again = asked.join(cutoffs.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("cutoff", F.coalesce("cutoff", lowest))
-    found = hits(materialise(again), True, "cutoff")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("query_id").orderBy(*[F.desc_nulls_last(c) for c in BEST], "vec_id")
+    whole = F.coalesce("text", F.col("score").cast("string"))
+    best = hits(asked, False).withColumn("at", F.row_number().over(order)).where(F.col("at") <= k)
+    cutoffs = best.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max_by(whole, "at")).alias("cutoff"))
+    again = asked.join(cutoffs.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
+    found = hits(materialise(again), True, "cutoff").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.select("query_id", "rank", "vec_id", "score", *([whole.alias("score_text")] if text else []))
 
 
 @register
 def op4_topk(spark, sf):
+    """The 20 best partners of every twentieth embedding among all."""
     vectors = scaled(table(spark, sf, "embeddings"))
-    return search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+    return search(vectors, vectors.where(F.col("vec_id") % 20 == 0), text=True)
