@@ -31,7 +31,7 @@ RADIUS = 4
 SEED = 42
 FEED_ROWS = 200_000
 BAND_ROWS, BANDS = 5, 24
-STAR_TURNS, PAIRS_A_ROW = 6, 1
+STAR_TURNS, PAIRS_A_ROW, IDLE = 6, 1, 0.98
 SLACK = 1e-6  # for rounding in bounds; what they let through is verified
 
 
@@ -265,28 +265,63 @@ def _may_share(least: float):
 def star(live: DataFrame, least: float, turn: int) -> DataFrame:
     """One candidate (a, b) at most for each text of ``live`` (key, node, n, root): it and a text of another group in one of its keys.
 
-    Of the texts with a key one is drawn anew in each ``turn``, and of those drawn in its keys a text takes the first; draws are
-    alike at all keys, so texts of a crowd mostly take the same one.
+    Of the texts with a key one is taken, and of those taken in its keys a text is paired with the first; the order is alike at
+    all keys, so texts of a crowd mostly get the same partner.  In even turns the order is by how many texts a text meets in its
+    keys, as that from which many were made meets most; in odd turns it is drawn anew.
     """
-    drawn = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n", "root")).alias("y"))
-    met = live.alias("x").join(drawn, "key").where((F.col("x.root") != F.col("y.root")) & _may_share(least))
-    hubs = met.groupBy(F.col("x.node").alias("node")).agg(F.min(F.struct("y.draw", F.col("y.node").alias("hub"))).alias("c"))
+    order = F.xxhash64("node", F.lit(turn))
+    if turn % 2 == 0:
+        sizes = live.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+        live = live.join(live.join(sizes, "key").groupBy("node").agg(F.sum("m").alias("met")), "node")
+        order = -F.col("met")
+    taken = live.groupBy("key").agg(F.min(F.struct(order.alias("at"), "node", "n", "root")).alias("y"))
+    met = live.alias("x").join(taken, "key").where((F.col("x.root") != F.col("y.root")) & _may_share(least))
+    hubs = met.groupBy(F.col("x.node").alias("node")).agg(F.min(F.struct("y.at", F.col("y.node").alias("hub"))).alias("c"))
     return hubs.select(F.least("node", "c.hub").alias("a"), F.greatest("node", "c.hub").alias("b")).distinct()
 
 
+def prefix_pairs(texts_: DataFrame, k: int, least: float) -> DataFrame:
+    """Candidates (a, b) among ``texts_`` (node, root, body): all pairs of different roots that may share ``least``.
+
+    Each text gives the first ``n - ceil(least * n) + 1`` of its ``n`` shingles, those of the fewest texts first; two texts that
+    share ``least`` have one of these in common.  Shingles of one text only are counted, not sent.
+    """
+
+    def run(batches):
+        for b in blocks(batches, "body", BLOCK_BYTES):
+            sets = [shingle_hashes(t, k) for t in b.column("body").to_pylist()]
+            sets = [s if len(s) else np.zeros(1, np.uint64) for s in sets]
+            sizes = np.array([len(s) for s in sets])
+            spread = lambda c: pa.array(np.repeat(b.column(c).to_numpy(zero_copy_only=False), sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), spread("node"), spread("root"), pa.array(np.repeat(sizes, sizes), pa.int32())], names=["h", "node", "root", "n"])
+
+    rows = materialise(texts_.select("node", "root", "body").mapInArrow(lambda b: released(run(b)), "h bigint, node bigint, root bigint, n int"))
+    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    ordered = rows.join(shared, "h").groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("s"))
+    alone = F.col("n") - F.size("s")
+    first = F.col("n") - F.ceil(least * F.col("n") - SLACK).cast("int") + 1
+    head = F.slice("s", 1, F.greatest(first - alone, F.lit(0)))
+    heads = materialise(ordered.select("node", "root", "n", alone.alias("alone"), F.posexplode(head).alias("at", "e")).select("e.h", "node", "root", "n", (F.col("alone") + F.col("at")).alias("pos")))
+    behind = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))  # what they may share from the first common shingle on
+    enough = behind >= least / (1 + least) * (F.col("x.n") + F.col("y.n")) - SLACK
+    met = heads.alias("x").join(heads.alias("y"), "h").where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _may_share(least) & enough)
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def similar_pairs(nodes: DataFrame, k: int, least: float) -> DataFrame:
     """(node, root) for the texts of ``nodes`` (node, body) that are linked to another: the smallest node reachable.
 
     Two texts are linked if they share at least ``least`` of their distinct ``k``-word shingles.  Candidates share one of
     ``BANDS`` keys (see :func:`bands` for what that may miss) and are verified on the whole texts before anything is left
     out.  Where many meet, each is first verified with one of them, one candidate a text and turn, and groups found so
-    are one from then on; in the end every candidate pair between different groups that was not yet looked at is
-    listed and verified.
+    are one from then on.  Texts that then still share a key with another group go through :func:`prefix_pairs`, which
+    misses none of them.
     """
     shared = materialise(bands(nodes, k))
     often = shared.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
     live = materialise(shared.join(often, "key", "left_semi").withColumn("root", F.col("node")))
-    rows, tested, roots, before = live.count(), None, None, math.inf
+    rows = left = live.count()
+    tested, roots, idle = None, None, 0
 
     def verified(edges: DataFrame) -> DataFrame:
         ends = materialise(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
@@ -300,21 +335,22 @@ def similar_pairs(nodes: DataFrame, k: int, least: float) -> DataFrame:
     for turn in range(STAR_TURNS):
         sizes = live.groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("m"))
         open_ = sizes.groupBy("key").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("p")).agg(F.sum("p")).first()[0]
-        if (open_ or 0) / 2 <= PAIRS_A_ROW * rows or open_ > before / 2:  # few are open, or stars settle few
+        if (open_ or 0) / 2 <= PAIRS_A_ROW * rows or idle == 2:  # few are open, or neither order settles much
             break
-        before = open_
         edges = star(live, least, turn)
         edges = materialise(edges if tested is None else edges.join(tested, ["a", "b"], "left_anti"))
         tested = edges if tested is None else tested.unionByName(edges)
         links = verified(edges)
-        if links.isEmpty():
-            break
         roots = grouped(links)
         placed = live.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("key", "node", "n", "root")
         split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         live = materialise(placed.join(split, "key", "left_semi"))
-    met = live.alias("x").join(live.alias("y"), "key").where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _may_share(least))
-    edges = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        before, left = left, live.count()
+        idle = idle + 1 if left > before * IDLE else 0
+    split = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    open_texts = materialise(live.join(split, "key", "left_semi").select("node", "root").distinct())
+    bodies, _ = parted(nodes, "node", open_texts)
+    edges = prefix_pairs(bodies.join(open_texts, "node"), k, least)
     return grouped(verified(materialise(edges if tested is None else edges.join(tested, ["a", "b"], "left_anti"))))
 
 
