@@ -33,4 +33,4 @@ def library_info(bases: DataFrame, overrides: DataFrame) -> DataFrame:
 
 def scoped_model(model: Column, provider: Column) -> Column:
     """Model id as its provider wants it: the maker's prefix is dropped only for that maker."""
-    return F.when((provider == "openai") & model.startswith("openai/"), F.substr(model, F.lit(8))).otherwise(model)
+    return F.when((F.lower(F.trim(provider)) == "openai") & model.startswith("openai/"), F.substr(model, F.lit(8))).otherwise(model)

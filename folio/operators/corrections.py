@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import markup as M
 from folio.functions import text as T
+from folio.functions.library import scoped_model
 from folio.session import materialise
 
 # Defaults and limits of agent settings.
@@ -92,14 +93,27 @@ def effective_settings(agents: DataFrame, models: DataFrame, overrides: DataFram
     )
 
 
+def request_models(settings: DataFrame, registry: DataFrame) -> DataFrame:
+    """Add ``provider`` and ``request_model``, the id a request names the model by.
+
+    ``registry``: model, upstream, provider; ids and providers are compared trimmed and in lower case.  A model without an
+    upstream id, or not registered, goes by its own; the maker's prefix is dropped where the provider is the maker.
+    """
+    norm = lambda c: F.lower(F.trim(c))
+    known = registry.select(norm("model").alias("_id"), F.coalesce("upstream", "model").alias("_up"), norm("provider").alias("provider"))
+    found = settings.withColumn("_id", norm("model")).join(known, "_id", "left")
+    return found.withColumn("request_model", scoped_model(F.coalesce("_up", "model"), F.col("provider"))).drop("_id", "_up")
+
+
 def requests(payloads: DataFrame, settings: DataFrame, prompts: DataFrame) -> DataFrame:
     """One request row per page and agent, as JSON; pages without payload give none.
 
     A page whose agent is unknown or unreadable gives a row with ``error`` instead.
     """
     agents = prompts.join(settings, "name").withColumn("_known", F.lit(True))
+    model = F.col("request_model" if "request_model" in settings.columns else "model")
     body = F.to_json(F.struct(
-        "model", F.col("prompt").alias("instructions"), F.col("payload").alias("input"),
+        model.alias("model"), F.col("prompt").alias("instructions"), F.col("payload").alias("input"),
         "temperature", "top_p", "reasoning_effort", "max_output_tokens",
     ))
     return payloads.filter("payload IS NOT NULL").join(agents, "agent", "left").select(

@@ -563,13 +563,25 @@ oracle("settings_scan", """
 SELECT 'agent' || p_partkey AS name, CASE WHEN p_partkey % 9 = 0 THEN 'agent' || p_partkey ELSE p_name END AS display_name,
   CASE WHEN p_partkey % 9 <> 0 THEN 'Fix ' || p_type END AS prompt, CASE WHEN p_partkey % 9 <> 0 THEN 'm' || (p_size % 5) END AS model,
   CASE WHEN p_partkey % 9 <> 0 THEN p_size / 100 END AS temperature, CASE WHEN p_partkey % 9 <> 0 THEN 5e-1 END AS top_p FROM part""")
-oracle("effective_settings", """
+part("ef", """
 SELECT 'agent' || p_partkey AS name, 'm' || (p_size % 5) AS model,
   CASE WHEN p_size % 5 = 4 OR p_size % 5 <> 1 THEN least(2e0, CASE WHEN p_partkey % 10 = 1 THEN 7e-1 WHEN own OR p_partkey % 2 = 0 THEN p_retailprice / 500 ELSE p_size / 100 END) END AS temperature,
   CASE WHEN p_size % 5 = 4 THEN 5e-1 WHEN p_size % 5 <> 2 THEN 9e-1 END AS top_p,
   CASE WHEN p_size % 5 = 3 THEN CASE WHEN own OR p_partkey % 2 = 0 THEN 'high' ELSE 'low' END END AS reasoning_effort,
   CASE WHEN own OR p_partkey % 2 = 0 THEN CAST(least(128000, greatest(1, p_partkey * 300)) AS BIGINT) END AS max_output_tokens
 FROM (SELECT *, p_partkey % 3 = 0 AND p_size % 5 = 0 AS own FROM part WHERE p_partkey % 9 <> 0)""")
+oracle("effective_settings", "SELECT * FROM ef")
+SCOPED = """CASE model WHEN 'm0' THEN 'base-0' WHEN 'm1' THEN 'openai/base-1' WHEN 'm2' THEN ' M2 ' WHEN 'm3' THEN 'base-3' ELSE model END"""
+oracle("model_scope", f"SELECT name, model, CASE model WHEN 'm1' THEN 'other' WHEN 'm4' THEN NULL ELSE 'openai' END AS provider, {SCOPED} AS request_model FROM ef")
+part("rq_page", """
+SELECT page_id, page_id % (SELECT count(*) FROM part) AS agent, '{"language_hint":"cs","blocks":[' || string_agg('{"id":' || to_json(block_id) || ',"type":' || to_json(type) || ',"text":' || to_json(text) || '}', ',' ORDER BY ord) || ']}' AS payload
+FROM fx_blocks GROUP BY page_id
+""")
+oracle("llm_requests", f"""
+SELECT page_id, agent, CASE WHEN name IS NOT NULL THEN '{{"model":' || to_json({SCOPED}) || ',"instructions":' || to_json('Fix ' || p_type) || ',"input":' || to_json(payload)
+   || coalesce(',"temperature":' || CAST(CAST(temperature AS DOUBLE) AS VARCHAR), '') || coalesce(',"top_p":' || CAST(CAST(top_p AS DOUBLE) AS VARCHAR), '') || coalesce(',"reasoning_effort":"' || reasoning_effort || '"', '')
+   || coalesce(',"max_output_tokens":' || max_output_tokens, '') || '}}' END AS request, CASE WHEN name IS NULL THEN 'no_agent' END AS error
+FROM rq_page LEFT JOIN (SELECT e.*, p_partkey, p_type FROM ef e JOIN part ON e.name = 'agent' || p_partkey) ON p_partkey = agent""")
 part("lr_page", "SELECT DISTINCT page_id FROM fx_changes")
 oracle("llm_results", """
 SELECT page_id, ord, block_id, type, text FROM ap_ok WHERE page_id % 5 = 0
@@ -657,3 +669,27 @@ SELECT job_id, done AS processed, total, message, round_even(least(greatest(done
   round_even(CASE WHEN done < total THEN (total - done) * (greatest((epoch_us(updated) - epoch_us(started)) / 1000000e0, 1e-3) / done) END, 3) AS eta_seconds
 FROM (SELECT job_id, max(processed) AS done, max_by(total, processed) AS total, max_by(message, processed) AS message, min(ts) AS started, max(ts) AS updated
   FROM fx_job_events GROUP BY job_id)""")
+
+# --- older reading blocks ----------------------------------------------------------------------------
+part("rb_lines", """
+SELECT page_id, block_seq, line_seq, row_number() OVER w AS ln, coalesce(lag(bottom) OVER w > 0 AND vpos - lag(bottom) OVER w > 50, FALSE) AS pause
+FROM fx_lines WHERE width >= 50 WINDOW w AS (PARTITION BY page_id ORDER BY block_seq, line_seq)
+""")
+part("rb_tokens", """
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY ln, token_seq) AS rn, coalesce(content, '') AS c, hpos AS x, t.vpos AS y, hpos + width AS x2, CAST(t.vpos + t.height AS BIGINT) AS y2,
+  row_number() OVER (PARTITION BY page_id, ln ORDER BY token_seq) = 1 AS opens, pause FROM fx_tokens t JOIN rb_lines USING (page_id, block_seq, line_seq)
+""")
+part("rb_walk", """
+SELECT page_id, rn - 1 AS rn, '' AS text, 0 AS lines, CAST(0 AS BIGINT) AS h1, CAST(0 AS BIGINT) AS v1, CAST(0 AS BIGINT) AS h2, CAST(0 AS BIGINT) AS v2, '' AS said, false AS shut,
+  CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c2, CAST(0 AS BIGINT) AS d FROM rb_tokens WHERE rn = 1
+UNION ALL
+SELECT page_id, rn, CASE WHEN shut THEN '' ELSE said || ' ' END, CASE WHEN shut THEN 0 ELSE n END, CASE WHEN shut THEN 0 ELSE a END, CASE WHEN shut THEN 0 ELSE b END,
+  CASE WHEN shut THEN 0 ELSE c2 END, CASE WHEN shut THEN 0 ELSE d END, said, shut, a, b, c2, d FROM (
+  SELECT *, n >= 3 AND length(said) > 120 AND (ends_with(c, '.') OR ends_with(c, ';')) AS shut FROM (
+    SELECT t.page_id, t.rn, t.c, CASE WHEN opens AND pause AND text <> '' THEN text || '. -- -- ' ELSE text END || t.c AS said, lines + CAST(opens AS INTEGER) AS n,
+      CASE WHEN h1 = 0 OR h1 > x THEN x ELSE h1 END AS a, CASE WHEN v1 = 0 OR v1 > y THEN y ELSE v1 END AS b, CASE WHEN h2 = 0 OR h2 < x2 THEN x2 ELSE h2 END AS c2, CASE WHEN v2 = 0 OR v2 < y2 THEN y2 ELSE v2 END AS d
+    FROM rb_walk w JOIN rb_tokens t ON t.page_id = w.page_id AND t.rn = w.rn + 1))
+""")
+oracle("reading_blocks_v1", """
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY rn) - 1 AS block_no, CASE WHEN shut THEN said ELSE text END AS text, a AS h_min, b AS v_min, c2 AS h_max, d AS v_max
+FROM (SELECT *, max(rn) OVER (PARTITION BY page_id) AS last FROM rb_walk) WHERE shut OR (rn = last AND text <> '')""")

@@ -552,6 +552,18 @@ def effective_settings(spark, sf):
     return _settings(spark, sf)
 
 
+def _request_models(spark, sf):
+    """Five models: upstream ids of the provider's own and of others, none, and one that is not registered."""
+    registry = fx.table(spark, sf, "part").selectExpr("p_size % 5 AS k").distinct().filter("k < 4").selectExpr(
+        "' M' || k || ' ' AS model", "CASE k WHEN 2 THEN NULL WHEN 3 THEN 'base-3' ELSE 'openai/base-' || k END AS upstream", "CASE k WHEN 1 THEN 'Other' ELSE ' OpenAI' END AS provider")
+    return corrections.request_models(_settings(spark, sf), registry)
+
+
+@register
+def model_scope(spark, sf):
+    return _request_models(spark, sf).select("name", "model", "provider", "request_model")
+
+
 @register
 def llm_requests(spark, sf):
     """Each page goes to the agent its id selects."""
@@ -559,7 +571,7 @@ def llm_requests(spark, sf):
     n = fx.table(spark, sf, "part").count()
     picked = agents.withColumn("agent", F.regexp_extract("name", "([0-9]+)$", 1).cast("bigint"))
     payloads = corrections.doc_payload(fx.blocks(spark, sf), F.lit("cs")).withColumn("agent", F.col("page_id") % n)
-    return corrections.requests(payloads, _settings(spark, sf), picked.select("agent", "name", "prompt"))
+    return corrections.requests(payloads, _request_models(spark, sf), picked.select("agent", "name", "prompt"))
 
 
 @register

@@ -28,7 +28,7 @@ def query(select: str) -> str:
     used = _needed(select)
     if not used:
         return select.strip()
-    kept = lambda n: "MATERIALIZED " if n.endswith(("_run", "_size")) else ""  # noqa: E731 - read in every turn of a recursion
+    kept = lambda n: "MATERIALIZED " if n.endswith(("_run", "_size", "rb_tokens")) else ""  # noqa: E731 - read in every turn of a recursion
     ctes = ",\n".join(f"{n} AS {kept(n)}({PARTS[n]})" for n in PARTS if n in used)
     return f"WITH RECURSIVE {ctes}\n{select.strip()}"
 
