@@ -92,7 +92,8 @@ def note(text: Column) -> Column:
 def page_number_notes(flagged: DataFrame, pages: DataFrame, page_h: Column) -> DataFrame:
     """Notes of every page, in order: found or missing number first, then secondary numbers.
 
-    ``flagged`` comes from :func:`flag_lines`; only the few lines with a role reach the aggregation.
+    ``flagged`` comes from :func:`flag_lines`; only the few lines with a role reach the aggregation.  ``page_h`` is a value or a
+    column of ``pages``.
     """
     roles = flagged.filter("role IS NOT NULL").select(
         "page_id", "role", "number_text", "vpos", "block_seq", "line_seq",
@@ -105,7 +106,7 @@ def page_number_notes(flagged: DataFrame, pages: DataFrame, page_h: Column) -> D
     shown = F.coalesce(F.when(F.trim("page_number") != "", F.trim("page_number")), F.col("_n.value"))
     primary = F.filter("found", lambda x: x.kind == 1)
     second = F.filter("found", lambda x: x.kind == 2)
-    h = page_h.cast("bigint")
+    h = F.col("_h")
     first_notes = (
         F.when(
             F.col("_n.value").isNotNull() & F.col("_n.searchable"),
@@ -136,7 +137,7 @@ def page_number_notes(flagged: DataFrame, pages: DataFrame, page_h: Column) -> D
         ),
     )
     return (
-        pages.select("page_id", "page_number")
+        pages.select("page_id", "page_number", page_h.cast("bigint").alias("_h"))
         .filter("page_number IS NOT NULL")
         .join(per_page, "page_id", "left")
         .withColumn("_n", num)

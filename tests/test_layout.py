@@ -209,3 +209,26 @@ def test_merged_headings_follow_the_growing_median(spark):
     for r in headings.heading_merge(df).orderBy("page_id", "block_no").collect():
         got.setdefault(r.page_id, []).append(r.text)
     assert got == {p: loop(fs) for p, fs in cases.items()}
+
+
+def test_sizes_of_each_page(spark):
+    """Pages with sizes of their own come out as in a run in which all pages have that size."""
+    from folio import fixtures as fx
+    from folio.plans import formatter
+    from folio.session import materialise
+
+    sf = "/root/testdata/sf0.001"
+    pages = materialise(fx.pages(spark, sf))
+
+    def run(**size):
+        return formatter.page_html(lambda only: fx.lines(spark, sf, pages, only), pages, fx.styles(spark, sf), fx.illustrations(spark, sf), **size)
+
+    wide, narrow = (dict((r.page_id, r.html) for r in run(page_w=F.lit(w), page_h=F.lit(h)).collect()) for w, h in ((fx.PAGE_W, fx.PAGE_H), (300, 90)))
+    own = F.col("page_id") % 2 == 0
+    pick = lambda a, b: F.when(own, F.lit(a)).otherwise(F.lit(b))
+    w, h = pick(fx.PAGE_W, 300), pick(fx.PAGE_H, 90)
+    sizes = pages.select("page_id", w.alias("text_w"), h.alias("text_h"), w.alias("page_w"), h.alias("page_h"))
+    got = {r.page_id: r.html for r in run(sizes=sizes).collect()}
+    assert got == {p: (wide if p % 2 == 0 else narrow)[p] for p in wide} and wide != narrow
+    none = run(sizes=sizes.where("page_id % 3 <> 0")).collect()
+    assert len(none) == len(wide) and all(r.html is not None for r in none)
