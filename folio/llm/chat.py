@@ -22,7 +22,7 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
 
     ``calls`` has conv_id, turn, call_id, name, arguments; ``results`` conv_id, turn, call_id, content.  Of several calls, or
     results, with one identifier the first by turn (then by content) counts; the number of others is in ``extra_calls`` and
-    ``extra_results``.  ``status`` is linked, no_result or no_call.  A null conversation or identifier links to nothing:
+    ``extra_results``, and :func:`repeated` gives them.  ``status`` is linked, no_result or no_call.  A null conversation or identifier links to nothing:
     such rows come through as no_result or no_call, each on its own.
     """
     call = F.struct("turn", "name", "arguments")
@@ -30,7 +30,7 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     keyed = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     first_call = calls.where(keyed).groupBy("conv_id", "call_id").agg(F.min(call).alias("call"), (F.count(F.lit(1)) - 1).alias("extra_calls"))
     first_result = results.where(keyed).groupBy("conv_id", "call_id").agg(F.min(result).alias("result"), (F.count(F.lit(1)) - 1).alias("extra_results"))
-    both = first_call.join(first_result, ["conv_id", "call_id"], "full")
+    both = first_call.hint("shuffle_hash").join(first_result.hint("shuffle_hash"), ["conv_id", "call_id"], "full")  # one row a key on either side
     status = F.when(F.col("call").isNull(), "no_call").when(F.col("result").isNull(), "no_result").otherwise("linked")
     linked = both.select("conv_id", "call_id", "call", "result", F.coalesce("extra_calls", F.lit(0)).alias("extra_calls"), F.coalesce("extra_results", F.lit(0)).alias("extra_results"), status.alias("status"))
     types = dict(linked.dtypes)
@@ -40,6 +40,20 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     return linked.unionByName(lone_call).unionByName(lone_result)
 
 
+def repeated(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """conv_id, call_id, kind (call, result) and json of the calls and results that :func:`link` does not take, as their identifier was met before."""
+    keyed = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+
+    def others(rows: DataFrame, kind: str, *fields: str) -> DataFrame:
+        told = rows.where(keyed).groupBy("conv_id", "call_id", *fields).agg(F.count(F.lit(1)).alias("n"))  # equal rows as one
+        first = told.groupBy("conv_id", "call_id").agg(F.min(F.struct(*fields)).alias("first"), F.sum("n").alias("m")).where("m > 1")
+        times = F.col("n") - F.when(F.struct(*fields).eqNullSafe(F.col("first")), 1).otherwise(0)
+        return told.join(first, ["conv_id", "call_id"]).where(times > 0).select(
+            "conv_id", "call_id", F.lit(kind).alias("kind"), F.explode(F.array_repeat(F.to_json(F.struct(*sorted(fields))), times.cast("int"))).alias("json"))
+
+    return others(calls, "call", "turn", "name", "arguments").unionByName(others(results, "result", "turn", "content"))
+
+
 def ordered(nodes: DataFrame, depends: DataFrame) -> DataFrame:
     """``nodes`` (conv_id, node, turn) with ``at`` and ``depth``: sorted by these, every node follows what it depends on.
 
@@ -121,7 +135,9 @@ def call_json(canonical: Column, arguments: Column, call_id: Column, name: Colum
 
 
 def format_chat(calls: DataFrame, results: DataFrame, messages: DataFrame, schemas: DataFrame, depends: DataFrame) -> DataFrame:
-    """conv_id, at, depth, kind (call, result, message), call_id, status, errors, cyclic, json: one row a message.
+    """conv_id, at, depth, kind (call, result, message), call_id, status, errors, cyclic, json, extra: one row a message.
+
+    ``extra`` tells how many further calls, or results, have the identifier; :func:`repeated` gives them.
 
     ``messages`` has conv_id, turn, role, content; ``depends`` conv_id, call_id, needs: the call uses the result of call
     ``needs``.  Sorted by (at, depth, kind, call_id) a conversation has every result after its call and every call after
@@ -129,26 +145,26 @@ def format_chat(calls: DataFrame, results: DataFrame, messages: DataFrame, schem
     are repeated; empty tables give no rows; other columns play no part.
     """
     linked = materialise(link(calls, results))
-    told = linked.where("call is not null").select("conv_id", "call_id", "status", "call.*")
+    told = linked.where("call is not null").select("conv_id", "call_id", "status", F.col("extra_calls").alias("extra"), "call.*")
     checked = validated(told, schemas)
     call_rows = checked.select(
-        "conv_id", F.concat(F.lit("call "), "call_id").alias("node"), "turn", F.lit("call").alias("kind"), "call_id", "status", "errors",
+        "conv_id", F.concat(F.lit("call "), "call_id").alias("node"), "turn", F.lit("call").alias("kind"), "call_id", "status", "errors", "extra",
         call_json(F.col("canonical"), F.col("arguments"), F.col("call_id"), F.col("name")).alias("json"))
     none = F.array().cast("array<string>")
     result_rows = linked.where("result is not null").select(
-        "conv_id", F.concat(F.lit("result "), "call_id").alias("node"), "result.turn", F.lit("result").alias("kind"), "call_id", "status", none.alias("errors"),
+        "conv_id", F.concat(F.lit("result "), "call_id").alias("node"), "result.turn", F.lit("result").alias("kind"), "call_id", "status", none.alias("errors"), F.col("extra_results").alias("extra"),
         _json(F.col("result.content").alias("content"), F.col("call_id").alias("id"), F.lit("tool").alias("role")).alias("json"))
     rows = materialise(call_rows.unionByName(result_rows))
     own = linked.where("status = 'linked'").select("conv_id", F.concat(F.lit("result "), "call_id").alias("node"), F.concat(F.lit("call "), "call_id").alias("needs"))
     used = depends.select("conv_id", F.concat(F.lit("call "), "call_id").alias("node"), F.concat(F.lit("result "), "needs").alias("needs"))
     keyed = F.col("conv_id").isNotNull() & F.col("node").isNotNull()
     at = ordered(rows.where(keyed).select("conv_id", "node", "turn"), own.unionByName(used)).drop("turn")
-    names = ["conv_id", "at", "depth", "kind", "call_id", "status", "errors", "cyclic", "json"]
+    names = ["conv_id", "at", "depth", "kind", "call_id", "status", "errors", "cyclic", "json", "extra"]
     placed = rows.where(keyed).join(at, ["conv_id", "node"]).select(names)
     loose = rows.where(~keyed).withColumns({"at": F.col("turn"), "depth": F.lit(0), "cyclic": F.lit(False)}).select(names)
     plain = messages.select(
         "conv_id", F.col("turn").alias("at"), F.lit(0).alias("depth"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("string").alias("status"),
-        none.alias("errors"), F.lit(False).alias("cyclic"), _json(F.col("content").alias("content"), F.col("role").alias("role")).alias("json"))
+        none.alias("errors"), F.lit(False).alias("cyclic"), _json(F.col("content").alias("content"), F.col("role").alias("role")).alias("json"), F.lit(0).cast("bigint").alias("extra"))
     return placed.unionByName(loose).unionByName(plain)
 
 
@@ -195,20 +211,20 @@ results AS (
   SELECT conv_id, CASE WHEN length(text) % 5 = 0 THEN turn - 2 ELSE turn END AS turn, 'c' || conv_id || '-' || (turn - 1) AS id, text
   FROM c WHERE role = 'user' AND turn > 0
 ),
-one_call AS (SELECT conv_id, id, min(turn) AS turn, arg_min(c, turn) AS c FROM calls c GROUP BY ALL),
-one_result AS (SELECT conv_id, id, min(turn) AS turn, arg_min(r, turn) AS r FROM results r GROUP BY ALL)
+one_call AS (SELECT conv_id, id, min(turn) AS turn, arg_min(c, turn) AS c, count(*) - 1 AS extra FROM calls c GROUP BY ALL),
+one_result AS (SELECT conv_id, id, min(turn) AS turn, arg_min(r, turn) AS r, count(*) - 1 AS extra FROM results r GROUP BY ALL)
 SELECT c.conv_id, c.turn AS at, 0 AS depth, 'call' AS kind, c.id AS call_id, CASE WHEN r.id IS NULL THEN 'no_result' ELSE 'linked' END AS status,
        CASE WHEN c.c.s = 3 THEN 'no_object' WHEN c.c.name = 'export' THEN 'unknown_tool' WHEN c.c.s = 0 THEN 'type:turn' WHEN c.c.s = 1 THEN 'missing:turn'
             WHEN c.c.s = 2 AND c.c.name = 'search' THEN 'unknown:page' ELSE '' END AS errors, false AS cyclic,
        '{"arguments":' || CASE WHEN c.c.s = 3 THEN CAST(json_extract(c.c.args, '$.a') AS VARCHAR) ELSE CAST(c.c.args AS VARCHAR) END
-       || ',"id":"' || c.id || '","name":"' || c.c.name || '","role":"assistant"}' AS json
+       || ',"id":"' || c.id || '","name":"' || c.c.name || '","role":"assistant"}' AS json, c.extra
 FROM one_call c LEFT JOIN one_result r ON r.conv_id = c.conv_id AND r.id = c.id
 UNION ALL
 SELECT r.conv_id, CASE WHEN r.turn < c.turn OR r.turn = c.turn THEN c.turn ELSE r.turn END, CASE WHEN r.turn <= c.turn THEN 1 ELSE 0 END, 'result', r.id,
        CASE WHEN c.id IS NULL THEN 'no_call' ELSE 'linked' END, '', false,
-       '{"content":' || CAST(to_json(r.r.text) AS VARCHAR) || ',"id":"' || r.id || '","role":"tool"}'
+       '{"content":' || CAST(to_json(r.r.text) AS VARCHAR) || ',"id":"' || r.id || '","role":"tool"}', r.extra
 FROM one_result r LEFT JOIN one_call c ON r.conv_id = c.conv_id AND r.id = c.id
 UNION ALL
-SELECT conv_id, turn, 0, 'message', NULL, NULL, '', false, '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"' || role || '"}'
+SELECT conv_id, turn, 0, 'message', NULL, NULL, '', false, '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"' || role || '"}', 0
 FROM c WHERE NOT (role = 'assistant' OR (role = 'user' AND turn > 0))
 """

@@ -44,10 +44,10 @@ def tasks(spark: SparkSession) -> int:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that ``column`` holds about ``most`` bytes, one row at least."""
+    """Cut Arrow batches so that ``column`` holds about ``most`` bytes, one row at least; a null has none."""
     for batch in batches:
         start, used = 0, 0
-        sizes = pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         for i, n in enumerate(sizes):
             if used and used + n > most:
                 yield batch.slice(start, i - start)

@@ -167,6 +167,56 @@ def test_chat_links_orders_and_validates(spark):
     assert none.count() == 0
 
 
+def test_chat_tells_what_has_an_identifier_met_before(spark):
+    calls = spark.createDataFrame([(1, 5, "a", "n", "{}"), (1, 1, "a", "n", "x"), (1, 5, "a", "n", "{}"), (1, 2, "b", "n", None), (None, 1, "a", "n", "x"), (None, 1, "a", "n", "x")], "conv_id bigint, turn bigint, call_id string, name string, arguments string")
+    results = spark.createDataFrame([(1, 7, "a", "r"), (1, 7, "a", "r"), (2, 1, "a", None)], "conv_id bigint, turn bigint, call_id string, content string")
+    got = sorted((r.conv_id, r.call_id, r.kind, r.json) for r in chat.repeated(calls, results).collect())
+    assert got == [(1, "a", "call", '{"arguments":"{}","name":"n","turn":5}')] * 2 + [(1, "a", "result", '{"content":"r","turn":7}')]
+    empty = [spark.createDataFrame([], s) for s in ("conv_id bigint, turn bigint, role string, content string", "conv_id bigint, call_id string, needs string")]
+    rows = chat.format_chat(calls, results, empty[0], _schemas(spark), empty[1]).collect()
+    assert sorted((r.kind, r.call_id, r.extra) for r in rows if r.conv_id == 1) == [("call", "a", 2), ("call", "b", 0), ("result", "a", 1)]
+    assert "ShuffledHashJoin" in chat.link(calls, results)._jdf.queryExecution().toString()
+
+
+def test_a_null_text_does_not_end_the_cutting_of_batches():
+    import pyarrow as pa
+
+    from folio.llm.common import blocks
+
+    batch = pa.RecordBatch.from_arrays([pa.array([None, *["x" * 10] * 100], pa.string())], names=["text"])
+    assert [b.num_rows for b in blocks(iter([batch]), "text", 50)] == [6, *[5] * 19]
+
+
+def test_topk_of_any_finite_vector(spark):
+    rows = [(0, [1e15, 0.0]), (1, [1e15, 1.0]), (2, [-3e38, 2.0]), (3, [2.0**34, 2.0**34 + 1 / 64]), (4, [3e38, 1e30]), (20, [3e38, -3e38]), (5, [0.25, 1.0]), (40, [0.5, 0.5]), (40, [9.0, 9.0]), (60, [-1e300, 1e300])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    scaled = topk.scaled(df)
+    got = topk.search(scaled, scaled.where("vec_id % 20 = 0"), 5, vector_block=4, query_block=2, text=True).orderBy("query_id", "rank").collect()
+    whole = [(i, [math.floor(64 * x) if abs(x) < 1e14 else int(64 * x) for x in v]) for i, v in rows]
+    asked = {0: whole[0][1], 20: whole[5][1], 40: whole[7][1], 60: whole[9][1]}
+    want = []
+    for q, qv in asked.items():
+        best = sorted((-sum(a * b for a, b in zip(qv, v, strict=True)), i) for i, v in whole if i != q)[:5]
+        want += [(q, n + 1, i, -s if -(2**63) <= -s < 2**63 else None, str(-s)) for n, (s, i) in enumerate(best)]
+    assert [tuple(r) for r in got] == want
+
+
+def test_topk_looks_at_few_whole_scores(spark, monkeypatch):
+    """The share test decides which scores are resolved: without it every entry is."""
+    rng = np.random.default_rng(5)
+    vectors = spark.createDataFrame([(i, rng.normal(size=16).tolist()) for i in range(400)], "vec_id bigint, embedding array<double>")
+    ids, v = np.arange(400), np.floor(64 * np.array([r.embedding for r in vectors.orderBy("vec_id").collect()]))
+    resolved = []
+    monkeypatch.setattr(topk, "_best", lambda rows, flat, got, k, plain=topk._best: (resolved.append(len(got)), plain(rows, flat, got, k))[1])
+    scores = (v[:20] @ v.T).astype(np.int64)
+    np.fill_diagonal(scores, -(2**60))
+    cuts = [int(np.sort(s)[-10]) for s in scores]
+    batch = topk._tile(ids[:20], v[:20], ids, v, cuts, 10)
+    assert sorted(zip(batch.column("query_id").to_pylist(), batch.column("score").to_pylist(), strict=True)) == sorted((q, int(s)) for q in range(20) for s in np.sort(scores[q])[-10:])
+    topk._tile(ids[:20], v[:20], ids, v, [None] * 20, 10)
+    assert resolved[1] == 20 * 399 and resolved[0] < 20 * 30
+
+
 def test_chat_order_of_a_chain_told_backwards(spark):
     n = 12
     nodes = spark.createDataFrame([(1, f"n{i}", n - i) for i in range(n)], "conv_id bigint, node string, turn bigint")
