@@ -46,12 +46,14 @@ def scaled(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
         F.col("vec_id").cast("bigint").alias("vec_id"), F.size("embedding").alias("dim"), x.alias("v"))
 
 
-def blocked(rows: DataFrame, size: int, name: str, extra: tuple[str, ...] = (), least: int = 1) -> tuple[DataFrame, int]:
-    """``rows`` (a written table) in ``least`` blocks or more of about ``size``: (dim, ``name``, rows), and their number.
+def blocked(rows: DataFrame, size: int, name: str, extra: tuple[str, ...] = (), tasks_: int = 1) -> tuple[DataFrame, int]:
+    """``rows`` (a written table) in blocks of about ``size``: (dim, ``name``, rows), and their number.
 
-    Rows with large components are in blocks of their own under the same numbers.
+    Few rows are cut finer, down to a quarter of ``size``, so that ``tasks_`` have work.  Rows with large components are in blocks
+    of their own under the same numbers.
     """
-    count = max(least, -(-rows.count() // size))
+    n = rows.count()
+    count = max(1, -(-n // size), min(tasks_, -(-4 * n // size)))
     at = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(count)).cast("int")
     keep = F.struct("vec_id", "v", *extra)
     large = F.coalesce(F.exists("v", lambda c: F.abs(c) >= LARGE), F.lit(False))
@@ -62,9 +64,9 @@ def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Inner products of whole numbers, exact: in single or double precision where every sum fits, else in unbounded integers."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
     if most < 2**24:
-        return (q.astype(np.float32) @ v.astype(np.float32).T).astype(np.int64)
+        return q.astype(np.float32) @ v.astype(np.float32).T
     if most < 2**53:
-        return (q @ v.T).astype(np.int64)
+        return q @ v.T
     whole = lambda x: np.array([int(c) for c in x.ravel().tolist()], dtype=object).reshape(x.shape)
     return whole(q) @ whole(v).T
 
@@ -75,17 +77,14 @@ def unpacked(rows, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
 
 
-def heads(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of each row, ties to smaller ids; ``ids`` ascend, so ties go to the smaller place."""
+def heads(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of ``k`` best of each row; among equal ones any, as a cutoff is safe with each."""
     n = scores.shape[1]
     if n <= k:
         return np.tile(np.arange(n), (len(scores), 1))
     if scores.dtype == object:
-        return np.array([sorted(range(n), key=lambda j, row=row: (-row[j], j))[:k] for row in scores])
-    key = scores * n + (n - 1 - np.arange(n)) if np.abs(scores).max(initial=0) < 2**62 // max(1, n) else None
-    if key is not None:
-        return np.argpartition(-key, k - 1, axis=1)[:, :k]
-    return np.stack([np.lexsort((np.arange(n), -row))[:k] for row in scores])
+        return np.array([sorted(range(n), key=lambda j, row=row: -row[j])[:k] for row in scores])
+    return np.argpartition(-scores, k - 1, axis=1)[:, :k]
 
 
 def slices(dim: int) -> list[tuple[int, int]]:
@@ -126,27 +125,32 @@ def _best(rows: np.ndarray, flat: np.ndarray, got: np.ndarray, k: int) -> np.nda
 
 def _tile(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, cutoffs: list | None, k: int) -> pa.RecordBatch:
     lists = [products(q[:, lo:hi], v[:, lo:hi]) for lo, hi in slices(q.shape[1])]
-    if any(s.dtype == object for s in lists):
-        lists = [s.astype(object) for s in lists]
+    large = any(s.dtype == object for s in lists)
+    if large:
+        lists = [s if s.dtype == object else s.astype(np.int64).astype(object) for s in lists]
     for r, (lo, hi) in enumerate(zip(np.searchsorted(vid, qid, "left"), np.searchsorted(vid, qid, "right"), strict=True)):
         for s in lists:
             s[r, lo:hi] = LOWEST
     if cutoffs is None:
-        at = np.sort(np.concatenate([heads(s, vid, k) for s in lists], axis=1), axis=1)
+        at = np.sort(np.concatenate([heads(s, k) for s in lists], axis=1), axis=1)
         rows, flat = np.repeat(np.arange(len(qid)), at.shape[1]), at.ravel()
         new = np.concatenate([[True], (flat[1:] != flat[:-1]) | (rows[1:] != rows[:-1])]) if len(flat) else np.empty(0, bool)
         rows, flat = rows[new], flat[new]
     else:
         enough = np.zeros(lists[0].shape, bool)
         for r, cut in enumerate(cutoffs):  # a sum that reaches the cutoff has a part of at least its ceiling share
+            share = None if cut is None else -(-cut // len(lists))
+            share = share if large or share is None else min(max(share, -(2**62)), 2**62)
             for s in lists:
-                enough[r] |= True if cut is None else (s[r] >= -(-cut // len(lists))).astype(bool)
+                enough[r] |= True if share is None else (s[r] >= share).astype(bool)
         rows, flat = np.nonzero(enough)
     fine = vid[flat] != qid[rows]
     rows, flat = rows[fine], flat[fine]
-    got = sum(s[rows, flat] for s in lists)
+    got = sum(s[rows, flat] if large else s[rows, flat].astype(np.int64) for s in lists)
     if cutoffs is not None and len(got):
-        reach = np.array([cutoffs[r] is None or g >= cutoffs[r] for r, g in zip(rows.tolist(), got.tolist(), strict=True)], bool)
+        none = -(10**700) if large else -(2**63)  # below any score there is
+        least = np.array([none if c is None else c if large else min(max(c, none), 2**63 - 1) for c in cutoffs], dtype=object if large else np.int64)
+        reach = (got >= least[rows]).astype(bool)
         rows, flat, got = rows[reach], flat[reach], got[reach]
     order = _best(rows, flat, got, k)  # of a block's entries only the best k bear on the cutoff or the result
     return told(qid[rows[order]], vid[flat[order]], got[order])
@@ -174,7 +178,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, vector_block:
     like any other; ``text`` adds ``score_text``, which has the digits of every score.
     """
     asked = materialise(queries.groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q")).select("vec_id", "q.*"))
-    right, n_right = blocked(materialise(vectors), vector_block, "vector_block", least=tasks(vectors.sparkSession))
+    right, n_right = blocked(materialise(vectors), vector_block, "vector_block", tasks_=tasks(vectors.sparkSession))
     right = materialise(right.withColumnRenamed("rows", "vectors"))
 
     def hits(questions: DataFrame, second: bool, *extra: str) -> DataFrame:

@@ -188,12 +188,12 @@ def test_a_null_text_does_not_end_the_cutting_of_batches():
 
 
 def test_topk_of_any_finite_vector(spark):
-    rows = [(0, [1e15, 0.0]), (1, [1e15, 1.0]), (2, [-3e38, 2.0]), (3, [2.0**34, 2.0**34 + 1 / 64]), (4, [3e38, 1e30]), (20, [3e38, -3e38]), (5, [0.25, 1.0]), (40, [0.5, 0.5]), (40, [9.0, 9.0]), (60, [-1e300, 1e300])]
+    rows = [(0, [1e15, 0.0]), (1, [1e15, 1.0]), (2, [-3e38, 2.0]), (3, [2.0**34, 2.0**34 + 1 / 64]), (4, [3e38, 1e30]), (20, [3e38, -3e38]), (5, [0.25, 1.0]), (40, [0.5, 0.5]), (40, [9.0, 9.0]), (60, [-1e300, 1e300]), (80, [900.0, 16000.0]), (81, [1.7e308 / 64, 1.7e308 / 64])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     scaled = topk.scaled(df)
     got = topk.search(scaled, scaled.where("vec_id % 20 = 0"), 5, vector_block=4, query_block=2, text=True).orderBy("query_id", "rank").collect()
     whole = [(i, [math.floor(64 * x) if abs(x) < 1e14 else int(64 * x) for x in v]) for i, v in rows]
-    asked = {0: whole[0][1], 20: whole[5][1], 40: whole[7][1], 60: whole[9][1]}
+    asked = {0: whole[0][1], 20: whole[5][1], 40: whole[7][1], 60: whole[9][1], 80: whole[10][1]}
     want = []
     for q, qv in asked.items():
         best = sorted((-sum(a * b for a, b in zip(qv, v, strict=True)), i) for i, v in whole if i != q)[:5]
