@@ -18,7 +18,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import blocks, parted, register, released, row_key, table, texts
@@ -323,10 +323,13 @@ def similar_pairs(nodes: DataFrame, k: int, least: float) -> DataFrame:
     rows = left = live.count()
     tested, roots, idle = None, None, 0
 
+    def bodies_of(chosen: DataFrame) -> DataFrame:
+        near, _ = parted(nodes, "node", chosen)
+        return near.join(chosen, "node")
+
     def verified(edges: DataFrame) -> DataFrame:
         ends = materialise(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        bodies, _ = parted(nodes, "node", ends)
-        return materialise(similar(edges, bodies.join(ends, "node", "left_semi"), k, least))
+        return materialise(similar(edges, bodies_of(ends), k, least))
 
     def grouped(links: DataFrame) -> DataFrame:
         known = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -349,9 +352,10 @@ def similar_pairs(nodes: DataFrame, k: int, least: float) -> DataFrame:
         idle = idle + 1 if left > before * IDLE else 0
     split = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     open_texts = materialise(live.join(split, "key", "left_semi").select("node", "root").distinct())
-    bodies, _ = parted(nodes, "node", open_texts)
-    edges = prefix_pairs(bodies.join(open_texts, "node"), k, least)
-    return grouped(verified(materialise(edges if tested is None else edges.join(tested, ["a", "b"], "left_anti"))))
+    bodies = materialise(bodies_of(open_texts))
+    edges = prefix_pairs(bodies, k, least)
+    edges = materialise(edges if tested is None else edges.join(tested, ["a", "b"], "left_anti"))
+    return grouped(materialise(similar(edges, bodies, k, least)))
 
 
 def without_near_copies(docs: DataFrame, *, k: int = 5, least: float = 0.8) -> DataFrame:
