@@ -30,6 +30,7 @@ SHARD_PHRASES = 50_000
 GROUP_ROWS = 100_000
 CUT_ROWS = 256
 _BASE = 0x9E3779B97F4A7C15
+_NONE = np.uint64(2**64 - 1)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -159,10 +160,10 @@ def repeated_spans(rows: DataFrame, phrases: DataFrame, window: int = WINDOW, ph
             k1, k2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
             block = Block(b.column("body").to_pylist(), window, phrase)
             chosen = np.unique(b.column("phrases").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-            hit = np.concatenate([[0], np.cumsum(occurrences(block, chosen, phrase))])
-            n = len(block.least)
-            near = hit[span : span + n] - hit[:n] > 0
-            places = np.nonzero(near & (block.least > 0) & np.isin(block.least, chosen))[0]
+            # windows whose least phrase is one of those located: the least of the hits in them is the least of all
+            hits = np.where(occurrences(block, chosen, phrase)[: len(block.phrases)], block.phrases, _NONE)
+            found = _extreme(hits, span, np.minimum) if len(block.least) else block.least
+            places = np.nonzero((block.least > 0) & (found == block.least))[0]
             _, first, back, sizes = np.unique(block.windows[places], return_index=True, return_inverse=True, return_counts=True)
             twice = places[sizes[back] > 1]
             s, e, _ = _spans(twice, block.doc[twice], window)

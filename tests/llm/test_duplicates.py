@@ -164,6 +164,13 @@ def test_repeats_in_random_texts(spark, monkeypatch, window, phrase):
     assert got == [(i, *r) for (i, _), r in zip(rows, plain_cut([t for _, t in rows], window), strict=True)]
 
 
+def test_windows_come_from_the_hits_of_the_automata(spark, monkeypatch):
+    docs = helpers.odd(spark)
+    assert substring.remove_repeats(docs).agg({"n_removed": "sum"}).first()[0] > 0
+    monkeypatch.setattr(substring, "occurrences", lambda block, chosen, phrase: [False] * len(block.ids))
+    assert substring.remove_repeats(docs).agg({"n_removed": "sum"}).first()[0] == 0
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 100)] + [(5000, 5000), (1000, 1001)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
