@@ -37,19 +37,19 @@ def tagged(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def keyed_state(stream: DataFrame) -> DataFrame:
-    """Per digest: rows so far and the row that stays, the one with the largest (doc_id, locator); nulls come last."""
-    best = F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", "locator")
+def keyed_state(stream: DataFrame, place: tuple[str, ...] = ("locator",)) -> DataFrame:
+    """Per digest: rows so far and the row that stays, the one with the largest (doc_id, ``place``); nulls come last."""
+    best = F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", *place)
     return stream.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.max(best).alias("keep"))
 
 
-def run_stream(spark: SparkSession, source: str, schema, home: str) -> None:
-    """Feed the files in ``source`` not fed before to the state kept in ``home``; call again as files arrive."""
+def run_stream(spark: SparkSession, source: str, schema, home: str, place: tuple[str, ...] = ("locator",)) -> None:
+    """Feed the files in ``source`` not fed before to the state kept in ``home``."""
     before = {k: spark.conf.get(k, None) for k in SETTINGS}
     try:
         for k, v in SETTINGS.items():
             spark.conf.set(k, v)
-        stream = keyed_state(spark.readStream.schema(schema).parquet(source))
+        stream = keyed_state(spark.readStream.schema(schema).parquet(source), place)
         stream.writeStream.format("noop").outputMode("update").option("checkpointLocation", home).trigger(availableNow=True).start().awaitTermination()
     finally:
         for k, v in before.items():
@@ -108,6 +108,33 @@ def deduplicate(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFra
     return rows, first.select(names).unionByName(other)
 
 
+def feed(docs: DataFrame, home: str, batch: int, text: str = "text") -> DataFrame:
+    """Decisions for the rows of one more batch, against all batches fed to ``home`` so far: call it as documents arrive.
+
+    ``home`` is a folder of its own in a store that all executors share; ``batch`` a number not used there before.  The batch is
+    written there, so (batch, locator) finds its texts for good, and goes through the state once.  doc_id, batch, locator,
+    keep_id, keep_batch, group_size, kept, same_text, text_sha256: ``kept`` tells whether the row is the one that stays as of
+    now, ``same_text`` whether its bytes are those of the row that does; where they are not, two texts share a digest.  A row
+    of an earlier batch gives way to a later one with a larger ``doc_id``.  An empty batch gives no rows.
+    """
+    spark, place = docs.sparkSession, ("batch", "locator")
+    tagged(docs, text).write.parquet(f"{home}/rows/batch={batch}")
+    narrow = "digest binary, doc_id bigint, locator bigint, batch int"
+    run_stream(spark, f"{home}/rows", narrow, f"{home}/state", place)
+    found = materialise(state(spark, f"{home}/state"))
+    rows = spark.read.schema(f"row {tagged(docs, text).schema['row'].dataType.simpleString()}, {narrow}").parquet(f"{home}/rows")
+    decided = materialise(rows.where(F.col("batch") == batch).drop("row").join(found, "digest"))
+    stays = F.struct("batch", "locator").eqNullSafe(F.struct("keep.batch", "keep.locator"))
+    body = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
+    hits = decided.where(~stays)
+    mine = rows.where(F.col("batch") == batch).join(hits.select("locator"), "locator", "left_semi").select("locator", "digest", body.alias("own"))
+    kept = rows.join(hits.select("digest", "keep.batch", "keep.locator").distinct(), ["digest", "batch", "locator"], "left_semi").select("digest", body.alias("other"))
+    differ = mine.join(kept, "digest").where("own <> other").select("locator", F.lit(False).alias("same"))
+    return decided.join(differ, "locator", "left").select(
+        "doc_id", "batch", "locator", F.col("keep.doc_id").alias("keep_id"), F.col("keep.batch").alias("keep_batch"), "group_size", stays.alias("kept"),
+        F.coalesce("same", F.lit(True)).alias("same_text"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def unique_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, unchanged, with all their columns."""
     rows, decided = deduplicate(docs, text)
@@ -118,6 +145,7 @@ def unique_rows(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @register
 def op10_exact_dedup(spark, sf):
+    """The decision for every document."""
     return deduplicate(table(spark, sf, "documents"))[1].drop("locator")
 
 

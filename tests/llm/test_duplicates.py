@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from folio.llm import exact_dedup, simhash, substring
 from folio.llm.components import components
@@ -164,6 +165,25 @@ def test_repeats_in_random_texts(spark, monkeypatch, window, phrase):
     assert got == [(i, *r) for (i, _), r in zip(rows, plain_cut([t for _, t in rows], window), strict=True)]
 
 
+def test_batches_find_the_texts_of_earlier_ones(spark, monkeypatch, tmp_path):
+    def run(home, *batches):
+        out = []
+        for n, rows in enumerate(batches):
+            got = exact_dedup.feed(spark.createDataFrame(rows, "doc_id bigint, text string, digest string, batch int").repartition(2), str(home), n).collect()
+            out.append(sorted((r.doc_id is None, r.doc_id or 0, r.keep_id, r.keep_batch, r.group_size, r.kept, r.same_text) for r in got))
+        return out
+
+    one = [(1, "a", "d", 7), (2, "b", "d", 7), (3, None, "d", 7), (None, "c", "d", 7)]
+    two = [(5, "a", "d", 7), (0, "b", "d", 7), (4, "", "d", 7), (6, "new", "d", 7), (6, "new", "d", 7)]
+    first, second, third = run(tmp_path / "x", one, two, [])
+    assert first == [(False, 1, 1, 0, 1, True, True), (False, 2, 2, 0, 1, True, True), (False, 3, 3, 0, 1, True, True), (True, 0, None, 0, 1, True, True)]
+    assert second == [(False, 0, 2, 0, 2, False, True), (False, 4, 4, 1, 2, True, True), (False, 5, 5, 1, 2, True, True), (False, 6, 6, 1, 2, False, True), (False, 6, 6, 1, 2, True, True)]
+    assert third == []
+    plain = exact_dedup.tagged
+    monkeypatch.setattr(exact_dedup, "tagged", lambda docs, text: plain(docs, text).withColumn("digest", F.lit(b"one")))  # all digests collide
+    assert run(tmp_path / "y", [(9, "kept", "d", 7)], [(1, "kept", "d", 7), (2, "other", "d", 7)])[1] == [(False, 1, 9, 0, 3, False, True), (False, 2, 9, 0, 3, False, False)]
+
+
 def test_windows_come_from_the_hits_of_the_automata(spark, monkeypatch):
     docs = helpers.odd(spark)
     assert substring.remove_repeats(docs).agg({"n_removed": "sum"}).first()[0] > 0
