@@ -25,9 +25,9 @@ from folio.llm.common import blocks, register, released, row_key, table, texts
 
 WINDOW = 35
 PHRASE = 12
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 SHARD_PHRASES = 50_000
-GROUP_ROWS = 100_000
+GROUP_ROWS = 50_000
 CUT_ROWS = 256
 _BASE = 0x9E3779B97F4A7C15
 _NONE = np.uint64(2**64 - 1)
