@@ -39,10 +39,11 @@ def turn_id(role: str = "role", text: str = "text") -> Column:
 
 
 def numbered(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(conv_id, part, pos, tid, points) for each turn, ``pos`` from 1, and (conv_id, part, before, length) to read it with.
+    """(conv_id, tid, points, part, at) for each turn and (conv_id, part, first, before, length) for each stretch it lies in.
 
     ``turns`` has conv_id, turn, role, text.  Turns are ordered by ``turn``, null first, those of one ``turn`` by their digest.
-    ``pos`` counts within ``part``, one stretch of the sort; ``before`` turns lie in earlier stretches.
+    ``at`` rises along ``part``, one stretch of the sort, from ``first`` on; ``before`` turns of the conversation lie in earlier
+    stretches, so a turn's place is at - first + before + 1.
     """
     n = tasks(turns.sparkSession)
     rows = turns.where("conv_id is not null").select(
