@@ -8,7 +8,8 @@ that, 2 * 33 points, and the verification looks at all bits.  ``parts=1`` takes
 
 A fingerprint is handled once however many documents have it.  Where many meet in one place, their links are not
 listed: a shortest spanning forest keeps the same components with fewer edges than members.  That holds for this
-relation only, so near copies by shared shingles, at the end of this module, are found by a join of their own.
+relation only, so near copies by shared shingles, at the end of this module, are found by a join of their own, which
+starts from the groups that fingerprints make.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from folio.llm.common import blocks, parted, register, released, row_key, table,
 from folio.llm.components import components
 from folio.session import materialise
 
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
@@ -183,6 +184,22 @@ def link(prints: DataFrame, names: list[str], node: str, *, radius: int = RADIUS
     return meet(rows, point, parts, radius if most is None else most).distinct()
 
 
+def reached(distinct: DataFrame, *, radius: int = RADIUS, parts: int = 2) -> DataFrame:
+    """``distinct`` (f0, each once, and further columns) with ``root``, the smallest fingerprint reachable."""
+    roots = components(link(distinct, ["f0"], "f0", radius=radius, parts=parts))
+    return distinct.join(roots.withColumnRenamed("node", "f0"), "f0", "left").withColumn("root", F.coalesce("root", "f0"))
+
+
+def alike(docs: DataFrame, *, k: int = SHINGLE, radius: int = RADIUS, parts: int = 2) -> DataFrame:
+    """(node, root) for the texts of ``docs`` that :func:`groups` puts with other texts; a node stands for a text (``k2`` of its rows)."""
+    prints = materialise(fingerprints(docs, k).select(F.col("k2").alias("node"), "f0").distinct())
+    distinct = materialise(prints.groupBy("f0").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")))
+    rooted = materialise(reached(distinct, radius=radius, parts=parts))
+    several = rooted.groupBy("root").agg(F.min("least").alias("least"), F.sum("n").alias("n")).where("n > 1")
+    known = rooted.select("f0", "root").join(several, "root").select("f0", F.col("least").alias("root"))
+    return materialise(prints.join(known, "f0").select("node", "root"))
+
+
 def groups(docs: DataFrame, *, k: int = SHINGLE, radius: int = RADIUS, parts: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, for every row of ``docs``.
 
@@ -191,8 +208,7 @@ def groups(docs: DataFrame, *, k: int = SHINGLE, radius: int = RADIUS, parts: in
     """
     prints = materialise(fingerprints(docs, k))
     distinct = materialise(prints.groupBy("f0").agg(F.min("doc_id").alias("first")))
-    roots = components(link(distinct, ["f0"], "f0", radius=radius, parts=parts))
-    rooted = materialise(distinct.join(roots.withColumnRenamed("node", "f0"), "f0", "left").withColumn("root", F.coalesce("root", "f0")))
+    rooted = materialise(reached(distinct, radius=radius, parts=parts))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("f0", "component_id")
     return prints.join(named, "f0").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -308,20 +324,25 @@ def prefix_pairs(texts_: DataFrame, k: int, least: float) -> DataFrame:
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def similar_pairs(nodes: DataFrame, k: int, least: float) -> DataFrame:
+def similar_pairs(nodes: DataFrame, k: int, least: float, known: DataFrame | None = None) -> DataFrame:
     """(node, root) for the texts of ``nodes`` (node, body) that are linked to another: the smallest node reachable.
 
-    Two texts are linked if they share at least ``least`` of their distinct ``k``-word shingles.  Candidates share one of
+    Two texts are linked if they share at least ``least`` of their distinct ``k``-word shingles; groups that are ``known``
+    (node, root) are linked as they are.  Candidates share one of
     ``BANDS`` keys (see :func:`bands` for what that may miss) and are verified on the whole texts before anything is left
     out.  Where many meet, each is first verified with one of them, one candidate a text and turn, and groups found so
     are one from then on.  Texts that then still share a key with another group go through :func:`prefix_pairs`, which
     misses none of them.
     """
+    def placed(rows_: DataFrame, roots_: DataFrame) -> DataFrame:
+        return rows_.join(roots_, "node", "left").withColumn("root", F.coalesce("root", "node")).select("key", "node", "n", "root")
+
     shared = materialise(bands(nodes, k))
     often = shared.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    live = materialise(shared.join(often, "key", "left_semi").withColumn("root", F.col("node")))
+    rooted = shared.withColumn("root", F.col("node")) if known is None else placed(shared, known)
+    live = materialise(rooted.join(often, "key", "left_semi"))
     rows = left = live.count()
-    tested, roots, idle = None, None, 0
+    tested, roots, idle = None, known, 0
 
     def bodies_of(chosen: DataFrame) -> DataFrame:
         near, _ = parted(nodes, "node", chosen)
@@ -345,9 +366,9 @@ def similar_pairs(nodes: DataFrame, k: int, least: float) -> DataFrame:
         tested = edges if tested is None else tested.unionByName(edges)
         links = verified(edges)
         roots = grouped(links)
-        placed = live.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("key", "node", "n", "root")
-        split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        live = materialise(placed.join(split, "key", "left_semi"))
+        moved = placed(live.drop("root"), roots)
+        split = moved.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        live = materialise(moved.join(split, "key", "left_semi"))
         before, left = left, live.count()
         idle = idle + 1 if left > before * IDLE else 0
     split = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
@@ -361,15 +382,16 @@ def similar_pairs(nodes: DataFrame, k: int, least: float) -> DataFrame:
 def without_near_copies(docs: DataFrame, *, k: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near copies, the one with the smallest ``doc_id`` (nulls last).
 
-    Near copies share at least ``least`` of their distinct ``k``-word shingles; groups are what such links connect
-    (see ``similar_pairs``).  Texts that are equal are one node; rows with equal text and ``doc_id`` stay or go
+    Near copies are texts whose fingerprints are linked (see :func:`groups`) and texts that share at least ``least`` of their
+    distinct ``k``-word shingles, which fingerprints may miss (see :func:`similar_pairs`); groups are what both kinds of
+    links connect.  Texts that are equal are one node; rows with equal text and ``doc_id`` stay or go
     together.  Other columns are kept as they are.  An empty table gives no rows.
     """
     rows = row_key(texts(docs)).select(F.col("doc_id").cast("bigint").alias("doc_id"), "k1", F.col("k2").alias("node"), "body")
     keys = materialise(rows.select("doc_id", "k1", "node"))
     copied = materialise(keys.groupBy("node").count().where("count > 1").select("node"))
     often, once = parted(rows.select("node", "body"), "node", copied)
-    roots = similar_pairs(often.dropDuplicates(["node"]).unionByName(once), k, least)
+    roots = similar_pairs(often.dropDuplicates(["node"]).unionByName(once), k, least, alike(docs))
     ranked = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("k1").alias("k1"), F.col("node").alias("k2"))
     chosen = ranked.groupBy("root").agg(F.min(best).alias("best"))

@@ -92,3 +92,18 @@ def test_crowds_keep_every_link(spark, monkeypatch, a_row):
     want = kept_by_brute_force(rows)
     assert 10 < len(want) < len(rows) - 10
     assert kept(spark, rows) == want
+
+
+def test_fingerprints_link_near_copies_too(spark):
+    """A group by fingerprints is one group, also where too few shingles are shared; shingles then join it to others."""
+    rng = random.Random(11)
+    base = [word(rng) for _ in range(30)]
+    loop = " ".join(base * 40)
+    other = " ".join(base * 40 + [word(rng) for _ in range(12)])  # each shingle of the loop counts forty times in the fingerprint, once here
+    bits = [simhash.fingerprint(t.encode(), simhash.SHINGLE) for t in (loop, other)]
+    assert bin((bits[0] ^ bits[1]) & (1 << 64) - 1).count("1") <= simhash.RADIUS
+    linked = [w for w in base * 40]
+    near = " ".join(linked + other.split()[1200:] + ["more"])  # shares enough with the second
+    rows = [(1, loop), (2, other), (3, near), (4, " ".join(word(rng) for _ in range(60)))]
+    assert kept_by_brute_force(rows) == [1, 2, 4]
+    assert kept(spark, rows) == [1, 4]
