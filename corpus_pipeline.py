@@ -51,7 +51,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts whose fingerprints differ in 4 bits or fewer or that share 0.8 of their five-word shingles, directly or over others,
     the row with the smallest ``doc_id``."""
-    return simhash.without_near_copies(docs)
+    return simhash.without_near_copies(docs, radius=simhash.RADIUS)
 
 
 @_stage

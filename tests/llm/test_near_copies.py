@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from folio.llm import simhash
 
 
@@ -106,4 +107,6 @@ def test_fingerprints_link_near_copies_too(spark):
     near = " ".join(linked + other.split()[1200:] + ["more"])  # shares enough with the second
     rows = [(1, loop), (2, other), (3, near), (4, " ".join(word(rng) for _ in range(60)))]
     assert kept_by_brute_force(rows) == [1, 2, 4]
-    assert kept(spark, rows) == [1, 4]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert kept(spark, rows) == [1, 2, 4]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 4]
