@@ -100,11 +100,19 @@ def reading_blocks_v1(lines: DataFrame, min_width: int = 50, max_gap: int = 50)
     prev = F.lag("bottom").over(order)
     wide = lines.filter(F.col("width") >= min_width).withColumn(
         "_pause", F.coalesce((prev > 0) & (F.col("vpos") - prev > max_gap), F.lit(False)))
-    page = wide.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(
-        "block_seq", "line_seq", F.col("_pause").alias("pause"),
-        F.transform("tokens", lambda t: F.struct(
-            t["seq"].alias("seq"), F.coalesce(t["content"], F.lit("")).alias("c"), t["hpos"].alias("x"), t["vpos"].alias("y"),
-            (t["hpos"] + t["width"]).alias("x2"), (t["vpos"] + t["height"]).cast("bigint").alias("y2"))).alias("ts"),
+    words = F.transform("tokens", lambda t: F.struct(
+        t["seq"].alias("seq"), F.coalesce(t["content"], F.lit("")).alias("c"), t["hpos"].alias("x"), t["vpos"].alias("y"),
+        (t["hpos"] + t["width"]).alias("x2"), (t["vpos"] + t["height"]).cast("bigint").alias("y2")))
+    # a line whose places are all known and not 0 and that cannot close a block goes on whole; only other lines need their words
+    placed = (F.size("_ts") > 0) & ~F.array_contains("_ts.x", 0) & ~F.array_contains("_ts.y", 0) & ~F.array_contains("_ts.x2", 0) & ~F.array_contains("_ts.y2", 0)
+    joined = F.concat(F.array_join("_ts.c", " "), F.lit(" "))
+    ends = F.col("_text").contains(". ") | F.col("_text").contains("; ")
+    told = wide.withColumn("_ts", words).withColumn("_text", joined).withColumn("_placed", F.coalesce(placed, F.lit(False))).withColumn("_ends", ends)
+    page = told.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(
+        "block_seq", "line_seq", F.col("_pause").alias("pause"), F.col("_placed").alias("placed"), F.col("_ends").alias("ends"),
+        F.when(F.col("_placed"), F.col("_text")).alias("text"), F.array_min("_ts.x").alias("x"), F.array_min("_ts.y").alias("y"),
+        F.array_max("_ts.x2").alias("x2"), F.array_max("_ts.y2").alias("y2"),
+        F.when(~F.col("_placed") | F.col("_ends"), F.col("_ts")).alias("ts"),
     ))).alias("ls"))
     block = "struct<text:string,h_min:bigint,v_min:bigint,h_max:bigint,v_max:bigint>"
     state = F.expr(
@@ -121,8 +129,7 @@ def reading_blocks_v1(lines: DataFrame, min_width: int = 50, max_gap: int = 50)
             low(s["h_min"], t["x"]).alias("h_min"), low(s["v_min"], t["y"]).alias("v_min"),
             high(s["h_max"], t["x2"]).alias("h_max"), high(s["v_max"], t["y2"]).alias("v_max"),
         )
-        closes = (grown["lines"] >= V1_MIN_LINES) & (F.length(grown["text"]) > V1_MIN_CHARS) & (
-            t["c"].endswith(".") | t["c"].endswith(";"))
+        closes = (grown["lines"] >= V1_MIN_LINES) & (t["c"].endswith(".") | t["c"].endswith(";")) & (F.length(grown["text"]) > V1_MIN_CHARS)
         zero = F.lit(0).cast("bigint")
         return F.when(closes, F.struct(
             F.array_append(grown["done"], whole(grown)).alias("done"), F.lit("").alias("text"), F.lit(0).alias("lines"),
@@ -133,7 +140,12 @@ def reading_blocks_v1(lines: DataFrame, min_width: int = 50, max_gap: int = 50)
         begun = s.withField(
             "text", F.when(ln["pause"] & (s["text"] != ""), F.concat(s["text"], F.lit(V1_PAUSE))).otherwise(s["text"])
         ).withField("lines", s["lines"] + 1)
-        return F.aggregate(ln["ts"], begun, token)
+        at_once = F.struct(
+            begun["done"].alias("done"), F.concat(begun["text"], ln["text"]).alias("text"), begun["lines"].alias("lines"),
+            low(s["h_min"], ln["x"]).alias("h_min"), low(s["v_min"], ln["y"]).alias("v_min"),
+            high(s["h_max"], ln["x2"]).alias("h_max"), high(s["v_max"], ln["y2"]).alias("v_max"),
+        )
+        return F.when(ln["placed"] & (~ln["ends"] | (begun["lines"] < V1_MIN_LINES)), at_once).otherwise(F.aggregate(ln["ts"], begun, token))
 
     end = lambda s: F.when(s["text"] != "", F.array_append(s["done"], whole(s))).otherwise(s["done"])
     return page.select("page_id", F.posexplode(F.aggregate("ls", state, line, end)).alias("block_no", "b")).select(

@@ -184,6 +184,38 @@ def test_reading_blocks_v1_close_only_at_sentence_ends(spark):
     assert all(t[-1] in ".;" and len(t) > 120 for t in got[:-1])
 
 
+def test_reading_blocks_v1_take_whole_lines_as_word_by_word(spark):
+    """Places of 0, none and below 0 beside plain lines, against the reading of one word after the other."""
+    rnd = random.Random(4)
+    rows = []
+    for i in range(80):
+        ws = ["word" + rnd.choice(["", "", "", ".", ";", "a. b"]) for _ in range(rnd.randrange(0, 7))]
+        place = lambda: rnd.choice([0, None, -7]) if rnd.random() < 0.03 else rnd.randrange(1, 900)
+        tokens = [tok(n, w, place(), place(), width=rnd.randrange(1, 60)) for n, w in enumerate(ws)]
+        rows.append((*line(i // 40, 0, i, "", vpos=40 * i)[:-1], None if i == 60 else tokens))
+    low = lambda a, b: None if a is None else b if a == 0 else a if b is None or a <= b else b
+    high = lambda a, b: None if a is None else b if a == 0 else a if b is None or a >= b else b
+    plus = lambda a, b: None if a is None or b is None else a + b
+    want = []
+    for page in (0, 1):
+        done, text, n, box = [], "", 0, (0, 0, 0, 0)
+        for *_, tokens in rows[40 * page:40 * page + 40]:
+            n += 1
+            for _, c, _, _, _, x, y, w, h in tokens or []:
+                text += c
+                box = (low(box[0], x), low(box[1], y), high(box[2], plus(x, w)), high(box[3], plus(y, int(h))))
+                if n >= 3 and c[-1] in ".;" and len(text) > 120:
+                    done.append((page, text, *box))
+                    text, n, box = "", 0, (0, 0, 0, 0)
+                else:
+                    text += " "
+        want += [] if page == 1 else done + ([(page, text, *box)] if text else [])
+    got = search.reading_blocks_v1(spark.createDataFrame(rows, LINE))
+    assert [tuple(r)[:1] + tuple(r)[2:] for r in got.orderBy("page_id", "block_no").collect()] == want
+    # a plain line has its text, and keeps no words to be read one by one
+    assert "array_min" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_merged_headings_follow_the_growing_median(spark):
     from statistics import median
 
