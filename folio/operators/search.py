@@ -23,6 +23,10 @@ def word_boxes(tokens: DataFrame, queries: DataFrame, sx: Column, sy: Column) ->
     spelled = tokens.select(
         "page_id", "block_seq", "line_seq", "token_seq", "hpos", "vpos", "width", "height", F.explode(forms).alias("word")
     )
+    if place:
+        # only words that their page asks for go into the shuffle by word; this join finds the pages where they stand
+        asked = words.groupBy("page_id").agg(F.collect_set("word").alias("_asked"))
+        spelled = spelled.join(asked.hint("shuffle_hash"), "page_id").filter(F.array_contains("_asked", F.col("word"))).drop("_asked")
     x0, y0 = F.col("hpos") * sx, -(F.col("vpos") * sy)
     x1, y1 = x0 + F.col("width") * sx, y0 - F.col("height") * sy
     ring = F.array(*[F.array(x, y) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])

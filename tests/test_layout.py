@@ -216,6 +216,17 @@ def test_reading_blocks_v1_take_whole_lines_as_word_by_word(spark):
     assert "array_min" in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_word_boxes_shuffle_only_words_that_are_asked_for(spark):
+    from folio import fixtures as fx
+
+    words = fx.tokens(spark.createDataFrame([line(p, 0, 0, "alpha beta alpha gamma") for p in (1, 2)], LINE))
+    asked = spark.createDataFrame([("q", "alpha gamma alpha", 1), ("r", "beta", 1), ("s", "delta", 2)], "query_id string, query string, page_id bigint")
+    hits = search.word_boxes(words, asked, F.lit(1.0), F.lit(1.0))
+    got = sorted((r.query_id, r.word_no, r.page_id, r.token_seq) for r in hits.collect())
+    assert got == [("q", 0, 1, 0), ("q", 0, 1, 2), ("q", 1, 1, 3), ("q", 2, 1, 0), ("q", 2, 1, 2), ("r", 0, 1, 1)]
+    assert "array_contains" in hits._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_merged_headings_follow_the_growing_median(spark):
     from statistics import median
 
