@@ -153,3 +153,36 @@ def test_suffix_tree_scores_equal_plain_dictionaries(spark):
     got = {r.doc_id: r.score for r in suffix_tree.score(docs, tree, counts).collect()}
     for i, text in rows:
         assert got[i] == pytest.approx(plain.score((text or "").encode()), abs=1e-6), (i, text)
+
+
+@pytest.mark.parametrize("most", [0, 3])
+def test_suffix_tree_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch, most):
+    """Words, contexts and next words that are not among the broadcast ones count the same."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["x y z", "Lone y w", "the quick fox", "the slow ox", "p q", "y"]) for _ in range(rng.randint(1, 12)))) for i in range(300)]
+    rows += [(900, ""), (901, None), (902, "never quick seen fox"), (7, rows[7][1]), (None, "x Y w")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    training = suffix_tree.texts(docs.where(~suffix_tree.held_out()))
+    counts = suffix_tree.materialise(suffix_tree.word_counts(training))
+    plain = PlainTree([(t or "").encode() for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2])
+    assert {len(k) for k in plain.kept} == {1, 2}
+    for name in ("HEAD_WORDS", "HEAD_CONTEXTS", "HEAD_NEXTS"):
+        monkeypatch.setattr(suffix_tree, name, most)
+    tree = suffix_tree.fit(training, counts)
+    assert len(tree.vocab) <= most and all(len(k) <= most for k in tree.contexts + tree.keys)
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in suffix_tree.score(docs, tree, counts).collect())
+    want = sorted((str(i), len(suffix_tree.words((t or "").encode())), plain.score((t or "").encode())) for i, t in rows)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-6)
+
+
+def test_suffix_tree_predicts_what_is_rare_in_a_large_corpus(spark):
+    """A pair that occurs a few times is predicted however many other tokens there are."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice("abcdefghij") for _ in range(9000))) for i in range(60)]
+    rows += [(i, "seldom follows") for i in range(100, 112)] + [(200 + i, "follows seldom") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    training = suffix_tree.texts(docs)
+    counts = suffix_tree.materialise(suffix_tree.word_counts(training))
+    got = {r.doc_id: r.score for r in suffix_tree.score(docs, suffix_tree.fit(training, counts), counts).collect()}
+    assert got[100] > got[200] + 2
