@@ -8,7 +8,8 @@ resolved exactly, and the best k of each query are kept.
 
 Lists are scored whole, entries only where a phase asks for them: in the first phase the heads, in the second what passes the
 share test.  Queries and vectors meet block by block: each block of one side is sent to every block of the other in an
-equality join on the two numbers, so a task holds a few blocks, whatever the tables' sizes.
+equality join on the two numbers, so a task holds a few blocks, whatever the tables' sizes.  The join is a merge by name: blocks
+are small on disk, and each is repeated for every block of the other side, which the sizes that Spark goes by for a broadcast leave out.
 
 Components are whole numbers held as doubles, so any finite one is exact.  Rows with large ones are blocked apart and scored in
 unbounded integers; a score beyond the range of a long is ranked by its digits.
@@ -178,14 +179,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, vector_block:
     like any other; ``text`` adds ``score_text``, which has the digits of every score.
     """
     asked = materialise(queries.groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q")).select("vec_id", "q.*"))
-    right, n_right = blocked(materialise(vectors), vector_block, "vector_block", tasks_=tasks(vectors.sparkSession))
+    n_left = max(1, -(-asked.count() // query_block))
+    # tasks are pairs of blocks: every further block of vectors is one more copy of the queries
+    right, n_right = blocked(materialise(vectors), vector_block, "vector_block", tasks_=-(-tasks(vectors.sparkSession) // n_left))
     right = materialise(right.withColumnRenamed("rows", "vectors"))
 
     def hits(questions: DataFrame, second: bool, *extra: str) -> DataFrame:
         left, n_left = blocked(questions, query_block, "query_block", extra)
         numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         left = left.withColumnRenamed("rows", "queries").withColumn("vector_block", numbers(n_right))
-        pairs = left.join(right.withColumn("query_block", numbers(n_left)), ["dim", "query_block", "vector_block"])
+        pairs = left.hint("merge").join(right.withColumn("query_block", numbers(n_left)), ["dim", "query_block", "vector_block"])
         return pairs.select("dim", "queries", "vectors").mapInArrow(lambda b: _pairs(b, k, second), HIT_DDL)
 
     order = Window.partitionBy("query_id").orderBy(*[F.desc_nulls_last(c) for c in BEST], "vec_id")

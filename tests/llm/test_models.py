@@ -201,6 +201,15 @@ def test_topk_of_any_finite_vector(spark):
     assert [tuple(r) for r in got] == want
 
 
+def test_topk_blocks_do_not_pass_the_driver(spark):
+    df = spark.createDataFrame([(i, [i / 64.0, (i * 7 % 11) / 64.0]) for i in range(60)], "vec_id bigint, embedding array<double>")
+    scaled = topk.scaled(df)
+    found = topk.search(scaled, scaled.where("vec_id % 20 = 0"), 3, vector_block=8, query_block=1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [dim" in plan and "BroadcastHashJoin [dim" not in plan
+    assert found.count() == 9
+
+
 def test_topk_looks_at_few_whole_scores(spark, monkeypatch):
     """The share test decides which scores are resolved: without it every entry is."""
     rng = np.random.default_rng(5)
