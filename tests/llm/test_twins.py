@@ -4,12 +4,15 @@ import collections
 import math
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from folio.llm import quality, suffix_tree
+from folio.llm.common import texts
+from folio.session import RUN, materialise, shared_dir
 
 M64 = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
@@ -186,3 +189,16 @@ def test_suffix_tree_predicts_what_is_rare_in_a_large_corpus(spark):
     counts = suffix_tree.materialise(suffix_tree.word_counts(training))
     got = {r.doc_id: r.score for r in suffix_tree.score(docs, suffix_tree.fit(training, counts), counts).collect()}
     assert got[100] > got[200] + 2
+
+
+def test_tree_keeps_no_counts_on_disk(spark):
+    """Pairs and triples with their counts go when their terms are known."""
+    rows = [(i, " ".join(f"w{(i + j * 7) % 9}" for j in range(40))) for i in range(60)]
+    training = texts(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    run = Path(shared_dir(spark).removeprefix("file:")) / "folio" / RUN
+    before = set(run.rglob("_SUCCESS"))
+    counts = materialise(suffix_tree.word_counts(training))
+    tree = suffix_tree.fit(training, counts)
+    assert len(tree.contexts[0]) and tree.total == 60 * 41
+    left = [spark.read.parquet(str(p.parent)).columns for p in set(run.rglob("_SUCCESS")) - before]
+    assert left and not [c for c in left if "shorter" in c]
