@@ -3,6 +3,10 @@
 The longest run of equal neighbours is matched first, the earliest on the left and then on the right where several are as long;
 what lies before it and behind it is compared in the same way.  All of it is a fold over the arrays of one row, so rows are
 compared where they lie, without joins or shuffles.
+
+The length of the longest run is searched by halves: two arrays have a run of some length if the hashes of their windows of that
+length overlap.  Windows of every power of two are hashed once a row, any other is made of two that cover it.  What is found is
+compared element by element; should hashes have misled, the row's gap is folded whole.
 """
 
 from __future__ import annotations
@@ -43,11 +47,67 @@ def longest_run(a: Column, b: Column, gap: Column) -> Column:
     return let(let(right, fold), lambda s: _run(gap["alo"] + s["i"], gap["blo"] + s["j"], s["n"]))
 
 
+def _both(x: Column, y: Column) -> Column:
+    return F.xxhash64(x, y)
+
+
+def _windows_by_size(values: Column, side: str) -> Column:
+    """At k the hashes of all windows of 2**k elements; a null is like nothing on the other side."""
+    single = F.transform(values, lambda x, i: F.when(x.isNull(), F.xxhash64(F.lit(side), i)).otherwise(F.xxhash64(x)))
+
+    def doubled(sizes: Column, k: Column) -> Column:
+        def more(half: Column) -> Column:
+            def put(h: Column) -> Column:
+                n = F.size(h) - half
+                return F.concat(sizes, F.array(F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, half + 1, n), _both)))
+
+            return let(F.element_at(sizes, -1), put)
+
+        return let(F.call_function("shiftleft", F.lit(1), k - 1), more)
+
+    n = F.size(values)
+    powers = F.when(n > 1, F.sequence(F.lit(1), F.length(F.bin(n)) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(powers, F.array(single), doubled)
+
+
+def _longest(a: Column, b: Column, sizes_a: Column, sizes_b: Column, gap: Column) -> Column:
+    """The same as :func:`longest_run`, by the hashes of windows."""
+    def windows(sizes: Column, lo: Column, hi: Column, length: Column) -> Column:
+        k = F.length(F.bin(length)) - 1
+        n = hi - lo - length + 1
+        return let(F.get(sizes, k), lambda h: F.zip_with(
+            F.slice(h, lo + 1, n), F.slice(h, lo + length - F.call_function("shiftleft", F.lit(1), k) + 1, n), _both))
+
+    left = lambda n: windows(sizes_a, gap["alo"], gap["ahi"], n)
+    right = lambda n: windows(sizes_b, gap["blo"], gap["bhi"], n)
+    span = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+
+    def halved(s: Column, _: Column) -> Column:
+        tried = let(F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int"), lambda n: F.when(F.arrays_overlap(left(n), right(n)), span(n, s["hi"])).otherwise(span(s["lo"], n - 1)))
+        return F.when(s["lo"] >= s["hi"], s).otherwise(tried)
+
+    most = F.least(gap["ahi"] - gap["alo"], gap["bhi"] - gap["blo"])
+    found = F.aggregate(F.sequence(F.lit(1), F.length(F.bin(most))), span(F.lit(0), most), halved)["lo"]
+
+    def placed(n: Column) -> Column:
+        def first(both: Column) -> Column:
+            key = F.get(F.array_intersect(both["x"], both["y"]), F.lit(0))
+            return let(key, lambda key: _run(gap["alo"] + F.array_position(both["x"], key) - 1, gap["blo"] + F.array_position(both["y"], key) - 1, n))
+
+        def checked(run: Column) -> Column:
+            same = F.zip_with(F.slice(a, run["i"] + 1, n), F.slice(b, run["j"] + 1, n), lambda x, y: F.coalesce(x == y, F.lit(False)))
+            return F.when(F.forall(same, lambda x: x), run).otherwise(longest_run(a, b, gap))
+
+        return F.when(n == 0, _run(gap["alo"], gap["blo"], n)).otherwise(let(let(F.struct(left(n).alias("x"), right(n).alias("y")), first), checked))
+
+    return let(found, placed)
+
+
 def matching_runs(a: Column, b: Column) -> Column:
     """The runs (i, j, n), from 0 and in order, in which ``a`` and ``b`` match; neighbouring runs are one.  Null elements match nothing."""
     n, m = F.size(a), F.size(b)
 
-    def step(s: Column, _: Column) -> Column:
+    def step(sizes: Column, s: Column) -> Column:
         stack, found = s["stack"], s["found"]
         rest = F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
 
@@ -58,13 +118,14 @@ def matching_runs(a: Column, b: Column) -> Column:
                 return F.when(run["n"] == 0, F.struct(rest.alias("stack"), found.alias("found"))).otherwise(
                     F.struct(F.concat(rest, more).alias("stack"), F.concat(found, F.array(run)).alias("found")))
 
-            return let(longest_run(a, b, gap), put)
+            return let(_longest(a, b, sizes["a"], sizes["b"], gap), put)
 
         return F.when(F.size(stack) == 0, s).otherwise(let(F.element_at(stack, -1), settled))
 
     whole = F.when((n > 0) & (m > 0), F.array(_gap(F.lit(0), n, F.lit(0), m))).otherwise(F.array().cast(GAPS))
     zero = F.struct(whole.cast(GAPS).alias("stack"), F.array().cast(RUNS).alias("found"))
-    apart = F.aggregate(F.sequence(F.lit(1), 2 * F.least(n, m) + 1), zero, step)["found"]
+    sizes = F.struct(_windows_by_size(a, "left").alias("a"), _windows_by_size(b, "right").alias("b"))
+    apart = let(sizes, lambda sizes: F.aggregate(F.sequence(F.lit(1), 2 * F.least(n, m) + 1), zero, lambda s, _: step(sizes, s))["found"])
 
     def joined(out: Column, run: Column) -> Column:
         def onto(last: Column) -> Column:

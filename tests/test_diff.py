@@ -1,3 +1,4 @@
+import time
 from difflib import SequenceMatcher
 
 from hypothesis import HealthCheck, given, settings
@@ -58,6 +59,28 @@ def test_runs_are_those_of_the_standard_matcher(spark, rows):
         assert got[k] == [(m.a, m.b, m.size) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
 
 
+def _runs(spark, a, b):
+    df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
+    [row] = df.select(sequence.matching_runs(F.col("a"), F.col("b")).alias("runs")).collect()
+    return [tuple(x) for x in row.runs]
+
+
+def test_long_texts_are_not_compared_place_by_place(spark):
+    """20,000 words a side: 400 million places a run."""
+    a = [f"w{i}" for i in range(20_000)]
+    b = ["new", *a[5:9_000], "other", *a[9_003:]]
+    start = time.monotonic()
+    assert _runs(spark, a, b) == [(5, 1, 8_995), (9_003, 8_997, 10_997)]
+    assert time.monotonic() - start < 25
+
+
+def test_runs_where_hashes_mislead_and_nulls(spark, monkeypatch):
+    a, b = ["x", "y", None, "z", "z"], ["y", None, "z", "x", "z", "z"]
+    assert _runs(spark, a, b) == [(0, 3, 1), (3, 4, 2)] and _runs(spark, a[1:], b) == [(0, 0, 1), (2, 4, 2)]
+    monkeypatch.setattr(sequence, "_both", lambda x, y: F.lit(7).cast("bigint"))
+    assert _runs(spark, a, b) == [(0, 3, 1), (3, 4, 2)]
+
+
 def test_moved_words_are_marked(spark):
     df = spark.createDataFrame([(1, "<p>red blue</p>", "<p>blue red</p>"), (2, "<p>one two</p>", None), (3, "<p>same</p>", "<p>same</p>"), (4, "<p>a, b</p>", "<p>a, <b>b</b></p>")], "k int, l string, r string")
     got = {r.k: (r.left_markup, r.right_markup) for r in diff.diff_markup(df, "l", "r", ["k"]).collect()}
