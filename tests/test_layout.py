@@ -275,3 +275,26 @@ def test_sizes_of_each_page(spark):
     assert got == {p: (wide if p % 2 == 0 else narrow)[p] for p in wide} and wide != narrow
     none = run(sizes=sizes.where("page_id % 3 <> 0")).collect()
     assert len(none) == len(wide) and all(r.html is not None for r in none)
+
+
+def test_words_are_read_as_they_stand(spark):
+    word = lambda text, subs=None, kind=None, h=30.0, at=10: (0, text, subs, kind, "bold", at, 0, 5, h)
+    rows = [
+        (1, [word("Ab"), word(None), word(""), word("x y", at=20), word("5", h=None), word("é"), word("…"), word("b", h=0.0), None]),
+        (2, [word("rest", None, "HypPart2", at=7), word("gro", "grown", "HypPart1"), word("q")]),
+        (3, []),
+        (4, [word(",", at=1), word(" a ", at=None), word("c", at=3)]),
+    ]
+    df = spark.createDataFrame(rows, f"line_seq int, tokens array<{TOKEN_TYPE}>").withColumn("hpos", F.lit(99).cast("bigint"))
+    got = [(r.text, r.chars, [tuple(w) for w in r.words], r.mean_h, r.eff_left, r.bold) for r in layout.read_words(df).orderBy("line_seq").collect()]
+    assert got == [
+        ("Ab x y 5 é … b", 8, [("Ab", 2, 30.0, True), ("x y", 2, 30.0, True), ("é", 1, 30.0, True), ("…", 1, 30.0, False), ("b", 1, 0.0, True)], 30.0, 10, False),
+        ("grown q", 6, [("grown", 5, 30.0, True), ("q", 1, 30.0, True)], 30.0, 7, True),
+        ("", 0, [], None, 99, True),
+        (",  a  c", 3, [(",", 1, 30.0, False), (" a ", 1, 30.0, True), ("c", 1, 30.0, True)], 30.0, 99, True),
+    ]
+
+
+def test_lines_pass_few_windows(spark):
+    plan = layout.page_blocks(spark.createDataFrame([line(1, 0, 0, "a")], LINE), F.lit(1400))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("- Window [") <= 14
